@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 import sql_oracles as O
 from equitally.operators import calibration as cal
 from equitally.operators import fairness as fair
+from equitally.operators import metrics as met
+from equitally.operators.cells import audit_rows
 from equitally.plans.audit import STANDIN_SCORES, cells_for, cleaned_applications
 
 FLAGSHIP_SF = "/root/testdata/sf0.001"
@@ -98,6 +100,47 @@ def q_d1_overall_calibration(spark, sf_dir):
     return rounded(cal.overall_calibration(_cells(spark, sf_dir, two_models=True)))
 
 
+# --------------------------------------------------------------------------- #
+# B: classification metrics (both stand-in models, keyed by model)
+# --------------------------------------------------------------------------- #
+
+def _scored_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_rows(cleaned_applications(spark, sf_dir), STANDIN_SCORES)
+
+
+def q_b1_confusion_matrix(spark, sf_dir):
+    return met.confusion_matrix(_scored_rows(spark, sf_dir))
+
+
+def q_b2_classification_metrics(spark, sf_dir):
+    return rounded(met.classification_metrics(_scored_rows(spark, sf_dir)))
+
+
+def q_b3_classification_report(spark, sf_dir):
+    return rounded(met.classification_report(_scored_rows(spark, sf_dir)))
+
+
+def q_b5_ranking_metrics(spark, sf_dir):
+    return rounded(met.ranking_metrics(_scored_rows(spark, sf_dir)))
+
+
+def q_b7_roc_curve(spark, sf_dir):
+    return rounded(met.roc_curve(_scored_rows(spark, sf_dir)))
+
+
+def q_b8_pr_curve(spark, sf_dir):
+    return rounded(met.pr_curve(_scored_rows(spark, sf_dir)))
+
+
+def q_b9_curve_area(spark, sf_dir):
+    pts = met.roc_curve(_scored_rows(spark, sf_dir), drop_intermediate=False)
+    return rounded(met.curve_area(pts, "fpr", "tpr"))
+
+
+def q_b10_leaderboard(spark, sf_dir):
+    return rounded(met.leaderboard(_scored_rows(spark, sf_dir)))
+
+
 # --------------------------------------------------------------------------- #
 # Contract
 # --------------------------------------------------------------------------- #
@@ -109,6 +152,14 @@ def entry(spark: SparkSession) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "b1_confusion_matrix": q_b1_confusion_matrix,
+        "b2_classification_metrics": q_b2_classification_metrics,
+        "b3_classification_report": q_b3_classification_report,
+        "b5_b6_auc_average_precision": q_b5_ranking_metrics,
+        "b7_roc_curve": q_b7_roc_curve,
+        "b8_pr_curve": q_b8_pr_curve,
+        "b9_curve_area": q_b9_curve_area,
+        "b10_leaderboard": q_b10_leaderboard,
         "c1_selection_rate": _metric_only("selection_rate"),
         "c2_true_positive_rate": _metric_only("tpr"),
         "c3_false_positive_rate": _metric_only("fpr"),

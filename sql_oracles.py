@@ -355,8 +355,113 @@ def d1_overall_calibration() -> str:
             f"FROM g LEFT JOIN e ON g.model = e.model")
 
 
+# --------------------------------------------------------------------------- #
+# B: classification metrics
+# --------------------------------------------------------------------------- #
+
+def _counts() -> str:
+    return (f"WITH {ctes_scored(TWO)},\n"
+            f"c AS (SELECT model, COUNT(*) AS n, {isum('y * yhat')} AS tp, {isum('(1 - y) * yhat')} AS fp, "
+            f"{isum('(1 - y) * (1 - yhat)')} AS tn, {isum('y * (1 - yhat)')} AS fn, {isum('y')} AS n_pos "
+            f"FROM scored GROUP BY model)")
+
+
+def b1_confusion_matrix() -> str:
+    parts = [f"SELECT model, {a} AS actual, {p} AS predicted, {k} AS count FROM c"
+             for a, p, k in ((0, 0, "tn"), (0, 1, "fp"), (1, 0, "fn"), (1, 1, "tp"))]
+    return _counts() + "\n" + " UNION ALL ".join(parts)
+
+
+def _tm() -> dict[str, str]:
+    return {"accuracy": ratio("tp + tn", "n"), "precision": ratio("tp", "tp + fp"),
+            "recall": ratio("tp", "tp + fn"), "f1_score": ratio("2 * tp", "2 * tp + fp + fn")}
+
+
+def b2_classification_metrics() -> str:
+    cols = ", ".join(f"{rnd(v)} AS {k}" for k, v in _tm().items())
+    return (_counts() + f"\nSELECT model, {cols}, n AS n_test, {rnd(ratio('n_pos', 'n'))} AS positive_rate FROM c")
+
+
+def b3_classification_report() -> str:
+    p1, r1, f1 = ratio("tp", "tp + fp"), ratio("tp", "tp + fn"), ratio("2 * tp", "2 * tp + fp + fn")
+    p0, r0, f0 = ratio("tn", "tn + fn"), ratio("tn", "tn + fp"), ratio("2 * tn", "2 * tn + fn + fp")
+    s1, s0, acc = "CAST(tp + fn AS DOUBLE)", "CAST(tn + fp AS DOUBLE)", ratio("tp + tn", "n")
+    nd = "CAST(n AS DOUBLE)"
+    rows = [("0", p0, r0, f0, s0), ("1", p1, r1, f1, s1), ("accuracy", acc, acc, acc, nd),
+            ("macro avg", f"({p0} + {p1}) / 2", f"({r0} + {r1}) / 2", f"({f0} + {f1}) / 2", nd),
+            ("weighted avg", f"(({p0}) * {s0} + ({p1}) * {s1}) / {nd}", f"(({r0}) * {s0} + ({r1}) * {s1}) / {nd}",
+             f"(({f0}) * {s0} + ({f1}) * {s1}) / {nd}", nd)]
+    sel = " UNION ALL ".join(
+        f"SELECT model, {lit(lab)} AS label, {rnd(p)} AS precision, {rnd(r)} AS recall, {rnd(f)} AS f1_score, "
+        f"{rnd(su)} AS support FROM c" for lab, p, r, f, su in rows)
+    return _counts() + "\n" + sel
+
+
+def _steps() -> str:
+    return (f"WITH {ctes_scored(TWO)},\n"
+            f"g AS (SELECT model, p AS score, {isum('y')} AS tp, {isum('1 - y')} AS fp FROM scored GROUP BY model, p),\n"
+            f"s AS (SELECT model, score, tp, fp, ROW_NUMBER() OVER w AS pos, SUM(tp) OVER w AS cum_tp, "
+            f"SUM(fp) OVER w AS cum_fp, LEAD(tp) OVER w2 AS next_tp, LEAD(fp) OVER w2 AS next_fp FROM g "
+            f"WINDOW w AS (PARTITION BY model ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), "
+            f"w2 AS (PARTITION BY model ORDER BY score DESC)),\n"
+            f"t AS (SELECT model, SUM(tp) AS P, SUM(fp) AS N FROM g GROUP BY model),\n"
+            f"st AS (SELECT s.*, t.P, t.N FROM s JOIN t ON s.model = t.model)")
+
+
+def _rank_sel() -> str:
+    return ("r AS (SELECT model, SUM(fp * (cum_tp - tp / 2.0)) / (ANY_VALUE(P) * ANY_VALUE(N)) AS roc_auc, "
+            "SUM(tp * cum_tp / CAST(cum_tp + cum_fp AS DOUBLE)) / ANY_VALUE(P) AS average_precision "
+            "FROM st GROUP BY model)")
+
+
+def b5_ranking() -> str:
+    return (_steps() + ",\n" + _rank_sel() +
+            f"\nSELECT model, {rnd('roc_auc')} AS roc_auc, {rnd('average_precision')} AS average_precision FROM r")
+
+
+def b7_roc_curve() -> str:
+    return (_steps() + "\n"
+            f"SELECT model, CAST(pos AS BIGINT) AS pos, {rnd(ratio('cum_fp', 'N'))} AS fpr, "
+            f"{rnd(ratio('cum_tp', 'P'))} AS tpr, {rnd('score')} AS threshold FROM st "
+            f"WHERE pos = 1 OR next_tp IS NULL OR next_tp <> tp OR next_fp <> fp "
+            f"UNION ALL SELECT model, CAST(0 AS BIGINT), 0.0, 0.0, CAST('inf' AS DOUBLE) FROM t")
+
+
+def b8_pr_curve() -> str:
+    return (_steps() + "\n"
+            f"SELECT model, CAST(pos AS BIGINT) AS pos, {rnd(ratio('cum_tp', 'cum_tp + cum_fp'))} AS precision, "
+            f"{rnd(ratio('cum_tp', 'P'))} AS recall, {rnd('score')} AS threshold FROM st "
+            f"UNION ALL SELECT model, CAST(0 AS BIGINT), 1.0, 0.0, CAST(NULL AS DOUBLE) FROM t")
+
+
+def b9_curve_area() -> str:
+    return (_steps() + ",\n"
+            f"pts AS (SELECT model, pos, {ratio('cum_fp', 'N')} AS x, {ratio('cum_tp', 'P')} AS y FROM st "
+            f"UNION ALL SELECT model, 0, 0.0, 0.0 FROM t),\n"
+            f"seg AS (SELECT model, (x - LAG(x) OVER w) * (y + LAG(y) OVER w) / 2.0 AS a FROM pts "
+            f"WINDOW w AS (PARTITION BY model ORDER BY pos))\n"
+            f"SELECT model, {rnd('SUM(a)')} AS area FROM seg GROUP BY model")
+
+
+def b10_leaderboard() -> str:
+    cols = ", ".join(f"{rnd(v)} AS {k}" for k, v in _tm().items())
+    return (_steps() + ",\n" + _rank_sel() + ",\n"
+            f"c AS (SELECT model, COUNT(*) AS n, {isum('y * yhat')} AS tp, {isum('(1 - y) * yhat')} AS fp, "
+            f"{isum('(1 - y) * (1 - yhat)')} AS tn, {isum('y * (1 - yhat)')} AS fn FROM scored GROUP BY model)\n"
+            f"SELECT c.model, {cols}, {rnd('r.roc_auc')} AS roc_auc, {rnd('r.average_precision')} AS average_precision "
+            f"FROM c JOIN r ON c.model = r.model")
+
+
 def all_sql() -> dict[str, str]:
     return {
+        "b1_confusion_matrix": b1_confusion_matrix(),
+        "b2_classification_metrics": b2_classification_metrics(),
+        "b3_classification_report": b3_classification_report(),
+        "b5_b6_auc_average_precision": b5_ranking(),
+        "b7_roc_curve": b7_roc_curve(),
+        "b8_pr_curve": b8_pr_curve(),
+        "b9_curve_area": b9_curve_area(),
+        "b10_leaderboard": b10_leaderboard(),
         "c1_selection_rate": c_metric_only("selection_rate"),
         "c2_true_positive_rate": c_metric_only("tpr"),
         "c3_false_positive_rate": c_metric_only("fpr"),
