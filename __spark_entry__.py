@@ -18,8 +18,16 @@ import sql_oracles as O
 from equitally.operators import calibration as cal
 from equitally.operators import fairness as fair
 from equitally.operators import metrics as met
+from equitally.functions import labels as lab
+from equitally.functions.cleaning import ordinal_age, range_midpoint, to_double
+from equitally.functions.thresholds import predict_at
+from equitally.operators import clean as cln
+from equitally.operators import sampling as smp
 from equitally.operators.cells import audit_rows
+from equitally.operators.stats import exact_medians
 from equitally.plans.audit import STANDIN_SCORES, cells_for, cleaned_applications
+from equitally.sources import ingest
+from equitally.sources.fixtures import application_view
 
 FLAGSHIP_SF = "/root/testdata/sf0.001"
 
@@ -141,6 +149,137 @@ def q_b10_leaderboard(spark, sf_dir):
     return rounded(met.leaderboard(_scored_rows(spark, sf_dir)))
 
 
+# --------------------------------------------------------------------------- #
+# P: cleaning rules, labels, thresholds
+# --------------------------------------------------------------------------- #
+
+def _normalized(spark, sf_dir):
+    return cln.normalize_na_tokens(application_view(spark, sf_dir))
+
+
+def q_p1_decision_filter(spark, sf_dir):
+    return cln.decision_filter(_normalized(spark, sf_dir)).select("app_id", "action_taken")
+
+
+def q_p2_binary_target(spark, sf_dir):
+    d = cln.add_target(cln.decision_filter(_normalized(spark, sf_dir)))
+    return d.select("app_id", "target")
+
+
+def q_p3_drop_leakage(spark, sf_dir):
+    return rounded(cln.drop_leakage(application_view(spark, sf_dir)))
+
+
+def q_p7_ordinal_age(spark, sf_dir):
+    v = _normalized(spark, sf_dir)
+    return v.select("app_id", ordinal_age("applicant_age").alias("applicant_age"),
+                    ordinal_age("co-applicant_age").alias("co-applicant_age"))
+
+
+def q_p8_range_midpoint(spark, sf_dir):
+    v = _normalized(spark, sf_dir)
+    return rounded(v.select("app_id", range_midpoint("debt_to_income_ratio").alias("debt_to_income_ratio"),
+                            range_midpoint("total_units").alias("total_units")))
+
+
+def q_p9_numeric_coercion(spark, sf_dir):
+    v = _normalized(spark, sf_dir)
+    return rounded(v.select("app_id", *[to_double(c, v.schema[c].dataType).alias(c)
+                                        for c in ("income", "property_value", "loan_term", "loan_amount")]))
+
+
+def q_p10_medians(spark, sf_dir):
+    prepared = cln.prepare_features(application_view(spark, sf_dir))
+    cols = [c for c in O.IMPUTED if c in prepared.columns]
+    med = exact_medians(prepared, cols)
+    return rounded(spark.range(1).select(*[F.lit(med[c]).cast("double").alias(c) for c in cols]))
+
+
+def q_p11_clean_table(spark, sf_dir):
+    return rounded(cleaned_applications(spark, sf_dir))
+
+
+def q_p12_na_tokens(spark, sf_dir):
+    v = _normalized(spark, sf_dir)
+    return v.select("app_id", *O.STRING_VIEW_COLS)
+
+
+def q_p13_p18_audit_labels(spark, sf_dir):
+    c = cleaned_applications(spark, sf_dir)
+    race3 = lab.race_label("derived_race", include_other=False)
+    return c.select(
+        "app_id",
+        lab.age_label("applicant_age").alias("age"),
+        lab.county_label("county_code").alias("county"),
+        lab.race_label("derived_race").alias("race"),
+        race3.alias("race3"),
+        lab.gender_label("derived_sex").alias("gender"),
+        lab.intersection_label(race3, lab.gender_label("derived_sex")).alias("race_gender"),
+        lab.intersection_label(race3, lab.age_label("applicant_age")).alias("race_age"))
+
+
+def q_p20_threshold(spark, sf_dir):
+    c = cleaned_applications(spark, sf_dir)
+    return c.select("app_id", predict_at("y_prob").alias("yhat"))
+
+
+def q_p23_shape_report(spark, sf_dir):
+    view = application_view(spark, sf_dir)
+    n_clean_cols = len(cln.prepare_features(view).columns)
+    return cln.shape_report(view, n_clean_cols)
+
+
+# --------------------------------------------------------------------------- #
+# S: sources
+# --------------------------------------------------------------------------- #
+
+def q_s4_payload_rejection(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html")
+    return pages.select("page_id", ingest.is_html_payload("html").alias("rejected"),
+                        ingest.is_html_payload("html", strict=True).alias("rejected_strict"))
+
+
+def q_s5_rows_per_county(spark, sf_dir):
+    return ingest.rows_per_county(application_view(spark, sf_dir, ["county_code"]))
+
+
+# --------------------------------------------------------------------------- #
+# J, F: category domains, splits, samples
+# --------------------------------------------------------------------------- #
+
+def _split(spark, sf_dir):
+    return smp.stratified_split(cleaned_applications(spark, sf_dir))
+
+
+def q_f1_stratified_split(spark, sf_dir):
+    return _split(spark, sf_dir).select("app_id", "target", "split")
+
+
+def q_f2_split_report(spark, sf_dir):
+    return rounded(smp.split_report(_split(spark, sf_dir)))
+
+
+def q_f3_stratified_sample(spark, sf_dir):
+    return smp.stratified_sample(cleaned_applications(spark, sf_dir), 1000).select("app_id", "target")
+
+
+def q_f4_uniform_sample(spark, sf_dir):
+    return smp.uniform_sample(cleaned_applications(spark, sf_dir), 300).select("app_id", "target")
+
+
+def q_j4_category_domain(spark, sf_dir):
+    from equitally.operators.features import category_domain
+    sp = _split(spark, sf_dir)
+    return category_domain(sp.where("split = 'train'"), sp.where("split = 'test'"), "conforming_loan_limit")
+
+
+def q_j5_label_codes(spark, sf_dir):
+    from equitally.operators.features import factorize
+    sp = _split(spark, sf_dir)
+    codes = factorize(sp.where("split = 'train'"), sp.where("split = 'test'"), "derived_race")
+    return codes
+
+
 # --------------------------------------------------------------------------- #
 # Contract
 # --------------------------------------------------------------------------- #
@@ -152,6 +291,26 @@ def entry(spark: SparkSession) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "p1_decision_filter": q_p1_decision_filter,
+        "p2_binary_target": q_p2_binary_target,
+        "p3_drop_leakage": q_p3_drop_leakage,
+        "p7_ordinal_age": q_p7_ordinal_age,
+        "p8_range_midpoint": q_p8_range_midpoint,
+        "p9_numeric_coercion": q_p9_numeric_coercion,
+        "p10_medians": q_p10_medians,
+        "p11_clean_table": q_p11_clean_table,
+        "p12_na_tokens": q_p12_na_tokens,
+        "p13_p18_audit_labels": q_p13_p18_audit_labels,
+        "p20_threshold": q_p20_threshold,
+        "p23_shape_report": q_p23_shape_report,
+        "s4_payload_rejection": q_s4_payload_rejection,
+        "s5_rows_per_county": q_s5_rows_per_county,
+        "f1_stratified_split": q_f1_stratified_split,
+        "f2_split_report": q_f2_split_report,
+        "f3_stratified_sample": q_f3_stratified_sample,
+        "f4_uniform_sample": q_f4_uniform_sample,
+        "j4_category_domain": q_j4_category_domain,
+        "j5_label_codes": q_j5_label_codes,
         "b1_confusion_matrix": q_b1_confusion_matrix,
         "b2_classification_metrics": q_b2_classification_metrics,
         "b3_classification_report": q_b3_classification_report,

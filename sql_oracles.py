@@ -452,8 +452,184 @@ def b10_leaderboard() -> str:
             f"FROM c JOIN r ON c.model = r.model")
 
 
+# --------------------------------------------------------------------------- #
+# P: cleaning rules
+# --------------------------------------------------------------------------- #
+
+def _with_clean(body: str) -> str:
+    return f"WITH {ctes_clean()}\n{body}"
+
+
+def p1_decision_filter() -> str:
+    return _with_clean("SELECT app_id, action_taken FROM na WHERE action_taken IN (1, 3)")
+
+
+def p2_binary_target() -> str:
+    return _with_clean("SELECT app_id, target FROM dec")
+
+
+def _view_names():
+    from equitally.sources.fixtures import APPLICATION_VIEW
+    return [n for n, _ in APPLICATION_VIEW]
+
+
+def p3_drop_leakage() -> str:
+    from equitally.sources.schema import LEAKAGE_COLUMNS
+    doubles = {"loan_amount", "y_prob", "y_prob_blind"}
+    keep = [n for n in _view_names() if n not in LEAKAGE_COLUMNS]
+    cols = ", ".join(f"{rnd(q(n))} AS {q(n)}" if n in doubles else q(n) for n in keep)
+    return f"WITH raw AS ({application_sql()})\nSELECT {cols} FROM raw"
+
+
+def p7_ordinal_age() -> str:
+    return _with_clean(f"SELECT app_id, {age_code(q('applicant_age'))} AS applicant_age, "
+                       f"{age_code(q('co-applicant_age'))} AS {q('co-applicant_age')} FROM na")
+
+
+def p8_range_midpoint() -> str:
+    return _with_clean(f"SELECT app_id, {rnd(midpoint('debt_to_income_ratio'))} AS debt_to_income_ratio, "
+                       f"{rnd(midpoint('total_units'))} AS total_units FROM na")
+
+
+def p9_numeric_coercion() -> str:
+    return _with_clean(f"SELECT app_id, {rnd(td('income'))} AS income, {rnd(td('property_value'))} AS property_value, "
+                       f"{rnd(td('loan_term'))} AS loan_term, "
+                       f"{rnd('CASE WHEN isnan(loan_amount) THEN NULL ELSE loan_amount END')} AS loan_amount FROM na")
+
+
+def p10_medians() -> str:
+    return _with_clean("SELECT " + ", ".join(f"{rnd(q('m_' + c))} AS {q(c)}" for c in IMPUTED) + " FROM med")
+
+
+def p11_clean_table() -> str:
+    doubles = set(IMPUTED) | {"y_prob", "y_prob_blind"}
+    cols = ["app_id", "target", "county_code", "loan_purpose", "y_prob", "y_prob_blind", *CLEAN_STRINGS, *IMPUTED]
+    sel = ", ".join(f"{rnd(q(c))} AS {q(c)}" if c in doubles else q(c) for c in cols)
+    return _with_clean(f"SELECT {sel} FROM clean")
+
+
+def p12_na_tokens() -> str:
+    return _with_clean("SELECT app_id, " + ", ".join(q(c) for c in STRING_VIEW_COLS) + " FROM na")
+
+
+def p13_p18_audit_labels() -> str:
+    r3 = race("derived_race", include_other=False)
+    g = gender("derived_sex")
+    a = age_label("applicant_age")
+    return _with_clean(
+        f"SELECT app_id, {a} AS age, {county('county_code')} AS county, {race('derived_race')} AS race, "
+        f"{r3} AS race3, {g} AS gender, ({r3}) || ' ' || ({g}) AS race_gender, "
+        f"({r3}) || ' ' || ({a}) AS race_age FROM clean")
+
+
+def p20_threshold() -> str:
+    return _with_clean("SELECT app_id, CASE WHEN y_prob >= 0.5 THEN 1 ELSE 0 END AS yhat FROM clean")
+
+
+def p23_shape_report() -> str:
+    from equitally.sources.schema import LEAKAGE_COLUMNS
+    names = _view_names()
+    n_raw = len(names)
+    n_clean = len([n for n in names if n not in LEAKAGE_COLUMNS]) + 1
+    return (f"WITH raw AS ({application_sql()})\n"
+            f"SELECT 'raw' AS stage, COUNT(*) AS n_rows, {n_raw} AS n_columns FROM raw UNION ALL "
+            f"SELECT 'clean', COUNT(*) FILTER (WHERE action_taken IN (1, 3)), {n_clean} FROM raw")
+
+
+# --------------------------------------------------------------------------- #
+# S: sources
+# --------------------------------------------------------------------------- #
+
+def s4_payload_rejection() -> str:
+    return ("SELECT page_id, regexp_matches(html, '(?i)^\\s*<(!doctype html|html)') AS rejected, "
+            "(starts_with(html, '<!doctype html>') OR strpos(left(html, 100), '<html>') > 0) AS rejected_strict "
+            "FROM pages")
+
+
+def s5_rows_per_county() -> str:
+    return (f"WITH raw AS ({application_sql(['county_code'])})\n"
+            "SELECT county_code, COUNT(*) AS count FROM raw WHERE county_code IS NOT NULL GROUP BY county_code")
+
+
+# --------------------------------------------------------------------------- #
+# F, J: split, samples, category domains
+# --------------------------------------------------------------------------- #
+
+def _alloc_ctes(k_expr: str, name: str) -> str:
+    """Largest-remainder allocation of k draws over target classes → name(target, n_c, k_c)."""
+    return (f"{name}_cc AS (SELECT target, COUNT(*) AS n_c FROM clean GROUP BY target),\n"
+            f"{name}_tot AS (SELECT SUM(n_c) AS n, {k_expr} AS k FROM {name}_cc),\n"
+            f"{name}_fl AS (SELECT target, n_c, CAST(n_c * k AS DOUBLE) / n AS cont, "
+            f"FLOOR(CAST(n_c * k AS DOUBLE) / n) AS fl FROM {name}_cc, {name}_tot),\n"
+            f"{name} AS (SELECT target, n_c, CAST(fl + CASE WHEN ROW_NUMBER() OVER (ORDER BY cont - fl DESC, target) "
+            f"<= (SELECT k FROM {name}_tot) - (SELECT SUM(fl) FROM {name}_fl) THEN 1 ELSE 0 END AS BIGINT) AS k_c "
+            f"FROM {name}_fl)")
+
+
+HASH = "md5(CAST(app_id AS VARCHAR) || '-42')"
+
+
+def _split_ctes() -> str:
+    k = "SUM(n_c) - CAST(CEIL(CAST(0.2 AS DOUBLE) * SUM(n_c)) AS BIGINT)"
+    return (f"{ctes_clean()},\n{_alloc_ctes(k, 'tr')},\n"
+            f"ranked AS (SELECT app_id, target, ROW_NUMBER() OVER (PARTITION BY target ORDER BY {HASH}, app_id) AS rn "
+            f"FROM clean),\n"
+            f"split AS (SELECT r.app_id, r.target, CASE WHEN r.rn <= tr.n_c - tr.k_c THEN 'test' ELSE 'train' END "
+            f"AS split FROM ranked r JOIN tr ON r.target = tr.target)")
+
+
+def f1_stratified_split() -> str:
+    return f"WITH {_split_ctes()}\nSELECT app_id, target, split FROM split"
+
+
+def f2_split_report() -> str:
+    return (f"WITH {_split_ctes()},\nc AS (SELECT split, target, COUNT(*) AS count FROM split GROUP BY split, target)\n"
+            f"SELECT split, target, count, {rnd('CAST(count AS DOUBLE) / SUM(count) OVER (PARTITION BY split)')} AS ratio "
+            f"FROM c")
+
+
+def f3_stratified_sample(size: int = 1000) -> str:
+    return (f"WITH {ctes_clean()},\n{_alloc_ctes(str(size), 'al')},\n"
+            f"ranked AS (SELECT app_id, target, ROW_NUMBER() OVER (PARTITION BY target ORDER BY {HASH}, app_id) AS rn "
+            f"FROM clean)\n"
+            f"SELECT r.app_id, r.target FROM ranked r JOIN al ON r.target = al.target WHERE r.rn <= al.k_c")
+
+
+def f4_uniform_sample(size: int = 300) -> str:
+    return _with_clean(f"SELECT app_id, target FROM clean ORDER BY {HASH}, app_id LIMIT {size}")
+
+
+def j4_category_domain() -> str:
+    return _with_clean("SELECT DISTINCT conforming_loan_limit FROM clean")
+
+
+def j5_label_codes() -> str:
+    return _with_clean("SELECT derived_race AS level, CAST(DENSE_RANK() OVER (ORDER BY derived_race) - 1 AS INTEGER) "
+                       "AS code FROM (SELECT DISTINCT derived_race FROM clean WHERE derived_race IS NOT NULL)")
+
+
 def all_sql() -> dict[str, str]:
     return {
+        "p1_decision_filter": p1_decision_filter(),
+        "p2_binary_target": p2_binary_target(),
+        "p3_drop_leakage": p3_drop_leakage(),
+        "p7_ordinal_age": p7_ordinal_age(),
+        "p8_range_midpoint": p8_range_midpoint(),
+        "p9_numeric_coercion": p9_numeric_coercion(),
+        "p10_medians": p10_medians(),
+        "p11_clean_table": p11_clean_table(),
+        "p12_na_tokens": p12_na_tokens(),
+        "p13_p18_audit_labels": p13_p18_audit_labels(),
+        "p20_threshold": p20_threshold(),
+        "p23_shape_report": p23_shape_report(),
+        "s4_payload_rejection": s4_payload_rejection(),
+        "s5_rows_per_county": s5_rows_per_county(),
+        "f1_stratified_split": f1_stratified_split(),
+        "f2_split_report": f2_split_report(),
+        "f3_stratified_sample": f3_stratified_sample(),
+        "f4_uniform_sample": f4_uniform_sample(),
+        "j4_category_domain": j4_category_domain(),
+        "j5_label_codes": j5_label_codes(),
         "b1_confusion_matrix": b1_confusion_matrix(),
         "b2_classification_metrics": b2_classification_metrics(),
         "b3_classification_report": b3_classification_report(),
