@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -280,6 +281,153 @@ def q_j5_label_codes(spark, sf_dir):
     return codes
 
 
+# --------------------------------------------------------------------------- #
+# Features (fitted on the train split, applied to every row)
+# --------------------------------------------------------------------------- #
+
+def _train(spark, sf_dir):
+    sp = _split(spark, sf_dir)
+    return sp, sp.where("split = 'train'")
+
+
+def q_f5_standard_scaling(spark, sf_dir):
+    from equitally.operators import features as fx
+    from equitally.operators.models import feature_columns
+    sp, train = _train(spark, sf_dir)
+    numeric, _ = feature_columns(train)
+    stats = fx.fit_standard_scaler(train, numeric)
+    return rounded(fx.apply_standard_scaler(sp, stats).select("app_id", *numeric))
+
+
+def q_f6_one_hot(spark, sf_dir):
+    from equitally.operators import features as fx
+    sp, train = _train(spark, sf_dir)
+    cols = ["conforming_loan_limit", "derived_race"]
+    model = fx.fit_pipeline(train, fx.one_hot_stages(cols))
+    out = model.transform(sp)
+    for c in cols:
+        out = fx.one_hot_index(out, f"{c}__ohe")
+    return out.select("app_id", *[x for c in cols for x in (f"{c}__ohe_hot", f"{c}__ohe_size")])
+
+
+def q_f7_ordinal_codes(spark, sf_dir):
+    from equitally.operators import features as fx
+    sp, train = _train(spark, sf_dir)
+    m = fx.fit_pipeline(train, [fx.string_indexer("conforming_loan_limit")])
+    n_levels = len(m.stages[0].labels)
+    out = fx.ordinal_codes(m.transform(sp), "conforming_loan_limit__idx", n_levels, "conforming_loan_limit_code")
+    return out.select("app_id", "conforming_loan_limit_code")
+
+
+def q_f9_balanced_weights(spark, sf_dir):
+    from equitally.operators import features as fx
+    _, train = _train(spark, sf_dir)
+    return rounded(fx.balanced_weights(train).select("app_id", "target", "weight"))
+
+
+def q_f10_positive_weight(spark, sf_dir):
+    from equitally.operators import features as fx
+    _, train = _train(spark, sf_dir)
+    return rounded(fx.positive_class_weight(train).select("app_id", "target", "weight"))
+
+
+def q_m4_validation_indicator(spark, sf_dir):
+    from equitally.operators.models import validation_indicator
+    _, train = _train(spark, sf_dir)
+    return validation_indicator(train).select("app_id", "is_validation")
+
+
+# --------------------------------------------------------------------------- #
+# M, E: models, scores, attribution (rows-only checks: no SQL equivalent)
+# --------------------------------------------------------------------------- #
+
+def _fit(spark, sf_dir, kind):
+    from equitally.operators import models as mdl
+    sp, train = _train(spark, sf_dir)
+    test = sp.where("split = 'test'")
+    trainer = {"logistic": mdl.train_logistic, "forest": mdl.train_forest, "gbt": mdl.train_gbt,
+               "blind": mdl.train_blind}[kind]
+    return trainer(train), test
+
+
+def _scores(kind):
+    def run(spark, sf_dir):
+        from equitally.operators.models import score
+        m, test = _fit(spark, sf_dir, kind)
+        return rounded(score(m, test))
+    return run
+
+
+def q_f11_feature_names(spark, sf_dir):
+    from equitally.operators.explain import slot_names
+    m, test = _fit(spark, sf_dir, "logistic")
+    names = slot_names(m, test)
+    schema = T.StructType([T.StructField("position", T.IntegerType()), T.StructField("feature", T.StringType())])
+    return spark.createDataFrame(list(enumerate(names)), schema)
+
+
+def q_m6_model_leaderboard(spark, sf_dir):
+    from equitally.operators.models import score
+    sp, train = _train(spark, sf_dir)
+    test = sp.where("split = 'test'")
+    from equitally.operators import models as mdl
+    scored = score(mdl.train_logistic(train), test).unionByName(score(mdl.train_gbt(train), test)) \
+        .unionByName(score(mdl.train_blind(train), test))
+    return rounded(met.leaderboard(scored))
+
+
+def q_m7_function_scores(spark, sf_dir):
+    import numpy as np
+    from equitally.operators.models import score_with_function
+    m, test = _fit(spark, sf_dir, "logistic")
+    lr = m.classifier
+    # an external scorer: the fitted coefficients applied in numpy per Arrow batch
+    prepared = m.model.transform(test).select("app_id", "target", vector_to_array("features").alias("x"))
+    w, b = np.array(lr.coefficients.toArray()), float(lr.intercept)
+
+    def predict(pdf):
+        x = np.vstack(pdf["x"].to_numpy())
+        return 1.0 / (1.0 + np.exp(-(x @ w + b)))
+
+    return rounded(score_with_function(prepared, predict, ["x"], "logistic_numpy", batch_rows=1000))
+
+
+def q_e1_top_coefficients(spark, sf_dir):
+    from equitally.operators.explain import coefficient_table
+    m, test = _fit(spark, sf_dir, "logistic")
+    return rounded(coefficient_table(m, test, 20))
+
+
+def q_e2_forest_importance(spark, sf_dir):
+    from equitally.operators.explain import importance_table
+    m, test = _fit(spark, sf_dir, "forest")
+    return rounded(importance_table(m, test, 20))
+
+
+def q_e3_gbt_importance(spark, sf_dir):
+    from equitally.operators.explain import importance_table
+    m, test = _fit(spark, sf_dir, "gbt")
+    return rounded(importance_table(m, test, None, column="gain"))
+
+
+def q_e4_permutation_importance(spark, sf_dir):
+    from equitally.operators.explain import permutation_importance
+    m, test = _fit(spark, sf_dir, "gbt")
+    return rounded(permutation_importance(m, test, sample_size=300, repeats=1))
+
+
+def q_e5_shapley_summary(spark, sf_dir):
+    from equitally.operators.explain import sampled_shapley, shapley_summary
+    m, test = _fit(spark, sf_dir, "gbt")
+    return rounded(shapley_summary(sampled_shapley(m, test, sample_size=1000, background_size=100, permutations=8)))
+
+
+def q_e6_top_importance(spark, sf_dir):
+    from equitally.operators.explain import importance_table, top_n
+    m, test = _fit(spark, sf_dir, "gbt")
+    return rounded(top_n(importance_table(m, test, None, column="gain"), "gain", 20))
+
+
 # --------------------------------------------------------------------------- #
 # Contract
 # --------------------------------------------------------------------------- #
@@ -311,6 +459,25 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "f4_uniform_sample": q_f4_uniform_sample,
         "j4_category_domain": q_j4_category_domain,
         "j5_label_codes": q_j5_label_codes,
+        "f5_standard_scaling": q_f5_standard_scaling,
+        "f6_one_hot": q_f6_one_hot,
+        "f7_ordinal_codes": q_f7_ordinal_codes,
+        "f9_balanced_weights": q_f9_balanced_weights,
+        "f10_positive_weight": q_f10_positive_weight,
+        "f11_feature_names": q_f11_feature_names,
+        "m1_logistic_scores": _scores("logistic"),
+        "m2_forest_scores": _scores("forest"),
+        "m3_gbt_scores": _scores("gbt"),
+        "m4_validation_indicator": q_m4_validation_indicator,
+        "m5_blind_scores": _scores("blind"),
+        "m6_model_leaderboard": q_m6_model_leaderboard,
+        "m7_function_scores": q_m7_function_scores,
+        "e1_top_coefficients": q_e1_top_coefficients,
+        "e2_forest_importance": q_e2_forest_importance,
+        "e3_gbt_importance": q_e3_gbt_importance,
+        "e4_permutation_importance": q_e4_permutation_importance,
+        "e5_shapley_summary": q_e5_shapley_summary,
+        "e6_top_importance": q_e6_top_importance,
         "b1_confusion_matrix": q_b1_confusion_matrix,
         "b2_classification_metrics": q_b2_classification_metrics,
         "b3_classification_report": q_b3_classification_report,

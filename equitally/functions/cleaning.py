@@ -69,6 +69,9 @@ def range_midpoint(c: str | Column) -> Column:
     return F.when(raw.isNull() | raw.isin(*RANGE_SENTINELS), F.lit(None).cast("double")).otherwise(value)
 
 
-def decision_target(c: str | Column) -> Column:
+def decision_target(c: str | Column, dtype: T.DataType | None = None) -> Column:
     """1 when the decision code is 'approved', else 0."""
-    return F.when(to_double(c) == F.lit(float(APPROVED_CODE)), 1).otherwise(0).cast("int")
+    x = col_of(c)
+    if dtype is not None and isinstance(dtype, T.NumericType):
+        return F.when(x == F.lit(APPROVED_CODE), 1).otherwise(0).cast("int")
+    return F.when(to_double(x) == F.lit(float(APPROVED_CODE)), 1).otherwise(0).cast("int")

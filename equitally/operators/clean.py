@@ -14,6 +14,7 @@ from equitally.functions.cleaning import (
     to_double,
 )
 from equitally.operators.stats import median_fill_values
+from equitally.session import write_table
 from equitally.sources.schema import (
     AGE_COLUMNS,
     DECISION_CODES,
@@ -52,7 +53,7 @@ def decision_filter(df: DataFrame, column: str = "action_taken", codes=tuple(DEC
 
 def add_target(df: DataFrame, column: str = "action_taken", target: str = TARGET) -> DataFrame:
     """Binary target, 1 for the approved code."""
-    return df.withColumn(target, decision_target(column))
+    return df.withColumn(target, decision_target(column, _dtype(df, column)))
 
 
 def drop_leakage(df: DataFrame, columns=tuple(LEAKAGE_COLUMNS)) -> DataFrame:
@@ -113,24 +114,43 @@ def fill_unknown(df: DataFrame, value: str = UNKNOWN) -> DataFrame:
 
 
 def prepare_features(raw: DataFrame, decision_column: str = "action_taken") -> DataFrame:
-    """Everything up to (not including) imputation."""
-    df = normalize_na_tokens(raw)
-    df = decision_filter(df, decision_column)
-    df = add_target(df, decision_column)
-    df = drop_leakage(df)
-    df = encode_ranges_and_ages(df)
-    return coerce_types(df)
+    """Everything up to (not including) imputation.
+
+    Built as normalise → filter → ONE projection, so the plan is analysed a
+    few times rather than once per rule.
+    """
+    df = decision_filter(normalize_na_tokens(raw), decision_column)
+    exprs = []
+    for f in df.schema.fields:
+        if f.name in LEAKAGE_COLUMNS:
+            continue
+        x, dtype = F.col(f.name), f.dataType
+        if f.name in AGE_COLUMNS:
+            x, dtype = ordinal_age(x), T.DoubleType()
+        elif f.name in RANGE_COLUMNS:
+            x, dtype = range_midpoint(x), T.DoubleType()
+        if f.name in NUMERIC_IMPUTE_COLUMNS:
+            x = to_double(x, dtype)
+        elif f.name in INT_CODE_FEATURES and not isinstance(dtype, (T.IntegerType, T.LongType, T.ShortType)):
+            x = F.floor(to_double(x, dtype)).cast("int")
+        exprs.append(x.alias(f.name))
+    exprs.append(decision_target(decision_column, _dtype(df, decision_column)).alias(TARGET))
+    return df.select(*exprs)
 
 
 def clean_applications(raw: DataFrame, exact_median: bool = True,
-                       medians: dict[str, float | None] | None = None) -> DataFrame:
+                       medians: dict[str, float | None] | None = None, materialize: bool = True) -> DataFrame:
     """Raw application rows → cleaned modelling table.
 
-    One lazy plan except for the median statistics, which run as their own
-    small aggregation jobs over the decision rows (computed before any split,
-    as the audited workflow does).
+    The parsed decision rows are written once as Parquet to the shared
+    checkpoint folder (``materialize``); the median passes then read only the
+    numeric columns of that table, and the cleaned table is a projection of
+    it.  Medians are computed over all decision rows, before any split, as
+    the audited workflow does.
     """
     df = prepare_features(raw)
+    if materialize:
+        df = write_table(df, "prepared")
     df, _ = impute_medians(df, exact=exact_median, medians=medians)
     return fill_unknown(df)
 

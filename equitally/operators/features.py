@@ -76,13 +76,14 @@ def string_indexer(column: str, output: str | None = None) -> StringIndexer:
 def one_hot_stages(columns: list[str]) -> list:
     """one-hot with all known levels kept and unknown → all zeros.
 
-    ``handleInvalid='keep'`` adds one trailing 'unknown' slot which
-    ``dropLast`` removes, so an unseen level encodes as the zero vector.
+    The indexer (``handleInvalid='keep'``) already appends one trailing
+    'unknown' level; ``dropLast`` removes exactly that slot, so an unseen or
+    NULL level encodes as the zero vector and every known level keeps its own.
     """
     stages = [string_indexer(c) for c in columns]
     stages.append(OneHotEncoder(inputCols=[f"{c}__idx" for c in columns],
                                 outputCols=[f"{c}__ohe" for c in columns], dropLast=True,
-                                handleInvalid="keep"))
+                                handleInvalid="error"))
     return stages
 
 

@@ -28,9 +28,23 @@ from equitally.sources.schema import THRESHOLD
 STANDIN_SCORES = {"full": "y_prob", "blind": "y_prob_blind"}
 
 
-def cleaned_applications(spark: SparkSession, sf_dir: str, exact_median: bool = True) -> DataFrame:
-    """Stand-in raw applications of ``sf_dir`` through the cleaning operators."""
-    return clean_applications(application_view(spark, sf_dir), exact_median=exact_median)
+_CLEANED: dict = {}
+
+
+def cleaned_applications(spark: SparkSession, sf_dir: str, exact_median: bool = True,
+                         reuse: bool = True) -> DataFrame:
+    """Stand-in raw applications of ``sf_dir`` through the cleaning operators.
+
+    Cleaned once per session and table folder (the cleaned rows live as
+    Parquet in the checkpoint folder), then reused by every audit, split and
+    model step — clean once, audit many.  ``reuse=False`` recleans.
+    """
+    key = (id(spark), spark.sparkContext.applicationId, sf_dir, exact_median)
+    if reuse and key in _CLEANED:
+        return _CLEANED[key]
+    cleaned = clean_applications(application_view(spark, sf_dir), exact_median=exact_median)
+    _CLEANED[key] = cleaned
+    return cleaned
 
 
 def cells_for(cleaned: DataFrame, scores: str | dict[str, str] = "y_prob",

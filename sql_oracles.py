@@ -608,8 +608,81 @@ def j5_label_codes() -> str:
                        "AS code FROM (SELECT DISTINCT derived_race FROM clean WHERE derived_race IS NOT NULL)")
 
 
+# --------------------------------------------------------------------------- #
+# Features fitted on the train split
+# --------------------------------------------------------------------------- #
+
+NUMERIC_FEATURES = ["county_code", "loan_purpose", "applicant_age", "co-applicant_age", "debt_to_income_ratio",
+                    "total_units", "income", "loan_amount", "property_value", "loan_term"]
+
+
+def _with_split(body: str, extra_ctes: str = "") -> str:
+    """clean → split → sp (clean rows with their split) → train, plus extra CTEs."""
+    extra = f",\n{extra_ctes}" if extra_ctes else ""
+    return (f"WITH {_split_ctes()},\n"
+            f"sp AS (SELECT clean.*, split.split FROM clean JOIN split ON clean.app_id = split.app_id),\n"
+            f"train AS (SELECT * FROM sp WHERE split = 'train'){extra}\n{body}")
+
+
+def f5_standard_scaling() -> str:
+    def x(c):
+        return f"CAST({q(c)} AS DOUBLE)"
+
+    stats = ", ".join(f"AVG({x(c)}) AS {q('m_' + c)}, "
+                      f"CASE WHEN STDDEV_POP({x(c)}) = 0 OR STDDEV_POP({x(c)}) IS NULL THEN 1.0 "
+                      f"ELSE STDDEV_POP({x(c)}) END AS {q('s_' + c)}" for c in NUMERIC_FEATURES)
+    cols = ", ".join(f"{rnd('(' + x(c) + ' - ' + q('m_' + c) + ') / ' + q('s_' + c))} AS {q(c)}"
+                     for c in NUMERIC_FEATURES)
+    return _with_split(f"SELECT app_id, {cols} FROM sp, st", f"st AS (SELECT {stats} FROM train)")
+
+
+def _codes(col: str) -> str:
+    return (f"SELECT {col} AS lvl, CAST(DENSE_RANK() OVER (ORDER BY {col}) - 1 AS INTEGER) AS code "
+            f"FROM (SELECT DISTINCT {col} FROM train WHERE {col} IS NOT NULL)")
+
+
+def f6_one_hot() -> str:
+    body = ("SELECT sp.app_id, c1.code AS conforming_loan_limit__ohe_hot, "
+            "(SELECT CAST(COUNT(*) AS INTEGER) FROM c1) AS conforming_loan_limit__ohe_size, "
+            "c2.code AS derived_race__ohe_hot, (SELECT CAST(COUNT(*) AS INTEGER) FROM c2) AS derived_race__ohe_size "
+            "FROM sp LEFT JOIN c1 ON sp.conforming_loan_limit = c1.lvl LEFT JOIN c2 ON sp.derived_race = c2.lvl")
+    return _with_split(body, f"c1 AS ({_codes('conforming_loan_limit')}), c2 AS ({_codes('derived_race')})")
+
+
+def f7_ordinal_codes() -> str:
+    body = ("SELECT sp.app_id, CAST(COALESCE(c1.code, -1) AS DOUBLE) AS conforming_loan_limit_code "
+            "FROM sp LEFT JOIN c1 ON sp.conforming_loan_limit = c1.lvl")
+    return _with_split(body, f"c1 AS ({_codes('conforming_loan_limit')})")
+
+
+def f9_balanced_weights() -> str:
+    body = (f"SELECT t.app_id, t.target, {rnd('CAST(tt.n AS DOUBLE) / (tt.k * cc.n_c)')} AS weight "
+            "FROM train t JOIN cc ON t.target = cc.target, tt")
+    return _with_split(body, "cc AS (SELECT target, COUNT(*) AS n_c FROM train GROUP BY target), "
+                             "tt AS (SELECT SUM(n_c) AS n, COUNT(*) AS k FROM cc)")
+
+
+def f10_positive_weight() -> str:
+    body = (f"SELECT t.app_id, t.target, "
+            f"{rnd('CASE WHEN t.target = 1 THEN CAST(cc.neg AS DOUBLE) / cc.pos ELSE 1.0 END')} AS weight "
+            "FROM train t, cc")
+    return _with_split(body, "cc AS (SELECT SUM(CASE WHEN target = 1 THEN 1 ELSE 0 END) AS pos, "
+                             "SUM(CASE WHEN target = 0 THEN 1 ELSE 0 END) AS neg FROM train)")
+
+
+def m4_validation_indicator() -> str:
+    h = "substr(md5(CAST(app_id AS VARCHAR) || '-42-validation'), 1, 8)"
+    return _with_split(f"SELECT app_id, {h} < '1999999a' AS is_validation FROM train")
+
+
 def all_sql() -> dict[str, str]:
     return {
+        "f5_standard_scaling": f5_standard_scaling(),
+        "f6_one_hot": f6_one_hot(),
+        "f7_ordinal_codes": f7_ordinal_codes(),
+        "f9_balanced_weights": f9_balanced_weights(),
+        "f10_positive_weight": f10_positive_weight(),
+        "m4_validation_indicator": m4_validation_indicator(),
         "p1_decision_filter": p1_decision_filter(),
         "p2_binary_target": p2_binary_target(),
         "p3_drop_leakage": p3_drop_leakage(),
