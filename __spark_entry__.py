@@ -27,6 +27,7 @@ from equitally.operators import sampling as smp
 from equitally.operators.cells import audit_rows
 from equitally.operators.stats import exact_medians
 from equitally.plans.audit import STANDIN_SCORES, cells_for, cleaned_applications
+from equitally.plans.prepare import split_applications
 from equitally.sources import ingest
 from equitally.sources.fixtures import application_view
 
@@ -249,7 +250,7 @@ def q_s5_rows_per_county(spark, sf_dir):
 # --------------------------------------------------------------------------- #
 
 def _split(spark, sf_dir):
-    return smp.stratified_split(cleaned_applications(spark, sf_dir))
+    return split_applications(spark, sf_dir)
 
 
 def q_f1_stratified_split(spark, sf_dir):
