@@ -1,4 +1,9 @@
-"""Column expressions for raw-value cleaning (all JVM built-ins, no UDFs)."""
+"""Column expressions for raw-value cleaning (JVM built-ins, no UDFs).
+
+Each rule has a ``*_sql`` form that maps SQL text to SQL text (so rules
+compose, e.g. a range midpoint inside a numeric cast) and a ``Column`` form
+that takes a column name.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from equitally.functions.sqltext import case_map, expr, ident, in_list, string_lit
 from equitally.sources.schema import (
     AGE_CODES,
     APPROVED_CODE,
@@ -22,56 +28,66 @@ def col_of(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def na_token_to_null(c: str | Column) -> Column:
-    """The pandas default NA tokens become NULL (exact field match)."""
-    c = col_of(c)
-    return F.when(c.isin(*NA_TOKENS), F.lit(None).cast("string")).otherwise(c)
+# --------------------------------------------------------------------------- #
+# SQL text forms
+# --------------------------------------------------------------------------- #
 
+def na_token_sql(x: str) -> str:
+    """Pandas default NA tokens → NULL (exact field match)."""
+    return f"CASE WHEN {x} IN {in_list(NA_TOKENS)} THEN NULL ELSE {x} END"
 
-def to_double(c: str | Column, dtype: T.DataType | None = None) -> Column:
-    """Lossy numeric cast; text that is not a plain number becomes NULL.
 
-    Numeric input is cast directly.  Text goes through a number pattern before
-    ``try_cast`` so 'NaN', 'Infinity' or '1d' never turn into values.
-    """
-    c = col_of(c)
-    if dtype is not None and not isinstance(dtype, T.StringType):
-        if isinstance(dtype, (T.DoubleType, T.FloatType)):
-            return F.when(F.isnan(c), F.lit(None).cast("double")).otherwise(c.cast("double"))
-        return c.cast("double")
-    s = F.trim(c.cast("string"))
-    return F.when(s.rlike(NUMBER_PATTERN), s.try_cast("double"))
+def to_double_sql(x: str, numeric: bool = False) -> str:
+    """Text that is not a plain number → NULL; numeric NaN → NULL."""
+    if numeric:
+        return f"CASE WHEN isnan(CAST({x} AS DOUBLE)) THEN NULL ELSE CAST({x} AS DOUBLE) END"
+    t = f"trim(CAST({x} AS STRING))"
+    return f"CASE WHEN {t} RLIKE {string_lit(NUMBER_PATTERN)} THEN try_cast({t} AS DOUBLE) END"
 
 
-def ordinal_age(c: str | Column) -> Column:
+def ordinal_age_sql(x: str) -> str:
     """Age band → ordinal code 0..6; anything else → NULL."""
-    c = col_of(c).cast("string")
-    expr = None
-    for label, code in AGE_CODES.items():
-        expr = (F.when(c == label, F.lit(code)) if expr is None
-                else expr.when(c == label, F.lit(code)))
-    return expr.cast("double")
-
-
-def range_midpoint(c: str | Column) -> Column:
-    """Range strings such as '20%-<30%' → midpoint; sentinels → NULL.
-
-    Strip '%', '<', '>' and surrounding blanks; 'a-b' gives (a+b)/2, more
-    than one '-' or a non-number part gives NULL, otherwise the number.
-    """
-    raw = col_of(c).cast("string")
-    stripped = F.trim(F.regexp_replace(raw, f"[{RANGE_STRIP_CHARS}]", ""))
-    parts = F.split(stripped, "-")
-    lo = to_double(parts.getItem(0))
-    hi = to_double(F.element_at(parts, -1))
-    midpoint = F.when(F.size(parts) == 2, (lo + hi) / F.lit(2.0))
-    value = F.when(stripped.contains("-"), midpoint).otherwise(to_double(stripped))
-    return F.when(raw.isNull() | raw.isin(*RANGE_SENTINELS), F.lit(None).cast("double")).otherwise(value)
-
-
-def decision_target(c: str | Column, dtype: T.DataType | None = None) -> Column:
+    return f"CAST({case_map(f'CAST({x} AS STRING)', AGE_CODES)} AS DOUBLE)"
+
+
+def range_midpoint_sql(x: str) -> str:
+    """Strip '%', '<', '>' and blanks; 'a-b' → (a+b)/2, more than one '-'
+    or a non-number part → NULL, sentinels → NULL, otherwise the number."""
+    raw = f"CAST({x} AS STRING)"
+    st = f"trim(regexp_replace({raw}, {string_lit('[' + RANGE_STRIP_CHARS + ']')}, ''))"
+    parts = f"split({st}, '-')"
+    lo, hi = to_double_sql(f"{parts}[0]"), to_double_sql(f"{parts}[1]")
+    return (f"CASE WHEN {raw} IS NULL OR {raw} IN {in_list(RANGE_SENTINELS)} THEN NULL "
+            f"WHEN instr({st}, '-') > 0 THEN CASE WHEN size({parts}) = 2 THEN ({lo} + {hi}) / 2.0D END "
+            f"ELSE {to_double_sql(st)} END")
+
+
+def decision_target_sql(x: str, numeric: bool) -> str:
     """1 when the decision code is 'approved', else 0."""
-    x = col_of(c)
-    if dtype is not None and isinstance(dtype, T.NumericType):
-        return F.when(x == F.lit(APPROVED_CODE), 1).otherwise(0).cast("int")
-    return F.when(to_double(x) == F.lit(float(APPROVED_CODE)), 1).otherwise(0).cast("int")
+    cond = f"{x} = {APPROVED_CODE}" if numeric else f"{to_double_sql(x)} = {float(APPROVED_CODE)!r}D"
+    return f"CAST(CASE WHEN {cond} THEN 1 ELSE 0 END AS INT)"
+
+
+# --------------------------------------------------------------------------- #
+# Column forms (take a column name)
+# --------------------------------------------------------------------------- #
+
+def na_token_to_null(c: str) -> Column:
+    return expr(na_token_sql(ident(c)))
+
+
+def to_double(c: str, dtype: T.DataType | None = None) -> Column:
+    numeric = dtype is not None and isinstance(dtype, T.NumericType)
+    return expr(to_double_sql(ident(c), numeric))
+
+
+def ordinal_age(c: str) -> Column:
+    return expr(ordinal_age_sql(ident(c)))
+
+
+def range_midpoint(c: str) -> Column:
+    return expr(range_midpoint_sql(ident(c)))
+
+
+def decision_target(c: str, dtype: T.DataType | None = None) -> Column:
+    return expr(decision_target_sql(ident(c), dtype is not None and isinstance(dtype, T.NumericType)))

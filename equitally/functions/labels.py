@@ -1,4 +1,4 @@
-"""Audit label expressions (decoded, grouped, null when unmapped)."""
+"""Audit label expressions (decoded, grouped, NULL when unmapped)."""
 
 from __future__ import annotations
 
@@ -6,48 +6,54 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from equitally.functions.cleaning import col_of
+from equitally.functions.sqltext import case_map, expr, ident
 from equitally.sources.schema import AGE_LABELS, COUNTY_LABELS, GENDER_LABELS, RACE_LABELS
 
 
-def _case(key: Column, mapping: dict) -> Column:
-    expr = None
-    for k, v in mapping.items():
-        cond = key == F.lit(k)
-        expr = F.when(cond, F.lit(v)) if expr is None else expr.when(cond, F.lit(v))
-    return expr
+def age_label_sql(x: str) -> str:
+    """Ordinal code (possibly an x.5 median) → band label; the code is
+    truncated toward zero like an integer cast; missing or non-finite → NULL."""
+    d = f"CAST({x} AS DOUBLE)"
+    code = f"CASE WHEN {d} IS NOT NULL AND NOT isnan({d}) AND abs({d}) < 1e15D THEN CAST({d} AS BIGINT) END"
+    return case_map(code, AGE_LABELS)
 
 
-def age_label(c: str | Column) -> Column:
-    """Ordinal code (possibly an x.5 median) → band label.
-
-    The code is truncated toward zero like an integer cast; missing or
-    non-finite codes give NULL.
-    """
-    x = col_of(c).cast("double")
-    finite = x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(1e15))
-    code = F.when(finite, x.cast("long"))
-    return _case(code, AGE_LABELS)
-
-
-def county_label(c: str | Column) -> Column:
+def county_label_sql(x: str) -> str:
     """County FIPS code → county name; other codes → NULL."""
-    x = col_of(c).cast("double")
-    return _case(F.when(x == F.floor(x), x.cast("long")), COUNTY_LABELS)
+    d = f"CAST({x} AS DOUBLE)"
+    return case_map(f"CASE WHEN {d} = floor({d}) THEN CAST({d} AS BIGINT) END", COUNTY_LABELS)
 
 
-def race_label(c: str | Column, include_other: bool = True) -> Column:
+def race_label_sql(x: str, include_other: bool = True) -> str:
     """Derived race → White / Black / Asian / Other (optional)."""
     mapping = RACE_LABELS if include_other else {k: v for k, v in RACE_LABELS.items() if v != "Other"}
-    return _case(col_of(c).cast("string"), mapping)
+    return case_map(f"CAST({x} AS STRING)", mapping)
 
 
-def gender_label(c: str | Column) -> Column:
+def gender_label_sql(x: str) -> str:
     """Derived sex → Male / Female; others → NULL."""
-    return _case(col_of(c).cast("string"), GENDER_LABELS)
+    return case_map(f"CAST({x} AS STRING)", GENDER_LABELS)
+
+
+def age_label(c: str) -> Column:
+    return expr(age_label_sql(ident(c)))
+
+
+def county_label(c: str) -> Column:
+    return expr(county_label_sql(ident(c)))
+
+
+def race_label(c: str, include_other: bool = True) -> Column:
+    return expr(race_label_sql(ident(c), include_other))
+
+
+def gender_label(c: str) -> Column:
+    return expr(gender_label_sql(ident(c)))
 
 
 def intersection_label(*cols: str | Column) -> Column:
-    """P18: 'a b' joined with a space; NULL when any part is NULL."""
+    """P18: 'a b' joined with a space; NULL when any part is NULL (``concat``,
+    not ``concat_ws``, which would skip NULLs)."""
     parts = []
     for i, c in enumerate(cols):
         if i:

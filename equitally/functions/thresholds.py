@@ -4,25 +4,38 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import Column
-from pyspark.sql import functions as F
 
-from equitally.functions.cleaning import col_of
+from equitally.functions.sqltext import expr, ident
 from equitally.sources.schema import THRESHOLD
 
 
-def predict_at(p: str | Column, threshold: float = THRESHOLD) -> Column:
+def _x(c: str | Column) -> str:
+    if not isinstance(c, str):
+        raise TypeError("pass a column name")
+    return ident(c)
+
+
+def predict_at_sql(p: str, threshold: float = THRESHOLD) -> str:
+    return f"CAST({p} >= {float(threshold)!r}D AS INT)"
+
+
+def predict_at(p: str, threshold: float = THRESHOLD) -> Column:
     """P20: hard decision ``p >= threshold`` (inclusive) as 0/1."""
-    return (col_of(p) >= F.lit(float(threshold))).cast("int")
+    return expr(predict_at_sql(_x(p), threshold))
+
+
+def ratio_sql(num: str, den: str) -> str:
+    return f"coalesce(try_divide(CAST({num} AS DOUBLE), CAST({den} AS DOUBLE)), 0.0D)"
 
 
-def ratio(num: str | Column, den: str | Column) -> Column:
-    """num / den, 0 when den is 0 (the metric libraries' zero-division rule)."""
-    return F.coalesce(F.try_divide(col_of(num).cast("double"), col_of(den).cast("double")), F.lit(0.0))
+def ratio(num: str, den: str) -> Column:
+    """num / den for SQL texts, 0 when den is 0 (the metric libraries' rule)."""
+    return expr(ratio_sql(num, den))
 
 
-def ratio_or_null(num: str | Column, den: str | Column) -> Column:
-    """num / den, NULL when den is 0."""
-    return F.try_divide(col_of(num).cast("double"), col_of(den).cast("double"))
+def ratio_or_null(num: str, den: str) -> Column:
+    """num / den for SQL texts, NULL when den is 0."""
+    return expr(f"try_divide(CAST({num} AS DOUBLE), CAST({den} AS DOUBLE))")
 
 
 def uniform_edges(n_bins: int) -> list[float]:
@@ -30,23 +43,24 @@ def uniform_edges(n_bins: int) -> list[float]:
     return [float(x) for x in np.linspace(0.0, 1.0, n_bins + 1)]
 
 
-def left_closed_bin(p: str | Column, n_bins: int) -> Column:
-    """Bin index for ``[e_i, e_{i+1})``; values outside [0, 1) (so p = 1.0) → NULL."""
-    p = col_of(p)
+def left_closed_bin_sql(p: str, n_bins: int) -> str:
     edges = uniform_edges(n_bins)
-    expr = None
-    for i in range(n_bins):
-        cond = (p >= F.lit(edges[i])) & (p < F.lit(edges[i + 1]))
-        expr = F.when(cond, F.lit(i)) if expr is None else expr.when(cond, F.lit(i))
-    return expr
+    whens = " ".join(f"WHEN {p} >= {edges[i]!r}D AND {p} < {edges[i + 1]!r}D THEN {i}" for i in range(n_bins))
+    return f"CASE {whens} END"
+
+
+def left_closed_bin(p: str, n_bins: int) -> Column:
+    """Bin index for ``[e_i, e_{i+1})``; values outside [0, 1) (so p = 1.0) → NULL."""
+    return expr(left_closed_bin_sql(_x(p), n_bins))
 
 
-def right_closed_bin(p: str | Column, n_bins: int) -> Column:
-    """Bin index for ``(e_i, e_{i+1}]`` with values <= e_1 in bin 0 and
-    values above e_{n-1} in the last bin (reliability-curve binning)."""
-    p = col_of(p)
+def right_closed_bin_sql(p: str, n_bins: int) -> str:
     inner = uniform_edges(n_bins)[1:-1]
-    expr = F.lit(0)
-    for e in inner:
-        expr = expr + (p > F.lit(e)).cast("int")
-    return F.when(p.isNotNull(), expr)
+    total = " + ".join(f"CAST({p} > {e!r}D AS INT)" for e in inner) or "0"
+    return f"CASE WHEN {p} IS NOT NULL THEN {total} END"
+
+
+def right_closed_bin(p: str, n_bins: int) -> Column:
+    """Bin index for ``(e_i, e_{i+1}]`` with values <= e_1 in bin 0 and values
+    above e_{n-1} in the last bin (reliability-curve binning)."""
+    return expr(right_closed_bin_sql(_x(p), n_bins))

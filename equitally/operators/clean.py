@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from equitally.functions.cleaning import (
     decision_target,
-    na_token_to_null,
+    decision_target_sql,
+    na_token_sql,
     ordinal_age,
+    ordinal_age_sql,
     range_midpoint,
+    range_midpoint_sql,
     to_double,
+    to_double_sql,
 )
-from equitally.operators.stats import median_fill_values
+from equitally.functions.sqltext import expr, ident
+from equitally.operators.stats import median_fill_values, range_stats_exprs
 from equitally.session import write_table
 from equitally.sources.schema import (
     AGE_COLUMNS,
@@ -33,8 +38,9 @@ def _dtype(df: DataFrame, name: str) -> T.DataType:
 
 def normalize_na_tokens(df: DataFrame) -> DataFrame:
     """NA tokens → NULL in every string column."""
-    return df.select(*[
-        na_token_to_null(F.col(f.name)).alias(f.name) if isinstance(f.dataType, T.StringType) else F.col(f.name)
+    return df.selectExpr(*[
+        f"{na_token_sql(ident(f.name))} AS {ident(f.name)}" if isinstance(f.dataType, T.StringType)
+        else ident(f.name)
         for f in df.schema.fields
     ])
 
@@ -47,7 +53,7 @@ def decision_filter(df: DataFrame, column: str = "action_taken", codes=tuple(DEC
     """
     dt = _dtype(df, column)
     if isinstance(dt, T.StringType):
-        return df.where(to_double(column).isin(*[float(c) for c in codes]))
+        return df.where(expr(f"{to_double_sql(ident(column))} IN ({', '.join(repr(float(c)) + 'D' for c in codes)})"))
     return df.where(F.col(column).isin(*codes))
 
 
@@ -80,17 +86,19 @@ def coerce_types(df: DataFrame, numeric=tuple(NUMERIC_IMPUTE_COLUMNS),
     columns → INT.  Everything else keeps its type."""
     exprs = []
     for f in df.schema.fields:
+        num = isinstance(f.dataType, T.NumericType)
         if f.name in numeric:
-            exprs.append(to_double(f.name, f.dataType).alias(f.name))
+            exprs.append(f"{to_double_sql(ident(f.name), num)} AS {ident(f.name)}")
         elif f.name in int_codes and not isinstance(f.dataType, (T.IntegerType, T.LongType, T.ShortType)):
-            exprs.append(F.floor(to_double(f.name, f.dataType)).cast("int").alias(f.name))
+            exprs.append(f"CAST(floor({to_double_sql(ident(f.name), num)}) AS INT) AS {ident(f.name)}")
         else:
-            exprs.append(F.col(f.name))
-    return df.select(*exprs)
+            exprs.append(ident(f.name))
+    return df.selectExpr(*exprs)
 
 
 def impute_medians(df: DataFrame, columns=tuple(NUMERIC_IMPUTE_COLUMNS), exact: bool = True,
-                   medians: dict[str, float | None] | None = None) -> tuple[DataFrame, dict]:
+                   medians: dict[str, float | None] | None = None,
+                   range_stats: dict | None = None) -> tuple[DataFrame, dict]:
     """P10: fill NULL with the column median over all rows of ``df``.
 
     Returns the filled table and the medians used (so the same values can be
@@ -98,7 +106,7 @@ def impute_medians(df: DataFrame, columns=tuple(NUMERIC_IMPUTE_COLUMNS), exact:
     """
     present = [c for c in columns if c in df.columns]
     if medians is None:
-        medians = median_fill_values(df, present, exact=exact)
+        medians = median_fill_values(df, present, exact=exact, range_stats=range_stats)
     out = df.select(*[
         F.coalesce(F.col(f.name), F.lit(medians[f.name]).cast("double")).alias(f.name)
         if f.name in present and medians.get(f.name) is not None else F.col(f.name)
@@ -124,18 +132,19 @@ def prepare_features(raw: DataFrame, decision_column: str = "action_taken") -> D
     for f in df.schema.fields:
         if f.name in LEAKAGE_COLUMNS:
             continue
-        x, dtype = F.col(f.name), f.dataType
+        x, numeric = ident(f.name), isinstance(f.dataType, T.NumericType)
         if f.name in AGE_COLUMNS:
-            x, dtype = ordinal_age(x), T.DoubleType()
+            x, numeric = ordinal_age_sql(x), True
         elif f.name in RANGE_COLUMNS:
-            x, dtype = range_midpoint(x), T.DoubleType()
+            x, numeric = range_midpoint_sql(x), True
         if f.name in NUMERIC_IMPUTE_COLUMNS:
-            x = to_double(x, dtype)
-        elif f.name in INT_CODE_FEATURES and not isinstance(dtype, (T.IntegerType, T.LongType, T.ShortType)):
-            x = F.floor(to_double(x, dtype)).cast("int")
-        exprs.append(x.alias(f.name))
-    exprs.append(decision_target(decision_column, _dtype(df, decision_column)).alias(TARGET))
-    return df.select(*exprs)
+            x = to_double_sql(x, numeric)
+        elif f.name in INT_CODE_FEATURES and not isinstance(f.dataType, (T.IntegerType, T.LongType, T.ShortType)):
+            x = f"CAST(floor({to_double_sql(x, numeric)}) AS INT)"
+        exprs.append(f"{x} AS {ident(f.name)}")
+    dnum = isinstance(_dtype(df, decision_column), T.NumericType)
+    exprs.append(f"{decision_target_sql(ident(decision_column), dnum)} AS {TARGET}")
+    return df.selectExpr(*exprs)
 
 
 def clean_applications(raw: DataFrame, exact_median: bool = True,
@@ -149,18 +158,23 @@ def clean_applications(raw: DataFrame, exact_median: bool = True,
     the audited workflow does.
     """
     df = prepare_features(raw)
+    present = [c for c in NUMERIC_IMPUTE_COLUMNS if c in df.columns]
+    stats = None
     if materialize:
-        df = write_table(df, "prepared")
-    df, _ = impute_medians(df, exact=exact_median, medians=medians)
+        # the first median pass (count / min / max) is observed during the write
+        obs = Observation("prepared_ranges")
+        df = write_table(df.observe(obs, *range_stats_exprs(present)), "prepared")
+        stats = obs.get if medians is None and exact_median else None
+    df, _ = impute_medians(df, present, exact=exact_median, medians=medians, range_stats=stats)
     return fill_unknown(df)
 
 
 def shape_report(raw: DataFrame, cleaned_columns: int, decision_column: str = "action_taken") -> DataFrame:
     """Row / column counts before and after cleaning, in one scan."""
     dt = _dtype(raw, decision_column)
-    col = na_token_to_null(F.col(decision_column)) if isinstance(dt, T.StringType) else F.col(decision_column)
-    kept = (to_double(col).isin(*[float(c) for c in DECISION_CODES]) if isinstance(dt, T.StringType)
-            else col.isin(*DECISION_CODES))
+    x = ident(decision_column)
+    kept = (expr(f"{to_double_sql(na_token_sql(x))} IN ({', '.join(repr(float(c)) + 'D' for c in DECISION_CODES)})")
+            if isinstance(dt, T.StringType) else F.col(decision_column).isin(*DECISION_CODES))
     counts = raw.agg(F.count(F.lit(1)).alias("raw_rows"),
                      F.count(F.when(kept, 1)).alias("clean_rows"))
     return counts.select(F.explode(F.array(

@@ -24,12 +24,12 @@ def with_rates(df: DataFrame) -> DataFrame:
 
     Zero denominators give 0, as the metric libraries do.
     """
-    tn = F.col("n") - F.col("n_pos") - F.col("fp")
-    return (df
-            .withColumn("accuracy", ratio(F.col("tp") + tn, "n"))
-            .withColumn("selection_rate", ratio(F.col("tp") + F.col("fp"), "n"))
-            .withColumn("tpr", ratio("tp", "n_pos"))
-            .withColumn("fpr", ratio("fp", F.col("n") - F.col("n_pos"))))
+    return df.withColumns({
+        "accuracy": ratio("tp + (n - n_pos - fp)", "n"),
+        "selection_rate": ratio("tp + fp", "n"),
+        "tpr": ratio("tp", "n_pos"),
+        "fpr": ratio("fp", "n - n_pos"),
+    })
 
 
 def declared_groups(spark: SparkSession, order: dict[str, list[str]] = GROUP_ORDER) -> DataFrame:

@@ -48,12 +48,11 @@ def confusion_matrix(rows: DataFrame, keys=None, y: str = "y", yhat: str = "yhat
 
 
 def _threshold_metrics(c: DataFrame) -> dict:
-    tp, fp, tn, fn, n = (F.col(k) for k in ("tp", "fp", "tn", "fn", "n"))
     return {
-        "accuracy": ratio(tp + tn, n),
-        "precision": ratio(tp, tp + fp),
-        "recall": ratio(tp, tp + fn),
-        "f1_score": ratio(F.lit(2) * tp, F.lit(2) * tp + fp + fn),
+        "accuracy": ratio("tp + tn", "n"),
+        "precision": ratio("tp", "tp + fp"),
+        "recall": ratio("tp", "tp + fn"),
+        "f1_score": ratio("2 * tp", "2 * tp + fp + fn"),
     }
 
 
@@ -72,12 +71,11 @@ def classification_report(rows: DataFrame, keys=None, y: str = "y", yhat: str =
     'weighted avg')."""
     keys = _keys(rows, keys)
     c = confusion_counts(rows, keys, y, yhat)
-    tp, fp, tn, fn, n = (F.col(k) for k in ("tp", "fp", "tn", "fn", "n"))
-    p1, r1, f1 = ratio(tp, tp + fp), ratio(tp, tp + fn), ratio(F.lit(2) * tp, F.lit(2) * tp + fp + fn)
-    p0, r0, f0 = ratio(tn, tn + fn), ratio(tn, tn + fp), ratio(F.lit(2) * tn, F.lit(2) * tn + fn + fp)
-    s1, s0 = (tp + fn).cast("double"), (tn + fp).cast("double")
-    acc = ratio(tp + tn, n)
-    nd = n.cast("double")
+    p1, r1, f1 = ratio("tp", "tp + fp"), ratio("tp", "tp + fn"), ratio("2 * tp", "2 * tp + fp + fn")
+    p0, r0, f0 = ratio("tn", "tn + fn"), ratio("tn", "tn + fp"), ratio("2 * tn", "2 * tn + fn + fp")
+    s1, s0 = F.expr("CAST(tp + fn AS DOUBLE)"), F.expr("CAST(tn + fp AS DOUBLE)")
+    acc = ratio("tp + tn", "n")
+    nd = F.expr("CAST(n AS DOUBLE)")
 
     def row(label, p, r, f, s):
         return F.struct(F.lit(label).alias("label"), p.alias("precision"), r.alias("recall"),
@@ -102,7 +100,8 @@ def score_steps(rows: DataFrame, keys=None, y: str = "y", p: str = "p") -> DataF
         F.sum(yc).alias("tp"), F.sum(F.lit(1) - yc).alias("fp"))
     cum = prefix_sums(steps, "score", ["tp", "fp"], keys, descending=True)
     totals = steps.groupBy(*keys).agg(F.sum("tp").alias("P"), F.sum("fp").alias("N"))
-    return cum.join(F.broadcast(totals), keys)
+    # one row per key group; broadcast is left to Spark's measured-size check
+    return cum.join(totals, keys)
 
 
 def ranking_metrics(rows: DataFrame, keys=None, y: str = "y", p: str = "p") -> DataFrame:
@@ -151,7 +150,7 @@ def pr_curve(rows: DataFrame, keys=None, y: str = "y", p: str = "p") -> DataFram
     keys = _keys(rows, keys)
     s = score_steps(rows, keys, y, p)
     body = s.select(*keys, F.col("pos").cast("long").alias("pos"),
-                    ratio("cum_tp", F.col("cum_tp") + F.col("cum_fp")).alias("precision"),
+                    ratio("cum_tp", "cum_tp + cum_fp").alias("precision"),
                     ratio("cum_tp", "P").alias("recall"),
                     F.col("score").cast("double").alias("threshold"))
     end = s.select(*keys).distinct().select(

@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 
 
 def _bucket(df: DataFrame, order_col: str, rows_per_bucket: int, max_buckets: int,
-            descending: bool) -> tuple[DataFrame, int]:
+            descending: bool, max_rows: int | None = None) -> tuple[DataFrame, int]:
+    if max_rows is not None and max_rows <= rows_per_bucket:
+        return df.withColumn("_bucket", F.lit(0)), 1
     probes = [i / max_buckets for i in range(1, max_buckets)]
     stats = df.agg(F.count(F.lit(1)).alias("n"),
                    F.percentile_approx(F.col(order_col).cast("double"), probes, 10 * max_buckets).alias("q")
@@ -42,14 +44,16 @@ def _bucket(df: DataFrame, order_col: str, rows_per_bucket: int, max_buckets: in
 
 def prefix_sums(df: DataFrame, order_col: str, sum_cols: list[str], keys: list[str] = (),
                 descending: bool = True, rows_per_bucket: int = 1_000_000,
-                max_buckets: int = 1024) -> DataFrame:
+                max_buckets: int = 1024, max_rows: int | None = None) -> DataFrame:
     """Add inclusive running sums ``cum_<c>`` and a 1-based position ``pos``
     in the order of ``order_col`` within each ``keys`` group.
 
     ``order_col`` must be unique within a group (collapse ties first).
+    ``max_rows``, a known upper bound of the input size, skips the quantile
+    job when one bucket suffices.
     """
     keys = list(keys)
-    bucketed, _ = _bucket(df, order_col, rows_per_bucket, max_buckets, descending)
+    bucketed, _ = _bucket(df, order_col, rows_per_bucket, max_buckets, descending, max_rows)
     totals = bucketed.groupBy(*keys, "_bucket").agg(
         F.count(F.lit(1)).alias("_t_rows"), *[F.sum(c).alias(f"_t_{c}") for c in sum_cols])
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -60,7 +64,9 @@ def prefix_sums(df: DataFrame, order_col: str, sum_cols: list[str], keys: list[s
     order = F.col(order_col).desc() if descending else F.col(order_col).asc()
     w = Window.partitionBy(*keys, "_bucket").orderBy(order)
     running = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    joined = bucketed.join(F.broadcast(offsets), [*keys, "_bucket"])
+    # offsets hold one row per (key group, bucket): no broadcast hint, Spark
+    # broadcasts them only while their measured size is under the threshold
+    joined = bucketed.join(offsets, [*keys, "_bucket"])
     out = joined.select(
         *df.columns,
         (F.col("_o_rows") + F.row_number().over(w)).alias("pos"),

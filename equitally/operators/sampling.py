@@ -66,7 +66,8 @@ def select_first_by_hash(df: DataFrame, label: str, take: dict, key: str, seed:
     digits = digits or _digits_for(max(counts.values(), default=0))
     hashed = df.withColumn("_h", h).withColumn("_b", F.conv(F.substring("_h", 1, digits), 16, 10).cast("long"))
     per_bucket = hashed.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("cnt"))
-    cum = prefix_sums(per_bucket, "_b", ["cnt"], [label], descending=False, rows_per_bucket=250_000)
+    cum = prefix_sums(per_bucket, "_b", ["cnt"], [label], descending=False, rows_per_bucket=250_000,
+                      max_rows=len(counts) * 16 ** digits)
     # cut bucket per class: first bucket whose running count reaches `take`
     # (one aggregation; one row per class comes back)
     cuts = {}

@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from equitally.functions.sqltext import ident
+
 
 def _long_form(df: DataFrame, cols: dict[int, str], bounds: dict[int, tuple[float, float]] | None) -> DataFrame:
     items = [F.struct(F.lit(i).alias("k"), F.col(c).cast("double").alias("v")) for i, c in cols.items()]
@@ -29,24 +31,31 @@ def _long_form(df: DataFrame, cols: dict[int, str], bounds: dict[int, tuple[floa
     return long
 
 
+def _valid(c: str):
+    return F.expr(f"CASE WHEN NOT isnan(CAST({ident(c)} AS DOUBLE)) THEN CAST({ident(c)} AS DOUBLE) END")
+
+
+def range_stats_exprs(columns: list[str]) -> list:
+    """count / min / max of each column (NULL and NaN ignored) as aggregate
+    expressions — usable in ``agg`` or in ``DataFrame.observe`` so the first
+    pass rides along with another job."""
+    return [F.struct(F.count(_valid(c)).alias("n"), F.min(_valid(c)).alias("lo"), F.max(_valid(c)).alias("hi"))
+            .alias(f"s{i}") for i, c in enumerate(columns)]
+
+
 def exact_medians(df: DataFrame, columns: list[str], bins: int = 4096,
-                  collect_limit: int = 100_000, max_passes: int = 64) -> dict[str, float | None]:
+                  collect_limit: int = 100_000, max_passes: int = 64,
+                  range_stats: dict | None = None) -> dict[str, float | None]:
     """Exact interpolated median of each column (NULL/NaN ignored).
 
     Equals pandas ``Series.median`` / SQL ``median``: the mean of the two
     middle values for an even count.  An all-null column gives ``None``.
+    ``range_stats`` (the row of ``range_stats_exprs``, e.g. observed while
+    the table was written) saves the first pass.
     """
     if not columns:
         return {}
-    def valid(c: str):
-        x = F.col(c).cast("double")
-        return F.when(x.isNotNull() & ~F.isnan(x), x)
-
-    first = df.agg(*[
-        F.struct(F.count(valid(c)).alias("n"), F.min(valid(c)).alias("lo"), F.max(valid(c)).alias("hi"))
-        .alias(f"s{i}")
-        for i, c in enumerate(columns)
-    ]).first()
+    first = range_stats if range_stats is not None else df.agg(*range_stats_exprs(columns)).first()
 
     result: dict[str, float | None] = {}
     state: dict[int, dict] = {}
@@ -132,10 +141,10 @@ def exact_medians(df: DataFrame, columns: list[str], bins: int = 4096,
 
 
 def median_fill_values(df: DataFrame, columns: list[str], exact: bool = True,
-                       accuracy: int = 100000) -> dict[str, float | None]:
+                       accuracy: int = 100000, range_stats: dict | None = None) -> dict[str, float | None]:
     """P10 statistics: exact medians, or ``approx_percentile`` when ``exact=False``."""
     if exact:
-        return exact_medians(df, columns)
+        return exact_medians(df, columns, range_stats=range_stats)
     row = df.agg(*[F.percentile_approx(F.col(c).cast("double"), 0.5, accuracy).alias(f"m{i}")
                    for i, c in enumerate(columns)]).first()
     return {c: row[f"m{i}"] for i, c in enumerate(columns)}
