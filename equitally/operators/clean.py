@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,7 +18,7 @@ from equitally.functions.cleaning import (
     to_double_sql,
 )
 from equitally.functions.sqltext import expr, ident
-from equitally.operators.stats import median_fill_values, range_stats_exprs
+from equitally.operators.stats import median_fill_values
 from equitally.session import write_table
 from equitally.sources.schema import (
     AGE_COLUMNS,
@@ -159,13 +159,13 @@ def clean_applications(raw: DataFrame, exact_median: bool = True,
     """
     df = prepare_features(raw)
     present = [c for c in NUMERIC_IMPUTE_COLUMNS if c in df.columns]
-    stats = None
     if materialize:
-        # the first median pass (count / min / max) is observed during the write
-        obs = Observation("prepared_ranges")
-        df = write_table(df.observe(obs, *range_stats_exprs(present)), "prepared")
-        stats = obs.get if medians is None and exact_median else None
-    df, _ = impute_medians(df, present, exact=exact_median, medians=medians, range_stats=stats)
+        # later passes read only the numeric columns of this Parquet table.
+        # (DataFrame.observe could fold the first median pass into this write,
+        # but an observation leaves session state that breaks later ML
+        # transforms in this Spark build, so the pass stays a separate agg.)
+        df = write_table(df, "prepared")
+    df, _ = impute_medians(df, present, exact=exact_median, medians=medians)
     return fill_unknown(df)
 
 
