@@ -38,13 +38,11 @@ def main() -> None:
     spark.range(1000).selectExpr("sum(id)").collect()
     startup = time.time() - t0
 
-    from equitally.operators import calibration as cal
     from equitally.operators import explain as xp
-    from equitally.operators import fairness as fair
     from equitally.operators import metrics as met
     from equitally.operators import models as mdl
     from equitally.operators.cells import audit_rows
-    from equitally.plans.audit import STANDIN_SCORES, cells_for, cleaned_applications
+    from equitally.plans.audit import STANDIN_SCORES, audit_report, cleaned_applications
     from equitally.plans.prepare import split_applications, train_test
 
     state: dict = {}
@@ -59,14 +57,10 @@ def main() -> None:
         sp.groupBy("split", "target").count().collect()
 
     def q_audit():
-        cells = cells_for(cleaned_applications(spark, sf_dir), STANDIN_SCORES).persist()
-        outs = [fair.group_metrics(cells, model="full"), fair.fairness_summary(cells, model="full"),
-                fair.model_comparison(cells), fair.intersectional_metrics(cells, ["race", "gender"], model="full"),
-                fair.intersectional_metrics(cells, ["race", "age"], model="full"),
-                cal.calibration_table(cells, model="full"), cal.reliability_curve(cells, model="full")]
-        for o in outs:
-            o.collect()
-        cells.unpersist()
+        report = audit_report(cleaned_applications(spark, sf_dir), STANDIN_SCORES, champion="full", blind="blind")
+        for name, table in report.tables().items():
+            if name != "cells":
+                table.collect()
 
     def q_metrics():
         rows = audit_rows(cleaned_applications(spark, sf_dir), STANDIN_SCORES)

@@ -57,7 +57,15 @@ def audit_rows(df: DataFrame, scores: str | dict[str, str] = "y_prob", target: s
 
 def audit_cells(rows: DataFrame, keys: list[str] | None = None, ece_bins: int = ECE_BINS,
                 curve_bins: int = CURVE_BINS) -> DataFrame:
-    """Aggregate audit rows into additive cells (one partial+final hash agg)."""
+    """Aggregate audit rows into additive cells (one partial+final hash agg).
+
+    The final aggregation stays parallel; only its output, bounded by the
+    label domains, is moved into ONE partition (a shuffle of a few thousand
+    rows).  A single partition satisfies every clustering requirement, so
+    all roll-ups, windows and joins over the cells run without another
+    exchange.  (``coalesce(1)`` would instead pull the final aggregation of
+    every map task's partial cells into one task.)
+    """
     keys = keys or ["model", *LABEL_KEYS]
     y = F.col("y")
     yhat = F.col("yhat")
@@ -71,7 +79,8 @@ def audit_cells(rows: DataFrame, keys: list[str] | None = None, ece_bins: int =
                  F.sum(y * yhat).cast("long").alias("tp"),
                  F.sum((F.lit(1) - y) * yhat).cast("long").alias("fp"),
                  F.sum("p").alias("sum_p"),
-                 F.sum(err * err).alias("sum_sq")))
+                 F.sum(err * err).alias("sum_sq"))
+            .repartition(1))
 
 
 def rollup(cells: DataFrame, *keys: str) -> DataFrame:

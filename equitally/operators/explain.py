@@ -8,8 +8,6 @@ with ONE ``transform`` of the fitted pipeline, and aggregated by key.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -94,30 +92,39 @@ def permutation_importance(trained: TrainedModel, df: DataFrame, sample_size: in
     """Baseline ROC-AUC minus ROC-AUC with one input column shuffled
     among the sampled rows; mean and population std over repeats.
 
-    The shuffle of column ``f`` in repeat ``r`` pairs the row at position i
-    of the sample's hash order with the row at position i of a second,
-    (f, r)-salted hash order.  All feature × repeat variants are one
-    DataFrame, scored by one ``transform``; AUCs come from the grouped
-    distributed ranking metric.
+    The shuffle of column ``f`` in repeat ``r`` gives the row at position i
+    of the sample's hash order the value of the row at position i of a
+    second, (f, r)-salted hash order.  All (feature, repeat) variants are
+    built at once — the sample exploded over features × repeats, one window
+    for the salted order, two joins to fetch each donor row — then scored by
+    one ``transform``; AUCs come from the grouped distributed ranking metric.
     """
     features = trained.numeric + trained.categorical
     checkpoint_dir(df.sparkSession)
     # the sample is bounded by sample_size; checkpointing it once cuts the
-    # lineage every feature variant would otherwise recompute
+    # lineage the variants would otherwise recompute
     sample = _indexed(uniform_sample(df, sample_size, key, seed), key, seed, "perm-base", "_i").checkpoint()
-    variants = []
-    for r in range(repeats):
-        for f in features:
-            donor = _indexed(sample, key, seed, f"perm-{f}-{r}", "_j").select(
-                F.col("_j").alias("_i"), F.col(f).alias("_donor"))
-            v = (sample.join(donor, "_i").withColumn(f, F.col("_donor")).drop("_donor")
-                 .withColumn("feature", F.lit(f)).withColumn("repeat", F.lit(r)))
-            variants.append(v)
-    permuted = reduce(lambda a, b: a.unionByName(b), variants)
+    variants = F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(r).alias("repeat"))
+                         for r in range(repeats) for f in features])
+    salted = F.md5(F.concat(F.col(key).cast("string"), F.lit(f"-{seed}-perm-"), F.col("feature"),
+                            F.lit("-"), F.col("repeat").cast("string")))
+    # position of each row in each (feature, repeat) salted order; windows
+    # hold at most sample_size rows each
+    order = (sample.select(key, F.explode(variants).alias("v")).select(key, "v.feature", "v.repeat")
+             .withColumn("_i", F.row_number().over(Window.partitionBy("feature", "repeat")
+                                                   .orderBy(salted, F.col(key))))
+             .withColumnRenamed(key, "_donor_key"))
+    base = sample.select(F.explode(variants).alias("v"), *sample.columns).select("v.feature", "v.repeat",
+                                                                              *sample.columns)
+    with_donor = base.join(order, ["feature", "repeat", "_i"])
+    donor_cols = sample.select(F.col(key).alias("_donor_key"), *[F.col(f).alias(f"_d_{f}") for f in features])
+    joined = with_donor.join(donor_cols, "_donor_key")
+    permuted = joined.select("feature", "repeat", key, label, *[
+        F.when(F.col("feature") == f, F.col(f"_d_{f}")).otherwise(F.col(f)).alias(f) for f in features])
     scored = score(trained, permuted, keep=(key, "feature", "repeat"), label=label)
     perm_auc = ranking_metrics(scored, keys=["feature", "repeat"]).select("feature", "repeat", "roc_auc")
-    base = ranking_metrics(score(trained, sample, keep=(key,), label=label), keys=["model"]).first()
-    drops = perm_auc.select("feature", (F.lit(base["roc_auc"]) - F.col("roc_auc")).alias("d"))
+    base_auc = ranking_metrics(score(trained, sample, keep=(key,), label=label), keys=["model"]).first()
+    drops = perm_auc.select("feature", (F.lit(base_auc["roc_auc"]) - F.col("roc_auc")).alias("d"))
     return (drops.groupBy("feature").agg(F.avg("d").alias("importance_mean"),
                                           F.stddev_pop("d").alias("importance_std"))
             .orderBy(F.col("importance_mean").desc(), "feature"))

@@ -99,9 +99,7 @@ def score_steps(rows: DataFrame, keys=None, y: str = "y", p: str = "p") -> DataF
     steps = rows.groupBy(*keys, F.col(p).alias("score")).agg(
         F.sum(yc).alias("tp"), F.sum(F.lit(1) - yc).alias("fp"))
     cum = prefix_sums(steps, "score", ["tp", "fp"], keys, descending=True)
-    totals = steps.groupBy(*keys).agg(F.sum("tp").alias("P"), F.sum("fp").alias("N"))
-    # one row per key group; broadcast is left to Spark's measured-size check
-    return cum.join(totals, keys)
+    return cum.withColumnRenamed("tot_tp", "P").withColumnRenamed("tot_fp", "N")
 
 
 def ranking_metrics(rows: DataFrame, keys=None, y: str = "y", p: str = "p") -> DataFrame:
@@ -138,7 +136,7 @@ def roc_curve(rows: DataFrame, keys=None, y: str = "y", p: str = "p",
     body = pts.select(*keys, F.col("pos").cast("long").alias("pos"),
                       ratio("cum_fp", "N").alias("fpr"), ratio("cum_tp", "P").alias("tpr"),
                       F.col("score").cast("double").alias("threshold"))
-    origin = s.select(*keys).distinct().select(
+    origin = s.where(F.col("pos") == 1).select(
         *keys, F.lit(0).cast("long").alias("pos"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"),
         F.lit(float("inf")).alias("threshold"))
     return origin.unionByName(body)
@@ -153,7 +151,7 @@ def pr_curve(rows: DataFrame, keys=None, y: str = "y", p: str = "p") -> DataFram
                     ratio("cum_tp", "cum_tp + cum_fp").alias("precision"),
                     ratio("cum_tp", "P").alias("recall"),
                     F.col("score").cast("double").alias("threshold"))
-    end = s.select(*keys).distinct().select(
+    end = s.where(F.col("pos") == 1).select(
         *keys, F.lit(0).cast("long").alias("pos"), F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"),
         F.lit(None).cast("double").alias("threshold"))
     return body.unionByName(end)

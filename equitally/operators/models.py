@@ -79,7 +79,7 @@ class TrainedModel:
 
 
 def train_logistic(train: DataFrame, name: str = "logistic", exclude=(), max_iter: int = 3000,
-                   c: float = 1.0) -> TrainedModel:
+                   c: float = 1.0, tol: float = 1e-6) -> TrainedModel:
     """M1: L2 logistic regression on standardised numerics + one-hot
     categoricals, class-balanced weights; ``regParam = 1/(C·Σw)`` matches the
     C-parameterised objective."""
@@ -91,7 +91,7 @@ def train_logistic(train: DataFrame, name: str = "logistic", exclude=(), max_ite
     stages = [_scaling_stage(stats), *(one_hot_stages(categorical) if categorical else []), assembler(inputs),
               LogisticRegression(featuresCol="features", labelCol=TARGET, weightCol="weight",
                                  regParam=1.0 / (c * total_w), elasticNetParam=0.0, standardization=False,
-                                 maxIter=max_iter, tol=1e-10, fitIntercept=True)]
+                                 maxIter=max_iter, tol=tol, fitIntercept=True)]
     return TrainedModel(name, Pipeline(stages=stages).fit(weighted), numeric, categorical, inputs)
 
 

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from equitally.operators.calibration import calibration_bins, calibration_table, reliability_curve
@@ -22,6 +21,7 @@ from equitally.operators.fairness import (
     model_comparison,
     pair_gap,
 )
+from equitally.session import checkpoint_dir
 from equitally.sources.fixtures import application_view
 from equitally.sources.schema import THRESHOLD
 
@@ -72,8 +72,10 @@ class AuditReport:
 def audit_report(scored: DataFrame, scores: str | dict[str, str] = "y_prob", champion: str | None = None,
                  blind: str | None = None, threshold: float = THRESHOLD) -> AuditReport:
     """Every audit table for ``scored``; the cell table is computed once and
-    kept (it is tiny), so the roll-ups never rescan the scored rows."""
-    cells = cells_for(scored, scores, threshold).persist(StorageLevel.MEMORY_AND_DISK)
+    checkpointed to the shared folder (it is bounded by the label domains),
+    so the roll-ups never rescan or re-plan the scored rows."""
+    checkpoint_dir(scored.sparkSession)
+    cells = cells_for(scored, scores, threshold).checkpoint(eager=True)
     model = champion if champion is not None else (None if isinstance(scores, str) else next(iter(scores)))
     comparison = None
     if blind is not None and model is not None:
