@@ -117,12 +117,14 @@ def ranking_metrics(rows: DataFrame, keys=None, y: str = "y", p: str = "p") -> D
 
 
 def roc_curve(rows: DataFrame, keys=None, y: str = "y", p: str = "p",
-              drop_intermediate: bool = True) -> DataFrame:
+              drop_intermediate: bool = True, max_points: int | None = None) -> DataFrame:
     """ROC points (pos, fpr, tpr, threshold), first point (0, 0, +inf).
 
     With ``drop_intermediate`` a point is dropped when its step equals the
     next step (second differences of both counts are zero); the neighbour is
     found by an equi-join on the position, never by a global window.
+    ``max_points`` down-samples a long curve for plotting: every k-th
+    distinct-score point plus the last one, k = ceil(points / max_points).
     """
     keys = _keys(rows, keys)
     s = score_steps(rows, keys, y, p)
@@ -133,6 +135,9 @@ def roc_curve(rows: DataFrame, keys=None, y: str = "y", p: str = "p",
         pts = (s.join(nxt, [*keys, "pos"], "left")
                .where((F.col("pos") == 1) | F.col("next_tp").isNull()
                       | (F.col("next_tp") != F.col("tp")) | (F.col("next_fp") != F.col("fp"))))
+    if max_points:
+        step = F.expr(f"CAST(ceil(tot_rows / {int(max_points)}D) AS BIGINT)")
+        pts = pts.where((F.col("pos") % step == 0) | (F.col("pos") == F.col("tot_rows")))
     body = pts.select(*keys, F.col("pos").cast("long").alias("pos"),
                       ratio("cum_fp", "N").alias("fpr"), ratio("cum_tp", "P").alias("tpr"),
                       F.col("score").cast("double").alias("threshold"))

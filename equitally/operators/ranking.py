@@ -45,9 +45,9 @@ def _bucket(df: DataFrame, order_col: str, rows_per_bucket: int, max_buckets: in
 def prefix_sums(df: DataFrame, order_col: str, sum_cols: list[str], keys: list[str] = (),
                 descending: bool = True, rows_per_bucket: int = 1_000_000,
                 max_buckets: int = 1024, max_rows: int | None = None) -> DataFrame:
-    """Add inclusive running sums ``cum_<c>``, group totals ``tot_<c>`` and a
-    1-based position ``pos`` in the order of ``order_col`` within each
-    ``keys`` group.
+    """Add inclusive running sums ``cum_<c>``, group totals ``tot_<c>``, the
+    group row count ``tot_rows`` and a 1-based position ``pos`` in the order
+    of ``order_col`` within each ``keys`` group.
 
     ``order_col`` must be unique within a group (collapse ties first).
     ``max_rows``, a known upper bound of the input size, skips the quantile
@@ -63,7 +63,8 @@ def prefix_sums(df: DataFrame, order_col: str, sum_cols: list[str], keys: list[s
         *keys, "_bucket",
         F.coalesce(F.sum("_t_rows").over(before), F.lit(0)).alias("_o_rows"),
         *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in sum_cols],
-        *[F.sum(f"_t_{c}").over(group).alias(f"tot_{c}") for c in sum_cols])
+        *[F.sum(f"_t_{c}").over(group).alias(f"tot_{c}") for c in sum_cols],
+        F.sum("_t_rows").over(group).alias("tot_rows"))
     order = F.col(order_col).desc() if descending else F.col(order_col).asc()
     w = Window.partitionBy(*keys, "_bucket").orderBy(order)
     running = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -74,5 +75,5 @@ def prefix_sums(df: DataFrame, order_col: str, sum_cols: list[str], keys: list[s
         *df.columns,
         (F.col("_o_rows") + F.row_number().over(w)).alias("pos"),
         *[(F.col(f"_o_{c}") + F.sum(c).over(running)).alias(f"cum_{c}") for c in sum_cols],
-        *[F.col(f"tot_{c}") for c in sum_cols])
+        *[F.col(f"tot_{c}") for c in sum_cols], "tot_rows")
     return out

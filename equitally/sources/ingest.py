@@ -51,6 +51,38 @@ def split_payloads(df: DataFrame, text: str, strict: bool = False) -> tuple[Data
     return df.where(~flag | F.col(text).isNull()), df.where(flag)
 
 
+def first_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """First line of every text file under ``path``: ``(file_path, first_line)``.
+
+    Only lines of each file's first split are considered, and the first of
+    them is the one with the smallest ``monotonically_increasing_id`` (ids
+    increase with row order inside a split), so no file is read whole and no
+    file lands in one task.
+    """
+    lines = (spark.read.text(path)
+             .select("value", F.col("_metadata.file_path").alias("file_path"),
+                     F.col("_metadata.file_block_start").alias("block_start"))
+             .where(F.col("block_start") == 0)
+             .withColumn("_row", F.monotonically_increasing_id()))
+    return lines.groupBy("file_path").agg(F.min_by("value", "_row").alias("first_line"))
+
+
+def check_landed_files(spark: SparkSession, path: str | list[str], expected_columns: list[str] | None = None,
+                       strict: bool = False) -> DataFrame:
+    """S4 at file level: per landed file, whether it is a web page and
+    whether its header carries the expected columns; ``accepted`` marks the
+    files to ingest, the rest form the rejected set."""
+    fl = first_lines(spark, path)
+    out = fl.withColumn("is_html", is_html_payload("first_line", strict))
+    if expected_columns:
+        header = F.split(F.regexp_replace("first_line", '"', ""), ",")
+        need = F.array(*[F.lit(c) for c in expected_columns])
+        out = out.withColumn("header_ok", F.size(F.array_except(need, header)) == 0)
+    else:
+        out = out.withColumn("header_ok", F.lit(True))
+    return out.withColumn("accepted", ~F.col("is_html") & F.col("header_ok"))
+
+
 def land_extracts(raw: DataFrame, out_path: str, year: int, state: str, county: str | None = None,
                   mode: str = "append") -> str:
     """S3: land a raw extract as Parquet partitioned by year / state / label.

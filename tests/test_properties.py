@@ -165,3 +165,11 @@ def test_shapley_efficiency_and_linear_closed_form(spark):
             assert got[(i, f)] == pytest.approx(one[i] - base, abs=1e-9)
     for i in ids:   # efficiency: values sum to f(x) − f(z)
         assert sum(got[(i, f)] for f in ("a", "b", "c")) == pytest.approx(full[i] - base, abs=1e-9)
+
+
+def test_roc_down_sampling_keeps_last_point(spark):
+    rows = make_rows(400, 21, levels=200)
+    df = scored_df(spark, rows)
+    full = met.roc_curve(df, drop_intermediate=False).where("pos > 0").count()
+    pts = met.roc_curve(df, drop_intermediate=False, max_points=20).orderBy("pos").collect()
+    assert len(pts) <= 22 and pts[-1]["fpr"] == 1.0 and pts[-1]["tpr"] == 1.0 and full > 100

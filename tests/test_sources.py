@@ -98,3 +98,19 @@ def test_model_save_load_roundtrip(spark, tmp_dir):
     a = {r["app_id"]: r["p"] for r in score(m, df).collect()}
     b = {r["app_id"]: r["p"] for r in score(m2, df).collect()}
     assert a == b
+
+
+def test_landed_file_check(spark, tmp_dir):
+    d = os.path.join(tmp_dir, "landing")
+    os.makedirs(d)
+    with open(os.path.join(d, "good.csv"), "w") as f:
+        f.write(CSV)
+    with open(os.path.join(d, "page.csv"), "w") as f:
+        f.write("<!DOCTYPE html><html><body>too large</body></html>\n")
+    with open(os.path.join(d, "other.csv"), "w") as f:
+        f.write("a,b\n1,2\n")
+    res = {os.path.basename(r["file_path"]): r for r in
+           ingest.check_landed_files(spark, d, ["action_taken", "county_code"]).collect()}
+    assert res["good.csv"]["accepted"] and res["good.csv"]["first_line"].startswith("activity_year")
+    assert res["page.csv"]["is_html"] and not res["page.csv"]["accepted"]
+    assert not res["other.csv"]["header_ok"] and not res["other.csv"]["accepted"]
