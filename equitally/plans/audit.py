@@ -95,3 +95,25 @@ def audit_report(scored: DataFrame, scores: str | dict[str, str] = "y_prob", cha
 
 __all__ = ["STANDIN_SCORES", "cleaned_applications", "cells_for", "AuditReport", "audit_report",
            "pair_gap", "intersectional_gap"]
+
+
+def write_audit_reports(report: AuditReport, out_dir: str, include_cells: bool = True) -> list[str]:
+    """Write every audit table under ``out_dir``.
+
+    Report tables are bounded by the label domains, so each goes out as one
+    header CSV (size checked by the sink); the cell table, from which every
+    report can be recomputed or merged with other runs, goes out as Parquet.
+    """
+    from equitally.sources.sinks import write_parquet, write_report_csv
+
+    written = []
+    for name, table in report.tables().items():
+        path = f"{out_dir.rstrip('/')}/{name}"
+        if name == "cells":
+            if include_cells:
+                write_parquet(table, path)
+                written.append(path)
+            continue
+        write_report_csv(table, path)
+        written.append(path)
+    return written

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from equitally.operators.cells import audit_cells, audit_rows
+from equitally.session import checkpoint_dir
 from equitally.sources.schema import THRESHOLD
 
 
@@ -47,3 +48,35 @@ def start_cells_query(cells: DataFrame, checkpoint_location: str, sink: str = "m
     if sink == "memory":
         return w.format("memory").queryName(query_name).start()
     return w.format(sink).option("path", path).start()
+
+
+def rollup_writer(out_dir: str, champion: str | None = None, blind: str | None = None):
+    """A ``foreachBatch`` function that rewrites every audit roll-up from the
+    epoch's complete cell table (bounded size), so the reports under
+    ``out_dir`` always reflect all rows streamed so far."""
+    from equitally.plans.audit import AuditReport, write_audit_reports
+    from equitally.operators.calibration import calibration_bins, calibration_table, reliability_curve
+    from equitally.operators.fairness import (
+        fairness_summary,
+        group_metrics,
+        intersectional_metrics,
+        model_comparison,
+    )
+
+    def write(cells: DataFrame, epoch_id: int) -> None:
+        checkpoint_dir(cells.sparkSession)
+        cells = cells.repartition(1).checkpoint(eager=True)
+        report = AuditReport(
+            cells=cells,
+            group_metrics=group_metrics(cells, model=champion),
+            summary=fairness_summary(cells, model=champion),
+            comparison=model_comparison(cells, full=champion, blind=blind) if (champion and blind) else None,
+            race_gender=intersectional_metrics(cells, ["race", "gender"], model=champion),
+            race_age=intersectional_metrics(cells, ["race", "age"], model=champion),
+            calibration=calibration_table(cells, model=champion),
+            calibration_bins=calibration_bins(cells, model=champion),
+            reliability=reliability_curve(cells, model=champion),
+        )
+        write_audit_reports(report, f"{out_dir.rstrip('/')}/latest")
+
+    return write
