@@ -5,8 +5,13 @@ task.  Instead the ordered key is cut into value buckets at approximate
 quantiles (one small aggregation; at most ``max_buckets`` boundaries reach the
 driver), each bucket is ordered inside its own window partition, and the
 totals of all earlier buckets — a table of at most ``max_buckets`` rows per
-group — are broadcast back as offsets.  Exactness does not depend on the
+group — are joined back as offsets.  Exactness does not depend on the
 quantiles being exact: they only balance the buckets.
+
+Sizing: callers collapse ties first (one row per distinct score), and model
+scores have bounded precision — float32 probabilities take at most ~1.07e9
+distinct values in [0, 1] — so 4096 buckets keep every window partition near
+``rows_per_bucket`` (10^6) rows even for the largest tables.
 """
 
 from __future__ import annotations
@@ -44,7 +49,7 @@ def _bucket(df: DataFrame, order_col: str, rows_per_bucket: int, max_buckets: in
 
 def prefix_sums(df: DataFrame, order_col: str, sum_cols: list[str], keys: list[str] = (),
                 descending: bool = True, rows_per_bucket: int = 1_000_000,
-                max_buckets: int = 1024, max_rows: int | None = None) -> DataFrame:
+                max_buckets: int = 4096, max_rows: int | None = None) -> DataFrame:
     """Add inclusive running sums ``cum_<c>``, group totals ``tot_<c>``, the
     group row count ``tot_rows`` and a 1-based position ``pos`` in the order
     of ``order_col`` within each ``keys`` group.
