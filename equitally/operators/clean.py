@@ -19,7 +19,7 @@ from equitally.functions.cleaning import (
 )
 from equitally.functions.sqltext import expr, ident
 from equitally.operators.stats import median_fill_values
-from equitally.session import write_table
+from equitally.session import ensure_parallelism, write_table
 from equitally.sources.schema import (
     AGE_COLUMNS,
     DECISION_CODES,
@@ -157,7 +157,7 @@ def clean_applications(raw: DataFrame, exact_median: bool = True,
     it.  Medians are computed over all decision rows, before any split, as
     the audited workflow does.
     """
-    df = prepare_features(raw)
+    df = prepare_features(ensure_parallelism(raw))
     present = [c for c in NUMERIC_IMPUTE_COLUMNS if c in df.columns]
     if materialize:
         # later passes read only the numeric columns of this Parquet table.

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int | None = None, shuffle_partitions: int | None = None,
@@ -64,3 +65,18 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     path = f"{base}/tables/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Spread a narrow input over at least ``min_partitions`` tasks (default:
+    the session's default parallelism) before CPU-heavy row work.
+
+    Large scans already have many more partitions than cores and pass through
+    untouched (no shuffle); only a small file read as one or two partitions
+    is hash-partitioned on its own columns — deterministic, so a retried task
+    gets the same rows, without the sort a round-robin repartition needs.
+    """
+    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < want:
+        return df.repartition(want, *[F.col(c) for c in df.columns])
+    return df
