@@ -27,18 +27,15 @@ def _bucket(df: DataFrame, order_col: str, rows_per_bucket: int, max_buckets: in
             descending: bool, max_rows: int | None = None) -> tuple[DataFrame, int]:
     if max_rows is not None and max_rows <= rows_per_bucket:
         return df.withColumn("_bucket", F.lit(0)), 1
-    probes = [i / max_buckets for i in range(1, max_buckets)]
-    stats = df.agg(F.count(F.lit(1)).alias("n"),
-                   F.percentile_approx(F.col(order_col).cast("double"), probes, 10 * max_buckets).alias("q")
-                   ).first()
-    n = stats["n"]
+    # a plain count decides the bucket count; quantiles are only computed,
+    # and only as many as needed, when more than one bucket is required
+    n = df.count()
     k = max(1, min(max_buckets, math.ceil(n / rows_per_bucket)))
-    if k == 1 or not stats["q"]:
+    if k == 1:
         return df.withColumn("_bucket", F.lit(0)), 1
-    step = max_buckets / k
-    picked = sorted({float(stats["q"][min(len(stats["q"]) - 1, int(round(j * step)) - 1)])
-                     for j in range(1, k)})
-    splits = [-math.inf, *picked, math.inf]
+    probes = [j / k for j in range(1, k)]
+    q = df.agg(F.percentile_approx(F.col(order_col).cast("double"), probes, 10 * k).alias("q")).first()["q"]
+    splits = [-math.inf, *sorted({float(v) for v in q}), math.inf]
     bz = Bucketizer(splits=splits, inputCol="_order_value", outputCol="_bucket_raw", handleInvalid="keep")
     out = bz.transform(df.withColumn("_order_value", F.col(order_col).cast("double")))
     nb = len(splits)  # buckets 0..len(splits)-2, NaN → len(splits)-1
