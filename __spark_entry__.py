@@ -343,12 +343,10 @@ def q_m4_validation_indicator(spark, sf_dir):
 # --------------------------------------------------------------------------- #
 
 def _fit(spark, sf_dir, kind):
-    from equitally.operators import models as mdl
-    sp, train = _train(spark, sf_dir)
-    test = sp.where("split = 'test'")
-    trainer = {"logistic": mdl.train_logistic, "forest": mdl.train_forest, "gbt": mdl.train_gbt,
-               "blind": mdl.train_blind}[kind]
-    return trainer(train), test
+    from equitally.plans.prepare import train_test
+    from equitally.plans.train import fitted_model
+    _, test = train_test(spark, sf_dir)
+    return fitted_model(spark, sf_dir, kind), test
 
 
 def _scores(kind):
@@ -369,11 +367,12 @@ def q_f11_feature_names(spark, sf_dir):
 
 def q_m6_model_leaderboard(spark, sf_dir):
     from equitally.operators.models import score
-    sp, train = _train(spark, sf_dir)
-    test = sp.where("split = 'test'")
-    from equitally.operators import models as mdl
-    scored = score(mdl.train_logistic(train), test).unionByName(score(mdl.train_gbt(train), test)) \
-        .unionByName(score(mdl.train_blind(train), test))
+    from equitally.plans.prepare import train_test
+    from equitally.plans.train import fitted_model
+    _, test = train_test(spark, sf_dir)
+    scored = score(fitted_model(spark, sf_dir, "logistic"), test) \
+        .unionByName(score(fitted_model(spark, sf_dir, "gbt"), test)) \
+        .unionByName(score(fitted_model(spark, sf_dir, "blind"), test))
     return rounded(met.leaderboard(scored))
 
 

@@ -35,3 +35,21 @@ def evaluate(scored: DataFrame) -> dict[str, DataFrame]:
     """B1, B3, B10 over the long scored table."""
     return {"leaderboard": leaderboard(scored), "confusion": confusion_matrix(scored),
             "report": classification_report(scored)}
+
+
+_FITTED: dict = {}
+
+
+def fitted_model(spark, sf_dir: str, kind: str, reuse: bool = True) -> mdl.TrainedModel:
+    """The ``kind`` model trained on the train split of ``sf_dir``, fitted once
+    per session and reused — the way a saved champion is loaded by every
+    audit step instead of being retrained."""
+    from equitally.plans.prepare import train_test
+
+    key = (id(spark), spark.sparkContext.applicationId, sf_dir, kind)
+    if reuse and key in _FITTED:
+        return _FITTED[key]
+    train, _ = train_test(spark, sf_dir)
+    model = TRAINERS[kind](train)
+    _FITTED[key] = model
+    return model
