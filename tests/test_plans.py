@@ -49,3 +49,13 @@ def test_decision_filter_reaches_parquet_scan(spark, tmp_dir):
     p = df._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"PushedFilters: \[.*In\(action_taken", p), p
     assert df.count() == sum(1 for i in range(100) if i % 6 + 1 in (1, 3))
+
+
+def test_split_shuffles_only_the_boundary_bucket(spark):
+    from equitally.operators.sampling import stratified_split
+    sp = stratified_split(cleaned_applications(spark, SF_SMALL))
+    p = plan_of(sp)
+    assert p.count("Exchange") == 1, p          # the boundary rows' window only
+    union_children = p.split("+- Union", 1)[1]
+    first_branch = union_children.split("\n   +-", 1)[0]
+    assert "Exchange" not in first_branch       # bulk rows: scan → filter → project
