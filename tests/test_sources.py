@@ -114,3 +114,22 @@ def test_landed_file_check(spark, tmp_dir):
     assert res["good.csv"]["accepted"] and res["good.csv"]["first_line"].startswith("activity_year")
     assert res["page.csv"]["is_html"] and not res["page.csv"]["accepted"]
     assert not res["other.csv"]["header_ok"] and not res["other.csv"]["accepted"]
+
+
+def test_row_keys_unique_for_duplicate_rows(spark):
+    df = spark.createDataFrame([("a", "1")] * 50 + [("b", "2")] * 3, "x string, y string").repartition(4)
+    keyed = ingest.assign_row_key(df)
+    assert keyed.select("app_id").distinct().count() == 53
+
+
+def test_prepare_from_csv(spark, tmp_dir):
+    from equitally.plans.prepare import prepare_from_csv
+    path = os.path.join(tmp_dir, "raw.csv")
+    rows = CSV.strip().split("\n")
+    with open(path, "w") as f:
+        f.write("\n".join([rows[0]] + rows[1:] * 10) + "\n")
+    out = prepare_from_csv(spark, path, os.path.join(tmp_dir, "prepared"))
+    split = spark.read.parquet(out["split"])
+    assert split.count() == 30
+    assert split.where("split = 'test'").count() == 6       # ceil(0.2 · 30)
+    assert split.select("app_id").distinct().count() == 30
