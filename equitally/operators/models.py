@@ -123,7 +123,7 @@ def train_forest(train: DataFrame, name: str = "forest", exclude=(), num_trees:
 def train_gbt(train: DataFrame, name: str = "gbt", exclude=(), max_iter: int = 600, step: float = 0.05,
               max_depth: int = 6, subsample: float = 0.9, feature_fraction: str = "0.8",
               min_instances: int = 2, validation_tol: float = 1e-4, seed: int = SEED,
-              class_weight: bool = True) -> TrainedModel:
+              class_weight: bool = True, early_stopping: bool = True) -> TrainedModel:
     """M3 / M5: gradient-boosted trees with native categorical splits (F8),
     positive-class weight (F10) and early stopping on a held-out part of
     train (M4).  ``exclude`` drops inputs (the blind model drops the
@@ -141,8 +141,9 @@ def train_gbt(train: DataFrame, name: str = "gbt", exclude=(), max_iter: int = 6
     gbt = GBTClassifier(featuresCol="features", labelCol=TARGET, weightCol="weight", maxIter=max_iter,
                         stepSize=step, maxDepth=max_depth, subsamplingRate=subsample,
                         featureSubsetStrategy=feature_fraction, minInstancesPerNode=min_instances,
-                        validationIndicatorCol="is_validation", validationTol=validation_tol, seed=seed,
-                        maxBins=max(32, arity + 2), cacheNodeIds=True, checkpointInterval=10)
+                        seed=seed, maxBins=max(32, arity + 2), cacheNodeIds=True, checkpointInterval=10)
+    if early_stopping:
+        gbt = gbt.setValidationIndicatorCol("is_validation").setValidationTol(validation_tol)
     model = Pipeline(stages=[*idx, assembler(inputs), gbt]).fit(data)
     return TrainedModel(name, model, numeric, categorical, inputs)
 
@@ -157,7 +158,7 @@ def train_blind(train: DataFrame, protected=tuple(PROTECTED_FEATURES), parity: b
     """
     if parity:
         return train_gbt(train, name="blind", exclude=protected, max_iter=100, step=0.3, subsample=1.0,
-                         feature_fraction="all", min_instances=1, class_weight=False)
+                         feature_fraction="all", min_instances=1, class_weight=False, early_stopping=False)
     return train_gbt(train, name="blind", exclude=protected, **kwargs)
 
 
