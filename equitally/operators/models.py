@@ -138,12 +138,12 @@ def train_gbt(train: DataFrame, name: str = "gbt", exclude=(), max_iter: int = 6
         counts = data.agg(*[F.countDistinct(c).alias(f"d{i}") for i, c in enumerate(categorical)]).first()
         arity = max(counts)
     checkpoint_dir(train.sparkSession)
+    stopping = {"validationIndicatorCol": "is_validation", "validationTol": validation_tol} if early_stopping else {}
     gbt = GBTClassifier(featuresCol="features", labelCol=TARGET, weightCol="weight", maxIter=max_iter,
                         stepSize=step, maxDepth=max_depth, subsamplingRate=subsample,
                         featureSubsetStrategy=feature_fraction, minInstancesPerNode=min_instances,
-                        seed=seed, maxBins=max(32, arity + 2), cacheNodeIds=True, checkpointInterval=10)
-    if early_stopping:
-        gbt = gbt.setValidationIndicatorCol("is_validation").setValidationTol(validation_tol)
+                        seed=seed, maxBins=max(32, arity + 2), cacheNodeIds=True, checkpointInterval=10,
+                        **stopping)
     model = Pipeline(stages=[*idx, assembler(inputs), gbt]).fit(data)
     return TrainedModel(name, model, numeric, categorical, inputs)
 
