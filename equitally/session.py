@@ -91,3 +91,17 @@ def ensure_parallelism(df: DataFrame, min_partitions: int | None = None,
     if parts < want and input_bytes(df) > parts * bytes_per_partition:
         return df.repartition(want, *[F.col(c) for c in df.columns])
     return df
+
+
+# Settings a cluster session should carry for these jobs (all public Spark
+# configuration keys); pass them to SparkSession.builder.config(...).
+CLUSTER_SETTINGS = {
+    "spark.sql.adaptive.enabled": "true",                      # runtime re-planning
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",   # merge tiny post-shuffle partitions
+    "spark.sql.adaptive.skewJoin.enabled": "true",             # split hot join partitions
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.files.maxPartitionBytes": "512m",               # fewer, larger scan tasks
+    "spark.sql.shuffle.partitions": "4000",                    # upper bound; AQE coalesces down
+    "spark.sql.autoBroadcastJoinThreshold": "64m",             # measured-size broadcast limit
+    "spark.sql.parquet.filterPushdown": "true",
+}
