@@ -8,8 +8,16 @@ Spark and DuckDB results hash alike.
 
 from __future__ import annotations
 
+import os
+import sys
 from collections.abc import Callable
 
+# the package and the oracle module live next to this file; make them
+# importable however the driver loads it
+_HERE = os.path.dirname(os.path.abspath(__file__))
+if _HERE not in sys.path:
+    sys.path.insert(0, _HERE)
+
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
