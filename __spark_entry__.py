@@ -32,7 +32,7 @@ from equitally.functions.cleaning import ordinal_age, range_midpoint, to_double
 from equitally.functions.thresholds import predict_at
 from equitally.operators import clean as cln
 from equitally.operators import sampling as smp
-from equitally.operators.cells import audit_rows
+from equitally.operators.cells import audit_cells, audit_rows
 from equitally.operators.stats import exact_medians
 from equitally.plans.audit import STANDIN_SCORES, cells_for, cleaned_applications
 from equitally.plans.prepare import split_applications
@@ -436,6 +436,30 @@ def q_e6_top_importance(spark, sf_dir):
     return rounded(top_n(importance_table(m, test, None, column="gain"), "gain", 20))
 
 
+# --------------------------------------------------------------------------- #
+# Second input: labels (quality = y, toxic = ŷ) grouped by documents.lang
+# --------------------------------------------------------------------------- #
+
+def _label_rows(spark, sf_dir):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality", "toxic")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang")
+    return labels.join(docs, "doc_id", "left").select(
+        F.lit("labels").alias("model"), F.col("quality").cast("int").alias("y"),
+        F.col("toxic").cast("int").alias("yhat"), "lang")
+
+
+def q_b2_label_metrics(spark, sf_dir):
+    return rounded(met.classification_metrics(_label_rows(spark, sf_dir)))
+
+
+def q_c1_c4_rates_by_lang(spark, sf_dir):
+    from equitally.operators.cells import rollup
+    rows = _label_rows(spark, sf_dir).withColumn("p", F.col("yhat").cast("double"))
+    cells = audit_cells(rows, keys=["model", "lang"])
+    return rounded(fair.with_rates(rollup(cells, "lang")).select(
+        "lang", "n", "accuracy", "selection_rate", "tpr", "fpr"))
+
+
 # --------------------------------------------------------------------------- #
 # Contract
 # --------------------------------------------------------------------------- #
@@ -486,6 +510,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "e4_permutation_importance": q_e4_permutation_importance,
         "e5_shapley_summary": q_e5_shapley_summary,
         "e6_top_importance": q_e6_top_importance,
+        "b2_label_metrics": q_b2_label_metrics,
+        "c1_c4_rates_by_lang": q_c1_c4_rates_by_lang,
         "b1_confusion_matrix": q_b1_confusion_matrix,
         "b2_classification_metrics": q_b2_classification_metrics,
         "b3_classification_report": q_b3_classification_report,

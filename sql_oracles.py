@@ -675,8 +675,35 @@ def m4_validation_indicator() -> str:
     return _with_split(f"SELECT app_id, {h} < '1999999a' AS is_validation FROM train")
 
 
+# --------------------------------------------------------------------------- #
+# Second input: labels grouped by documents.lang
+# --------------------------------------------------------------------------- #
+
+LABEL_ROWS = ("lr AS (SELECT CAST(l.quality AS INTEGER) AS y, CAST(l.toxic AS INTEGER) AS yhat, d.lang "
+              "FROM labels l LEFT JOIN documents d ON l.doc_id = d.doc_id)")
+
+
+def b2_label_metrics() -> str:
+    cols = ", ".join(f"{rnd(v)} AS {k}" for k, v in _tm().items())
+    return (f"WITH {LABEL_ROWS},\n"
+            f"c AS (SELECT COUNT(*) AS n, {isum('y * yhat')} AS tp, {isum('(1 - y) * yhat')} AS fp, "
+            f"{isum('(1 - y) * (1 - yhat)')} AS tn, {isum('y * (1 - yhat)')} AS fn, {isum('y')} AS n_pos FROM lr)\n"
+            f"SELECT 'labels' AS model, {cols}, n AS n_test, {rnd(ratio('n_pos', 'n'))} AS positive_rate FROM c")
+
+
+def c1_c4_rates_by_lang() -> str:
+    r = rates()
+    return (f"WITH {LABEL_ROWS},\n"
+            f"m AS (SELECT lang, COUNT(*) AS n, {isum('y')} AS n_pos, {isum('y * yhat')} AS tp, "
+            f"{isum('(1 - y) * yhat')} AS fp FROM lr GROUP BY lang)\n"
+            f"SELECT lang, n, " + ", ".join(f"{rnd(r[k])} AS {k}" for k in ("accuracy", "selection_rate", "tpr", "fpr"))
+            + " FROM m")
+
+
 def all_sql() -> dict[str, str]:
     return {
+        "b2_label_metrics": b2_label_metrics(),
+        "c1_c4_rates_by_lang": c1_c4_rates_by_lang(),
         "f5_standard_scaling": f5_standard_scaling(),
         "f6_one_hot": f6_one_hot(),
         "f7_ordinal_codes": f7_ordinal_codes(),
