@@ -19,6 +19,7 @@ TRAINERS = {
     "forest": mdl.train_forest,
     "gbt": mdl.train_gbt,
     "blind": mdl.train_blind,
+    "blind_parity": lambda train: mdl.train_blind(train, parity=True),
 }
 
 

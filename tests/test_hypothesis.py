@@ -54,3 +54,20 @@ def test_numeric_cast_matches_rule(spark, batch):
     got = {r["i"]: r["d"] for r in df.select("i", to_double("x").alias("d")).collect()}
     for i, v in enumerate(batch):
         assert got[i] == py_number(v), (v, got[i])
+
+
+@settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.integers(min_value=5, max_value=400), st.integers(min_value=0, max_value=100), st.integers(0, 10 ** 6))
+def test_split_sizes_are_exact(spark, n, pct_pos, salt):
+    import math
+
+    from equitally.operators.sampling import largest_remainder, stratified_split
+    pos = n * pct_pos // 100
+    data = [(salt * 1000 + i, 1 if i < pos else 0) for i in range(n)]
+    sp = stratified_split(spark.createDataFrame(data, "app_id long, target int")).collect()
+    test = [r for r in sp if r["split"] == "test"]
+    assert len(sp) == n and len(test) == math.ceil(0.2 * n)
+    counts = {c: sum(1 for _, t in data if t == c) for c in {t for _, t in data}}
+    train_alloc = largest_remainder(counts, n - math.ceil(0.2 * n))
+    for c, k in counts.items():
+        assert sum(1 for r in test if r["target"] == c) == k - train_alloc[c]
