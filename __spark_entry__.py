@@ -8,6 +8,7 @@ Spark and DuckDB results hash alike.
 
 from __future__ import annotations
 
+import importlib
 import os
 import sys
 from collections.abc import Callable
@@ -469,8 +470,21 @@ def entry(spark: SparkSession) -> DataFrame:
     return q_c5_metric_frame(spark, FLAGSHIP_SF)
 
 
+def _training_data_modules() -> list:
+    """The optional training-data queries: those of ``equitally.llm`` and the
+    pipeline, where those files are there."""
+    found = []
+    for name in ("equitally.llm.queries", "corpus_pipeline"):
+        try:
+            found.append(importlib.import_module(name))
+        except ModuleNotFoundError as e:
+            if not (e.name or "").startswith(("equitally.llm", "corpus_pipeline")):
+                raise
+    return found
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
+    found = {
         "p1_decision_filter": q_p1_decision_filter,
         "p2_binary_target": q_p2_binary_target,
         "p3_drop_leakage": q_p3_drop_leakage,
@@ -536,7 +550,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "d5_calibration_table": q_d5_calibration_table,
         "d6_reliability_curve": q_d6_reliability_curve,
     }
+    for module in _training_data_modules():
+        found.update(module.queries())
+    return found
 
 
 def oracle_sql() -> dict[str, str]:
-    return O.all_sql()
+    found = dict(O.all_sql())
+    for module in _training_data_modules():
+        found.update(module.oracle_sql())
+    return found
