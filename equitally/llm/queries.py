@@ -8,6 +8,30 @@ from pyspark.sql import functions as F
 from equitally.llm.common import read
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from equitally.llm.lines import drop_boilerplate
+    return drop_boilerplate(read(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
+
+
+OP1_SQL = """
+WITH lines AS (
+  SELECT source, text, unnest(list_distinct(list_transform(string_split(text, chr(10)), lambda x: trim(x)))) AS line
+  FROM documents WHERE text IS NOT NULL),
+seen AS (SELECT source, line, count(DISTINCT text) AS n FROM lines WHERE line <> '' GROUP BY source, line HAVING count(DISTINCT text) >= 5),
+hosts AS (SELECT source, count(DISTINCT text) AS pages FROM documents WHERE text IS NOT NULL GROUP BY source),
+boiler AS (
+  SELECT s.source, list(s.line) AS bad FROM seen s JOIN hosts h ON s.source IS NOT DISTINCT FROM h.source
+  WHERE s.n::DOUBLE / h.pages > 0.1 GROUP BY s.source),
+kept AS (
+  SELECT d.doc_id, string_split(d.text, chr(10)) AS every,
+    list_filter(string_split(d.text, chr(10)), lambda x: NOT list_contains(coalesce(b.bad, CAST([] AS VARCHAR[])), trim(x))) AS rest
+  FROM documents d LEFT JOIN boiler b ON d.source IS NOT DISTINCT FROM b.source)
+SELECT doc_id, CASE WHEN every IS NULL THEN NULL WHEN len(rest) = 0 THEN '' ELSE array_to_string(rest, chr(10)) END AS text,
+  coalesce(len(every), 0) AS n_lines, coalesce(len(every) - len(rest), 0) AS n_dropped
+FROM kept
+"""
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from equitally.llm.simhash import near_duplicates
     return near_duplicates(read(spark, sf_dir, "documents"))
@@ -30,14 +54,27 @@ def op7_bitsliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(rows, rows.where("vec_id % 50 = 0"))
 
 
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from equitally.llm.extract import extract
+    return extract(read(spark, sf_dir, "pages"))
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from equitally.llm.decontaminate import contaminated
+    return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
     return {
+        "op1_line_dedup": op1_line_dedup,
         "op2_simhash": op2_simhash,
         "op3_packing": op3_packing,
         "op4_url_filter": op4_url_filter,
         "op7_bitsliced_topk": op7_bitsliced_topk,
+        "op9_main_text": op9_main_text,
+        "op10_decontamination": op10_decontamination,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_line_dedup": OP1_SQL}
