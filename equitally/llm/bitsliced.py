@@ -22,8 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from equitally.llm.common import spread
-from equitally.session import write_table
+from equitally.llm.common import spread, write_table
 
 SCALE = 256
 ROWS_PER_BLOCK = 16_384

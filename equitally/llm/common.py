@@ -9,7 +9,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from equitally.session import write_table
+from equitally import session
+
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def write_table(df: DataFrame, name: str) -> DataFrame:
+    """``session.write_table``; the job's shuffle files go as soon as the table
+    is there, not when the driver happens to collect its garbage."""
+    conf = df.sparkSession.conf
+    was = conf.get(CLEANUP, None)
+    conf.set(CLEANUP, "true")
+    try:
+        return session.write_table(df, name)
+    finally:
+        conf.unset(CLEANUP) if was is None else conf.set(CLEANUP, was)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

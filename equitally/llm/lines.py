@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from equitally.session import write_table
+from equitally.llm.common import write_table
 
 RATIO = 0.1
 MIN_PAGES = 5

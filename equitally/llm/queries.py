@@ -54,6 +54,12 @@ def op7_bitsliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(rows, rows.where("vec_id % 50 = 0"))
 
 
+def op8_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from equitally.llm.repeats import remove_repeats
+    return remove_repeats(read(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from equitally.llm.extract import extract
     return extract(read(spark, sf_dir, "pages"))
@@ -71,6 +77,7 @@ def queries() -> dict:
         "op3_packing": op3_packing,
         "op4_url_filter": op4_url_filter,
         "op7_bitsliced_topk": op7_bitsliced_topk,
+        "op8_repeated_windows": op8_repeated_windows,
         "op9_main_text": op9_main_text,
         "op10_decontamination": op10_decontamination,
     }

@@ -25,8 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from equitally.llm.common import connected_components, sorted_runs, starts_of_runs, utf8
-from equitally.session import write_table
+from equitally.llm.common import connected_components, sorted_runs, starts_of_runs, utf8, write_table
 
 SHINGLE_WORDS = 4
 MAX_DISTANCE = 4

@@ -14,7 +14,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from equitally.session import write_table
+from equitally.llm.common import write_table
 
 #: The given rules (host, path prefix, verdict).
 RULES = [
