@@ -48,6 +48,11 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(read(spark, sf_dir, "pages"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from equitally.llm.quality import classify
+    return classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op7_bitsliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from equitally.llm.bitsliced import top_k
     rows = read(spark, sf_dir, "embeddings")
@@ -76,6 +81,7 @@ def queries() -> dict:
         "op2_simhash": op2_simhash,
         "op3_packing": op3_packing,
         "op4_url_filter": op4_url_filter,
+        "op6_quality": op6_quality,
         "op7_bitsliced_topk": op7_bitsliced_topk,
         "op8_repeated_windows": op8_repeated_windows,
         "op9_main_text": op9_main_text,

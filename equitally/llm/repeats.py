@@ -264,23 +264,24 @@ def repeated_spans(rows: DataFrame, packed: DataFrame, window: int, digit: int,
     overlapping; the packed texts of all documents that may have any)."""
     found = write_table(rows.mapInArrow(_place_batches(window, digit), PLACE_SCHEMA), "repeat-places")
     again = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    shared = write_table(found.join(again, "h", "left_semi"), "repeat-shared")
+    shared = write_table(found.join(again, "h", "left_semi"), "repeat-shared", found.count())
+    n = shared.count()  # bounds what follows; counts come from the files' footers
     # second digit: contexts, one representative each
     contexts = write_table(shared.groupBy("h", "c").agg(
-        F.min(F.struct("id", "r", "a", "lo", "hi")).alias("of"), F.count("*").alias("n")), "repeat-contexts")
+        F.min(F.struct("id", "r", "a", "lo", "hi")).alias("of"), F.count("*").alias("n")), "repeat-contexts", n)
     whole = shared.join(contexts.where("n > 1").select("h", "c"), ["h", "c"], "left_semi") \
         .select("id", "r", F.col("lo").alias("s"), (F.col("hi") + window).alias("e"))
     several = contexts.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
     spots = contexts.join(several, "h").select(
         F.col("of.id").alias("id"), F.col("of.r").alias("r"),
         F.struct("h", "of.a", "of.lo", "of.hi", (F.col("n") > 1).alias("known"), (F.col("m") > contexts_in_task).alias("hot")).alias("spot"))
-    texts = write_table(packed.join(shared.select(*KEY).distinct(), KEY, "left_semi").dropDuplicates(KEY), "repeat-texts")
+    texts = write_table(packed.join(shared.select(*KEY).distinct(), KEY, "left_semi").dropDuplicates(KEY), "repeat-texts", n, 10_000)
     # a document's places in lists of bounded length
     listed = spots.withColumn("part", F.floor(F.col("spot.a") / (1 << 18))).groupBy(*KEY, "part") \
         .agg(F.collect_list("spot").alias("spots")).drop("part")
     cut = write_table(texts.join(listed, KEY).select("id", "r", "packed", "spots").mapInArrow(
         _context_batches(window), "id long, r long, h long, a int, lo int, hi int, known boolean, hot boolean, bytes binary"),
-        "repeat-cut")
+        "repeat-cut", n, 40_000)
     sorted_ = cut.where("not hot").repartition("h").sortWithinPartitions("h") \
         .mapInArrow(_sort_batches(window), "id long, r long, s int, e int")
     every = write_table(cut.where("hot").mapInArrow(
