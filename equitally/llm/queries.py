@@ -48,6 +48,11 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(read(spark, sf_dir, "pages"))
 
 
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from equitally.llm.pii import find_personal_data
+    return find_personal_data(read(spark, sf_dir, "documents"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from equitally.llm.quality import classify
     return classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
@@ -81,6 +86,7 @@ def queries() -> dict:
         "op2_simhash": op2_simhash,
         "op3_packing": op3_packing,
         "op4_url_filter": op4_url_filter,
+        "op5_personal_data": op5_personal_data,
         "op6_quality": op6_quality,
         "op7_bitsliced_topk": op7_bitsliced_topk,
         "op8_repeated_windows": op8_repeated_windows,
