@@ -36,8 +36,8 @@ def identified(docs: DataFrame) -> DataFrame:
 
 def without(docs: DataFrame, ids: DataFrame, keep: bool = False) -> DataFrame:
     """``docs`` less the documents of ``ids`` (doc_id), or those alone."""
-    lost = ids.select(F.col("doc_id").alias("_lost")).distinct()
-    return docs.withColumn("_key", key()).join(lost, F.col("_key") == F.col("_lost"), "left_semi" if keep else "left_anti").drop("_key")
+    lost = ids.select(F.col("doc_id").alias("__lost")).distinct()
+    return docs.withColumn("__key", key()).join(lost, F.col("__key") == F.col("__lost"), "left_semi" if keep else "left_anti").drop("__key")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,8 +49,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Boilerplate lines go; n_chars follows the text."""
     importable(spark)
-    n_chars = F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return drop_boilerplate(docs).withColumn("n_chars", n_chars).select(*docs.columns)
+    cut = drop_boilerplate(docs, counts=("__lines", "__dropped"))
+    n_chars = F.when(F.col("__dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return cut.withColumn("n_chars", n_chars).select(*docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +59,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = write_table(near_duplicates(identified(docs)), "pipeline-near")
     kept = without(docs, found.where("doc_id <> component_id"))
     several = write_table(found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"), "pipeline-several")
-    one = without(kept, several, keep=True).withColumn("_key", key()).groupBy("_key") \
+    one = without(kept, several, keep=True).withColumn("__key", key()).groupBy("__key") \
         .agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
     return without(kept, several).unionByName(one)
 

@@ -3,11 +3,11 @@
 The standard library's streaming parser gives events; every block of the page
 becomes a line with its text length and tag count.  The ratio per line is
 smoothed with a Gaussian kernel, a two-group threshold clusters the lines into
-content and rest, and the region that holds the most content text is kept
-whole: its article (or main) element if the page marks one, else everything
-from the first content line to the last.  Elements that the page itself marks
-as navigation, notice, advert, form, reader comment and the like never yield
-lines.
+content and rest, and the region that holds the content text is kept whole:
+the article (or main) element with most of it if the page marks one, else the
+deepest element with nearly all of it, else everything from the first content
+line to the last.  Elements that the page itself marks as navigation, notice,
+advert, form, reader comment and the like never yield lines.
 """
 
 from __future__ import annotations
@@ -40,7 +40,11 @@ MARKED = frozenset("""ad ads advert adverts advertisement advertising sponsor sp
     breadcrumbs footer header masthead toolbar pagination pager widget widgets login signup search contentinfo complementary
     alertdialog""".split())
 NAMES = re.compile(r"[a-z]+")
-CONTAINERS = ("article", "main")
+CONTAINERS = ("article", "main", "section", "div", "td")
+#: Containers deeper than this count as the one above, so paths stay short.
+DEEPEST = 64
+#: Shares of the content text that an article or main, or any other container, must hold.
+MOST, NEARLY_ALL = 0.5, 0.8
 
 
 class Lines(HTMLParser):
@@ -80,7 +84,7 @@ class Lines(HTMLParser):
                 return
 
     def excludes(self, tag: str, attrs: list, containers: tuple) -> bool:
-        if tag in EXCLUDED or tag == "header" and not containers:
+        if tag in EXCLUDED or tag == "header" and not any(c[0] in ("article", "main") for c in containers):
             return True
         if tag in ("html", "body", "article", "main"):
             return False
@@ -102,7 +106,7 @@ class Lines(HTMLParser):
         if tag in VOID:
             return
         out, containers = self.state()
-        if tag in CONTAINERS and not out:
+        if tag in CONTAINERS and not out and len(containers) < DEEPEST:
             self.containers += 1
             containers = (*containers, (tag, self.containers))
         self.stack.append((tag, out or self.excludes(tag, attrs, containers), containers))
@@ -153,23 +157,39 @@ def threshold(values: np.ndarray) -> float:
 
 def main_text(html: str | None) -> str:
     """The article's blocks, one per line; empty if there is none."""
+    html = html or ""
+    last = html.rfind("<!--")
+    if last >= 0 and html.find("-->", last) < 0 and html.find("</script", last) < 0:
+        html = html[:last]  # a comment that the page's end cuts off
     parser = Lines()
-    parser.feed(html or "")
+    parser.feed(html)
     parser.close()
     lines = parser.lines
     if not lines:
         return ""
-    ratio = smoothed(np.array([len(t) / max(1, n) for t, n, _ in lines]))
-    content = np.flatnonzero(ratio >= threshold(ratio))
-    weight: Counter = Counter()
-    for i in content:
-        text, _, containers = lines[i]
-        articles = [c for c in containers if c[0] == "article"]
-        weight[(articles or list(containers) or [None])[0]] += len(text)
-    best = max(weight, key=weight.get)
-    if best is not None:
-        return "\n".join(t for t, _, containers in lines if best in containers)
-    return "\n".join(t for t, _, containers in lines[content[0]:content[-1] + 1])
+    raw = np.array([len(t) / max(1, n) for t, n, _ in lines])
+    ratio = np.maximum(raw, smoothed(raw))
+    content = np.flatnonzero(ratio >= threshold(smoothed(raw)))
+    region = content_region([lines[i] for i in content])
+    if region is not None:
+        return "\n".join(t for t, _, containers in lines if region in containers)
+    return "\n".join(t for t, _, _ in lines[content[0]:content[-1] + 1])
+
+
+def content_region(content: list[tuple[str, int, tuple]]) -> tuple | None:
+    """The container to keep whole, if one holds enough of the content text."""
+    inside: Counter = Counter()
+    for text, _, containers in content:
+        for c in containers:
+            inside[c] += len(text)
+    total = sum(len(t) for t, _, _ in content)
+    for tag in ("article", "main"):
+        # most content first, then the outermost
+        best = max((c for c in inside if c[0] == tag), key=lambda c: (inside[c], -c[1]), default=None)
+        if best and inside[best] >= MOST * total:
+            return best
+    # containers are numbered as they open: the last of those that nest is the deepest
+    return max((c for c in inside if inside[c] >= NEARLY_ALL * total), key=lambda c: c[1], default=None)
 
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

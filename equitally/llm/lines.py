@@ -39,10 +39,11 @@ def boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAG
         .where(F.col("n") / F.col("pages") > ratio).groupBy("host").agg(F.collect_list("line").alias("bad"))
 
 
-def drop_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text",
-                     ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """``docs`` with boilerplate lines taken out of the text, and n_lines and
-    n_dropped added (columns of those names in ``docs`` are replaced).
+def drop_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO,
+                     min_pages: int = MIN_PAGES, counts: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+    """``docs`` with boilerplate lines taken out of the text, and two columns
+    added: the number of lines and of lines dropped (columns that have the names
+    in ``counts`` are replaced, all others ride along).
 
     Lines are compared without surrounding blanks; blank lines stay.  A null
     text stays null with 0 lines; a text may become empty.  Rows without a host
@@ -52,15 +53,16 @@ def drop_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str =
     pages = docs.select(F.col(host_col).cast("string").alias("host"), F.col(text_col).cast("string").alias("text"))
     # written first: its size is then known, and Spark broadcasts it only if small
     bad = write_table(boilerplate(pages, ratio, min_pages).select(
-        F.col("host").alias("_host"), "bad", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")), "boilerplate")
-    rest = [c for c in docs.columns if c not in ("n_lines", "n_dropped", text_col)]
-    dealt = docs.withColumn("_deal", F.pmod(F.xxhash64(*[F.col(c) for c in rest if c != host_col] or [F.col(text_col)]), F.lit(SALTS)).cast("int"))
-    joined = dealt.join(bad, F.col(host_col).cast("string").eqNullSafe(F.col("_host")) & (F.col("_deal") == F.col("_salt")), "left")
-    all_lines = F.split(F.col(text_col).cast("string"), "\n")
-    kept = F.filter(all_lines, lambda l: (F.trim(l) == "") | ~F.array_contains("bad", line_key(l)))
-    return joined.withColumn("_lines", F.coalesce(F.size(all_lines), F.lit(0))) \
-        .withColumn("_kept", F.when(F.col("bad").isNull(), all_lines).otherwise(kept)) \
-        .select(*[F.array_join("_kept", "\n").alias(c) if c == text_col else F.col(c)
-                  for c in docs.columns if c not in ("n_lines", "n_dropped")],
-                F.when(F.col(text_col).isNull(), 0).otherwise(F.col("_lines")).cast("long").alias("n_lines"),
-                F.when(F.col(text_col).isNull(), 0).otherwise(F.col("_lines") - F.size("_kept")).cast("long").alias("n_dropped"))
+        F.col("host").alias("__host"), F.col("bad").alias("__bad"),
+        F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt")), "boilerplate")
+    others = [c for c in docs.columns if c not in counts]
+    deal = F.pmod(F.xxhash64(*[F.col(c) for c in others if c != text_col]), F.lit(SALTS)).cast("int")
+    joined = docs.select(*others, deal.alias("__deal")).join(
+        bad, F.col(host_col).cast("string").eqNullSafe(F.col("__host")) & (F.col("__deal") == F.col("__salt")), "left")
+    every = F.split(F.col(text_col).cast("string"), "\n")
+    kept = F.filter(every, lambda l: (F.trim(l) == "") | ~F.array_contains("__bad", line_key(l)))
+    cut = joined.withColumn("__kept", F.when(F.col("__bad").isNull(), every).otherwise(kept))
+    n = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(every))
+    dropped = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(every) - F.size("__kept"))
+    return cut.select(*[F.array_join("__kept", "\n").alias(c) if c == text_col else F.col(c) for c in others],
+                      n.cast("long").alias(counts[0]), dropped.cast("long").alias(counts[1]))
