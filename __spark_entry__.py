@@ -65,18 +65,18 @@ def _cells(spark: SparkSession, sf_dir: str, two_models: bool = False) -> DataFr
 # --------------------------------------------------------------------------- #
 
 def q_c5_metric_frame(spark, sf_dir):
-    return rounded(fair.group_metrics(_cells(spark, sf_dir)))
+    return rounded(fair.group_metrics(_cells(spark, sf_dir, two_models=True)))
 
 
 def _metric_only(metric):
     def run(spark, sf_dir):
-        gm = fair.group_metrics(_cells(spark, sf_dir))
-        return rounded(gm.select("attribute", "group_label", "group_order", metric))
+        gm = fair.group_metrics(_cells(spark, sf_dir, two_models=True))
+        return rounded(gm.select("model", "attribute", "group_label", "group_order", metric))
     return run
 
 
 def q_c8_fairness_summary(spark, sf_dir):
-    return rounded(fair.fairness_summary(_cells(spark, sf_dir)))
+    return rounded(fair.fairness_summary(_cells(spark, sf_dir, two_models=True)))
 
 
 def q_c10_model_comparison(spark, sf_dir):
@@ -88,15 +88,15 @@ def q_c11_pair_gap(spark, sf_dir):
 
 
 def q_c12_race_gender(spark, sf_dir):
-    return rounded(fair.intersectional_metrics(_cells(spark, sf_dir), ["race", "gender"]))
+    return rounded(fair.intersectional_metrics(_cells(spark, sf_dir, two_models=True), ["race", "gender"]))
 
 
 def q_c12_race_age(spark, sf_dir):
-    return rounded(fair.intersectional_metrics(_cells(spark, sf_dir), ["race", "age"]))
+    return rounded(fair.intersectional_metrics(_cells(spark, sf_dir, two_models=True), ["race", "age"]))
 
 
 def q_c15_intersection_gap(spark, sf_dir):
-    return rounded(fair.intersectional_gap(_cells(spark, sf_dir), ["race", "age"]))
+    return rounded(fair.intersectional_gap(_cells(spark, sf_dir, two_models=True), ["race", "age"]))
 
 
 # --------------------------------------------------------------------------- #
@@ -152,7 +152,7 @@ def q_b8_pr_curve(spark, sf_dir):
 
 
 def q_b9_curve_area(spark, sf_dir):
-    pts = met.roc_curve(_scored_rows(spark, sf_dir), drop_intermediate=False)
+    pts = met.roc_curve(_scored_rows(spark, sf_dir))
     return rounded(met.curve_area(pts, "fpr", "tpr"))
 
 
@@ -422,13 +422,13 @@ def q_e3_gbt_importance(spark, sf_dir):
 def q_e4_permutation_importance(spark, sf_dir):
     from equitally.operators.explain import permutation_importance
     m, test = _fit(spark, sf_dir, "gbt")
-    return rounded(permutation_importance(m, test, sample_size=300, repeats=1))
+    return rounded(permutation_importance(m, test))
 
 
 def q_e5_shapley_summary(spark, sf_dir):
     from equitally.operators.explain import sampled_shapley, shapley_summary
     m, test = _fit(spark, sf_dir, "gbt")
-    return rounded(shapley_summary(sampled_shapley(m, test, sample_size=1000, background_size=100, permutations=8)))
+    return rounded(shapley_summary(sampled_shapley(m, test, background_size=100, permutations=8)))
 
 
 def q_e6_top_importance(spark, sf_dir):

@@ -10,16 +10,13 @@ from equitally.functions.cleaning import (
     decision_target,
     decision_target_sql,
     na_token_sql,
-    ordinal_age,
     ordinal_age_sql,
-    range_midpoint,
     range_midpoint_sql,
-    to_double,
     to_double_sql,
 )
 from equitally.functions.sqltext import expr, ident
 from equitally.operators.stats import median_fill_values
-from equitally.session import ensure_parallelism, write_table
+from equitally.session import write_table
 from equitally.sources.schema import (
     AGE_COLUMNS,
     DECISION_CODES,
@@ -68,37 +65,8 @@ def drop_leakage(df: DataFrame, columns=tuple(LEAKAGE_COLUMNS)) -> DataFrame:
     return df.drop(*present)
 
 
-def encode_ranges_and_ages(df: DataFrame) -> DataFrame:
-    """P7 + P8: ordinal age codes and range midpoints."""
-    out = df
-    for c in AGE_COLUMNS:
-        if c in out.columns:
-            out = out.withColumn(c, ordinal_age(c))
-    for c in RANGE_COLUMNS:
-        if c in out.columns:
-            out = out.withColumn(c, range_midpoint(c))
-    return out
-
-
-def coerce_types(df: DataFrame, numeric=tuple(NUMERIC_IMPUTE_COLUMNS),
-                 int_codes=tuple(INT_CODE_FEATURES)) -> DataFrame:
-    """Numeric measures → DOUBLE (unparseable → NULL); integer code
-    columns → INT.  Everything else keeps its type."""
-    exprs = []
-    for f in df.schema.fields:
-        num = isinstance(f.dataType, T.NumericType)
-        if f.name in numeric:
-            exprs.append(f"{to_double_sql(ident(f.name), num)} AS {ident(f.name)}")
-        elif f.name in int_codes and not isinstance(f.dataType, (T.IntegerType, T.LongType, T.ShortType)):
-            exprs.append(f"CAST(floor({to_double_sql(ident(f.name), num)}) AS INT) AS {ident(f.name)}")
-        else:
-            exprs.append(ident(f.name))
-    return df.selectExpr(*exprs)
-
-
 def impute_medians(df: DataFrame, columns=tuple(NUMERIC_IMPUTE_COLUMNS), exact: bool = True,
-                   medians: dict[str, float | None] | None = None,
-                   range_stats: dict | None = None) -> tuple[DataFrame, dict]:
+                   medians: dict[str, float | None] | None = None) -> tuple[DataFrame, dict]:
     """P10: fill NULL with the column median over all rows of ``df``.
 
     Returns the filled table and the medians used (so the same values can be
@@ -106,7 +74,7 @@ def impute_medians(df: DataFrame, columns=tuple(NUMERIC_IMPUTE_COLUMNS), exact:
     """
     present = [c for c in columns if c in df.columns]
     if medians is None:
-        medians = median_fill_values(df, present, exact=exact, range_stats=range_stats)
+        medians = median_fill_values(df, present, exact=exact)
     out = df.select(*[
         F.coalesce(F.col(f.name), F.lit(medians[f.name]).cast("double")).alias(f.name)
         if f.name in present and medians.get(f.name) is not None else F.col(f.name)
@@ -140,7 +108,8 @@ def prepare_features(raw: DataFrame, decision_column: str = "action_taken") -> D
         if f.name in NUMERIC_IMPUTE_COLUMNS:
             x = to_double_sql(x, numeric)
         elif f.name in INT_CODE_FEATURES and not isinstance(f.dataType, (T.IntegerType, T.LongType, T.ShortType)):
-            x = f"CAST(floor({to_double_sql(x, numeric)}) AS INT)"
+            d = to_double_sql(x, numeric)  # what is no whole number in range is missing
+            x = f"CASE WHEN {d} = floor({d}) THEN try_cast({d} AS INT) END"
         exprs.append(f"{x} AS {ident(f.name)}")
     dnum = isinstance(_dtype(df, decision_column), T.NumericType)
     exprs.append(f"{decision_target_sql(ident(decision_column), dnum)} AS {TARGET}")
@@ -157,13 +126,10 @@ def clean_applications(raw: DataFrame, exact_median: bool = True,
     it.  Medians are computed over all decision rows, before any split, as
     the audited workflow does.
     """
-    df = prepare_features(ensure_parallelism(raw))
+    df = prepare_features(raw)
     present = [c for c in NUMERIC_IMPUTE_COLUMNS if c in df.columns]
     if materialize:
-        # later passes read only the numeric columns of this Parquet table.
-        # (DataFrame.observe could fold the first median pass into this write,
-        # but an observation leaves session state that breaks later ML
-        # transforms in this Spark build, so the pass stays a separate agg.)
+        # later passes read only the numeric columns of this Parquet table
         df = write_table(df, "prepared")
     df, _ = impute_medians(df, present, exact=exact_median, medians=medians)
     return fill_unknown(df)

@@ -82,48 +82,57 @@ def importance_table(trained: TrainedModel, df: DataFrame, n: int | None = None,
 # Permutation importance
 # --------------------------------------------------------------------------- #
 
-def _indexed(df: DataFrame, key: str, seed: int, salt: str, name: str) -> DataFrame:
-    # window over a bounded sample only (size fixed by the caller)
-    return df.withColumn(name, F.row_number().over(Window.orderBy(hash_order(key, seed, salt), key)))
+ROWS_PER_SHUFFLE = 1_000
 
 
-def permutation_importance(trained: TrainedModel, df: DataFrame, sample_size: int = 300, repeats: int = 1,
-                           key: str = "app_id", seed: int = SEED, label: str = TARGET) -> DataFrame:
-    """Baseline ROC-AUC minus ROC-AUC with one input column shuffled
-    among the sampled rows; mean and population std over repeats.
-
-    The shuffle of column ``f`` in repeat ``r`` gives the row at position i
-    of the sample's hash order the value of the row at position i of a
-    second, (f, r)-salted hash order.  All (feature, repeat) variants are
-    built at once — the sample exploded over features × repeats, one window
-    for the salted order, two joins to fetch each donor row — then scored by
-    one ``transform``; AUCs come from the grouped distributed ranking metric.
+def _salted(key: str, seed: int, salt: str):
+    return F.md5(F.concat(F.col(key).cast("string"), F.lit(f"-{seed}-{salt}-"), F.col("feature"),
+                          F.lit("-"), F.col("repeat").cast("string")))
+
+
+def permuted_rows(df: DataFrame, features: list[str], repeats: int = 1, key: str = "app_id", seed: int = SEED,
+                  label: str = TARGET, rows_per_shuffle: int = ROWS_PER_SHUFFLE) -> DataFrame:
+    """(feature, repeat, key, label, inputs...): every row of ``df`` once per
+    (feature, repeat), with that feature's value taken from another row.
+
+    A salted hash deals the rows of each (feature, repeat) into random groups of
+    about ``rows_per_shuffle``; inside a group every row takes the value of the
+    next row in a second salted order, the last that of the first.  So all
+    rows are permuted and no window grows with the table.
     """
-    features = trained.numeric + trained.categorical
-    checkpoint_dir(df.sparkSession)
-    # the sample is bounded by sample_size; checkpointing it once cuts the
-    # lineage the variants would otherwise recompute
-    sample = _indexed(uniform_sample(df, sample_size, key, seed), key, seed, "perm-base", "_i").checkpoint()
+    n = df.count()
+    groups = max(1, -(-n // rows_per_shuffle))
     variants = F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(r).alias("repeat"))
                          for r in range(repeats) for f in features])
-    salted = F.md5(F.concat(F.col(key).cast("string"), F.lit(f"-{seed}-perm-"), F.col("feature"),
-                            F.lit("-"), F.col("repeat").cast("string")))
-    # position of each row in each (feature, repeat) salted order; windows
-    # hold at most sample_size rows each
-    order = (sample.select(key, F.explode(variants).alias("v")).select(key, "v.feature", "v.repeat")
-             .withColumn("_i", F.row_number().over(Window.partitionBy("feature", "repeat")
-                                                   .orderBy(salted, F.col(key))))
-             .withColumnRenamed(key, "_donor_key"))
-    base = sample.select(F.explode(variants).alias("v"), *sample.columns).select("v.feature", "v.repeat",
-                                                                              *sample.columns)
-    with_donor = base.join(order, ["feature", "repeat", "_i"])
-    donor_cols = sample.select(F.col(key).alias("_donor_key"), *[F.col(f).alias(f"_d_{f}") for f in features])
-    joined = with_donor.join(donor_cols, "_donor_key")
-    permuted = joined.select("feature", "repeat", key, label, *[
-        F.when(F.col("feature") == f, F.col(f"_d_{f}")).otherwise(F.col(f)).alias(f) for f in features])
-    scored = score(trained, permuted, keep=(key, "feature", "repeat"), label=label)
-    perm_auc = ranking_metrics(scored, keys=["feature", "repeat"]).select("feature", "repeat", "roc_auc")
-    base_auc = ranking_metrics(score(trained, sample, keep=(key,), label=label), keys=["model"]).first()
+    base = df.select(F.explode(variants).alias("v"), key, label, *features) \
+        .select("v.feature", "v.repeat", key, label, *features)
+    dealt = base.withColumn("_group", F.conv(F.substring(_salted(key, seed, "group"), 1, 8), 16, 10).cast("long") % F.lit(groups))
+    order = Window.partitionBy("feature", "repeat", "_group").orderBy(_salted(key, seed, "perm"), key)
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    last = F.row_number().over(order) == F.count(F.lit(1)).over(whole)
+    return dealt.select("feature", "repeat", key, label, *[
+        F.when(F.col("feature") == f, F.when(last, F.first(f).over(whole)).otherwise(F.lead(f).over(order)))
+        .otherwise(F.col(f)).alias(f) for f in features])
+
+
+def permutation_importance(trained: TrainedModel, df: DataFrame, sample_size: int | None = None, repeats: int = 1,
+                           key: str = "app_id", seed: int = SEED, label: str = TARGET) -> DataFrame:
+    """Baseline ROC-AUC minus ROC-AUC with one input column shuffled
+    among all rows (``sample_size``: among a uniform sample of that many);
+    mean and population std over repeats."""
+    return importance_from_scores(
+        lambda rows, keep: score(trained, rows, keep=keep, label=label), df if sample_size is None else
+        uniform_sample(df, sample_size, key, seed), trained.numeric + trained.categorical, repeats, key, seed, label)
+
+
+def importance_from_scores(scorer, rows: DataFrame, features: list[str], repeats: int = 1, key: str = "app_id",
+                           seed: int = SEED, label: str = TARGET) -> DataFrame:
+    """E4 for any scorer: ``scorer(rows, keep)`` gives (keep..., model, y, p, yhat).
+    All variants are scored in one pass; AUCs come from the grouped ranking metric."""
+    permuted = permuted_rows(rows, features, repeats, key, seed, label)
+    perm_auc = ranking_metrics(scorer(permuted, (key, "feature", "repeat")), keys=["feature", "repeat"]) \
+        .select("feature", "repeat", "roc_auc")
+    base_auc = ranking_metrics(scorer(rows, (key,)), keys=["model"]).first()
     drops = perm_auc.select("feature", (F.lit(base_auc["roc_auc"]) - F.col("roc_auc")).alias("d"))
     return (drops.groupBy("feature").agg(F.avg("d").alias("importance_mean"),
                                           F.stddev_pop("d").alias("importance_std"))
@@ -134,12 +143,18 @@ def permutation_importance(trained: TrainedModel, df: DataFrame, sample_size: in
 # E5: sampled Shapley values
 # --------------------------------------------------------------------------- #
 
-def sampled_shapley(trained: TrainedModel, df: DataFrame, sample_size: int = 1000, background_size: int = 100,
+def _indexed(df: DataFrame, key: str, seed: int, salt: str, name: str) -> DataFrame:
+    # the background sample alone: its size is a parameter
+    return df.withColumn(name, F.row_number().over(Window.orderBy(hash_order(key, seed, salt), key)))
+
+
+def sampled_shapley(trained: TrainedModel, df: DataFrame, sample_size: int | None = None, background_size: int = 100,
                     permutations: int = 8, key: str = "app_id", seed: int = SEED, label: str = TARGET,
                     output: str = "probability") -> DataFrame:
-    """E5: per-row, per-input Shapley values by permutation sampling.
+    """E5: per-row, per-input Shapley values by permutation sampling, for all
+    rows (``sample_size``: for a uniform sample of that many).
 
-    For sampled row x, permutation m (feature order from a salted hash) and a
+    For row x, permutation m (feature order from a salted hash) and a
     hash-chosen background row z, the hybrid at step j takes the first j
     features of the permutation from x and the rest from z; the change of the
     model output from step j−1 to j is credited to the j-th feature.  All
@@ -151,7 +166,7 @@ def sampled_shapley(trained: TrainedModel, df: DataFrame, sample_size: int = 100
     features = trained.numeric + trained.categorical
     nf = len(features)
     checkpoint_dir(df.sparkSession)
-    xs = _indexed(uniform_sample(df, sample_size, key, seed, "shap-rows"), key, seed, "shap-rows", "_i").checkpoint()
+    xs = df if sample_size is None else uniform_sample(df, sample_size, key, seed, "shap-rows")
     zs = _indexed(uniform_sample(df, background_size, key, seed, "shap-background"), key, seed,
                   "shap-background", "_b").checkpoint()
     nb = zs.count()
@@ -160,7 +175,7 @@ def sampled_shapley(trained: TrainedModel, df: DataFrame, sample_size: int = 100
     pick = (F.conv(F.substring(F.md5(F.concat(F.col(key).cast("string"), F.lit("-"), F.col("_m").cast("string"),
                                               F.lit(f"-{seed}-background"))), 1, 8), 16, 10).cast("long")
             % F.lit(nb)) + 1
-    pairs = pairs.withColumn("_b", pick).join(F.broadcast(z_cols), "_b")
+    pairs = pairs.withColumn("_b", pick).join(F.broadcast(z_cols), "_b")  # background_size rows
     order = F.array_sort(F.array(*[
         F.struct(F.md5(F.concat(F.col(key).cast("string"), F.lit("-"), F.col("_m").cast("string"),
                                 F.lit(f"-{seed}-{f}"))).alias("h"), F.lit(f).alias("f"))

@@ -52,23 +52,31 @@ def group_rollup(cells: DataFrame, attributes: dict[str, str] = AUDIT_ATTRIBUTES
     return rollup(stacked, *extra_keys, "attribute", "group_label")
 
 
+def _declared_per_model(cells: DataFrame, order: dict[str, list[str]]) -> DataFrame:
+    """J1 dimension once for every model in the cells."""
+    groups = F.array(*[F.struct(F.lit(a).alias("attribute"), F.lit(g).alias("group_label"), F.lit(i).alias("group_order"))
+                       for a, labels in order.items() for i, g in enumerate(labels, start=1)])
+    return cells.select("model").distinct().select("model", F.explode(groups).alias("g")).select("model", "g.*")
+
+
 def group_metrics(cells: DataFrame, attributes: dict[str, str] = AUDIT_ATTRIBUTES,
                   order: dict[str, list[str]] = GROUP_ORDER, model: str | None = None) -> DataFrame:
-    """C5 + J1: the metric frame for every attribute, reindexed to the declared
-    group order (a declared group with no rows gets NULL metrics)."""
-    measured = with_rates(group_rollup(_one_model(cells, model), attributes))
-    dims = declared_groups(cells.sparkSession, {a: order[a] for a in attributes})
-    return (dims.join(F.broadcast(measured), ["attribute", "group_label"], "left")
-            .select("attribute", "group_label", "group_order",
+    """C5 + J1: every model's metric frame for every attribute, reindexed to the
+    declared group order (a declared group with no rows gets NULL metrics)."""
+    cells = _one_model(cells, model)
+    measured = with_rates(group_rollup(cells, attributes, ["model"]))
+    dims = _declared_per_model(cells, {a: order[a] for a in attributes})
+    return (dims.join(measured, ["model", "attribute", "group_label"], "left")
+            .select("model", "attribute", "group_label", "group_order",
                     F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n"), *METRIC_NAMES))
 
 
 def fairness_summary(cells: DataFrame, attributes: dict[str, str] = AUDIT_ATTRIBUTES,
                      model: str | None = None, ratio_floor: float = 0.8) -> DataFrame:
     """Demographic-parity difference, equalized-odds difference and the
-    four-fifths ratio per attribute (over the groups present)."""
-    m = with_rates(group_rollup(_one_model(cells, model), attributes))
-    out = m.groupBy("attribute").agg(
+    four-fifths ratio per model and attribute (over the groups present)."""
+    m = with_rates(group_rollup(_one_model(cells, model), attributes, ["model"]))
+    out = m.groupBy("model", "attribute").agg(
         (F.max("selection_rate") - F.min("selection_rate")).alias("dp_diff"),
         F.greatest(F.max("tpr") - F.min("tpr"), F.max("fpr") - F.min("fpr")).alias("eo_diff"),
         F.try_divide(F.min("selection_rate"), F.max("selection_rate")).alias("four_fifths_ratio"),
@@ -97,7 +105,7 @@ def model_comparison(cells: DataFrame, full: str = "full", blind: str = "blind",
     cols = ["attribute", "group_label", "group_order",
             *[f"full_{k}" for k in METRIC_NAMES], *[f"blind_{k}" for k in METRIC_NAMES],
             *[f"delta_{k}" for k in METRIC_NAMES]]
-    return dims.join(F.broadcast(wide), ["attribute", "group_label"], "left").select(*cols)
+    return dims.join(wide, ["attribute", "group_label"], "left").select(*cols)
 
 
 def pair_gap(cells: DataFrame, attribute_column: str = "race", first: str = "White",
@@ -123,22 +131,22 @@ def intersection_cells(cells: DataFrame, parts: list[str], include_other: bool =
 
 def intersectional_metrics(cells: DataFrame, parts: list[str], model: str | None = None,
                            min_size: int = MIN_GROUP_SIZE, include_other: bool = False) -> DataFrame:
-    """Per-intersection count, accuracy, selection rate, TPR, FPR,
-    approved and denied counts; groups under ``min_size`` left out; ordered by
-    selection rate."""
+    """Per model and intersection count, accuracy, selection rate, TPR,
+    FPR, approved and denied counts; groups under ``min_size`` left out; ordered
+    by model and selection rate."""
     m = with_rates(intersection_cells(_one_model(cells, model), parts, include_other))
     return (m.where(F.col("n") >= min_size)
-            .select("intersection", F.col("n").alias("count"), "accuracy", "selection_rate", "tpr", "fpr",
+            .select("model", "intersection", F.col("n").alias("count"), "accuracy", "selection_rate", "tpr", "fpr",
                     (F.col("tp") + F.col("fp")).alias("approved"),
                     (F.col("n") - F.col("tp") - F.col("fp")).alias("denied"))
-            .orderBy("selection_rate", "intersection"))
+            .orderBy("model", "selection_rate", "intersection"))
 
 
 def intersectional_gap(cells: DataFrame, parts: list[str], model: str | None = None,
                        min_size: int = MIN_GROUP_SIZE) -> DataFrame:
-    """Extreme selection-rate gap across intersections, with the groups."""
+    """Each model's extreme selection-rate gap across intersections, with the groups."""
     m = intersectional_metrics(cells, parts, model, min_size)
-    return m.agg(
+    return m.groupBy("model").agg(
         F.min(F.struct("selection_rate", "intersection"))["intersection"].alias("min_group"),
         F.min("selection_rate").alias("min_selection_rate"),
         F.max(F.struct("selection_rate", "intersection"))["intersection"].alias("max_group"),

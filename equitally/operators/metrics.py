@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from equitally.functions.thresholds import ratio
 from equitally.operators.ranking import prefix_sums
+from equitally.session import write_table
 
 
 def _keys(df: DataFrame, keys) -> list[str]:
@@ -98,6 +99,11 @@ def score_steps(rows: DataFrame, keys=None, y: str = "y", p: str = "p") -> DataF
     yc = F.col(y).cast("long")
     steps = rows.groupBy(*keys, F.col(p).alias("score")).agg(
         F.sum(yc).alias("tp"), F.sum(F.lit(1) - yc).alias("fp"))
+    return step_sums(steps, keys)
+
+
+def step_sums(steps: DataFrame, keys: list[str]) -> DataFrame:
+    """Running sums and totals of score steps (keys, score, tp, fp)."""
     cum = prefix_sums(steps, "score", ["tp", "fp"], keys, descending=True)
     return cum.withColumnRenamed("tot_tp", "P").withColumnRenamed("tot_fp", "N")
 
@@ -105,39 +111,40 @@ def score_steps(rows: DataFrame, keys=None, y: str = "y", p: str = "p") -> DataF
 def ranking_metrics(rows: DataFrame, keys=None, y: str = "y", p: str = "p") -> DataFrame:
     """B5 + B6: exact ROC-AUC (ties count ½) and step-wise average precision."""
     keys = _keys(rows, keys)
-    s = score_steps(rows, keys, y, p)
-    auc_term = F.col("fp") * (F.col("cum_tp") - F.col("tp") / F.lit(2.0))
-    ap_term = F.col("tp") * F.col("cum_tp") / (F.col("cum_tp") + F.col("cum_fp"))
+    return ranking_from_steps(score_steps(rows, keys, y, p), keys)
+
+
+def ranking_from_steps(s: DataFrame, keys: list[str]) -> DataFrame:
+    """B5 + B6 from running score steps.  Counts become doubles before they
+    are multiplied: their products pass a long's range at some 10^9 rows."""
+    tp, fp, cum_tp, cum_fp, pos, neg = (F.col(c).cast("double") for c in ("tp", "fp", "cum_tp", "cum_fp", "P", "N"))
     agg = s.groupBy(*keys).agg(
-        F.sum(auc_term).alias("_auc"), F.sum(ap_term).alias("_ap"),
-        F.first("P").alias("P"), F.first("N").alias("N"))
+        F.sum(fp * (cum_tp - tp / F.lit(2.0))).alias("_auc"), F.sum(tp * (cum_tp / (cum_tp + cum_fp))).alias("_ap"),
+        F.first(pos).alias("P"), F.first(neg).alias("N"))
     return agg.select(*keys,
                       F.try_divide(F.col("_auc"), F.col("P") * F.col("N")).alias("roc_auc"),
                       F.try_divide(F.col("_ap"), F.col("P")).alias("average_precision"))
 
 
-def roc_curve(rows: DataFrame, keys=None, y: str = "y", p: str = "p",
-              drop_intermediate: bool = True, max_points: int | None = None) -> DataFrame:
+def roc_curve(rows: DataFrame, keys=None, y: str = "y", p: str = "p", drop_intermediate: bool = True) -> DataFrame:
     """ROC points (pos, fpr, tpr, threshold), first point (0, 0, +inf).
 
     With ``drop_intermediate`` a point is dropped when its step equals the
     next step (second differences of both counts are zero); the neighbour is
-    found by an equi-join on the position, never by a global window.
-    ``max_points`` down-samples a long curve for plotting: every k-th
-    distinct-score point plus the last one, k = ceil(points / max_points).
+    found by an equi-join on the position, never by a global window.  The
+    points that stay are numbered anew, so positions are consecutive.
     """
     keys = _keys(rows, keys)
-    s = score_steps(rows, keys, y, p)
+    s = write_table(score_steps(rows, keys, y, p), "roc-steps")
     pts = s
     if drop_intermediate:
         nxt = s.select(*keys, (F.col("pos") - 1).alias("pos"), F.col("tp").alias("next_tp"),
                        F.col("fp").alias("next_fp"))
-        pts = (s.join(nxt, [*keys, "pos"], "left")
-               .where((F.col("pos") == 1) | F.col("next_tp").isNull()
-                      | (F.col("next_tp") != F.col("tp")) | (F.col("next_fp") != F.col("fp"))))
-    if max_points:
-        step = F.expr(f"CAST(ceil(tot_rows / {int(max_points)}D) AS BIGINT)")
-        pts = pts.where((F.col("pos") % step == 0) | (F.col("pos") == F.col("tot_rows")))
+        kept = (s.join(nxt, [*keys, "pos"], "left")
+                .where((F.col("pos") == 1) | F.col("next_tp").isNull()
+                       | (F.col("next_tp") != F.col("tp")) | (F.col("next_fp") != F.col("fp")))
+                .select(*keys, F.col("pos").alias("_was"), "cum_fp", "cum_tp", "N", "P", "score"))
+        pts = prefix_sums(kept, "_was", [], keys, descending=False)
     body = pts.select(*keys, F.col("pos").cast("long").alias("pos"),
                       ratio("cum_fp", "N").alias("fpr"), ratio("cum_tp", "P").alias("tpr"),
                       F.col("score").cast("double").alias("threshold"))
@@ -151,7 +158,7 @@ def pr_curve(rows: DataFrame, keys=None, y: str = "y", p: str = "p") -> DataFram
     """Precision-recall points per distinct score plus the end point
     (precision 1, recall 0, no threshold)."""
     keys = _keys(rows, keys)
-    s = score_steps(rows, keys, y, p)
+    s = write_table(score_steps(rows, keys, y, p), "pr-steps")
     body = s.select(*keys, F.col("pos").cast("long").alias("pos"),
                     ratio("cum_tp", "cum_tp + cum_fp").alias("precision"),
                     ratio("cum_tp", "P").alias("recall"),

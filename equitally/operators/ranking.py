@@ -1,62 +1,46 @@
 """Distributed running sums in a global order (two-phase prefix sum).
 
 A plain ``Window.orderBy`` without ``partitionBy`` moves every row into one
-task.  Instead the ordered key is cut into value buckets at approximate
-quantiles (one small aggregation; at most ``max_buckets`` boundaries reach the
-driver), each bucket is ordered inside its own window partition, and the
-totals of all earlier buckets — a table of at most ``max_buckets`` rows per
-group — are joined back as offsets.  Exactness does not depend on the
-quantiles being exact: they only balance the buckets.
-
-Sizing: callers collapse ties first (one row per distinct score), and model
-scores have bounded precision — float32 probabilities take at most ~1.07e9
-distinct values in [0, 1] — so 4096 buckets keep every window partition near
-``rows_per_bucket`` (10^6) rows even for the largest tables.
+task.  Instead the rows are range-partitioned on (keys, order) into as many
+buckets as their count asks for, each bucket is ordered inside its own window
+partition, and the totals of all earlier buckets (one row per group and
+bucket) are joined back as offsets.  Exactness does not depend on the ranges
+being even: they only balance the buckets, and their number grows with the
+data, so no bucket grows.
+
+The input and the bucketed rows are written once each in the shared folder:
+the count, the range sample, the totals and the running sums read those
+tables and never the caller's plan again.  Callers collapse ties first.
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from equitally.session import write_table
 
-def _bucket(df: DataFrame, order_col: str, rows_per_bucket: int, max_buckets: int,
-            descending: bool, max_rows: int | None = None) -> tuple[DataFrame, int]:
-    if max_rows is not None and max_rows <= rows_per_bucket:
-        return df.withColumn("_bucket", F.lit(0)), 1
-    # a plain count decides the bucket count; quantiles are only computed,
-    # and only as many as needed, when more than one bucket is required
-    n = df.count()
-    k = max(1, min(max_buckets, math.ceil(n / rows_per_bucket)))
-    if k == 1:
-        return df.withColumn("_bucket", F.lit(0)), 1
-    probes = [j / k for j in range(1, k)]
-    q = df.agg(F.percentile_approx(F.col(order_col).cast("double"), probes, 10 * k).alias("q")).first()["q"]
-    splits = [-math.inf, *sorted({float(v) for v in q}), math.inf]
-    bz = Bucketizer(splits=splits, inputCol="_order_value", outputCol="_bucket_raw", handleInvalid="keep")
-    out = bz.transform(df.withColumn("_order_value", F.col(order_col).cast("double")))
-    nb = len(splits)  # buckets 0..len(splits)-2, NaN → len(splits)-1
-    b = F.col("_bucket_raw").cast("int")
-    out = out.withColumn("_bucket", (F.lit(nb - 1) - b) if descending else b)
-    return out.drop("_order_value", "_bucket_raw"), nb
+ROWS_PER_BUCKET = 1_000_000
 
 
 def prefix_sums(df: DataFrame, order_col: str, sum_cols: list[str], keys: list[str] = (),
-                descending: bool = True, rows_per_bucket: int = 1_000_000,
-                max_buckets: int = 4096, max_rows: int | None = None) -> DataFrame:
+                descending: bool = True, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Add inclusive running sums ``cum_<c>``, group totals ``tot_<c>``, the
     group row count ``tot_rows`` and a 1-based position ``pos`` in the order
     of ``order_col`` within each ``keys`` group.
 
     ``order_col`` must be unique within a group (collapse ties first).
-    ``max_rows``, a known upper bound of the input size, skips the quantile
-    job when one bucket suffices.
     """
     keys = list(keys)
-    bucketed, _ = _bucket(df, order_col, rows_per_bucket, max_buckets, descending, max_rows)
+    order = F.col(order_col).desc() if descending else F.col(order_col).asc()
+    steps = write_table(df, "order-steps")
+    n = steps.count()
+    if n > rows_per_bucket:
+        # bucket numbers follow the order, and are fixed by writing them
+        ranged = steps.repartitionByRange(-(-n // rows_per_bucket), *[F.col(k) for k in keys], order)
+        bucketed = write_table(ranged.withColumn("_bucket", F.spark_partition_id()), "order-buckets")
+    else:
+        bucketed = steps.withColumn("_bucket", F.lit(0))
     totals = bucketed.groupBy(*keys, "_bucket").agg(
         F.count(F.lit(1)).alias("_t_rows"), *[F.sum(c).alias(f"_t_{c}") for c in sum_cols])
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -67,15 +51,13 @@ def prefix_sums(df: DataFrame, order_col: str, sum_cols: list[str], keys: list[s
         *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in sum_cols],
         *[F.sum(f"_t_{c}").over(group).alias(f"tot_{c}") for c in sum_cols],
         F.sum("_t_rows").over(group).alias("tot_rows"))
-    order = F.col(order_col).desc() if descending else F.col(order_col).asc()
     w = Window.partitionBy(*keys, "_bucket").orderBy(order)
     running = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # offsets hold one row per (key group, bucket): no broadcast hint, Spark
     # broadcasts them only while their measured size is under the threshold
     joined = bucketed.join(offsets, [*keys, "_bucket"])
-    out = joined.select(
+    return joined.select(
         *df.columns,
         (F.col("_o_rows") + F.row_number().over(w)).alias("pos"),
         *[(F.col(f"_o_{c}") + F.sum(c).over(running)).alias(f"cum_{c}") for c in sum_cols],
         *[F.col(f"tot_{c}") for c in sum_cols], "tot_rows")
-    return out

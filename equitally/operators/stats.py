@@ -21,7 +21,7 @@ from equitally.functions.sqltext import ident
 def _long_form(df: DataFrame, cols: dict[int, str], bounds: dict[int, tuple[float, float]] | None) -> DataFrame:
     items = [F.struct(F.lit(i).alias("k"), F.col(c).cast("double").alias("v")) for i, c in cols.items()]
     long = df.select(F.explode(F.array(*items)).alias("kv")).select("kv.k", "kv.v")
-    long = long.where(F.col("v").isNotNull() & ~F.isnan("v"))
+    long = long.where(F.col("v").isNotNull() & ~F.isnan("v") & (F.abs("v") < float("inf")))
     if bounds:
         cond = None
         for i, (lo, hi) in bounds.items():
@@ -35,48 +35,67 @@ def _valid(c: str):
     return F.expr(f"CASE WHEN NOT isnan(CAST({ident(c)} AS DOUBLE)) THEN CAST({ident(c)} AS DOUBLE) END")
 
 
-def range_stats_exprs(columns: list[str]) -> list:
-    """count / min / max of each column (NULL and NaN ignored) as aggregate
-    expressions — usable in ``agg`` or in ``DataFrame.observe`` so the first
-    pass rides along with another job."""
-    return [F.struct(F.count(_valid(c)).alias("n"), F.min(_valid(c)).alias("lo"), F.max(_valid(c)).alias("hi"))
-            .alias(f"s{i}") for i, c in enumerate(columns)]
+NEAR = 1e-3  # half-width, in quantiles, of the interval first looked at
 
 
-def exact_medians(df: DataFrame, columns: list[str], bins: int = 4096,
-                  collect_limit: int = 100_000, max_passes: int = 64,
-                  range_stats: dict | None = None) -> dict[str, float | None]:
+def _finite(c: str):
+    x = f"CAST({ident(c)} AS DOUBLE)"
+    return F.expr(f"CASE WHEN NOT isnan({x}) AND abs({x}) < double('Infinity') THEN {x} END")
+
+
+def exact_medians(df: DataFrame, columns: list[str], bins: int = 4096, collect_limit: int = 100_000,
+                  near: float = NEAR) -> dict[str, float | None]:
     """Exact interpolated median of each column (NULL/NaN ignored).
 
     Equals pandas ``Series.median`` / SQL ``median``: the mean of the two
     middle values for an even count.  An all-null column gives ``None``.
-    ``range_stats`` (the row of ``range_stats_exprs``, e.g. observed while
-    the table was written) saves the first pass.
+    Infinite values count by their rank; they are no bin edges.
+
+    The first pass counts and takes approximate quantiles close to the middle,
+    the second counts exactly what lies below and inside that interval; where
+    few enough values lie inside, the third reads them.  An interval that
+    misses the middle is replaced by the whole range.  Every histogram pass
+    separates an interval's smallest from its largest value, so it ends.
     """
     if not columns:
         return {}
-    first = range_stats if range_stats is not None else df.agg(*range_stats_exprs(columns)).first()
+    probes = F.array(F.lit(0.5 - near), F.lit(0.5 + near))
+    first = df.agg(*[F.struct(
+        F.count(_finite(c)).alias("n"), F.min(_finite(c)).alias("lo"), F.max(_finite(c)).alias("hi"),
+        F.count(F.when(F.col(c).cast("double") == float("-inf"), 1)).alias("neg"),
+        F.count(F.when(F.col(c).cast("double") == float("inf"), 1)).alias("pos"),
+        F.percentile_approx(_finite(c), probes, 10_000).alias("q")).alias(f"s{i}") for i, c in enumerate(columns)]).first()
+    seeds = {i: first[f"s{i}"]["q"] for i in range(len(columns)) if first[f"s{i}"]["n"]}
+    second = df.agg(*[F.struct(
+        F.count(F.when(_finite(columns[i]) < q[0], 1)).alias("below"),
+        F.count(F.when(_finite(columns[i]).between(q[0], q[1]), 1)).alias("inside")).alias(f"s{i}")
+        for i, q in seeds.items()]).first() if seeds else None
 
     result: dict[str, float | None] = {}
     state: dict[int, dict] = {}
     for i, c in enumerate(columns):
         s = first[f"s{i}"]
-        n = s["n"]
+        n = s["neg"] + s["n"] + s["pos"]
         if n == 0:
             result[c] = None
             continue
-        ranks = sorted({(n - 1) // 2, n // 2})
-        state[i] = {"lo": s["lo"], "hi": s["hi"], "below": 0, "inside": n,
-                    "ranks": ranks, "values": {}}
+        # ranks among the finite values; infinite ones are known already
+        ranks = sorted({(n - 1) // 2 - s["neg"], n // 2 - s["neg"]})
+        known = {r: float("-inf") if r < 0 else float("inf") for r in ranks if not 0 <= r < s["n"]}
+        state[i] = {"lo": s["lo"], "hi": s["hi"], "below": 0, "inside": s["n"], "ranks": ranks, "values": known}
+        if i in seeds and len(known) < len(ranks):
+            below, inside = second[f"s{i}"]["below"], second[f"s{i}"]["inside"]
+            if all(below <= r < below + inside for r in ranks if r not in known):
+                state[i] |= {"lo": seeds[i][0], "hi": seeds[i][1], "below": below, "inside": inside}
 
-    passes = 0
     while state:
         done = []
         # Intervals holding one value, or few enough values to read directly.
         small = {i: st for i, st in state.items() if st["lo"] == st["hi"] or st["inside"] <= collect_limit
-                 or passes >= max_passes}
+                 or all(r in st["values"] for r in st["ranks"])}
         if small:
-            to_collect = {i: columns[i] for i, st in small.items() if st["lo"] != st["hi"]}
+            to_collect = {i: columns[i] for i, st in small.items()
+                          if st["lo"] != st["hi"] and not all(r in st["values"] for r in st["ranks"])}
             if to_collect:
                 rows = (_long_form(df, to_collect, {i: (small[i]["lo"], small[i]["hi"]) for i in to_collect})
                         .groupBy("k", "v").count().collect())
@@ -99,12 +118,13 @@ def exact_medians(df: DataFrame, columns: list[str], bins: int = 4096,
                 done.append(i)
         pending = {i: st for i, st in state.items() if i not in small}
         if pending:
-            passes += 1
             cases = None
             for i, st in pending.items():
-                width = (st["hi"] - st["lo"]) / bins
+                width = st["hi"] / bins - st["lo"] / bins
                 b = F.least(F.lit(bins - 1), F.greatest(F.lit(0),
-                            F.floor((F.col("v") - F.lit(st["lo"])) / F.lit(width)).cast("int")))
+                            F.floor(F.least(F.lit(float(bins)), F.col("v") / F.lit(width) - F.lit(st["lo"] / width))).cast("int")))
+                # the ends always part, whatever rounding does to the middle
+                b = F.when(F.col("v") <= F.lit(st["lo"]), 0).when(F.col("v") >= F.lit(st["hi"]), bins - 1).otherwise(b)
                 cases = F.when(F.col("k") == i, b) if cases is None else cases.when(F.col("k") == i, b)
             hist = (_long_form(df, {i: columns[i] for i in pending},
                                {i: (st["lo"], st["hi"]) for i, st in pending.items()})
@@ -141,10 +161,10 @@ def exact_medians(df: DataFrame, columns: list[str], bins: int = 4096,
 
 
 def median_fill_values(df: DataFrame, columns: list[str], exact: bool = True,
-                       accuracy: int = 100000, range_stats: dict | None = None) -> dict[str, float | None]:
+                       accuracy: int = 100000) -> dict[str, float | None]:
     """P10 statistics: exact medians, or ``approx_percentile`` when ``exact=False``."""
     if exact:
-        return exact_medians(df, columns, range_stats=range_stats)
+        return exact_medians(df, columns)
     row = df.agg(*[F.percentile_approx(F.col(c).cast("double"), 0.5, accuracy).alias(f"m{i}")
                    for i, c in enumerate(columns)]).first()
     return {c: row[f"m{i}"] for i, c in enumerate(columns)}

@@ -101,7 +101,7 @@ def write_audit_reports(report: AuditReport, out_dir: str, include_cells: bool =
     """Write every audit table under ``out_dir``.
 
     Report tables are bounded by the label domains, so each goes out as one
-    header CSV (size checked by the sink); the cell table, from which every
+    header CSV file; the cell table, from which every
     report can be recomputed or merged with other runs, goes out as Parquet.
     """
     from equitally.sources.sinks import write_parquet, write_report_csv
@@ -114,6 +114,6 @@ def write_audit_reports(report: AuditReport, out_dir: str, include_cells: bool =
                 write_parquet(table, path)
                 written.append(path)
             continue
-        write_report_csv(table, path)
+        write_report_csv(table, path, single_file=True)
         written.append(path)
     return written

@@ -7,7 +7,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def local_session(cores: int | None = None, shuffle_partitions: int | None = None,
@@ -67,32 +66,6 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Total size of the relations ``df`` reads, from the scan statistics of
-    the optimized plan's leaves (file sizes; no job runs)."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
-
-
-def ensure_parallelism(df: DataFrame, min_partitions: int | None = None,
-                       bytes_per_partition: int = 64 * 1024 * 1024) -> DataFrame:
-    """Spread a narrow but large input over at least ``min_partitions`` tasks
-    (default: the session's default parallelism) before CPU-heavy row work.
-
-    Large scans already have more partitions than cores and small inputs fit
-    one task, so both pass through untouched (no shuffle).  Only an input
-    whose partitions each hold more than ``bytes_per_partition`` (a big file
-    read as few splits) is hash-partitioned on its own columns —
-    deterministic, so a retried task gets the same rows, without the sort a
-    round-robin repartition needs.
-    """
-    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    parts = df.rdd.getNumPartitions()
-    if parts < want and input_bytes(df) > parts * bytes_per_partition:
-        return df.repartition(want, *[F.col(c) for c in df.columns])
-    return df
-
-
 # Settings a cluster session should carry for these jobs (all public Spark
 # configuration keys); pass them to SparkSession.builder.config(...).
 CLUSTER_SETTINGS = {

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import csv
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from equitally.functions.cleaning import col_of
@@ -12,38 +14,53 @@ from equitally.sources.schema import raw_schema
 HTML_START_PATTERN = r"(?i)^\s*<(!doctype html|html)"
 
 
+# Rows of one repeated content that a task numbers; more are split.
+OCCURRENCES_PER_TASK = 65_536
+# The bounded prefix of a landed file that the payload check looks at.
+PREFIX_LINES, PREFIX_CHARS = 20, 4_096
+
+
 def read_raw_csv(spark: SparkSession, path: str | list[str], columns: list[str] | None = None) -> DataFrame:
     """Header CSV with an explicit all-string schema (never inferred).
 
     Mixed columns such as DTI ('<20%', '36', 'Exempt') stay text until the
     cleaning rules parse them; NA tokens are handled by ``normalize_na_tokens``.
     ``columns`` defaults to the full raw dictionary; pass the header of a
-    narrower extract otherwise.
+    narrower extract otherwise.  Every file's own header must name these
+    columns in this order: reading a file with other ones fails.
     """
-    return (spark.read.option("header", True).option("mode", "PERMISSIVE")
+    return (spark.read.option("header", True).option("mode", "PERMISSIVE").option("enforceSchema", False)
             .option("nullValue", None).option("emptyValue", "")
             .schema(raw_schema(columns)).csv(path))
 
 
 def assign_row_key(df: DataFrame, key: str = "app_id") -> DataFrame:
-    """Row identity for a raw extract without a source key.
-
-    ``xxhash64`` of the row content, plus the row's position in the scan
-    (``monotonically_increasing_id``) so identical rows still get distinct
-    keys.  No window or grouping over the content hash is involved, so a
-    value repeated in a third of all rows never lands in one task.  The
-    position is stable for the same landed files and split settings, so
-    re-reading an extract reproduces its keys.
+    """Row identity for a raw extract without a source key: a 128-bit hash of
+    the row's content and its occurrence number among identical rows.
+
+    The key depends on the rows alone, not on files, splits or partitions.
+    Identical rows meet as a count (partial aggregation on the map side); a
+    count is expanded in chunks that are spread over tasks, so a row that
+    makes up a third of the table is numbered by many tasks.
     """
-    content = F.xxhash64(*[F.col(c) for c in df.columns])
-    return df.withColumn(key, F.concat(F.lower(F.hex(content)), F.lit("-"),
-                                       F.monotonically_increasing_id().cast("string")))
+    cols = df.columns
+    text = [F.coalesce(F.concat(F.lit("v"), F.col(c).cast("string")), F.lit("n")) for c in cols]
+    one, two = F.xxhash64(*text), F.xxhash64(F.lit(key), *text)
+    counted = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n"))
+    size = F.lit(OCCURRENCES_PER_TASK).cast("long")
+    chunks = counted.select(*cols, "_n", F.explode(F.expr(
+        f"sequence(0L, CAST((_n - 1) DIV {OCCURRENCES_PER_TASK} AS BIGINT))")).alias("_chunk")).hint("rebalance")
+    first = F.col("_chunk") * size
+    last = F.least(F.col("_n"), first + size) - F.lit(1)
+    return chunks.select(*cols, F.explode(F.sequence(first, last)).alias("_occurrence")).select(
+        *cols, F.concat(F.lower(F.lpad(F.hex(one), 16, "0")), F.lower(F.lpad(F.hex(two), 16, "0")),
+                        F.lit("-"), F.col("_occurrence").cast("string")).alias(key))
 
 
 def read_header(spark: SparkSession, path: str) -> list[str]:
     """Column names of a header CSV, read from its first line only."""
     first = spark.read.text(path).limit(1).first()
-    return [c.strip().strip('"') for c in first[0].split(",")] if first else []
+    return [c.strip() for c in next(csv.reader([first[0]]))] if first else []
 
 
 def is_html_payload(text: str | Column, strict: bool = False) -> Column:
@@ -66,51 +83,66 @@ def split_payloads(df: DataFrame, text: str, strict: bool = False) -> tuple[Data
     return df.where(~flag | F.col(text).isNull()), df.where(flag)
 
 
-def first_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """First line of every text file under ``path``: ``(file_path, first_line)``.
+def file_prefixes(spark: SparkSession, path: str | list[str], lines: int = PREFIX_LINES,
+                  chars: int = PREFIX_CHARS) -> DataFrame:
+    """``(file_path, first_line, prefix)`` of every text file under ``path``.
 
-    Only lines of each file's first split are considered, and the first of
-    them is the one with the smallest ``monotonically_increasing_id`` (ids
-    increase with row order inside a split), so no file is read whole and no
-    file lands in one task.
+    The prefix is a file's first ``lines`` lines, each and all cut to ``chars``
+    characters: the payload check is about how a file begins.  Only lines of
+    a file's first split compete, and a row-number limit keeps the first few
+    per task before anything is shuffled.
     """
-    lines = (spark.read.text(path)
-             .select("value", F.col("_metadata.file_path").alias("file_path"),
-                     F.col("_metadata.file_block_start").alias("block_start"))
-             .where(F.col("block_start") == 0)
-             .withColumn("_row", F.monotonically_increasing_id()))
-    return lines.groupBy("file_path").agg(F.min_by("value", "_row").alias("first_line"))
+    rows = (spark.read.text(path)
+            .select(F.substring("value", 1, chars).alias("value"), F.col("_metadata.file_path").alias("file_path"),
+                    F.col("_metadata.file_block_start").alias("block_start"))
+            .where(F.col("block_start") == 0)
+            .withColumn("_row", F.monotonically_increasing_id()))
+    nth = F.row_number().over(Window.partitionBy("file_path").orderBy("_row"))
+    first = rows.withColumn("_nth", nth).where(F.col("_nth") <= lines)
+    return first.groupBy("file_path").agg(
+        F.min_by("value", "_nth").alias("first_line"),
+        F.sort_array(F.collect_list(F.struct("_nth", "value"))).alias("_lines")).select(
+            "file_path", "first_line",
+            F.substring(F.array_join(F.transform("_lines", lambda x: x["value"]), "\n"), 1, chars).alias("prefix"))
 
 
 def check_landed_files(spark: SparkSession, path: str | list[str], expected_columns: list[str] | None = None,
                        strict: bool = False) -> DataFrame:
     """S4 at file level: per landed file, whether it is a web page and
     whether its header carries the expected columns; ``accepted`` marks the
-    files to ingest, the rest form the rejected set."""
-    fl = first_lines(spark, path)
-    out = fl.withColumn("is_html", is_html_payload("first_line", strict))
+    files to ingest, the rest form the rejected set.
+
+    A file is a web page if either rule of ``is_html_payload`` says so of its
+    prefix (with ``strict`` the narrower rule alone): markup after blank lines,
+    or ``<html>`` in the first 100 characters behind a comment.
+    """
+    fl = file_prefixes(spark, path)
+    html = is_html_payload("prefix", strict=True)
+    if not strict:
+        html = html | is_html_payload("prefix") | F.lower(F.substring("prefix", 1, 100)).contains("<html")
+    out = fl.withColumn("is_html", html)
     if expected_columns:
         header = F.split(F.regexp_replace("first_line", '"', ""), ",")
         need = F.array(*[F.lit(c) for c in expected_columns])
         out = out.withColumn("header_ok", F.size(F.array_except(need, header)) == 0)
     else:
         out = out.withColumn("header_ok", F.lit(True))
-    return out.withColumn("accepted", ~F.col("is_html") & F.col("header_ok"))
+    return out.withColumn("accepted", ~F.col("is_html") & F.col("header_ok")).drop("prefix")
 
 
-def land_extracts(raw: DataFrame, out_path: str, year: int, state: str, county: str | None = None,
-                  mode: str = "append") -> str:
+def land_extracts(raw: DataFrame, out_path: str, year: int, state: str, county: str | None = None) -> str:
     """S3: land a raw extract as Parquet partitioned by year / state / label.
 
     The county label follows the extract naming rule: the county code, or
     'big4' when several counties were requested, or 'all' for a whole state.
     Partitioned layout makes later reads prune by year, state and extract.
+    Landing an extract again replaces that extract and no other.
     """
     label = "all" if not county else ("big4" if "," in county else county)
     (raw.withColumn("extract_year", F.lit(int(year)))
         .withColumn("extract_state", F.lit(state))
         .withColumn("extract_counties", F.lit(label))
-        .write.mode(mode).partitionBy("extract_year", "extract_state", "extract_counties")
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("extract_year", "extract_state", "extract_counties")
         .parquet(out_path))
     return label
 

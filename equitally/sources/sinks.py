@@ -1,17 +1,14 @@
-"""Sinks (S6, S7): data tables as Parquet, small reports as CSV / JSON.
+"""Sinks (S6, S7): data tables as Parquet, reports as CSV / JSON.
 
-Data goes out as partitioned Parquet written by all tasks in parallel.  Only
-reports whose size is bounded by the label domains (group metrics, metric
-summaries) are written as a single CSV / JSON file, and that bound is checked
-before the single-task write.
+Everything is written by all tasks in parallel and at any size.  One file is
+written on request only (``single_file``), for reports that are known to be
+small: that one task then writes the whole report.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-REPORT_ROW_LIMIT = 100_000
-
 
 def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None, mode: str = "overwrite") -> None:
     """S6 for data: parallel Parquet write, optionally partitioned."""
@@ -21,18 +18,11 @@ def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = Non
     w.parquet(path)
 
 
-def _bounded(df: DataFrame, limit: int) -> DataFrame:
-    n = df.limit(limit + 1).count()
-    if n > limit:
-        raise ValueError(f"report has more than {limit} rows; write it with write_parquet instead")
-    return df.coalesce(1)
-
-
-def write_report_csv(df: DataFrame, path: str, limit: int = REPORT_ROW_LIMIT) -> None:
-    """S6 for small reports: one header CSV file (row count checked first)."""
-    _bounded(df, limit).write.mode("overwrite").option("header", True).csv(path)
+def write_report_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
+    """S6 for reports: header CSV, one file per task or one in all."""
+    (df.coalesce(1) if single_file else df).write.mode("overwrite").option("header", True).csv(path)
 
 
-def write_metrics_json(df: DataFrame, path: str, limit: int = REPORT_ROW_LIMIT) -> None:
-    """Metrics rows as JSON lines in one file (row count checked first)."""
-    _bounded(df, limit).write.mode("overwrite").json(path)
+def write_metrics_json(df: DataFrame, path: str, single_file: bool = False) -> None:
+    """Metrics rows as JSON lines, one file per task or one in all."""
+    (df.coalesce(1) if single_file else df).write.mode("overwrite").json(path)

@@ -197,37 +197,40 @@ def _group_m(extra_keys: str = "") -> str:
             f"GROUP BY {k}attribute, group_label)")
 
 
-def c5_metric_frame(metrics=("accuracy", "selection_rate", "tpr", "fpr")) -> str:
+TWO = {"full": "y_prob", "blind": "y_prob_blind"}
+
+
+def _metric_frame(cols: str, ctes: str) -> str:
+    return (f"WITH {ctes},\n{stacked_cte()},\n{dims_cte()},\n{_group_m('model')},\n"
+            f"md AS (SELECT DISTINCT model FROM scored)\n"
+            f"SELECT md.model, d.attribute, d.group_label, d.group_order, {cols} "
+            f"FROM md CROSS JOIN dims d LEFT JOIN m ON d.attribute = m.attribute AND d.group_label = m.group_label "
+            f"AND md.model = m.model")
+
+
+def c5_metric_frame(metrics=("accuracy", "selection_rate", "tpr", "fpr"), ctes: str | None = None) -> str:
     r = rates("m.n", "m.n_pos", "m.tp", "m.fp")
     cols = ", ".join(f"{rnd(r[k])} AS {k}" for k in metrics)
-    return (f"WITH {ctes_scored()},\n{stacked_cte()},\n{dims_cte()},\n{_group_m()}\n"
-            f"SELECT d.attribute, d.group_label, d.group_order, "
-            f"CAST(COALESCE(m.n, 0) AS BIGINT) AS n, {cols} "
-            f"FROM dims d LEFT JOIN m ON d.attribute = m.attribute AND d.group_label = m.group_label")
+    return _metric_frame(f"CAST(COALESCE(m.n, 0) AS BIGINT) AS n, {cols}", ctes or ctes_scored(TWO))
 
 
 def c_metric_only(metric: str) -> str:
     r = rates("m.n", "m.n_pos", "m.tp", "m.fp")
-    return (f"WITH {ctes_scored()},\n{stacked_cte()},\n{dims_cte()},\n{_group_m()}\n"
-            f"SELECT d.attribute, d.group_label, d.group_order, {rnd(r[metric])} AS {metric} "
-            f"FROM dims d LEFT JOIN m ON d.attribute = m.attribute AND d.group_label = m.group_label")
+    return _metric_frame(f"{rnd(r[metric])} AS {metric}", ctes_scored(TWO))
 
 
-def c8_fairness_summary() -> str:
+def c8_fairness_summary(ctes: str | None = None) -> str:
     r = rates()
-    return (f"WITH {ctes_scored()},\n{stacked_cte()},\n{_group_m()},\n"
-            f"g AS (SELECT attribute, group_label, {r['selection_rate']} AS sr, {r['tpr']} AS tpr, "
+    return (f"WITH {ctes or ctes_scored(TWO)},\n{stacked_cte()},\n{_group_m('model')},\n"
+            f"g AS (SELECT model, attribute, group_label, {r['selection_rate']} AS sr, {r['tpr']} AS tpr, "
             f"{r['fpr']} AS fpr FROM m)\n"
-            f"SELECT attribute, {rnd('max(sr) - min(sr)')} AS dp_diff, "
+            f"SELECT model, attribute, {rnd('max(sr) - min(sr)')} AS dp_diff, "
             f"{rnd('greatest(max(tpr) - min(tpr), max(fpr) - min(fpr))')} AS eo_diff, "
             f"{rnd('CASE WHEN max(sr) = 0 THEN NULL ELSE min(sr) / max(sr) END')} AS four_fifths_ratio, "
             f"min({{'s': sr, 'g': group_label}}).g AS min_group, "
             f"max({{'s': sr, 'g': group_label}}).g AS max_group, "
             f"(CASE WHEN max(sr) = 0 THEN NULL ELSE min(sr) / max(sr) END) >= 0.8 AS passes_four_fifths "
-            f"FROM g GROUP BY attribute")
-
-
-TWO = {"full": "y_prob", "blind": "y_prob_blind"}
+            f"FROM g GROUP BY model, attribute")
 
 
 def c10_model_comparison() -> str:
@@ -266,25 +269,27 @@ def _inter_cte(parts) -> str:
     return f"inter AS (SELECT model, {label} AS intersection, y, yhat FROM scored)"
 
 
-def c12_intersection(parts) -> str:
+def _inter_m(parts, ctes: str | None) -> str:
+    return (f"WITH {ctes or ctes_scored(TWO)},\n{_inter_cte(parts)},\n"
+            f"m AS (SELECT model, intersection, COUNT(*) AS n, {isum('y')} AS n_pos, {isum('y * yhat')} AS tp, "
+            f"{isum('(1 - y) * yhat')} AS fp FROM inter WHERE intersection IS NOT NULL GROUP BY model, intersection)")
+
+
+def c12_intersection(parts, ctes: str | None = None) -> str:
     r = rates()
-    return (f"WITH {ctes_scored()},\n{_inter_cte(parts)},\n"
-            f"m AS (SELECT intersection, COUNT(*) AS n, {isum('y')} AS n_pos, {isum('y * yhat')} AS tp, "
-            f"{isum('(1 - y) * yhat')} AS fp FROM inter WHERE intersection IS NOT NULL GROUP BY intersection)\n"
-            f"SELECT intersection, n AS count, {rnd(r['accuracy'])} AS accuracy, "
+    return (f"{_inter_m(parts, ctes)}\n"
+            f"SELECT model, intersection, n AS count, {rnd(r['accuracy'])} AS accuracy, "
             f"{rnd(r['selection_rate'])} AS selection_rate, {rnd(r['tpr'])} AS tpr, {rnd(r['fpr'])} AS fpr, "
             f"CAST(tp + fp AS BIGINT) AS approved, CAST(n - tp - fp AS BIGINT) AS denied FROM m WHERE n >= 10")
 
 
-def c15_intersection_gap(parts=("race", "age")) -> str:
+def c15_intersection_gap(parts=("race", "age"), ctes: str | None = None) -> str:
     r = rates()
-    return (f"WITH {ctes_scored()},\n{_inter_cte(parts)},\n"
-            f"m AS (SELECT intersection, COUNT(*) AS n, {isum('y')} AS n_pos, {isum('y * yhat')} AS tp, "
-            f"{isum('(1 - y) * yhat')} AS fp FROM inter WHERE intersection IS NOT NULL GROUP BY intersection),\n"
-            f"s AS (SELECT intersection, ROUND({r['selection_rate']}, {R}) AS sr FROM m WHERE n >= 10)\n"
-            f"SELECT min({{'s': sr, 'g': intersection}}).g AS min_group, {rnd('min(sr)')} AS min_selection_rate, "
+    return (f"{_inter_m(parts, ctes)},\n"
+            f"s AS (SELECT model, intersection, {r['selection_rate']} AS sr FROM m WHERE n >= 10)\n"
+            f"SELECT model, min({{'s': sr, 'g': intersection}}).g AS min_group, {rnd('min(sr)')} AS min_selection_rate, "
             f"max({{'s': sr, 'g': intersection}}).g AS max_group, {rnd('max(sr)')} AS max_selection_rate, "
-            f"{rnd('max(sr) - min(sr)')} AS gap FROM s")
+            f"{rnd('max(sr) - min(sr)')} AS gap FROM s GROUP BY model")
 
 
 # --------------------------------------------------------------------------- #
@@ -419,12 +424,17 @@ def b5_ranking() -> str:
             f"\nSELECT model, {rnd('roc_auc')} AS roc_auc, {rnd('average_precision')} AS average_precision FROM r")
 
 
-def b7_roc_curve() -> str:
-    return (_steps() + "\n"
-            f"SELECT model, CAST(pos AS BIGINT) AS pos, {rnd(ratio('cum_fp', 'N'))} AS fpr, "
-            f"{rnd(ratio('cum_tp', 'P'))} AS tpr, {rnd('score')} AS threshold FROM st "
+def _kept_points() -> str:
+    """Points that stay after dropping steps equal to the next, numbered anew from 0."""
+    return (f"kp AS (SELECT model, ROW_NUMBER() OVER (PARTITION BY model ORDER BY pos) AS pos, {ratio('cum_fp', 'N')} AS fpr, "
+            f"{ratio('cum_tp', 'P')} AS tpr, score FROM st "
             f"WHERE pos = 1 OR next_tp IS NULL OR next_tp <> tp OR next_fp <> fp "
-            f"UNION ALL SELECT model, CAST(0 AS BIGINT), 0.0, 0.0, CAST('inf' AS DOUBLE) FROM t")
+            f"UNION ALL SELECT model, 0, 0.0, 0.0, CAST('inf' AS DOUBLE) FROM t)")
+
+
+def b7_roc_curve() -> str:
+    return (_steps() + ",\n" + _kept_points() + f"\nSELECT model, CAST(pos AS BIGINT) AS pos, {rnd('fpr')} AS fpr, "
+            f"{rnd('tpr')} AS tpr, CASE WHEN pos = 0 THEN score ELSE {rnd('score')} END AS threshold FROM kp")
 
 
 def b8_pr_curve() -> str:
@@ -435,10 +445,8 @@ def b8_pr_curve() -> str:
 
 
 def b9_curve_area() -> str:
-    return (_steps() + ",\n"
-            f"pts AS (SELECT model, pos, {ratio('cum_fp', 'N')} AS x, {ratio('cum_tp', 'P')} AS y FROM st "
-            f"UNION ALL SELECT model, 0, 0.0, 0.0 FROM t),\n"
-            f"seg AS (SELECT model, (x - LAG(x) OVER w) * (y + LAG(y) OVER w) / 2.0 AS a FROM pts "
+    return (_steps() + ",\n" + _kept_points() + ",\n"
+            f"seg AS (SELECT model, (fpr - LAG(fpr) OVER w) * (tpr + LAG(tpr) OVER w) / 2.0 AS a FROM kp "
             f"WINDOW w AS (PARTITION BY model ORDER BY pos))\n"
             f"SELECT model, {rnd('SUM(a)')} AS area FROM seg GROUP BY model")
 

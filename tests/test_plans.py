@@ -59,13 +59,3 @@ def test_split_shuffles_only_the_boundary_bucket(spark):
     union_children = p.split("+- Union", 1)[1]
     first_branch = union_children.split("\n   +-", 1)[0]
     assert "Exchange" not in first_branch       # bulk rows: scan → filter → project
-
-
-def test_narrow_inputs_split_only_when_large(spark):
-    from equitally.session import ensure_parallelism, input_bytes
-    v = application_view(spark, SF_SMALL)
-    assert input_bytes(v) > 0
-    assert ensure_parallelism(v).rdd.getNumPartitions() == v.rdd.getNumPartitions()   # small: untouched
-    forced = ensure_parallelism(v, min_partitions=4, bytes_per_partition=1)
-    assert forced.rdd.getNumPartitions() == 4
-    assert sorted(r[0] for r in forced.select("app_id").collect()) == sorted(r[0] for r in v.select("app_id").collect())

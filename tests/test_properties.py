@@ -167,9 +167,76 @@ def test_shapley_efficiency_and_linear_closed_form(spark):
         assert sum(got[(i, f)] for f in ("a", "b", "c")) == pytest.approx(full[i] - base, abs=1e-9)
 
 
-def test_roc_down_sampling_keeps_last_point(spark):
-    rows = make_rows(400, 21, levels=200)
+def test_area_of_the_default_roc_curve_is_the_auc(spark):
+    rows = make_rows(400, 21, levels=200) + [(1, 0.9)] * 5 + [(0, 0.9)] * 5
     df = scored_df(spark, rows)
-    full = met.roc_curve(df, drop_intermediate=False).where("pos > 0").count()
-    pts = met.roc_curve(df, drop_intermediate=False, max_points=20).orderBy("pos").collect()
-    assert len(pts) <= 22 and pts[-1]["fpr"] == 1.0 and pts[-1]["tpr"] == 1.0 and full > 100
+    curve = met.roc_curve(df)
+    assert sorted(r["pos"] for r in curve.collect()) == list(range(curve.count()))
+    area = met.curve_area(curve, "fpr", "tpr").first()["area"]
+    assert area == pytest.approx(met.ranking_metrics(df).first()["roc_auc"], abs=1e-12)
+
+
+def test_ranking_metrics_of_huge_counts_do_not_overflow(spark):
+    steps = spark.createDataFrame([("m", 0.9, 4 * 10 ** 9, 10 ** 9), ("m", 0.5, 4 * 10 ** 9, 4 * 10 ** 9), ("m", 0.1, 10 ** 9, 4 * 10 ** 9)],
+                                  "model string, score double, tp long, fp long")
+    got = met.ranking_from_steps(met.step_sums(steps, ["model"]), ["model"]).first()
+    assert got["roc_auc"] == pytest.approx((1 * 2 + 4 * 6 + 4 * 8.5) / 81, abs=1e-12)
+    assert got["average_precision"] == pytest.approx((4 * 4 / 5 + 4 * 8 / 13 + 1 * 9 / 18) / 9, abs=1e-12)
+
+
+def test_prefix_sums_over_many_buckets(spark):
+    from equitally.operators.ranking import prefix_sums
+    df = spark.range(5000).selectExpr("id % 3 as k", "(id * 7919) % 5003 as v", "id % 11 as x")
+    got = {(r.k, r.v): (r.pos, r.cum_x, r.tot_x, r.tot_rows) for r in prefix_sums(df, "v", ["x"], ["k"], rows_per_bucket=97).collect()}
+    rows = sorted((r.k, -r.v, r.x) for r in df.collect())
+    total = {}
+    for k, _, x in rows:
+        t = total.setdefault(k, [0, 0])
+        t[0], t[1] = t[0] + 1, t[1] + x
+    at = {}
+    for k, v, x in rows:
+        c = at.setdefault(k, [0, 0])
+        c[0], c[1] = c[0] + 1, c[1] + x
+        assert got[k, -v] == (c[0], c[1], total[k][1], total[k][0])
+
+
+@pytest.mark.parametrize("near,limit", [(1e-3, 100_000), (1e-3, 5), (1e-9, 5)])
+def test_medians_with_infinities_and_few_read_values(spark, near, limit):
+    import numpy as np
+    from equitally.operators.stats import exact_medians
+    r = np.random.default_rng(5)
+    cols = {"a": r.normal(0, 1e9, 2001), "b": np.concatenate([[np.inf] * 3, r.random(1998)]), "c": np.repeat([1.0, 2.0, 5e-324], 667),
+            "d": np.concatenate([[np.inf] * 1500, [0.0] * 501]), "e": np.concatenate([[-1.7e308, 1.7e308], r.random(1999)]),
+            "f": np.concatenate([[-np.inf] * 1000, [3.0], [np.inf] * 1000])}
+    df = spark.createDataFrame(list(zip(*[v.tolist() for v in cols.values()])), ", ".join(f"{c} double" for c in cols))
+    got = exact_medians(df, list(cols), bins=16, collect_limit=limit, near=near)
+    assert got == {c: float(np.median(v)) for c, v in cols.items()}
+
+
+def test_two_models_in_the_cells_stay_apart(spark):
+    from equitally.operators import fairness as fair
+    rows = [("m1", "White", "Male", "25-34", "Bexar", 20, 10, 8, 2, 1.0, 1.0), ("m1", "Black", "Male", "25-34", "Bexar", 20, 10, 2, 1, 1.0, 1.0),
+            ("m2", "White", "Male", "25-34", "Bexar", 20, 10, 1, 1, 1.0, 1.0), ("m2", "Black", "Male", "25-34", "Bexar", 20, 10, 9, 9, 1.0, 1.0)]
+    cells = spark.createDataFrame(rows, "model string, race string, gender string, age string, county string, n long, n_pos long, tp long, fp long, sum_p double, sum_sq double")
+    frame = {(r.model, r.group_label): r.selection_rate for r in fair.group_metrics(cells).where("attribute = 'Race' and n > 0").collect()}
+    assert frame == {("m1", "White"): 0.5, ("m1", "Black"): 0.15, ("m2", "White"): 0.1, ("m2", "Black"): 0.9}
+    assert {(r.model, r.dp_diff) for r in fair.fairness_summary(cells).where("attribute = 'Race'").selectExpr("model", "round(dp_diff, 6) dp_diff").collect()} \
+        == {("m1", 0.35), ("m2", 0.8)}
+    inter = fair.intersectional_metrics(cells, ["race", "gender"]).collect()
+    assert [(r.model, r.intersection) for r in inter] == [("m1", "Black Male"), ("m1", "White Male"), ("m2", "White Male"), ("m2", "Black Male")]
+    assert {r.model: (r.min_group, r.max_group) for r in fair.intersectional_gap(cells, ["race", "gender"]).collect()} \
+        == {"m1": ("Black Male", "White Male"), "m2": ("White Male", "Black Male")}
+
+
+def test_permuted_rows_are_a_permutation_of_every_row(spark):
+    from equitally.operators.explain import permuted_rows
+    df = spark.range(500).selectExpr("id as app_id", "cast(id % 2 as int) as target", "id * 1.5 as a", "cast(id as string) as b")
+    out = permuted_rows(df, ["a", "b"], repeats=2, rows_per_shuffle=60).collect()
+    assert len(out) == 2000
+    for f in ("a", "b"):
+        for rep in (0, 1):
+            rows = [r for r in out if r.feature == f and r.repeat == rep]
+            assert sorted(str(r[f]) for r in rows) == sorted(str(i * 1.5 if f == "a" else i) for i in range(500))
+            other = "b" if f == "a" else "a"
+            assert all(str(r[other]) == str(r.app_id if other == "b" else r.app_id * 1.5) for r in rows)
+            assert sum(str(r[f]) == str(r.app_id * 1.5 if f == "a" else r.app_id) for r in rows) < 5

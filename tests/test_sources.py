@@ -54,6 +54,9 @@ def test_land_extracts_partitioned(spark, tmp_dir):
     back = spark.read.parquet(out)
     assert back.where("extract_counties = 'big4'").count() == 4
     assert sorted(r[0] for r in back.select("extract_counties").distinct().collect()) == ["48453", "big4"]
+    ingest.land_extracts(raw, out, 2023, "TX", "48453")
+    assert spark.read.parquet(out).groupBy("extract_counties").count().collect() \
+        and {r[0]: r[1] for r in spark.read.parquet(out).groupBy("extract_counties").count().collect()} == {"48453": 4, "big4": 4}
 
 
 def test_payload_rules(spark):
@@ -72,18 +75,18 @@ def test_rows_per_county(spark, tmp_dir):
     assert [tuple(r) for r in ingest.rows_per_county(df).collect()] == [(1, 2), (2, 1)]
 
 
-def test_report_sinks_and_bound(spark, tmp_dir):
+def test_report_sinks(spark, tmp_dir):
     df = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "k string, v double")
     sinks.write_report_csv(df, os.path.join(tmp_dir, "r.csv"))
-    sinks.write_metrics_json(df, os.path.join(tmp_dir, "m.json"))
+    sinks.write_metrics_json(df, os.path.join(tmp_dir, "m.json"), single_file=True)
     files = [f for f in os.listdir(os.path.join(tmp_dir, "m.json")) if f.endswith(".json")]
     assert len(files) == 1
     with open(os.path.join(tmp_dir, "m.json", files[0])) as f:
         assert [json.loads(x)["k"] for x in f] == ["a", "b"]
     back = spark.read.option("header", True).csv(os.path.join(tmp_dir, "r.csv"))
     assert back.count() == 2
-    with pytest.raises(ValueError):
-        sinks.write_report_csv(spark.range(10), os.path.join(tmp_dir, "big.csv"), limit=5)
+    sinks.write_report_csv(spark.range(150_000).repartition(3), os.path.join(tmp_dir, "big.csv"))
+    assert spark.read.option("header", True).csv(os.path.join(tmp_dir, "big.csv")).count() == 150_000
     sinks.write_parquet(df, os.path.join(tmp_dir, "p"), partition_by=["k"])
     assert spark.read.parquet(os.path.join(tmp_dir, "p")).count() == 2
 
@@ -116,10 +119,46 @@ def test_landed_file_check(spark, tmp_dir):
     assert not res["other.csv"]["header_ok"] and not res["other.csv"]["accepted"]
 
 
-def test_row_keys_unique_for_duplicate_rows(spark):
-    df = spark.createDataFrame([("a", "1")] * 50 + [("b", "2")] * 3, "x string, y string").repartition(4)
-    keyed = ingest.assign_row_key(df)
-    assert keyed.select("app_id").distinct().count() == 53
+def test_row_keys_depend_on_rows_alone(spark, monkeypatch):
+    monkeypatch.setattr(ingest, "OCCURRENCES_PER_TASK", 7)
+    rows = [("a", "1")] * 50 + [("b", None)] * 3 + [(None, "b")] * 2 + [("", "x")]
+    keys = []
+    for parts in (1, 5):
+        keyed = ingest.assign_row_key(spark.createDataFrame(rows, "x string, y string").repartition(parts)).collect()
+        assert len({r["app_id"] for r in keyed}) == len(rows)
+        keys.append(sorted((str(r["x"]), str(r["y"]), r["app_id"]) for r in keyed))
+    assert keys[0] == keys[1]
+
+
+def test_swapped_columns_in_a_second_file_are_an_error(spark, tmp_dir):
+    for name, text in (("a.csv", "p,q\n1,2\n"), ("b.csv", "q,p\n1,2\n")):
+        with open(os.path.join(tmp_dir, name), "w") as f:
+            f.write(text)
+    with pytest.raises(Exception, match="header|HEADER|schema"):
+        ingest.read_raw_csv(spark, tmp_dir, ["p", "q"]).collect()
+
+
+def test_header_with_quoted_commas(spark, tmp_dir):
+    path = os.path.join(tmp_dir, "h.csv")
+    with open(path, "w") as f:
+        f.write('a,"b, c",d\n1,2,3\n')
+    assert ingest.read_header(spark, path) == ["a", "b, c", "d"]
+
+
+def test_pages_behind_blank_lines_or_comments_are_rejected(spark, tmp_dir):
+    pages = {"blank.csv": "\n\n <!DOCTYPE html><p>x", "comment.csv": "<!-- c --><html>", "good.csv": "a,b\n1,<html>\n"}
+    for name, text in pages.items():
+        with open(os.path.join(tmp_dir, name), "w") as f:
+            f.write(text if name != "good.csv" else "a,b\n" + "1,2\n" * 60 + "1,<html>\n")
+    got = {os.path.basename(r["file_path"]): r["accepted"] for r in ingest.check_landed_files(spark, tmp_dir).collect()}
+    assert got == {"blank.csv": False, "comment.csv": False, "good.csv": True}
+
+
+def test_code_columns_take_whole_numbers_in_range_only(spark):
+    rows = [("1", c) for c in ("48029", "48029.0", "1.5", "99999999999", "x", None)]
+    df = spark.createDataFrame(rows, "action_taken string, county_code string").withColumn("app_id", F.monotonically_increasing_id())
+    from equitally.operators.clean import prepare_features
+    assert [r["county_code"] for r in prepare_features(df).orderBy("app_id").collect()] == [48029, 48029, None, None, None, None]
 
 
 def test_prepare_from_csv(spark, tmp_dir):
