@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,9 +15,16 @@ from equitally import session
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def write_table(df: DataFrame, name: str) -> DataFrame:
+def write_table(df: DataFrame, name: str, rows: int | None = None, per_file: int = 200_000) -> DataFrame:
     """``session.write_table``; the job's shuffle files go as soon as the table
-    is there, not when the driver happens to collect its garbage."""
+    is there, not when the driver happens to collect its garbage.
+
+    ``rows``, if known, bounds the table's rows: its last stage then has a task
+    and a file for every ``per_file`` of them, not one for every shuffle
+    partition however small.
+    """
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // per_file)))
     conf = df.sparkSession.conf
     was = conf.get(CLEANUP, None)
     conf.set(CLEANUP, "true")
@@ -26,7 +34,17 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
         conf.unset(CLEANUP) if was is None else conf.set(CLEANUP, was)
 
 
+def importable(spark: SparkSession) -> None:
+    """Python workers on this machine find the package where the driver found
+    it (a cluster ships it as any job's code)."""
+    place = os.path.dirname(os.path.dirname(os.path.abspath(session.__file__)))
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if place not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [known, place]))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -83,16 +101,17 @@ def starts_of_runs(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def connected_components(edges: DataFrame, name: str, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, name: str, at_most: int | None = None, max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b: long), root the smallest
     node of its component.
 
     Alternating large-star and small-star steps; every round is one written
     table in the shared folder, so no lineage grows and a lost executor costs
-    one round at most.  A node's neighbours only meet in a ``min``.
+    one round at most.  A node's neighbours only meet in a ``min``.  ``at_most``
+    is a bound of the number of edges, if known; it only sizes files.
     """
     now = write_table(edges.where("a <> b").select(
-        F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-links")
+        F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-links", at_most)
     mark = _digest(now)
     for _ in range(max_rounds):
         if not mark[0]:
@@ -104,7 +123,7 @@ def connected_components(edges: DataFrame, name: str, max_rounds: int = 60) -> D
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")) \
             .unionByName(low.select("a", F.col("m").alias("b"))).distinct()
-        now = write_table(small, f"{name}-links")
+        now = write_table(small, f"{name}-links", 2 * mark[0])
         was, mark = mark, _digest(now)
         if mark == was:
             break

@@ -147,8 +147,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not 0 <= distance <= 4:
         raise ValueError("distance must be 0 to 4")
     fps = write_table(fingerprints(docs, id_col, text_col), "simhash-fps")
-    distinct = write_table(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "simhash-distinct")
-    roots = connected_components(links(distinct, distance), "simhash")
+    n = fps.count()
+    distinct = write_table(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "simhash-distinct", n)
+    roots = connected_components(links(distinct, distance), "simhash", n)
     grouped = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left") \
         .select("fp", "least", "n", F.coalesce("root", "fp").alias("root"), F.col("root").isNotNull().alias("linked"))
     by_root = grouped.where("linked").groupBy("root").agg(F.min("least").alias("component_id"))
