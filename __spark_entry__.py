@@ -401,6 +401,125 @@ def q_m7_function_scores(spark, sf_dir):
     return rounded(score_with_function(prepared, predict, ["x"], "logistic_numpy", batch_rows=1000))
 
 
+def q_m_score_contracts(spark, sf_dir):
+    """Every fitted model scores every test row: keys, labels and the two rules
+    that hold whatever the model (its scores themselves have no SQL)."""
+    from equitally.operators.models import score
+    parts = []
+    for kind in ("logistic", "forest", "gbt", "blind"):
+        m, test = _fit(spark, sf_dir, kind)
+        parts.append(score(m, test))
+    scored = parts[0]
+    for more in parts[1:]:
+        scored = scored.unionByName(more)
+    return scored.select("app_id", "model", "y", F.col("p").between(0.0, 1.0).alias("p_in_unit"),
+                         (F.col("yhat") == (F.col("p") >= 0.5).cast("int")).alias("yhat_at_half"))
+
+
+def q_m3_rounds(spark, sf_dir):
+    """Boosting rounds of the champion and the blind model: fitted, kept, trees."""
+    from equitally.plans.train import fitted_model
+    rows = [(k, m.rounds, m.best_iteration, m.classifier.getNumTrees) for k in ("gbt", "blind") for m in [fitted_model(spark, sf_dir, k)]]
+    return spark.createDataFrame(rows, "model string, rounds int, best_iteration int, trees int")
+
+
+# --- the audit of the fitted champion and blind model ---------------------- #
+
+def _fitted_cells(spark, sf_dir):
+    from equitally.operators.cells import LABEL_SOURCES, scored_audit_rows
+    from equitally.operators.models import score
+    parts = []
+    for kind in ("gbt", "blind"):
+        m, test = _fit(spark, sf_dir, kind)
+        parts.append(score(m, test, keep=LABEL_SOURCES))
+    return audit_cells(scored_audit_rows(parts[0].unionByName(parts[1])))
+
+
+def _all_in_unit(*names):
+    ok = F.lit(True)
+    for n in names:
+        ok = ok & F.coalesce(F.col(n).between(0.0, 1.0), F.lit(True))
+    return ok
+
+
+def q_c5_fitted(spark, sf_dir):
+    m = fair.group_metrics(_fitted_cells(spark, sf_dir))
+    return m.select("model", "attribute", "group_label", "group_order", "n",
+                    _all_in_unit("accuracy", "selection_rate", "tpr", "fpr").alias("rates_in_unit"))
+
+
+def q_c10_fitted(spark, sf_dir):
+    c = fair.model_comparison(_fitted_cells(spark, sf_dir), full="gbt", blind="blind")
+    agree = F.lit(True)
+    for k in ("accuracy", "selection_rate", "tpr", "fpr"):
+        agree = agree & F.coalesce(F.abs(F.col(f"blind_{k}") - F.col(f"full_{k}") - F.col(f"delta_{k}")) < 1e-12, F.lit(True))
+    return c.select("attribute", "group_label", "group_order", F.col("full_accuracy").isNotNull().alias("present"), agree.alias("deltas_agree"))
+
+
+def q_c12_fitted(spark, sf_dir):
+    m = fair.intersectional_metrics(_fitted_cells(spark, sf_dir), ["race", "age"])
+    return m.select("model", "intersection", "count", (F.col("approved") + F.col("denied") == F.col("count")).alias("decisions_add_up"))
+
+
+def q_d5_fitted(spark, sf_dir):
+    t = cal.calibration_table(_fitted_cells(spark, sf_dir))
+    return rounded(t.select("model", "attribute", "group_label", "sample_size", "actual_approval_rate",
+                            _all_in_unit("mean_predicted_probability", "ece", "brier_score").alias("in_unit")))
+
+
+# --- the same path for a scorer that SQL knows ----------------------------- #
+
+CLOSED_FORM_INPUTS = ["income", "debt_to_income_ratio", "loan_amount"]
+
+
+def _closed_form(pdf):
+    import numpy as np
+    z = (pdf["income"] - 345.0) / 80.0 - (pdf["debt_to_income_ratio"] - 38.0) / 30.0 + (pdf["loan_amount"] - 140000.0) / 200000.0
+    return 1.0 / (1.0 + np.exp(-z))
+
+
+def _closed_scores(rows, keep):
+    from equitally.operators.models import score_with_function
+    return score_with_function(rows, _closed_form, CLOSED_FORM_INPUTS, "closed", keep=keep, batch_rows=4096)
+
+
+def q_m7_closed_form(spark, sf_dir):
+    return rounded(_closed_scores(cleaned_applications(spark, sf_dir), ("app_id",)).select("app_id", "model", "y", "p", "yhat"))
+
+
+def _closed_cells(spark, sf_dir):
+    from equitally.operators.cells import LABEL_SOURCES, scored_audit_rows
+    return audit_cells(scored_audit_rows(_closed_scores(cleaned_applications(spark, sf_dir), LABEL_SOURCES)))
+
+
+def q_c5_closed_form(spark, sf_dir):
+    return rounded(fair.group_metrics(_closed_cells(spark, sf_dir)))
+
+
+def q_c8_closed_form(spark, sf_dir):
+    return rounded(fair.fairness_summary(_closed_cells(spark, sf_dir)))
+
+
+def q_c12_closed_form(spark, sf_dir):
+    return rounded(fair.intersectional_metrics(_closed_cells(spark, sf_dir), ["race", "age"]))
+
+
+def q_d5_closed_form(spark, sf_dir):
+    return rounded(cal.calibration_table(_closed_cells(spark, sf_dir)))
+
+
+def q_e4_closed_form(spark, sf_dir):
+    from equitally.operators.explain import importance_from_scores
+    return rounded(importance_from_scores(_closed_scores, cleaned_applications(spark, sf_dir), CLOSED_FORM_INPUTS))
+
+
+def q_e6_top_lenders(spark, sf_dir):
+    """E6 over more rows than its limit: the applicants with the highest mean score."""
+    from equitally.operators.explain import top_n
+    v = application_view(spark, sf_dir, ["lei", "y_prob"])
+    return rounded(top_n(v.groupBy("lei").agg(F.round(F.avg("y_prob"), 9).alias("mean_score")), "mean_score", 20))
+
+
 def q_e1_top_coefficients(spark, sf_dir):
     from equitally.operators.explain import coefficient_table
     m, test = _fit(spark, sf_dir, "logistic")
@@ -518,6 +637,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "m5_blind_scores": _scores("blind"),
         "m6_model_leaderboard": q_m6_model_leaderboard,
         "m7_function_scores": q_m7_function_scores,
+        "m_score_contracts": q_m_score_contracts,
+        "m3_rounds": q_m3_rounds,
+        "c5_fitted": q_c5_fitted,
+        "c10_fitted": q_c10_fitted,
+        "c12_fitted": q_c12_fitted,
+        "d5_fitted": q_d5_fitted,
+        "m7_closed_form": q_m7_closed_form,
+        "c5_closed_form": q_c5_closed_form,
+        "c8_closed_form": q_c8_closed_form,
+        "c12_closed_form": q_c12_closed_form,
+        "d5_closed_form": q_d5_closed_form,
+        "e4_closed_form": q_e4_closed_form,
+        "e6_top_lenders": q_e6_top_lenders,
         "e1_top_coefficients": q_e1_top_coefficients,
         "e2_forest_importance": q_e2_forest_importance,
         "e3_gbt_importance": q_e3_gbt_importance,

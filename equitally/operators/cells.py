@@ -26,6 +26,19 @@ LABEL_KEYS = ["race", "gender", "age", "county"]
 MEASURES = ["n", "n_pos", "tp", "fp", "sum_p", "sum_sq"]
 
 
+LABEL_SOURCES = ["derived_race", "derived_sex", "applicant_age", "county_code"]
+
+
+def label_columns() -> list:
+    """Audit labels from the cleaned columns ``LABEL_SOURCES``."""
+    return [
+        race_label("derived_race").alias("race"),
+        gender_label("derived_sex").alias("gender"),
+        age_label("applicant_age").alias("age"),
+        county_label("county_code").alias("county"),
+    ]
+
+
 def audit_rows(df: DataFrame, scores: str | dict[str, str] = "y_prob", target: str = TARGET,
                threshold: float = THRESHOLD, prediction: str | None = None) -> DataFrame:
     """Scored, labelled rows ``(model, y, p, yhat, race, gender, age, county)``.
@@ -35,13 +48,7 @@ def audit_rows(df: DataFrame, scores: str | dict[str, str] = "y_prob", target: s
     inside the same scan (no self-join).  ``yhat`` is ``p >= threshold``
     unless a hard ``prediction`` column is given.
     """
-    labels = [
-        race_label("derived_race").alias("race"),
-        gender_label("derived_sex").alias("gender"),
-        age_label("applicant_age").alias("age"),
-        county_label("county_code").alias("county"),
-    ]
-    base = [F.col(target).cast("int").alias("y")] + labels
+    base = [F.col(target).cast("int").alias("y")] + label_columns()
     if isinstance(scores, str):
         out = df.select(F.lit("model").alias("model"), F.col(scores).cast("double").alias("p"),
                         *([F.col(prediction).cast("int").alias("yhat")] if prediction else []), *base)
@@ -55,6 +62,12 @@ def audit_rows(df: DataFrame, scores: str | dict[str, str] = "y_prob", target: s
     return out.select("model", "y", "p", "yhat", *LABEL_KEYS)
 
 
+def scored_audit_rows(scored: DataFrame) -> DataFrame:
+    """Audit rows of the long output of ``models.score`` (model, y, p, yhat) that
+    kept ``LABEL_SOURCES``: any number of models, no pivot, no shuffle."""
+    return scored.select("model", "y", "p", "yhat", *label_columns())
+
+
 def audit_cells(rows: DataFrame, keys: list[str] | None = None, ece_bins: int = ECE_BINS,
                 curve_bins: int = CURVE_BINS) -> DataFrame:
     """Aggregate audit rows into additive cells (one partial+final hash agg).

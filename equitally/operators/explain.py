@@ -37,6 +37,8 @@ def slot_names(trained: TrainedModel, df: DataFrame) -> list[str]:
         elif "__ohe_" in raw:
             base, level = raw.split("__ohe_", 1)
             names.append(f"cat__{base}_{level}")
+        elif raw.endswith("__num"):
+            names.append("num__" + raw[: -len("__num")])
         elif raw.endswith("__ord") or raw.endswith("__idx"):
             names.append("cat__" + raw.rsplit("__", 1)[0])
         else:

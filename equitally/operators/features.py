@@ -8,12 +8,12 @@ as row data.
 from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from equitally.functions.sqltext import ident
 from equitally.sources.schema import TARGET
 
 
@@ -55,12 +55,31 @@ def fit_standard_scaler(train: DataFrame, columns: list[str]) -> dict[str, tuple
     return out
 
 
+def scaled_sql(column: str, mean: float, std: float) -> str:
+    """(x − mean) / std with the fitted literals."""
+    return f"(CAST({ident(column)} AS DOUBLE) - {mean!r}D) / {std!r}D"
+
+
 def apply_standard_scaler(df: DataFrame, stats: dict[str, tuple[float, float]], suffix: str = "") -> DataFrame:
-    """(x − mean) / std with the fitted literals (no shuffle, no join)."""
-    out = df
-    for c, (m, s) in stats.items():
-        out = out.withColumn(c + suffix, (F.col(c).cast("double") - F.lit(m)) / F.lit(s))
-    return out
+    """Scaled columns from the fitted literals (no shuffle, no join)."""
+    return df.withColumns({c + suffix: F.expr(scaled_sql(c, m, s)) for c, (m, s) in stats.items()})
+
+
+def scaling_stage(stats: dict[str, tuple[float, float]]) -> SQLTransformer:
+    """The same as a pipeline stage (``x__std``); a missing value takes the
+    mean, so it neither raises nor lowers a linear score."""
+    exprs = ", ".join(f"coalesce(nanvl({scaled_sql(c, m, s)}, NULL), 0.0D) AS {ident(c + '__std')}" for c, (m, s) in stats.items())
+    return SQLTransformer(statement=f"SELECT *, {exprs} FROM __THIS__")
+
+
+# Trees see a missing number as a value of its own, ordered before all others.
+MISSING = -1e12
+
+
+def missing_stage(columns: list[str]) -> SQLTransformer:
+    """Numeric tree inputs (``x__num``) in which missing is an ordered value."""
+    exprs = ", ".join(f"coalesce(nanvl(CAST({ident(c)} AS DOUBLE), NULL), {MISSING!r}D) AS {ident(c + '__num')}" for c in columns)
+    return SQLTransformer(statement=f"SELECT *, {exprs} FROM __THIS__")
 
 
 # --------------------------------------------------------------------------- #
@@ -96,11 +115,20 @@ def one_hot_index(df: DataFrame, column: str) -> DataFrame:
              .withColumn(f"{column}_size", F.size(arr))
 
 
+def ordinal_sql(model_column: str, n_levels: int) -> str:
+    """indexer output with the 'unknown' index mapped to −1."""
+    return f"CASE WHEN {ident(model_column)} >= {n_levels} THEN -1.0D ELSE CAST({ident(model_column)} AS DOUBLE) END"
+
+
 def ordinal_codes(df: DataFrame, model_column: str, n_levels: int, output: str) -> DataFrame:
-    """indexer output with the 'unknown' index mapped to −1, as an
-    ordered number (no nominal metadata, so trees split on order)."""
-    idx = F.col(model_column).cast("int")
-    return df.withColumn(output, F.when(idx >= n_levels, F.lit(-1)).otherwise(idx).cast("double"))
+    """F7 as an ordered number (no nominal metadata, so trees split on order)."""
+    return df.withColumn(output, F.expr(ordinal_sql(model_column, n_levels)))
+
+
+def ordinal_stage(levels: dict[str, int]) -> SQLTransformer:
+    """The same as a pipeline stage (``x__idx`` → ``x__ord``)."""
+    exprs = ", ".join(f"{ordinal_sql(c + '__idx', n)} AS {ident(c + '__ord')}" for c, n in levels.items())
+    return SQLTransformer(statement=f"SELECT *, {exprs} FROM __THIS__")
 
 
 # --------------------------------------------------------------------------- #
@@ -139,26 +167,5 @@ def assembler(inputs: list[str], output: str = "features") -> VectorAssembler:
     return VectorAssembler(inputCols=inputs, outputCol=output, handleInvalid="keep")
 
 
-def feature_names(df: DataFrame, vector_column: str = "features") -> list[tuple[int, str]]:
-    """(position, name) of every slot of an assembled vector, from the ML
-    attribute metadata the stages attach (numeric ``x``, one-hot ``x_level``)."""
-    meta = df.schema[vector_column].metadata.get("ml_attr", {})
-    attrs = meta.get("attrs", {})
-    out = []
-    for group in attrs.values():
-        for a in group:
-            out.append((a["idx"], a.get("name", f"f{a['idx']}")))
-    if not out:
-        out = [(i, f"f{i}") for i in range(meta.get("num_attrs", 0))]
-    return sorted(out)
-
-
-def feature_name_table(df: DataFrame, vector_column: str = "features") -> DataFrame:
-    """F11 as a DataFrame: (position, feature)."""
-    names = feature_names(df, vector_column)
-    schema = T.StructType([T.StructField("position", T.IntegerType()), T.StructField("feature", T.StringType())])
-    return df.sparkSession.createDataFrame(names, schema)
-
-
 def fit_pipeline(train: DataFrame, stages: list) -> PipelineModel:
     return Pipeline(stages=stages).fit(train)

@@ -7,13 +7,13 @@ shuffle, and ``write().save()`` / ``PipelineModel.load()`` persist it.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import json
+from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import SQLTransformer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,22 +22,21 @@ from equitally.operators.features import (
     assembler,
     balanced_weights,
     fit_standard_scaler,
+    missing_stage,
     one_hot_stages,
+    ordinal_stage,
     positive_class_weight,
+    scaling_stage,
     string_indexer,
 )
 from equitally.operators.sampling import hash_order
-from equitally.session import checkpoint_dir
+from equitally.session import checkpoint_dir, write_table
 from equitally.sources.schema import PROTECTED_FEATURES, SEED, TARGET, THRESHOLD
 
 NOT_FEATURES = {"app_id", TARGET, "y_prob", "y_prob_blind", "split", "weight", "is_validation",
                 "model", "y", "p", "yhat"}
 
 
-def bq(name: str) -> str:
-    return f"`{name}`"
-
-
 def feature_columns(df: DataFrame, exclude=()) -> tuple[list[str], list[str]]:
     """(numeric, categorical) model inputs of a cleaned table."""
     skip = NOT_FEATURES | set(exclude)
@@ -60,11 +59,6 @@ def validation_indicator(df: DataFrame, fraction: float = 0.1, key: str = "app_i
     return df.withColumn(output, h < F.lit(fraction * 16 ** 8))
 
 
-def _scaling_stage(stats: dict[str, tuple[float, float]]) -> SQLTransformer:
-    exprs = ", ".join(f"(CAST({bq(c)} AS DOUBLE) - {m!r}) / {s!r} AS {bq(c + '__std')}" for c, (m, s) in stats.items())
-    return SQLTransformer(statement=f"SELECT *, {exprs} FROM __THIS__")
-
-
 @dataclass
 class TrainedModel:
     name: str
@@ -72,6 +66,9 @@ class TrainedModel:
     numeric: list[str]
     categorical: list[str]
     inputs: list[str] = field(default_factory=list)
+    # boosted trees: rounds fitted, and the round (from 0) that was kept last
+    rounds: int | None = None
+    best_iteration: int | None = None
 
     @property
     def classifier(self):
@@ -88,20 +85,13 @@ def train_logistic(train: DataFrame, name: str = "logistic", exclude=(), max_ite
     stats = fit_standard_scaler(weighted, numeric)
     total_w = weighted.agg(F.sum("weight")).first()[0]
     inputs = [f"{x}__std" for x in numeric] + [f"{x}__ohe" for x in categorical]
-    stages = [_scaling_stage(stats), *(one_hot_stages(categorical) if categorical else []), assembler(inputs),
+    stages = [scaling_stage(stats), *(one_hot_stages(categorical) if categorical else []), assembler(inputs),
               LogisticRegression(featuresCol="features", labelCol=TARGET, weightCol="weight",
                                  regParam=1.0 / (c * total_w), elasticNetParam=0.0, standardization=False,
                                  maxIter=max_iter, tol=tol, fitIntercept=True)]
     return TrainedModel(name, Pipeline(stages=stages).fit(weighted), numeric, categorical, inputs)
 
 
-def _ordinal_stage(categorical: list[str], levels: dict[str, int]) -> SQLTransformer:
-    exprs = ", ".join(
-        f"CASE WHEN {bq(c + '__idx')} >= {levels[c]} THEN -1.0 ELSE {bq(c + '__idx')} END AS {bq(c + '__ord')}"
-        for c in categorical)
-    return SQLTransformer(statement=f"SELECT *, {exprs} FROM __THIS__")
-
-
 def train_forest(train: DataFrame, name: str = "forest", exclude=(), num_trees: int = 100, max_depth: int = 10,
                  min_instances: int = 2, seed: int = SEED) -> TrainedModel:
     """M2: random forest on numerics + ordinal-coded categoricals (unknown
@@ -110,9 +100,9 @@ def train_forest(train: DataFrame, name: str = "forest", exclude=(), num_trees:
     weighted = balanced_weights(train, output="weight")
     indexers = Pipeline(stages=[string_indexer(c) for c in categorical]).fit(weighted) if categorical else None
     levels = {c: len(m.labels) for c, m in zip(categorical, indexers.stages)} if indexers else {}
-    inputs = numeric + [f"{c}__ord" for c in categorical]
-    pre = [*(indexers.stages if indexers else []), *([_ordinal_stage(categorical, levels)] if categorical else []),
-           assembler(inputs)]
+    inputs = [f"{c}__num" for c in numeric] + [f"{c}__ord" for c in categorical]
+    pre = [*([missing_stage(numeric)] if numeric else []), *(indexers.stages if indexers else []),
+           *([ordinal_stage(levels)] if categorical else []), assembler(inputs)]
     prepared = PipelineModel(stages=pre).transform(weighted)
     rf = RandomForestClassifier(featuresCol="features", labelCol=TARGET, weightCol="weight", numTrees=num_trees,
                                 maxDepth=max_depth, minInstancesPerNode=min_instances,
@@ -120,32 +110,78 @@ def train_forest(train: DataFrame, name: str = "forest", exclude=(), num_trees:
     return TrainedModel(name, PipelineModel(stages=[*pre, rf]), numeric, categorical, inputs)
 
 
+# Round counts that early stopping fits in turn, and its patience.
+ROUND_STEPS = (60, 180)
+PATIENCE = 30
+# Training rows per task: boosting is many short jobs over the same rows.
+ROWS_PER_TASK = 50_000
+
+
 def train_gbt(train: DataFrame, name: str = "gbt", exclude=(), max_iter: int = 600, step: float = 0.05,
               max_depth: int = 6, subsample: float = 0.9, feature_fraction: str = "0.8",
-              min_instances: int = 2, validation_tol: float = 1e-4, seed: int = SEED,
+              min_instances: int = 2, patience: int = PATIENCE, seed: int = SEED,
               class_weight: bool = True, early_stopping: bool = True) -> TrainedModel:
     """M3 / M5: gradient-boosted trees with native categorical splits (F8),
     positive-class weight (F10) and early stopping on a held-out part of
     train (M4).  ``exclude`` drops inputs (the blind model drops the
-    protected attributes)."""
+    protected attributes).  A missing number is a value of its own.
+
+    Boosting stops once the held-out log loss has not improved for
+    ``patience`` rounds, and the model is fitted up to the best round.  The
+    first trees of a longer fit are those of a shorter one, so the rounds are
+    tried in steps (``ROUND_STEPS``) and the rule reads the loss of every round.
+    """
     numeric, categorical = feature_columns(train, exclude)
     data = validation_indicator(train)
     data = positive_class_weight(data, output="weight") if class_weight else data.withColumn("weight", F.lit(1.0))
-    idx = [string_indexer(c) for c in categorical]
-    inputs = numeric + [f"{c}__idx" for c in categorical]
+    inputs = [f"{c}__num" for c in numeric] + [f"{c}__idx" for c in categorical]
     arity = 0
     if categorical:
         counts = data.agg(*[F.countDistinct(c).alias(f"d{i}") for i, c in enumerate(categorical)]).first()
         arity = max(counts)
     checkpoint_dir(train.sparkSession)
-    stopping = {"validationIndicatorCol": "is_validation", "validationTol": validation_tol} if early_stopping else {}
-    gbt = GBTClassifier(featuresCol="features", labelCol=TARGET, weightCol="weight", maxIter=max_iter,
-                        stepSize=step, maxDepth=max_depth, subsamplingRate=subsample,
-                        featureSubsetStrategy=feature_fraction, minInstancesPerNode=min_instances,
-                        seed=seed, maxBins=max(32, arity + 2), cacheNodeIds=True, checkpointInterval=10,
-                        **stopping)
-    model = Pipeline(stages=[*idx, assembler(inputs), gbt]).fit(data)
-    return TrainedModel(name, model, numeric, categorical, inputs)
+    pre = Pipeline(stages=[*([missing_stage(numeric)] if numeric else []), *[string_indexer(c) for c in categorical],
+                           assembler(inputs)]).fit(data)
+    # all rounds read the assembled rows from one written table
+    prepared = pre.transform(data).select("features", TARGET, "weight", "is_validation")
+    ready = write_table(prepared, "gbt-rows")
+    ready = with_metadata(ready.coalesce(max(1, -(-ready.count() // ROWS_PER_TASK))), prepared, "features")
+    fit_on, held_out = (ready.where("not is_validation"), ready.where("is_validation")) if early_stopping else (ready, None)
+
+    def fit(rounds: int):
+        return GBTClassifier(featuresCol="features", labelCol=TARGET, weightCol="weight", maxIter=rounds,
+                             stepSize=step, maxDepth=max_depth, subsamplingRate=subsample,
+                             featureSubsetStrategy=feature_fraction, minInstancesPerNode=min_instances,
+                             seed=seed, maxBins=max(32, arity + 2), checkpointInterval=25).fit(fit_on)
+
+    rounds, best = max_iter, max_iter - 1
+    if early_stopping and not held_out.isEmpty():
+        for rounds in [*[r for r in ROUND_STEPS if r < max_iter], max_iter]:
+            fitted = fit(rounds)
+            best, waited = best_round(list(fitted.evaluateEachIteration(held_out)), patience)
+            if waited:
+                break
+        if best + 1 < rounds:
+            fitted = fit(best + 1)
+    else:
+        fitted = fit(max_iter)
+    return TrainedModel(name, PipelineModel(stages=[*pre.stages, fitted]), numeric, categorical, inputs, rounds, best)
+
+
+def best_round(losses: list[float], patience: int) -> tuple[int, bool]:
+    """(round with the least loss before patience ran out, whether it did)."""
+    best = 0
+    for i, loss in enumerate(losses):
+        if loss < losses[best]:
+            best = i
+        elif i - best >= patience:
+            return best, True
+    return best, False
+
+
+def with_metadata(df: DataFrame, like: DataFrame, column: str) -> DataFrame:
+    """``df`` with the ML attributes that ``like`` has for ``column``."""
+    return df.withMetadata(column, like.schema[column].metadata)
 
 
 def train_blind(train: DataFrame, protected=tuple(PROTECTED_FEATURES), parity: bool = False,
@@ -181,37 +217,41 @@ def score_with_function(df: DataFrame, predict, feature_cols: list[str], name: s
     """M7: bounded-memory scoring with any Python scorer.
 
     ``predict(pandas.DataFrame) -> array of probabilities`` runs inside
-    ``mapInPandas`` on Arrow batches of at most ``batch_rows`` rows
-    (``spark.sql.execution.arrow.maxRecordsPerBatch``), so memory per task is
-    bounded however large the table is.  Scoring is embarrassingly parallel:
-    no shuffle.
+    ``mapInPandas`` on at most ``batch_rows`` rows at a time (default: one Arrow
+    batch), so memory per task is bounded however large the table is.  Scoring
+    is embarrassingly parallel: no shuffle.
     """
     cols = [c for c in keep if c in df.columns]
-    if batch_rows:
-        df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
     schema = T.StructType([*[df.schema[c] for c in cols], T.StructField("model", T.StringType()),
                            T.StructField("y", T.IntegerType()), T.StructField("p", T.DoubleType())])
 
     def run(batches):
         import pandas as pd
 
-        for pdf in batches:
-            probs = predict(pdf[feature_cols])
-            out = pdf[cols].copy()
-            out["model"] = name
-            out["y"] = pdf[label].astype("int32")
-            out["p"] = pd.Series(probs, index=pdf.index).astype("float64")
-            yield out
+        for whole in batches:
+            size = batch_rows or max(1, len(whole))
+            for at in range(0, len(whole), size):
+                pdf = whole.iloc[at:at + size]
+                out = pdf[cols].copy()
+                out["model"] = name
+                out["y"] = pdf[label].astype("int32")
+                out["p"] = pd.Series(predict(pdf[feature_cols]), index=pdf.index).astype("float64")
+                yield out
 
     scored = df.select(*cols, *[c for c in feature_cols if c not in cols], label).mapInPandas(run, schema)
     return scored.withColumn("yhat", predict_at("p", threshold))
 
 
 def save_model(trained: TrainedModel, path: str) -> None:
-    """Persist the fitted pipeline (Spark ML format, any shared FS)."""
+    """Persist the fitted pipeline (Spark ML format, any shared FS) with the
+    model's name, inputs and boosting rounds."""
     trained.model.write().overwrite().save(path)
+    about = {k: v for k, v in asdict(replace(trained, model=None)).items() if k != "model"}
+    spark = SparkSession.active()
+    spark.createDataFrame([(json.dumps(about),)], "about string").coalesce(1).write.mode("overwrite").text(f"{path.rstrip('/')}-about")
 
 
-def load_model(path: str, name: str, numeric: list[str], categorical: list[str]) -> TrainedModel:
-    """Load a persisted pipeline."""
-    return TrainedModel(name, PipelineModel.load(path), numeric, categorical)
+def load_model(path: str) -> TrainedModel:
+    """Load a persisted pipeline with its name and input lists."""
+    about = SparkSession.active().read.text(f"{path.rstrip('/')}-about").first()[0]
+    return TrainedModel(model=PipelineModel.load(path), **json.loads(about))

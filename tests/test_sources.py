@@ -97,7 +97,8 @@ def test_model_save_load_roundtrip(spark, tmp_dir):
                                "app_id long, x double, c string, target int")
     m = train_logistic(df)
     save_model(m, os.path.join(tmp_dir, "lr"))
-    m2 = load_model(os.path.join(tmp_dir, "lr"), "logistic", m.numeric, m.categorical)
+    m2 = load_model(os.path.join(tmp_dir, "lr"))
+    assert (m2.name, m2.numeric, m2.categorical, m2.inputs) == (m.name, m.numeric, m.categorical, m.inputs)
     a = {r["app_id"]: r["p"] for r in score(m, df).collect()}
     b = {r["app_id"]: r["p"] for r in score(m2, df).collect()}
     assert a == b
