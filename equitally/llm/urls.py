@@ -80,12 +80,11 @@ def suffix(host: str, labels: int) -> Column:
     return F.substring_index(F.col(host), ".", -labels)
 
 
-def suffix_statistics(labelled: DataFrame, labels: int) -> DataFrame:
-    """(suffix, rate): smoothed share of blocked urls by host suffix."""
-    total = labelled.agg(F.avg("label").alias("base"))
+def suffix_statistics(labelled: DataFrame, labels: int, share: float) -> DataFrame:
+    """(suffix, rate): share of blocked urls by host suffix, smoothed to the overall ``share``."""
     return labelled.groupBy(suffix("host", labels).alias(f"suffix{labels}")) \
-        .agg(F.sum("label").alias("bad"), F.count("*").alias("n")).join(F.broadcast(total)) \
-        .select(f"suffix{labels}", ((F.col("bad") + SMOOTHING * F.col("base")) / (F.col("n") + SMOOTHING)).alias(f"f_suffix{labels}"))
+        .agg(F.sum("label").alias("bad"), F.count("*").alias("n")) \
+        .select(f"suffix{labels}", ((F.col("bad") + SMOOTHING * share) / (F.col("n") + SMOOTHING)).alias(f"f_suffix{labels}"))
 
 
 def train(labelled: DataFrame, rows: int = TRAIN_ROWS, trees: int = TREES, depth: int = DEPTH):
@@ -101,7 +100,7 @@ def train(labelled: DataFrame, rows: int = TRAIN_ROWS, trees: int = TREES, depth
     if seen in (None, 0.0, 1.0):
         return lambda df: df.withColumn("p_block", F.lit(seen or 0.0))
     # one row per suffix of at most ``rows`` labelled urls
-    stats = [write_table(suffix_statistics(sample, k), "url-suffix") for k in (1, 2)]
+    stats = [write_table(suffix_statistics(sample, k, seen), "url-suffix", rows) for k in (1, 2)]
     names = [*lexical_features(), "f_suffix1", "f_suffix2"]
 
     def features(df: DataFrame) -> DataFrame:
