@@ -20,3 +20,18 @@ def test_rows_only_queries_run(spark):
     for name in [k for k in qs if k not in sql]:
         df = qs[name](spark, SF_SMALL)
         assert df.count() > 0, name
+
+
+def test_entry_works_without_the_training_data_operators(tmp_path):
+    import os
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.abspath(E.__file__))
+    for name in ("__spark_entry__.py", "sql_oracles.py"):
+        shutil.copy(os.path.join(root, name), tmp_path)
+    shutil.copytree(os.path.join(root, "equitally"), tmp_path / "equitally", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    code = "import __spark_entry__ as e; assert not any(n.startswith('op') or n == 'pipeline' for n in e.queries()); assert set(e.oracle_sql()) <= set(e.queries()); print(len(e.queries()))"
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env={**os.environ, "PYTHONPATH": ""})
+    assert done.returncode == 0 and int(done.stdout) > 60, done.stderr[-800:]
