@@ -53,6 +53,12 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [b"" if t is None else t for t in column.cast(pa.binary()).to_pylist()]
 
 
+def rows_of(batch: pa.RecordBatch, at_once: int = 256) -> Iterator[dict]:
+    """A batch's rows as dictionaries, few of them in memory at once."""
+    for at in range(0, batch.num_rows, at_once):
+        yield from batch.slice(at, at_once).to_pylist()
+
+
 def spread(df: DataFrame, *columns) -> DataFrame:
     """Deal narrow rows with heavy work over the session's shuffle partitions."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

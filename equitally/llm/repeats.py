@@ -32,16 +32,16 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from equitally.llm.common import sorted_runs, starts_of_runs, utf8, write_table
+from equitally.llm.common import rows_of, sorted_runs, starts_of_runs, utf8, write_table
 
 WINDOW = 400
 DIGIT = 100
 #: Contexts of one first digit that a task sorts in memory; more are spread.
-CONTEXTS_IN_TASK = 8_000
-SEGMENT = 1 << 20
+CONTEXTS_IN_TASK = 4_000
+SEGMENT = 1 << 19
 PLACE_BITS = 24
 #: Rows and bytes of one Arrow batch made here.
-OUT_ROWS, OUT_BYTES = 8_000, 16_000_000
+OUT_ROWS, OUT_BYTES = 4_000, 8_000_000
 BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
 MIX = np.uint64(0xBF58476D1CE4E5B9)
 KEY = ["id", "r"]
@@ -176,7 +176,7 @@ def _context_batches(window: int):
     def cut(batches):
         open_, rows = zstandard.ZstdDecompressor().decompress, []
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in rows_of(batch):
                 text = open_(row["packed"])
                 for s in row["spots"]:
                     rows.append((row["id"], row["r"], s, text[s["lo"]:s["hi"] + window]))
@@ -219,7 +219,7 @@ def _spans(run: dict, own: np.ndarray, position: np.ndarray, repeated: np.ndarra
 
 def _sort_batches(window: int):
     def sort(batches):
-        for run in sorted_runs(batches, ["h"], 4000):
+        for run in sorted_runs(batches, ["h"], 2000):
             one, two, own, position = window_keys(run, window)
             order = np.argsort(one, kind="stable")
             same = one[order][1:] == one[order][:-1]
@@ -239,7 +239,7 @@ def _sort_batches(window: int):
 def _window_batches(window: int):
     """Contexts -> one row per window, for first digits with very many contexts."""
     def windows(batches):
-        for run in sorted_runs(batches, ["h"], 2000):
+        for run in sorted_runs(batches, ["h"], 1000):
             one, two, own, position = window_keys(run, window)
             known = run["known"].to_numpy(zero_copy_only=False)[own]
             ids, rs = run["id"].to_numpy()[own], run["r"].to_numpy()[own]
@@ -305,7 +305,7 @@ def merged(spans: list[tuple[int, int]]) -> list[list[int]]:
 def _remove_batches(batches):
     open_, rows, size = zstandard.ZstdDecompressor().decompress, [], 0
     for batch in batches:
-        for row in batch.to_pylist():
+        for row in rows_of(batch):
             text, spans = open_(row["packed"]), merged([(s["s"], s["e"]) for s in row["spans"]])
             edges = [0, *(x for span in spans for x in span), len(text)]
             rest = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2]))
