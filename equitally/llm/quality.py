@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +32,8 @@ BLOCK_BYTES = 32_000_000
 FOLDS = 5
 #: Languages with fewer held-out documents take the quantile of all languages.
 LEAST_HELD_OUT = 20
-CHUNK = 2_000_000
+#: Bytes of text whose n-grams are in memory at once.
+CHUNK = 500_000
 ALPHABET = 256
 
 
@@ -56,50 +58,55 @@ def ngrams(texts: list[bytes], order: int) -> np.ndarray:
     return made[inside]
 
 
-def _chunks(texts: list[bytes]):
-    held, size = [], 0
-    for t in texts:
-        held.append(t)
-        size += len(t)
-        if size >= CHUNK:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
+class Distinct:
+    """Distinct n-grams and their counts, from texts as they come."""
 
+    def __init__(self, order: int):
+        self.order, self.held, self.size = order, [], 0
+        self.grams, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-def _distinct(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
-    grams, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    for chunk in _chunks(texts):
-        g, c = np.unique(ngrams(chunk, order), return_counts=True)
-        grams, at = np.unique(np.concatenate([grams, g]), return_inverse=True)
-        counts = np.bincount(at, np.concatenate([counts, c]), len(grams)).astype(np.int64)
-    return grams, counts
+    def add(self, text: bytes) -> None:
+        for at in range(0, len(text), CHUNK):  # a later piece keeps the bytes before it as context
+            piece = text[max(0, at - self.order + 1):at + CHUNK]
+            self.held.append((piece, min(at, self.order - 1)))
+            self.size += len(piece)
+            if self.size >= CHUNK:
+                self.flush()
+
+    def flush(self) -> None:
+        whole = [p for p, before in self.held if not before]
+        parts = [ngrams([p], self.order)[before:] for p, before in self.held if before]
+        g, c = np.unique(np.concatenate([ngrams(whole, self.order), *parts]), return_counts=True)
+        self.held, self.size = [], 0
+        self.grams, at = np.unique(np.concatenate([self.grams, g]), return_inverse=True)
+        self.counts = np.bincount(at, np.concatenate([self.counts, c]), len(self.grams)).astype(np.int64)
 
 
 def _block_rows(table: pa.Table):
     """(id, lang, text, trusted, held out) of a block's documents; labels ride along."""
     open_ = zstandard.ZstdDecompressor().decompress
     good: dict[int, int] = {}
-    rows = table.select(["id", "lang", "packed", "quality", "fold"]).to_pylist()
-    for r in rows:
-        if r["packed"] is None and r["id"] is not None:
-            good[r["id"]] = min(r["quality"], good.get(r["id"], 1))
-    for r in rows:
-        if r["packed"] is not None:
+    is_label = pa.compute.is_null(table["packed"])
+    marks = table.filter(is_label).select(["id", "quality"])
+    for id_, quality in zip(marks["id"].to_pylist(), marks["quality"].to_pylist()):
+        good[id_] = min(quality, good.get(id_, 1))
+    for batch in table.filter(pa.compute.invert(is_label)).select(["id", "lang", "packed", "fold"]).to_batches(max_chunksize=256):
+        for r in batch.to_pylist():
             yield r["id"], r["lang"], open_(r["packed"]), good.get(r["id"]) == 1, r["fold"] == 0
 
 
 def _count(order: int):
     def count(table: pa.Table) -> pa.Table:
         block = table["block"][0].as_py()
-        by_lang: dict[str, tuple[list, list]] = {}
+        by_lang: dict[str, tuple[Distinct, Distinct]] = {}
         for _, lang, text, trusted, held_out in _block_rows(table):
-            by_lang.setdefault(lang, ([], []))[trusted and not held_out].append(text)
+            by_lang.setdefault(lang, (Distinct(order), Distinct(order)))[trusted and not held_out].add(text)
         made = []
-        for lang, (others, train) in sorted(by_lang.items()):
-            grams, counts = _distinct(train, order)
-            more = np.setdiff1d(_distinct(others, order)[0], grams)
+        for lang, both in sorted(by_lang.items()):
+            for d in both:
+                d.flush()
+            (others, _), (grams, counts) = [(d.grams, d.counts) for d in both]
+            more = np.setdiff1d(others, grams, assume_unique=True)
             n = len(grams) + len(more)
             made.append(pa.table({"block": pa.array(np.full(n, block, np.int32)), "lang": pa.array([lang]).take(pa.array(np.zeros(n, np.int8))),
                                   "gram": np.concatenate([grams, more]), "n": np.concatenate([counts, np.zeros(len(more), np.int64)])}))
@@ -235,9 +242,10 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, **s
         "perplexity", F.when(F.col("n_bytes") > 0, F.exp(-F.col("log_p") / F.col("n_bytes"))))
     held = scored.where("held_out and n_bytes > 0")
     cut = F.percentile_approx("perplexity", quantile, 10_000)
-    per_lang = held.groupBy("lang").agg(cut.alias("own"), F.count("*").alias("n"))
-    thresholds = write_table(per_lang.join(held.agg(cut.alias("all_languages"))).select(
-        "lang", F.when(F.col("n") >= LEAST_HELD_OUT, F.col("own")).otherwise(F.col("all_languages")).alias("threshold")), "quality-thresholds")
+    all_languages = held.agg(cut).first()[0]  # one number
+    thresholds = write_table(held.groupBy("lang").agg(cut.alias("own"), F.count("*").alias("n")).select(
+        "lang", F.when(F.col("n") >= LEAST_HELD_OUT, F.col("own")).otherwise(F.lit(all_languages).cast("double")).alias("threshold")),
+        "quality-thresholds")
     return scored.join(thresholds, "lang", "left").select(
         F.col("id").alias("doc_id"), "lang", "n_bytes", "perplexity", "threshold",
         (F.col("perplexity").isNotNull() & (F.col("threshold").isNull() | (F.col("perplexity") <= F.col("threshold")))).alias("keep"))
