@@ -12,7 +12,7 @@ from __future__ import annotations
 import json
 import re
 from array import array
-from functools import cache
+from functools import cache, cached_property
 
 import numpy as np
 
@@ -40,11 +40,10 @@ def byte_characters() -> dict[str, int]:
 class WordEncoder:
     """Ids of texts, with a bounded memory of words already encoded."""
 
-    def __init__(self, path: str, remembered: int = 800_000):
+    def __init__(self, path: str, remembered: int = 250_000):
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
+        self.path = path
         self.remembered = remembered
         self.known: dict[bytes, bytes] = {}
         with open(path, encoding="utf-8") as f:
@@ -75,6 +74,13 @@ class WordEncoder:
         self.ids = ids
         self.core = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe
 
+    @cached_property
+    def library(self):
+        """Loaded with the first word that needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def word(self, raw: bytes) -> bytes:
         word = raw.decode()
         if not PLAIN.fullmatch(word):
