@@ -10,7 +10,9 @@ largest lower bound is read from the most significant slice downward; rows
 within the error bound of it are the boundary, and are scored exactly.
 
 Query blocks meet row blocks by an equi-join on the block number; each pair
-gives k rows per query, and a query's best k of all blocks are kept.
+gives k rows per query, and a query's best k of all blocks are kept.  Vectors
+with components too large for slices lie in blocks of their own, which are
+scored without an index, in Python integers where a long could overflow.
 """
 
 from __future__ import annotations
@@ -28,8 +30,10 @@ SCALE = 256
 ROWS_PER_BLOCK = 16_384
 QUERIES_PER_BLOCK = 64
 DROP_BITS = 5
-#: Largest quantised component taken, so that scores fit in a long.
+#: Quantised components of an indexed block stay below, so that scores fit in a long.
 LIMIT = 1 << 26
+#: Scores at or beyond ± this do not fit in a long.
+MOST = (1 << 63) - 1
 
 
 class BitSlicedIndex:
@@ -133,66 +137,102 @@ class BitSlicedIndex:
         return ids[rows][best], scores[best]
 
 
+def scores_of(values: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Exact inner products, held at ±MOST where they do not fit."""
+    most = [int(np.abs(x).max(initial=0)) for x in (values, query)]
+    if most[0] * most[1] * len(query) < MOST:
+        return values.astype(np.int64) @ query.astype(np.int64)
+    exact = values.astype(object) @ query.astype(object)
+    return np.array([max(-MOST, min(MOST, int(x))) for x in exact], np.int64)
+
+
+def top_unindexed(ids: np.ndarray, values: np.ndarray, query: np.ndarray, query_id: int, k: int):
+    """As ``BitSlicedIndex.top``, every row scored."""
+    other = ids != query_id
+    ids, scores = ids[other], scores_of(values[other], query)
+    best = np.lexsort((ids, -scores))[:k]
+    return ids[best], scores[best]
+
+
 def quantised(vector: Column) -> Column:
-    """array<long> of floor(256 x); null where the vector takes no part: null,
-    holding a null or non-finite component, or one beyond ±2^26 when scaled."""
+    """array<double> of floor(256 x); null where the vector takes no part: null,
+    or holding a null or non-finite component."""
     v = vector.cast("array<double>")
-    scaled = F.transform(v, lambda x: F.floor(x * SCALE))
-    sound = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float(LIMIT // SCALE)))
+    # a double of 2^52 and more is whole, and may be too large for floor's long
+    scaled = F.transform(v, lambda x: F.when(F.abs(x * SCALE) < float(1 << 52), F.floor(x * SCALE).cast("double")).otherwise(x * SCALE))
+    sound = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     return F.when(v.isNotNull() & sound, scaled)
 
 
+def beyond(v: Column) -> Column:
+    """Whether a quantised vector is too large for an indexed block."""
+    return F.exists(v, lambda x: F.abs(x) >= float(LIMIT))
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, ids, values, width): the rows of each block in one row; a
-    partition holds whole blocks, sorted."""
+    """(block, ids, values, width, far): the rows of each block in one row; a
+    partition holds whole blocks, sorted.  Values are four-byte integers, in a
+    far block doubles."""
     from equitally.llm.common import sorted_runs, starts_of_runs
 
     for run in sorted_runs(batches, ["block"], 1):
-        block, ids, vectors = run["block"].to_numpy(), run["vec_id"].to_numpy(), run["v"]
+        block, ids, vectors, far = run["block"].to_numpy(), run["vec_id"].to_numpy(), run["v"], run["far"].to_numpy()
         cut = np.append(starts_of_runs(block), len(block))
         for a, b in zip(cut[:-1], cut[1:]):
             rows = vectors.slice(a, b - a).to_pylist()
             width = max(map(len, rows))
-            m = np.zeros((b - a, width), "<i4")
+            m = np.zeros((b - a, width), "<f8" if far[a] else "<i4")
             for i, r in enumerate(rows):
                 m[i, :len(r)] = r
             yield pa.RecordBatch.from_arrays(
                 [pa.array(block[a:a + 1]), pa.array([ids[a:b].astype("<i8").tobytes()], pa.binary()),
-                 pa.array([m.tobytes()], pa.binary()), pa.array([width], pa.int32())],
-                ["block", "ids", "values", "width"])
+                 pa.array([m.tobytes()], pa.binary()), pa.array([width], pa.int32()), pa.array(far[a:a + 1])],
+                ["block", "ids", "values", "width", "far"])
 
 
-BLOCK_SCHEMA = "block long, ids binary, values binary, width int"
+BLOCK_SCHEMA = "block long, ids binary, values binary, width int, far boolean"
 
 
 def build_blocks(rows: DataFrame, per_block: int, name: str) -> tuple[DataFrame, int]:
-    """Rows (vec_id, v) dealt by hash into blocks of about ``per_block``."""
-    n = rows.count()
-    count = max(1, -(-n // per_block))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(count)).cast("long"))
+    """Rows (vec_id, v) dealt by hash into blocks of about ``per_block``; the
+    numbers of far blocks follow the others'."""
+    rows = rows.withColumn("far", beyond(F.col("v")))
+    sizes = {r["far"]: r["count"] for r in rows.groupBy("far").count().collect()}
+    near, far = (-(-sizes.get(which, 0) // per_block) for which in (False, True))
+    near = max(1, near)
+    h = F.xxhash64("vec_id")
+    block = F.when(F.col("far"), near + F.pmod(h, F.lit(max(1, far)))).otherwise(F.pmod(h, F.lit(near)))
+    dealt = rows.withColumn("block", block.cast("long"))
     made = spread(dealt, "block").sortWithinPartitions("block", "vec_id").mapInArrow(_blocks, BLOCK_SCHEMA)
-    return write_table(made, name), count
+    return write_table(made, name), near + far
 
 
-def _matrix(ids: bytes, values: bytes, width: int, to_width: int) -> tuple[np.ndarray, np.ndarray]:
+def _matrix(ids: bytes, values: bytes, width: int, to_width: int, far: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and whole numbers of a block: longs, in a far block Python integers."""
     own = np.frombuffer(ids, "<i8")
-    m = np.frombuffer(values, "<i4").reshape(len(own), width)
-    out = np.zeros((len(own), to_width), np.int64)
+    m = np.frombuffer(values, "<f8" if far else "<i4").reshape(len(own), width)
+    if far:
+        m = np.array([int(x) for x in m.flat], object).reshape(m.shape)
+    out = np.zeros((len(own), to_width), object if far else np.int64)
     out[:, :width] = m
     return own, out
 
 
 def _search(k: int, drop_bits: int):
     def search(batches):
-        held, index = None, None
+        held, ids, m, index = None, None, None, None
         for batch in batches:
             for r in batch.to_pylist():
                 width = max(r["width"], r["q_width"], 1)
                 if held != (r["block"], width):
-                    ids, m = _matrix(r["ids"], r["values"], r["width"], width)
-                    held, index = (r["block"], width), BitSlicedIndex(m)
-                q_ids, q = _matrix(r["q_ids"], r["q_values"], r["q_width"], width)
-                found = [(int(i), *index.top(ids, v, i, k, drop_bits)) for i, v in zip(q_ids, q)]
+                    ids, m = _matrix(r["ids"], r["values"], r["width"], width, r["far"])
+                    held, index = (r["block"], width), None
+                q_ids, q = _matrix(r["q_ids"], r["q_values"], r["q_width"], width, r["q_far"])
+                if r["far"] or r["q_far"]:
+                    found = [(int(i), *top_unindexed(ids, m, v, i, k)) for i, v in zip(q_ids, q)]
+                else:
+                    index = index or BitSlicedIndex(m)
+                    found = [(int(i), *index.top(ids, v, i, k, drop_bits)) for i, v in zip(q_ids, q)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.repeat([f[0] for f in found], [len(f[1]) for f in found]), pa.int64()),
                      pa.array(np.concatenate([f[1] for f in found]), pa.int64()),
@@ -205,11 +245,12 @@ def top_k(rows: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_co
     """query_id, rank (from 1), vec_id, score: the k rows with the largest
     integer inner product, the query's own id left out, ties to smaller ids.
 
-    Rows or queries with a null id, or with a vector that is null, holds nulls
-    or non-finite components, or exceeds ±2^26 when scaled, take no part.  Vectors of
-    unequal length count as padded with zeros.  A row that repeats counts as
-    often as it comes; of queries that share an id the smallest vector asks.
-    Empty tables give no rows.
+    Rows or queries with a null id, or with a vector that is null or holds nulls
+    or non-finite components, take no part.  Vectors of unequal length count as
+    padded with zeros.  A row that repeats counts as often as it comes; of
+    queries that share an id the smallest vector asks.  Components may be as
+    large as a double scales to; a score of the result that does not fit in a
+    long is an error.  Empty tables give no rows.
     """
     def sound(df):
         return df.select(F.col(id_col).cast("long").alias("vec_id"), quantised(F.col(vector_col)).alias("v")) \
@@ -219,11 +260,13 @@ def top_k(rows: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_co
     asked = sound(queries).groupBy("vec_id").agg(F.min("v").alias("v"))
     q, _ = build_blocks(asked, queries_per_block, "bsi-queries")
     q = q.select(F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("values").alias("q_values"),
-                 F.col("width").alias("q_width"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))).alias("block"))
+                 F.col("width").alias("q_width"), F.col("far").alias("q_far"),
+                 F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))).alias("block"))
     # pairs are dealt by both numbers, so one block's queries spread over tasks
     pairs = spread(q.join(index, "block"), "block", F.floor(F.col("q_block") / 4)).sortWithinPartitions("block", "q_block")
-    found = pairs.select("block", "ids", "values", "width", "q_ids", "q_values", "q_width") \
+    found = pairs.select("block", "ids", "values", "width", "far", "q_ids", "q_values", "q_width", "q_far") \
         .mapInArrow(_search(k, drop_bits), "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k) \
-        .select("query_id", "rank", "vec_id", "score")
+        .select("query_id", "rank", "vec_id", F.when(F.abs("score") >= MOST, F.raise_error(F.lit("a score does not fit in a long")).cast("long"))
+                .otherwise(F.col("score")).alias("score"))

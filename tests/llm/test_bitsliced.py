@@ -66,3 +66,23 @@ def test_fewer_rows_than_k_and_empty(spark):
     assert sorted(map(tuple, top_k(rows, rows.where("vec_id = 0")).collect())) == brute(vectors, [0])
     assert top_k(rows.limit(0), rows.limit(0)).count() == 0
     assert top_k(rows, rows.where("vec_id = 99")).count() == 0
+
+
+def test_large_components_take_part(spark):
+    """Rows and queries beyond what slices hold, also where products overflow a
+    long on the way to a sum that fits."""
+    r = np.random.default_rng(5)
+    vectors = [(i, r.normal(0, .3, 4).tolist()) for i in range(130)]
+    vectors += [(200, [1e6, -1e6, 0.0, 0.0]), (201, [-3e5, 2.0, 0.0, 1.0]), (203, [262144.0, 0.0, 0.0, 0.5]), (203, [0.1, 1e6, 0.0, 0.0]),
+                (250, [3e7, -3e7, 0.0, 0.0]), (251, [2.0 ** 40, 2.0 ** 40, 1.0, 0.0]), (50, [1e6, 1.0, 0.0, 0.0])]
+    rows = rows_of(spark, vectors)
+    got = top_k(rows, rows.where("vec_id % 50 = 0"), per_block=40, queries_per_block=2).collect()
+    want = brute(vectors, [0, 50, 100, 200, 250])
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert {q for q, _, v, _ in want if v >= 200} == {0, 50, 100, 200, 250}
+
+
+def test_score_beyond_a_long_is_an_error(spark):
+    rows = rows_of(spark, [(0, [1e12, 0.0]), (1, [1e12, 0.0])])
+    with pytest.raises(Exception, match="does not fit in a long"):
+        top_k(rows, rows.where("vec_id = 0")).collect()
