@@ -3,7 +3,9 @@
 Gradient-boosted trees judge a url from lexical features alone (lengths,
 depth, digit ratio, character entropy, parameter counts) and from how often
 labelled urls with the same host suffix are blocked.  They learn from the urls
-that a rule labels and judge those that no rule fits.
+that a rule labels and judge those that no rule fits.  Suffix rates count every
+labelled url; only the fit is of a sample.  A suffix whose labelled urls all
+have one verdict tells the rule, not the url, and counts as unknown.
 """
 
 from __future__ import annotations
@@ -24,8 +26,12 @@ RULES = [
     ("net", "/es/", "block"),
     ("net", "/fr/", "block"),
 ]
-#: Bound of the training sample: the labelled urls of the smallest hashes.
+#: Bound of the training sample: the distinct labelled urls of the smallest hashes.
 TRAIN_ROWS = 20_000
+#: A sampled url's suffix rates are of the hosts in the other folds.
+FOLDS = 5
+#: Rate of a suffix that no labelled url has, or only urls of one verdict.
+UNKNOWN = -1.0
 TREES, DEPTH = 15, 4
 SMOOTHING = 20.0
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -80,41 +86,64 @@ def suffix(host: str, labels: int) -> Column:
     return F.substring_index(F.col(host), ".", -labels)
 
 
-def suffix_statistics(labelled: DataFrame, labels: int, share: float) -> DataFrame:
-    """(suffix, rate): share of blocked urls by host suffix, smoothed to the overall ``share``."""
-    return labelled.groupBy(suffix("host", labels).alias(f"suffix{labels}")) \
-        .agg(F.sum("label").alias("bad"), F.count("*").alias("n")) \
-        .select(f"suffix{labels}", ((F.col("bad") + SMOOTHING * share) / (F.col("n") + SMOOTHING)).alias(f"f_suffix{labels}"))
+def fold_of(host: str = "host") -> Column:
+    return F.pmod(F.xxhash64(F.lit("fold"), F.col(host)), F.lit(FOLDS)).cast("int")
+
+
+def suffix_counts(labelled: DataFrame, labels: int) -> DataFrame:
+    """(suffix, bad, n, folds): labelled rows by host suffix, blocked and all,
+    and the same by fold of the host."""
+    by_fold = labelled.groupBy(suffix("host", labels).alias(f"suffix{labels}"), fold_of().alias("fold")) \
+        .agg(F.sum("label").cast("long").alias("bad"), F.count("*").alias("n"))
+    return by_fold.groupBy(f"suffix{labels}").agg(
+        F.sum("bad").alias(f"bad{labels}"), F.sum("n").alias(f"n{labels}"),
+        F.map_from_entries(F.collect_list(F.struct("fold", F.struct("bad", "n")))).alias(f"folds{labels}"))  # FOLDS at most
+
+
+def suffix_rate(labels: int, share: float, out_of_fold: bool) -> Column:
+    """Share of blocked urls, smoothed to the overall ``share``; out of fold it
+    leaves out the host's own fold."""
+    every, rest = [F.col(f"{c}{labels}") for c in ("bad", "n")], [F.col(f"{c}{labels}") for c in ("bad", "n")]
+    if out_of_fold:
+        own = F.col(f"folds{labels}")[fold_of()]
+        rest = [r - F.coalesce(own[c], F.lit(0)) for r, c in zip(rest, ("bad", "n"))]
+    rate = (rest[0] + SMOOTHING * share) / (rest[1] + SMOOTHING)
+    return F.when((every[0] > 0) & (every[0] < every[1]), rate).otherwise(UNKNOWN)
 
 
 def train(labelled: DataFrame, rows: int = TRAIN_ROWS, trees: int = TREES, depth: int = DEPTH):
     """A judge: DataFrame with url, host, path -> the same with ``p_block``.
 
-    ``labelled`` has url, host, path and label (1 block, 0 allow).  The fit sees
-    the ``rows`` urls of the smallest hashes.  Without two classes the judge
-    gives the one class it saw (allow, if none).
+    ``labelled`` has url, host, path and label (1 block, 0 allow).  Suffix rates
+    are of all its rows; the fit sees the ``rows`` distinct urls of the smallest
+    hashes, each without suffix rates, and once more with them if one is known,
+    so that an unknown suffix is no sign of a verdict.  Without two classes the
+    judge gives the one class it saw (allow, if none).
     """
-    sample = write_table(labelled.select("url", "host", "path", F.col("label").cast("double").alias("label"))
-                         .orderBy(F.xxhash64("url"), "url").limit(rows), "url-sample")
-    seen = sample.agg(F.avg("label")).first()[0]
+    labelled = labelled.select("url", "host", "path", F.col("label").cast("double").alias("label"))
+    seen = labelled.agg(F.avg("label")).first()[0]
     if seen in (None, 0.0, 1.0):
         return lambda df: df.withColumn("p_block", F.lit(seen or 0.0))
-    # one row per suffix of at most ``rows`` labelled urls
-    stats = [write_table(suffix_statistics(sample, k, seen), "url-suffix", rows) for k in (1, 2)]
+    sample = write_table(labelled.distinct().orderBy(F.xxhash64("url"), "url").limit(rows), "url-sample")
+    stats = [write_table(suffix_counts(labelled, k), "url-suffix") for k in (1, 2)]
     names = [*lexical_features(), "f_suffix1", "f_suffix2"]
 
-    def features(df: DataFrame) -> DataFrame:
+    def features(df: DataFrame, out_of_fold: bool) -> DataFrame:
         df = df.withColumns(lexical_features())
         for k, s in zip((1, 2), stats):
-            df = df.withColumn(f"suffix{k}", suffix("host", k)).join(F.broadcast(s), f"suffix{k}", "left")
-        return df.fillna(seen, ["f_suffix1", "f_suffix2"])
+            df = df.withColumn(f"suffix{k}", suffix("host", k)).join(s, f"suffix{k}", "left") \
+                .withColumn(f"f_suffix{k}", suffix_rate(k, seen, out_of_fold))
+        return df
 
     assemble = VectorAssembler(inputCols=names, outputCol="features")
+    rated = features(sample, True).select(*names, "label")
+    unknown = rated.withColumns({n: F.lit(UNKNOWN) for n in ("f_suffix1", "f_suffix2")})
+    shown = unknown.unionByName(rated.where((F.col("f_suffix1") != UNKNOWN) | (F.col("f_suffix2") != UNKNOWN)))
     fitted = GBTClassifier(labelCol="label", featuresCol="features", maxIter=trees, maxDepth=depth, seed=42) \
-        .fit(assemble.transform(features(sample)).select("features", "label").coalesce(2))
+        .fit(assemble.transform(shown).select("features", "label").coalesce(2))
 
     def judge(df: DataFrame) -> DataFrame:
-        scored = fitted.transform(assemble.transform(features(df)))
+        scored = fitted.transform(assemble.transform(features(df, False)))
         return scored.withColumn("p_block", vector_to_array("probability")[1]).select(*df.columns, "p_block")
 
     return judge

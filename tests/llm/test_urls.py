@@ -50,3 +50,33 @@ def test_one_class_or_nothing_to_learn_from(spark, urls):
     rows = [(i, u) for i, u in enumerate(urls)]
     got = filter_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()
     assert [r.verdict for r in got] == [brute(u)[3] or "allow" for u in urls]
+
+
+def labelled_of(spark, rows):
+    from pyspark.sql import functions as F
+    from equitally.llm.urls import split_url
+    host, path = split_url(F.col("url"))
+    return spark.createDataFrame(rows, "url string, label int").withColumns({"host": host, "path": path})
+
+
+def test_suffix_rates_count_all_labelled_rows_whatever_the_sample(spark):
+    """A url that repeats fills neither the sample nor hides other suffixes."""
+    from pyspark.sql import functions as F
+    from equitally.llm import urls
+    look = [(f"http://{'abcd'[i % 4]}{i % 13}.{t}/p/{i}", int(i % 10 < bad)) for t, bad in (("aaa", 9), ("bbb", 1)) for i in range(400)]
+    hot = min((u for u, _ in look), key=lambda u: spark.range(1).select(F.xxhash64(F.lit(u)).alias("h")).first().h)
+    df = labelled_of(spark, look + [(hot, dict(look)[hot])] * 900)
+    counts = {r.suffix1: (r.bad1, r.n1) for r in urls.suffix_counts(df, 1).collect()}
+    want = {t: [y for u, y in look + [(hot, dict(look)[hot])] * 900 if f".{t}/" in u] for t in ("aaa", "bbb")}
+    assert counts == {t: (sum(y), len(y)) for t, y in want.items()}
+    judged = urls.train(df, rows=300, trees=5)(labelled_of(spark, [(f"http://new{i}.{t}/p/{i}", 0) for t in ("aaa", "bbb") for i in range(20)]))
+    blocked = dict(judged.groupBy(F.substring_index("host", ".", -1)).agg(F.avg((F.col("p_block") >= 0.5).cast("int"))).collect())
+    assert blocked["aaa"] > 0.9 and blocked["bbb"] < 0.1
+
+
+def test_a_suffix_of_one_verdict_does_not_decide(spark):
+    """Urls under .net, where rules only block, are judged by their look."""
+    from equitally.llm.urls import train
+    rows = [(f"http://a{i % 9}.{'com' if i % 3 else 'net'}/x/{'9' * (12 if i % 3 == 0 or i % 2 else 1)}?{i}", int(i % 3 == 0 or i % 2)) for i in range(1500)]
+    judged = train(labelled_of(spark, rows), trees=5)(labelled_of(spark, [(f"http://b{i}.net/x/9?{i}", 0) for i in range(30)]))
+    assert judged.selectExpr("max(p_block) p").first().p < 0.5
