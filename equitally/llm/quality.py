@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from equitally.llm.common import utf8, write_table
 
 ORDER = 5
-QUANTILE = 0.995
+QUANTILE = 0.98
 BLOCK_BYTES = 32_000_000
 #: One in so many trusted documents is held out for the quantiles.
 FOLDS = 5
