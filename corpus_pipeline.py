@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from equitally.llm.common import importable, read, write_table
 from equitally.llm.decontaminate import contaminated
-from equitally.llm.lines import drop_boilerplate
+from equitally.llm.lines import drop_boilerplate, page_key
 from equitally.llm.packing import crc32_column, pack
 from equitally.llm.quality import classify
 from equitally.llm.simhash import near_duplicates
@@ -47,9 +47,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boilerplate lines go; n_chars follows the text."""
+    """Boilerplate lines go; n_chars follows the text.  Near-duplicates count as
+    one page, or a group of them would lose all the lines that it shares."""
     importable(spark)
-    cut = drop_boilerplate(docs, counts=("__lines", "__dropped"))
+    texts = docs.where("text is not null").select(page_key("text").alias("doc_id"), "text")
+    groups = write_table(near_duplicates(texts).where("doc_id <> component_id").distinct()
+                         .select(F.col("doc_id").alias("page"), F.col("component_id").alias("group")), "pipeline-pages")
+    cut = drop_boilerplate(docs, counts=("__lines", "__dropped"), groups=groups)
     n_chars = F.when(F.col("__dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return cut.withColumn("n_chars", n_chars).select(*docs.columns)
 

@@ -22,25 +22,37 @@ def line_key(line: Column) -> Column:
     return F.xxhash64(F.trim(line))
 
 
-def boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def page_key(text: str) -> Column:
+    return F.xxhash64(F.col(text).cast("string"))
+
+
+def boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES, groups: DataFrame | None = None) -> DataFrame:
     """(host, bad): line keys of each host's boilerplate.  A host has at most
     (lines of a page / ratio) of them on average.
 
     ``pages`` has host and text.  Only hashes are shuffled; distinct (host,
     line, page) triples collapse before the exchange, so a hot line is a count.
+    Pages that share a group in ``groups`` (page, group: long; a page at most
+    once) count as one.
     """
-    keyed = pages.where("text is not null").select("host", F.xxhash64("text").alias("page"), "text")
-    totals = keyed.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages"))
+    def grouped(distinct: DataFrame) -> DataFrame:
+        if groups is None:
+            return distinct
+        return distinct.join(groups, "page", "left").withColumn("page", F.coalesce("group", "page")).drop("group").distinct()
+
+    keyed = pages.where("text is not null").select("host", page_key("text").alias("page"), "text")
+    totals = grouped(keyed.select("host", "page").distinct()).groupBy("host").agg(F.count("*").alias("pages"))
     lines = keyed.select("host", "page", F.explode(F.array_distinct(F.transform(
         F.filter(F.split("text", "\n"), lambda l: F.trim(l) != ""), line_key))).alias("line"))
-    seen = lines.distinct().groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
+    seen = grouped(lines.distinct()).groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
     t = totals.withColumnRenamed("host", "t_host")
     return seen.join(t, F.col("host").eqNullSafe(F.col("t_host"))) \
         .where(F.col("n") / F.col("pages") > ratio).groupBy("host").agg(F.collect_list("line").alias("bad"))
 
 
 def drop_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO,
-                     min_pages: int = MIN_PAGES, counts: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+                     min_pages: int = MIN_PAGES, counts: tuple[str, str] = ("n_lines", "n_dropped"),
+                     groups: DataFrame | None = None) -> DataFrame:
     """``docs`` with boilerplate lines taken out of the text, and two columns
     added: the number of lines and of lines dropped (columns that have the names
     in ``counts`` are replaced, all others ride along).
@@ -48,11 +60,11 @@ def drop_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str =
     Lines are compared without surrounding blanks; blank lines stay.  A null
     text stays null with 0 lines; a text may become empty.  Rows without a host
     form a host of their own.  Repeated rows come back as often as they came; an
-    empty table gives no rows.
+    empty table gives no rows.  ``groups``: see ``boilerplate``.
     """
     pages = docs.select(F.col(host_col).cast("string").alias("host"), F.col(text_col).cast("string").alias("text"))
     # written first: its size is then known, and Spark broadcasts it only if small
-    bad = write_table(boilerplate(pages, ratio, min_pages).select(
+    bad = write_table(boilerplate(pages, ratio, min_pages, groups).select(
         F.col("host").alias("__host"), F.col("bad").alias("__bad"),
         F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt")), "boilerplate")
     others = [c for c in docs.columns if c not in counts]

@@ -80,3 +80,16 @@ def test_empty_documents_table(spark, sf_dir, make_docs, tmp_path):
     docs = make_docs([])
     for name, _ in C.STAGES:
         assert stage(spark, name, docs, sf_dir[0], tmp_path).count() == 0
+
+
+def test_near_copies_on_a_host_keep_their_lines(spark, sf_dir, make_docs, rng, tmp_path):
+    """A fifth of a host's pages are near copies: none loses the lines they share."""
+    base = prose(rng, 9000).split(" ")
+    copies = [(200 + i, " ".join(w if n != 500 * i + 20 else "altered" for n, w in enumerate(base)), "en", "hot") for i in range(12)]
+    prints = [brute_fingerprint(t) for _, t, *_ in copies]
+    assert len({t for _, t, *_ in copies}) == 12 and all((p ^ prints[0]).bit_count() <= 4 for p in prints)
+    others = [(i, "Menu of the site\n" + prose(rng, 60), "en", "hot") for i in range(48)]
+    got = stage(spark, "line dedup", make_docs(copies + others), sf_dir[0], tmp_path)
+    text = {r.doc_id: r.text for r in got.collect()}
+    assert [text[i] for i, *_ in copies] == [t for _, t, *_ in copies]
+    assert all(text[i] == t.split("\n", 1)[1] for i, t, *_ in others)
