@@ -1,7 +1,7 @@
 """Driver contract: entry() and every registered query run on the tables."""
 
 import __spark_entry__ as E
-from conftest import SF_SMALL
+from tables import SF_SMALL
 
 
 def test_entry_runs_with_stable_schema(spark):

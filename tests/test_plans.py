@@ -5,7 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from tables import SF_SMALL
 from equitally.operators import metrics as met
 from equitally.operators.cells import audit_cells, audit_rows
 from equitally.operators.clean import decision_filter

@@ -7,7 +7,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from tables import SF_SMALL
 from equitally.operators.clean import clean_applications, normalize_na_tokens
 from equitally.sources import ingest, sinks
 

@@ -4,7 +4,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from tables import SF_SMALL
 from equitally.operators.cells import audit_cells, audit_rows
 from equitally.plans.audit import cleaned_applications
 from equitally.streaming.cells_stream import scored_stream, start_cells_query, streaming_cells
