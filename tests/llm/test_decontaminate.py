@@ -43,7 +43,7 @@ def test_matches_equal_dynamic_programming(rng):
 
 
 def test_table(spark, make_docs, awkward, rng):
-    from conftest import prose
+    from texts import prose
     item = prose(rng, 40)
     bench = spark.createDataFrame([(1, item, "x"), (2, None, "x"), (3, "", "x"), (4, prose(rng, 50), "x"), (None, "zebra quagga okapi lion", "x"), (1, item, "x")],
                                   "item_id long, text string, doc_id string")

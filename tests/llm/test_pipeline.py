@@ -3,7 +3,7 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline as C
-from conftest import prose
+from texts import prose
 from test_simhash import brute_fingerprint
 
 

@@ -54,7 +54,7 @@ def test_ngrams_end_at_every_byte():
 
 @pytest.mark.parametrize("block_bytes", [32_000_000, 3000])
 def test_log_probabilities_equal_brute_force(spark, make_docs, rng, awkward, block_bytes):
-    from conftest import prose
+    from texts import prose
     rows = [(100 + i, prose(rng, rng.randint(3, 60)), ["en", "fr", None][i % 3]) for i in range(120)] + \
         [r for r in awkward if len(r[1] or "") < 60_000] + [(500, "| # | # | !!" * 20, "en"), (501, "nur hier", "xx")]
     labels = spark.createDataFrame([(100 + i, 1 if i % 4 else 0, "x") for i in range(90)] + [(None, 1, "x"), (103, None, "x"), (101, 0, "x"), (9999, 1, "x")],

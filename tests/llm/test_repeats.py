@@ -24,7 +24,7 @@ def brute(texts, window):
 @pytest.mark.parametrize("in_task", [8000, 0])
 def test_equals_brute_force(make_docs, rng, in_task):
     """``in_task`` 0 spreads every first digit window by window."""
-    from conftest import WORDS
+    from texts import WORDS
     passage = " ".join(rng.choice(WORDS) + str(rng.randint(0, 99)) for _ in range(30))
     texts = [None, "", "short", passage, passage, "ab" * 60, "a" * 100, "b" + "a" * 99, passage[:90], passage[20:120]]
     for i in range(40):
