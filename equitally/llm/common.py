@@ -107,6 +107,29 @@ def starts_of_runs(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+# A key with more than one row in this many is looked up apart from the rest.
+HOT_SHARE = 1_000
+
+
+def totals_of(rows: DataFrame, totals: DataFrame, key: str, columns: list[str], how: str = "left") -> DataFrame:
+    """``rows`` with ``columns`` of ``totals``, which has one row per ``key`` and
+    its number of rows as ``n``; null keys match each other.
+
+    Keys that hold more than a thousandth of all rows, a thousand at most, are
+    broadcast; the rest, none of them large, meet in a shuffle.  So no key's
+    rows gather in one task.  Both sides are read twice: pass written tables.
+    """
+    hot_above = F.lit((totals.agg(F.sum("n")).first()[0] or 0) / HOT_SHARE)
+    taken = [F.col(c).alias(f"_of_{c}") for c in columns]
+    hot = F.broadcast(totals.where(F.col("n") > hot_above).select(F.col(key).alias("_key"), F.lit(True).alias("_hot"), *taken))
+    rest = totals.where(F.col("n") <= hot_above).select(F.col(key).alias("_key"), *taken)
+    marked = rows.join(hot, F.col(key).eqNullSafe(F.col("_key")), "left")
+    found = [F.col(f"_of_{c}").alias(c) for c in columns]
+    own = [F.col(c) for c in rows.columns]
+    cold = marked.where("_hot is null").select(*own).join(rest, F.col(key).eqNullSafe(F.col("_key")), how)
+    return marked.where("_hot").select(*own, *found).unionByName(cold.select(*own, *found))
+
+
 def connected_components(edges: DataFrame, name: str, at_most: int | None = None, max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b: long), root the smallest
     node of its component.

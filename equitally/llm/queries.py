@@ -92,6 +92,39 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from equitally.llm.codes import compress
+    return compress(read(spark, sf_dir, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+_ASSIGN = """
+a{i} AS MATERIALIZED (
+  SELECT s.vec_id, s.p, min({{'d': list_inner_product(s.x, s.x) - 2 * list_inner_product(s.x, b.x) + list_inner_product(b.x, b.x), 'e': b.e}}) AS m
+  FROM parts s JOIN b{i} b ON s.p = b.p GROUP BY s.vec_id, s.p)"""
+_AVERAGE = """
+s{i} AS (
+  SELECT a.p, a.m.e AS e, i, sum(s.x[i + 1])::HUGEINT AS total, count(*)::HUGEINT AS n
+  FROM a{i} a JOIN parts s ON s.vec_id = a.vec_id AND s.p = a.p, width, unnest(range(width.w)) AS r(i) GROUP BY ALL),
+b{j} AS MATERIALIZED (
+  SELECT b.p, b.e, coalesce(f.x, b.x) AS x FROM b{i} b LEFT JOIN (
+    SELECT p, e, list(((total - ((total % n) + n) % n) // n)::DOUBLE ORDER BY i) AS x FROM s{i} GROUP BY p, e) f ON f.p = b.p AND f.e = b.e)"""
+OP12_SQL = """
+WITH v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+width AS (SELECT max(len(q)) // 16 AS w FROM v),
+parts AS MATERIALIZED (SELECT vec_id, p, list_slice(q, p * w + 1, (p + 1) * w) AS x FROM v, width, unnest(range(16)) AS r(p)),
+b0 AS MATERIALIZED (
+  SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x FROM parts
+  WHERE vec_id IN (SELECT vec_id FROM v ORDER BY vec_id LIMIT 64)),""" + ",".join([
+    _ASSIGN.format(i=0), _AVERAGE.format(i=0, j=1), _ASSIGN.format(i=1), _AVERAGE.format(i=1, j=2), _ASSIGN.format(i=2)]) + """,
+coded AS (SELECT vec_id, string_agg(printf('%02x', m.e), '' ORDER BY p) AS code, sum(m.d)::BIGINT AS error FROM a2 GROUP BY vec_id),
+books AS (SELECT sha256(string_agg(x[i + 1]::BIGINT::VARCHAR, ',' ORDER BY p, e, i)) AS h FROM b2, width, unnest(range(width.w)) AS r(i))
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, books.h AS codebooks_sha256
+FROM coded JOIN v USING (vec_id), books
+"""
+
+
 def queries() -> dict:
     return {
         "op1_line_dedup": op1_line_dedup,
@@ -104,8 +137,9 @@ def queries() -> dict:
         "op8_repeated_windows": op8_repeated_windows,
         "op9_main_text": op9_main_text,
         "op10_decontamination": op10_decontamination,
+        "op12_vector_codes": op12_vector_codes,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL, "op7_bitsliced_topk": OP7_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op7_bitsliced_topk": OP7_SQL, "op12_vector_codes": OP12_SQL}
