@@ -92,6 +92,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from equitally.llm.alignment import align
+    return align(read(spark, sf_dir, "documents"))[0]
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from equitally.llm.codes import compress
     return compress(read(spark, sf_dir, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
@@ -137,6 +142,7 @@ def queries() -> dict:
         "op8_repeated_windows": op8_repeated_windows,
         "op9_main_text": op9_main_text,
         "op10_decontamination": op10_decontamination,
+        "op11_alignment": op11_alignment,
         "op12_vector_codes": op12_vector_codes,
     }
 
