@@ -102,6 +102,11 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compress(read(spark, sf_dir, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
 
 
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from equitally.llm.jaccard import join
+    return join(read(spark, sf_dir, "documents"))
+
+
 _ASSIGN = """
 a{i} AS MATERIALIZED (
   SELECT s.vec_id, s.p, min({{'d': list_inner_product(s.x, s.x) - 2 * list_inner_product(s.x, b.x) + list_inner_product(b.x, b.x), 'e': b.e}}) AS m
@@ -144,6 +149,7 @@ def queries() -> dict:
         "op10_decontamination": op10_decontamination,
         "op11_alignment": op11_alignment,
         "op12_vector_codes": op12_vector_codes,
+        "op13_jaccard_join": op13_jaccard_join,
     }
 
 
