@@ -19,10 +19,15 @@ drops.  So a passage in a third of all documents has no list, unless it makes
 up most of them.
 
 Lists never emit all their pairs.  First every member meets the first of its
-list and size class; members that this joins into one component are done with
-each other.  Only pairs of different components that share a list are then
-checked against each other.  Every pair is verified by the shingles of both
-texts themselves.  A hot member's partners are dealt over many tasks.
+list and size class, the one with the fewest tokens of its own: in a family of
+near copies that is the text that the others were made of.  Members that this
+joins into one component are done with each other.  Only pairs of different
+components that share a list are then compared, and only those that two bounds
+leave open: tokens of a set's own are in no intersection, and the parity
+bitmaps of two sets differ in at most as many bits as the sets in shingles.
+Both bounds are exact; what they rule out does not link.  Every pair left is
+verified by the shingles of both texts themselves.  A hot member's partners are
+dealt over many tasks.
 """
 
 from __future__ import annotations
@@ -51,6 +56,10 @@ LARGEST_LIGHT = 40
 # Copies remembered in a task, so that most post their shingles once.
 REMEMBERED = 200_000
 PAIRS_PER_PART = 2_000
+# 64-bit words of a set's parity bitmap: bit i tells whether an odd number of
+# its shingles have tokens equal to i, modulo the bitmap's size.
+WORDS = 8
+BITMAP = [f"bits_{i}" for i in range(WORDS)]
 
 
 def shingles(text: bytes, words_per_shingle: int = SHINGLE_WORDS) -> set[bytes]:
@@ -102,7 +111,7 @@ def _setter(words_per_shingle: int, percent: int):
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                texts, ns, digests, tokens, kept = utf8(batch.column(1)), [], [], [], []
+                texts, ns, digests, tokens, bits, kept = utf8(batch.column(1)), [], [], [], [], []
                 for i, text in enumerate(texts):
                     own = shingles(text, words_per_shingle)
                     n = len(own)
@@ -111,24 +120,27 @@ def _setter(words_per_shingle: int, percent: int):
                     digests.append(digest)
                     if not n or digest in seen:
                         tokens.append(None)
+                        bits.append(None)
                         kept.append(None)
                         continue
                     if len(seen) < REMEMBERED:
                         seen.add(digest)
                     hashes = np.sort(np.array([xxhash.xxh3_64_intdigest(s) for s in own], np.uint64).view(np.int64))
                     tokens.append(hashes[:indexed(n, percent)])
+                    odd = (np.bincount(hashes & (64 * WORDS - 1), minlength=64 * WORDS) & 1).astype(np.uint8)
+                    bits.append(np.packbits(odd).view(np.int64))
                     kept.append(text)
                 rows = np.arange(row, row + len(texts))
                 row += len(texts)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(rows, pa.int64()), batch.column(0), pa.array(ns, pa.int32()),
                      pa.array([dropped(n, percent) if n else 0 for n in ns], pa.int32()), pa.array(digests, pa.binary()),
-                     pa.array(tokens, pa.list_(pa.int64())), pa.array(kept, pa.binary())],
-                    ["row", "doc_id", "size", "drop", "digest", "tokens", "text"])
+                     pa.array(tokens, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64())), pa.array(kept, pa.binary())],
+                    ["row", "doc_id", "size", "drop", "digest", "tokens", "bits", "text"])
     return sets
 
 
-SETS = "row long, doc_id long, size int, drop int, digest binary, tokens array<long>, text binary"
+SETS = "row long, doc_id long, size int, drop int, digest binary, tokens array<long>, bits array<long>, text binary"
 
 
 def subset_sizes(n: int, below: int, percent: int = PERCENT) -> list[int]:
@@ -167,12 +179,22 @@ def _linkable(s, t, percent: int):
     return (percent * F.greatest(s, t) <= 100 * F.least(s, t))
 
 
-def _first_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """(a, b): every member of a list with the list's first (least in size, then in number)."""
-    firsts = lists.groupBy("list").agg(F.count("*").alias("n"), F.min(F.struct("size", "rep")).alias("first")).where("n > 1")
+def _open(percent: int, of: str = "{}_b"):
+    """Whether the bounds leave open that two sets link; the other's columns are named by ``of``."""
+    s, t = F.col("size"), F.col(of.format("size"))
+    most = F.least(s - F.col("own"), t - F.col(of.format("own")))
+    differ = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(of.format(c)))) for c in BITMAP), F.lit(0))
+    # shared >= least <=> sets differ in at most s + t - 2 * least shingles
+    least = F.ceil(percent * (s + t) / (100.0 + percent) - 1e-9)
+    return _linkable(s, t, percent) & (most >= least) & (differ <= s + t - 2 * least)
+
+
+def _first_pairs(lists: DataFrame, order: list[str], fits) -> DataFrame:
+    """(a, b): every member of a list with the list's first by ``order``."""
+    others = [c for c in lists.columns if c not in ("list", *order)]
+    firsts = lists.groupBy("list").agg(F.count("*").alias("n"), F.min(F.struct(*order, *others)).alias("first")).where("n > 1")
     met = totals_of(lists, firsts, "list", ["first"], "inner").where("first.rep <> rep")
-    return met.where(_linkable(F.col("size"), F.col("first.size"), percent)) \
-        .select(F.least("first.rep", "rep").alias("a"), F.greatest("first.rep", "rep").alias("b")).distinct()
+    return met.where(fits).select(F.least("first.rep", "rep").alias("a"), F.greatest("first.rep", "rep").alias("b")).distinct()
 
 
 def _verifier(words_per_shingle: int, percent: int):
@@ -234,9 +256,10 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_
     # a row's shared tokens, rarest first; it lists all but the `drop` last, and drops out if that leaves none
     found = totals_of(posted, shared, "token", ["df"], "inner").groupBy("row") \
         .agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("shared"))
-    sized = sets.where("tokens is not null").join(reps.select("digest", "rep"), "digest").select("row", "rep", "size", "drop")
+    sized = sets.where("tokens is not null").join(reps.select("digest", "rep"), "digest") \
+        .select("row", "rep", "size", "drop", F.size("tokens").alias("indexed"), *[F.get("bits", F.lit(i)).alias(c) for i, c in enumerate(BITMAP)])
     known = write_table(found.join(sized, "row").where(F.size("shared") > F.col("drop")).select(
-        "rep", "size", F.slice("shared", F.lit(1), F.size("shared") - F.col("drop")).alias("listed"),
+        "rep", "size", (F.col("indexed") - F.size("shared")).alias("own"), *BITMAP, F.slice("shared", F.lit(1), F.size("shared") - F.col("drop")).alias("listed"),
         F.when(F.col("size") < LARGEST_LIGHT, F.col("shared.token")).alias("tokens")).dropDuplicates(["rep"]), "jaccard-known")
     entries = F.aggregate("listed", F.lit(0).cast("long"), lambda n, t: n + t["df"])
     costs = known.where(F.col("size") < LARGEST_LIGHT).groupBy("size", F.size("tokens").alias("shared")) \
@@ -248,22 +271,24 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_
     # lists by size class: sets two classes apart never link
     level = F.floor(F.log(F.col("size").cast("double")) / F.lit(math.log(100 / percent) if percent < 100 else 1.0)).cast("int")
     lists = write_table(known.where(F.col("size") >= math.ceil(percent * below / 100))
-                        .select(F.explode("listed.token").alias("token"), "rep", "size"), "jaccard-lists")
-    by_class = lists.select(F.xxhash64("token", level).alias("list"), "rep", "size")
+                        .select(F.explode("listed.token").alias("token"), "rep", "size", "own", *BITMAP), "jaccard-lists")
+    by_class = lists.select(F.xxhash64("token", level).alias("list"), "rep", "size", "own", *BITMAP)
+    from_subsets = _first_pairs(subsets, ["size", "rep"], _linkable(F.col("size"), F.col("first.size"), percent))
+    from_lists = _first_pairs(by_class, ["own", "size", "rep"], _open(percent, "first.{}"))
     heavy = F.greatest(F.col("size"), F.col("size_b")) >= below
-    first = write_table(_first_pairs(subsets, percent).unionByName(_first_pairs(by_class, percent)).distinct(), "jaccard-first")
+    first = write_table(from_subsets.unionByName(from_lists).distinct(), "jaccard-first")
     texts = sets.where("text is not null").select("row", "text")
     links = write_table(verified(first, texts, words_per_shingle, percent), "jaccard-links")
     roots = write_table(connected_components(links, "jaccard", links.count()), "jaccard-roots")
 
     # pairs that share a list and are not joined yet
     placed = lists.join(roots, lists["rep"] == roots["node"], "left").select(
-        "token", "rep", "size", F.coalesce("root", "rep").alias("root"))
+        "token", "rep", "size", "own", *BITMAP, F.coalesce("root", "rep").alias("root"))
     mixed = placed.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("token")
     placed = write_table(placed.join(mixed, "token"), "jaccard-placed")
-    other = placed.select("token", F.col("rep").alias("rep_b"), F.col("size").alias("size_b"), F.col("root").alias("root_b"))
+    other = placed.select("token", *[F.col(c).alias(f"{c}_b") for c in placed.columns if c != "token"])
     rest = placed.join(other, "token").where(
-        (F.col("root") < F.col("root_b")) & heavy & _linkable(F.col("size"), F.col("size_b"), percent)) \
+        (F.col("root") < F.col("root_b")) & heavy & _open(percent)) \
         .select(F.least("rep", "rep_b").alias("a"), F.greatest("rep", "rep_b").alias("b")).distinct()
     rest = write_table(rest.join(first, ["a", "b"], "left_anti"), "jaccard-rest")
     more = write_table(verified(rest, texts, words_per_shingle, percent), "jaccard-more")
