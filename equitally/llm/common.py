@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,13 +16,13 @@ from equitally import session
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def write_table(df: DataFrame, name: str, rows: int | None = None, per_file: int = 200_000) -> DataFrame:
+def write_table(df: DataFrame, name: str, rows: int | None = None, per_file: int = 200_000, codec: str | None = None) -> DataFrame:
     """``session.write_table``; the job's shuffle files go as soon as the table
     is there, not when the driver happens to collect its garbage.
 
     ``rows``, if known, bounds the table's rows: its last stage then has a task
     and a file for every ``per_file`` of them, not one for every shuffle
-    partition however small.
+    partition however small.  ``codec`` compresses large tables closer.
     """
     if rows is not None:
         df = df.coalesce(max(1, -(-rows // per_file)))
@@ -29,7 +30,11 @@ def write_table(df: DataFrame, name: str, rows: int | None = None, per_file: int
     was = conf.get(CLEANUP, None)
     conf.set(CLEANUP, "true")
     try:
-        return session.write_table(df, name)
+        if codec is None:
+            return session.write_table(df, name)
+        path = f"{session.checkpoint_dir(df.sparkSession).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+        df.write.mode("overwrite").option("compression", codec).parquet(path)
+        return df.sparkSession.read.parquet(path)
     finally:
         conf.unset(CLEANUP) if was is None else conf.set(CLEANUP, was)
 

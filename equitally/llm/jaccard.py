@@ -246,7 +246,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_
     if not 51 <= percent <= 100:
         raise ValueError("percent must be 51 to 100")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sets = write_table(rows.mapInArrow(_setter(words_per_shingle, percent), SETS), "jaccard-sets")
+    sets = write_table(rows.mapInArrow(_setter(words_per_shingle, percent), SETS), "jaccard-sets", codec="zstd")
     # equal sets are one: its row is the first that has them
     reps = write_table(sets.where("digest is not null").groupBy("digest").agg(
         F.min("row").alias("rep"), F.min("doc_id").alias("least"), F.count("*").alias("n")), "jaccard-distinct")
@@ -254,8 +254,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_
     posted = sets.where("tokens is not null").select("row", F.explode("tokens").alias("token"))
     shared = write_table(posted.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").withColumn("df", F.col("n")), "jaccard-shared")
     # a row's shared tokens, rarest first; it lists all but the `drop` last, and drops out if that leaves none
-    found = totals_of(posted, shared, "token", ["df"], "inner").groupBy("row") \
-        .agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("shared"))
+    found = write_table(totals_of(posted, shared, "token", ["df"], "inner").groupBy("row")
+                        .agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("shared")), "jaccard-found", codec="zstd")
     sized = sets.where("tokens is not null").join(reps.select("digest", "rep"), "digest") \
         .select("row", "rep", "size", "drop", F.size("tokens").alias("indexed"), *[F.get("bits", F.lit(i)).alias(c) for i, c in enumerate(BITMAP)])
     known = write_table(found.join(sized, "row").where(F.size("shared") > F.col("drop")).select(
