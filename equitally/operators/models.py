@@ -30,6 +30,7 @@ from equitally.operators.features import (
     string_indexer,
 )
 from equitally.operators.sampling import hash_order
+from equitally.operators.trees import Walk, auc_by_round, first_rounds, node_table
 from equitally.session import checkpoint_dir, write_table
 from equitally.sources.schema import PROTECTED_FEATURES, SEED, TARGET, THRESHOLD
 
@@ -69,6 +70,8 @@ class TrainedModel:
     # boosted trees: rounds fitted, and the round (from 0) that was kept last
     rounds: int | None = None
     best_iteration: int | None = None
+    # boosted trees: held-out ROC-AUC after every fitted round
+    round_auc: list[float] = field(default_factory=list)
 
     @property
     def classifier(self):
@@ -126,10 +129,11 @@ def train_gbt(train: DataFrame, name: str = "gbt", exclude=(), max_iter: int = 6
     train (M4).  ``exclude`` drops inputs (the blind model drops the
     protected attributes).  A missing number is a value of its own.
 
-    Boosting stops once the held-out log loss has not improved for
-    ``patience`` rounds, and the model is fitted up to the best round.  The
-    first trees of a longer fit are those of a shorter one, so the rounds are
-    tried in steps (``ROUND_STEPS``) and the rule reads the loss of every round.
+    Boosting stops once the held-out ROC-AUC has not improved for ``patience``
+    rounds.  The areas of all rounds come from one pass over the held-out rows,
+    and the model is cut after its best round without another fit.  The first
+    trees of a longer fit are those of a shorter one, so the rounds are tried in
+    steps (``ROUND_STEPS``).
     """
     numeric, categorical = feature_columns(train, exclude)
     data = validation_indicator(train)
@@ -154,18 +158,19 @@ def train_gbt(train: DataFrame, name: str = "gbt", exclude=(), max_iter: int = 6
                              featureSubsetStrategy=feature_fraction, minInstancesPerNode=min_instances,
                              seed=seed, maxBins=max(32, arity + 2), checkpointInterval=25).fit(fit_on)
 
-    rounds, best = max_iter, max_iter - 1
+    rounds, best, areas = max_iter, max_iter - 1, []
     if early_stopping and not held_out.isEmpty():
         for rounds in [*[r for r in ROUND_STEPS if r < max_iter], max_iter]:
             fitted = fit(rounds)
-            best, waited = best_round(list(fitted.evaluateEachIteration(held_out)), patience)
+            walk = Walk(node_table(train.sparkSession, fitted, inputs))
+            areas = [r["roc_auc"] for r in auc_by_round(walk, held_out, TARGET).orderBy("round").collect()]  # one a round
+            best, waited = best_round([-a for a in areas], patience)
             if waited:
                 break
-        if best + 1 < rounds:
-            fitted = fit(best + 1)
+        fitted = first_rounds(fitted, best + 1)
     else:
         fitted = fit(max_iter)
-    return TrainedModel(name, PipelineModel(stages=[*pre.stages, fitted]), numeric, categorical, inputs, rounds, best)
+    return TrainedModel(name, PipelineModel(stages=[*pre.stages, fitted]), numeric, categorical, inputs, rounds, best, areas)
 
 
 def best_round(losses: list[float], patience: int) -> tuple[int, bool]:
