@@ -358,14 +358,67 @@ def _fit(spark, sf_dir, kind):
     return fitted_model(spark, sf_dir, kind), test
 
 
+def _as_table(spark, sf_dir, kind):
+    """The fitted model as a table, left for the SQL that scores the same rows:
+    nodes of trees, or coefficients."""
+    from equitally.operators.explain import coefficient_table
+    from equitally.operators.trees import node_table
+    from equitally.session import model_tables
+    m, test = _fit(spark, sf_dir, kind)
+    if kind == "logistic":
+        table = coefficient_table(m, test, None).select("feature", "coefficient") \
+            .unionByName(spark.createDataFrame([("intercept", float(m.classifier.intercept))], "feature string, coefficient double"))
+    else:
+        table = node_table(spark, m.classifier, m.inputs)
+    table.coalesce(1).write.mode("overwrite").parquet(f"{model_tables(spark)}/{kind}")
+    return table
+
+
 def _scores(kind):
     def run(spark, sf_dir):
         from equitally.operators.models import score
         m, test = _fit(spark, sf_dir, kind)
+        _as_table(spark, sf_dir, kind)
         return rounded(score(m, test))
     return run
 
 
+def q_m1_optimum(spark, sf_dir):
+    """The fitted coefficients, and whether the loss's gradient vanishes there."""
+    from equitally.operators.models import optimum_table
+    from equitally.plans.prepare import train_test
+    m, _ = _fit(spark, sf_dir, "logistic")
+    _as_table(spark, sf_dir, "logistic")
+    return rounded(optimum_table(m, train_test(spark, sf_dir)[0])).select(
+        "feature", "coefficient", (F.abs("gradient") < 1e-4).alias("at_optimum"))
+
+
+def _boosted(spark, sf_dir, kind="gbt"):
+    from equitally.operators.trees import Walk
+    from equitally.plans.prepare import train_test
+    m, _ = _fit(spark, sf_dir, kind)
+    train, _ = train_test(spark, sf_dir)
+    return m, Walk(_as_table(spark, sf_dir, kind)), train
+
+
+def q_m3_round_auc(spark, sf_dir):
+    """Held-out ROC-AUC after every kept round, in one pass over the rows."""
+    from equitally.operators.models import validation_indicator
+    from equitally.operators.trees import auc_by_round
+    m, walk, train = _boosted(spark, sf_dir)
+    held_out = validation_indicator(train).where("is_validation")
+    return rounded(auc_by_round(walk, m.model.transform(held_out), "target"))
+
+
+def q_m3_newton_leaves(spark, sf_dir):
+    """Second-order values of every leaf of the champion over the train rows."""
+    from equitally.operators.features import positive_class_weight
+    from equitally.operators.trees import newton_leaves
+    m, walk, train = _boosted(spark, sf_dir)
+    rows = m.model.transform(positive_class_weight(train, output="weight"))
+    return rounded(newton_leaves(walk, rows, "target", "weight"), 6)
+
+
 def q_f11_feature_names(spark, sf_dir):
     from equitally.operators.explain import slot_names
     m, test = _fit(spark, sf_dir, "logistic")
@@ -378,6 +431,8 @@ def q_m6_model_leaderboard(spark, sf_dir):
     from equitally.operators.models import score
     from equitally.plans.prepare import train_test
     from equitally.plans.train import fitted_model
+    for kind in ("logistic", "gbt", "blind"):
+        _as_table(spark, sf_dir, kind)
     _, test = train_test(spark, sf_dir)
     scored = score(fitted_model(spark, sf_dir, "logistic"), test) \
         .unionByName(score(fitted_model(spark, sf_dir, "gbt"), test)) \
@@ -523,19 +578,17 @@ def q_e6_top_lenders(spark, sf_dir):
 def q_e1_top_coefficients(spark, sf_dir):
     from equitally.operators.explain import coefficient_table
     m, test = _fit(spark, sf_dir, "logistic")
+    _as_table(spark, sf_dir, "logistic")
     return rounded(coefficient_table(m, test, 20))
 
 
-def q_e2_forest_importance(spark, sf_dir):
-    from equitally.operators.explain import importance_table
-    m, test = _fit(spark, sf_dir, "forest")
-    return rounded(importance_table(m, test, 20))
-
-
-def q_e3_gbt_importance(spark, sf_dir):
-    from equitally.operators.explain import importance_table
-    m, test = _fit(spark, sf_dir, "gbt")
-    return rounded(importance_table(m, test, None, column="gain"))
+def _gains(kind, n):
+    def run(spark, sf_dir):
+        from equitally.operators.explain import top_n
+        from equitally.operators.trees import gain_table
+        gains = gain_table(_as_table(spark, sf_dir, kind), per_tree=kind == "forest").withColumn("decrease", F.round("decrease", 6))
+        return rounded(top_n(gains, "importance", n) if n else gains)
+    return run
 
 
 def q_e4_permutation_importance(spark, sf_dir):
@@ -591,14 +644,13 @@ def entry(spark: SparkSession) -> DataFrame:
 
 def _training_data_modules() -> list:
     """The optional training-data queries: those of ``equitally.llm`` and the
-    pipeline, where those files are there."""
+    pipeline, where those files and the libraries that they import are there."""
     found = []
     for name in ("equitally.llm.queries", "corpus_pipeline"):
         try:
             found.append(importlib.import_module(name))
-        except ModuleNotFoundError as e:
-            if not (e.name or "").startswith(("equitally.llm", "corpus_pipeline")):
-                raise
+        except ModuleNotFoundError:
+            continue
     return found
 
 
@@ -639,6 +691,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "m7_function_scores": q_m7_function_scores,
         "m_score_contracts": q_m_score_contracts,
         "m3_rounds": q_m3_rounds,
+        "m1_optimum": q_m1_optimum,
+        "m3_round_auc": q_m3_round_auc,
+        "m3_newton_leaves": q_m3_newton_leaves,
         "c5_fitted": q_c5_fitted,
         "c10_fitted": q_c10_fitted,
         "c12_fitted": q_c12_fitted,
@@ -651,8 +706,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "e4_closed_form": q_e4_closed_form,
         "e6_top_lenders": q_e6_top_lenders,
         "e1_top_coefficients": q_e1_top_coefficients,
-        "e2_forest_importance": q_e2_forest_importance,
-        "e3_gbt_importance": q_e3_gbt_importance,
+        "e2_forest_importance": _gains("forest", 20),
+        "e3_gbt_importance": _gains("gbt", None),
         "e4_permutation_importance": q_e4_permutation_importance,
         "e5_shapley_summary": q_e5_shapley_summary,
         "e6_top_importance": q_e6_top_importance,

@@ -113,6 +113,24 @@ def train_forest(train: DataFrame, name: str = "forest", exclude=(), num_trees:
     return TrainedModel(name, PipelineModel(stages=[*pre, rf]), numeric, categorical, inputs)
 
 
+def optimum_table(trained: TrainedModel, train: DataFrame, c: float = 1.0) -> DataFrame:
+    """M1: (feature, coefficient, gradient) of the fitted penalised, weighted
+    loss, per unit of weight: zero at its optimum.  One aggregation over the
+    training rows; the intercept, which has no penalty, comes as ``intercept``."""
+    from equitally.operators.explain import slot_names
+
+    rows = trained.model.transform(balanced_weights(train, output="weight"))
+    k = len(trained.inputs) and int(trained.classifier.numFeatures)
+    x = vector_to_array("features")
+    off = F.col("weight") * (vector_to_array("probability").getItem(1) - F.col(TARGET))
+    sums = rows.select(off.alias("off"), "weight", x.alias("x")).agg(
+        F.array(*[F.sum(F.col("off") * F.get("x", F.lit(i))) for i in range(k)], F.sum("off")).alias("g"), F.sum("weight").alias("w")).first()
+    coefs = [*trained.classifier.coefficients.toArray().tolist(), float(trained.classifier.intercept)]
+    penalty = [*[v / c for v in coefs[:-1]], 0.0]
+    out = [(n, v, (g + a) / sums["w"]) for n, v, g, a in zip([*slot_names(trained, train), "intercept"], coefs, sums["g"], penalty)]
+    return train.sparkSession.createDataFrame(out, "feature string, coefficient double, gradient double")
+
+
 # Round counts that early stopping fits in turn, and its patience.
 ROUND_STEPS = (60, 180)
 PATIENCE = 30

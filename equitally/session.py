@@ -71,6 +71,16 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def model_tables(spark: SparkSession | None = None) -> str:
+    """Where registered queries leave fitted models as tables, for another
+    engine to score the same rows: under the shared folder of a cluster; on one
+    machine at a fixed place that needs no session to be known."""
+    spark = spark or SparkSession.getActiveSession()
+    if spark is not None and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        return f"{spark.sparkContext.getConf().get('spark.checkpoint.dir').rstrip('/')}/model-tables"
+    return os.path.join(tempfile.gettempdir(), "equitally-models")
+
+
 # Settings a cluster session should carry for these jobs (all public Spark
 # configuration keys); pass them to SparkSession.builder.config(...).
 CLUSTER_SETTINGS = {

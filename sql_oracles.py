@@ -683,6 +683,154 @@ def m4_validation_indicator() -> str:
     return _with_split(f"SELECT app_id, {h} < '1999999a' AS is_validation FROM train")
 
 
+# --------------------------------------------------------------------------- #
+# Fitted models as tables: the query leaves its nodes or coefficients in
+# Parquet, and SQL scores the rows of the driver tables with them
+# --------------------------------------------------------------------------- #
+
+MODEL_NUMBERS = ["applicant_age", "co-applicant_age", "county_code", "debt_to_income_ratio", "total_units", "income",
+                 "loan_amount", "property_value", "loan_term", "loan_purpose"]
+MODEL_LEVELS = ["derived_race", "derived_sex", "conforming_loan_limit", "derived_ethnicity"]
+
+
+def _model_table(kind: str) -> str:
+    from equitally.session import model_tables
+    return f"read_parquet('{model_tables().removeprefix('file:')}/{kind}/*.parquet')"
+
+
+def _level_codes() -> str:
+    return ", ".join(f"k_{c} AS ({_codes(c)})" for c in MODEL_LEVELS)
+
+
+def _walk(kind: str, where: str) -> str:
+    """leaf_<kind>: the leaf of every tree that every row reaches."""
+    coded = "ord" if kind == "forest" else "idx"
+    levels = [c for c in MODEL_LEVELS if kind != "blind" or c not in ("derived_race", "derived_sex")]
+    values = [f"COALESCE(CAST({q(c)} AS DOUBLE), -1e12)" for c in MODEL_NUMBERS]
+    values += [f"CAST(COALESCE(k_{c}.code, {'-1' if coded == 'ord' else f'(SELECT COUNT(*) FROM k_{c})'}) AS DOUBLE)" for c in levels]
+    names = ", ".join(lit(f"{c}__num") for c in MODEL_NUMBERS) + ", " + ", ".join(lit(f"{c}__{coded}") for c in levels)
+    joins = " ".join(f"LEFT JOIN k_{c} ON k_{c}.lvl = sp.{c}" for c in levels)
+    return f"""
+x_{kind} AS MATERIALIZED (SELECT sp.app_id, sp.target, [{', '.join(values)}] AS x FROM sp {joins} WHERE {where}),
+nodes_{kind} AS MATERIALIZED (SELECT *, list_position([{names}], input) AS at FROM {_model_table(kind)}),
+walk_{kind}(app_id, tree, node) AS (
+  SELECT app_id, tree, 0 FROM x_{kind}, (SELECT DISTINCT tree FROM nodes_{kind})
+  UNION ALL
+  SELECT w.app_id, w.tree, CASE WHEN CASE WHEN n.levels IS NULL THEN r.x[n.at] <= n.threshold ELSE list_contains(n.levels, r.x[n.at]) END
+    THEN n.left_child ELSE n.right_child END
+  FROM walk_{kind} w JOIN nodes_{kind} n ON n.tree = w.tree AND n.node = w.node JOIN x_{kind} r ON r.app_id = w.app_id WHERE n.left_child >= 0),
+leaf_{kind} AS (
+  SELECT w.app_id, w.tree, w.node, n.value, n.weight, CAST(round(n.weight * n.value * 1e9) AS BIGINT) AS units, r.target
+  FROM walk_{kind} w JOIN nodes_{kind} n ON n.tree = w.tree AND n.node = w.node JOIN x_{kind} r ON r.app_id = w.app_id WHERE n.left_child < 0)"""
+
+
+def _tree_scores(kind: str) -> str:
+    p = "AVG(value)" if kind == "forest" else "1 / (1 + exp(-2 * SUM(weight * value)))"
+    return (f"{_walk(kind, chr(39).join(['split = ', 'test', '']))},\n"
+            f"p_{kind} AS (SELECT app_id, {lit(kind)} AS model, ANY_VALUE(target) AS y, {p} AS p FROM leaf_{kind} GROUP BY app_id)")
+
+
+def _recursive(body: str, ctes: str) -> str:
+    return _with_split(body, f"{_level_codes()}, {ctes}").replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def _score_columns() -> str:
+    return f"app_id, model, y, {rnd('p')} AS p, CAST(CASE WHEN p >= 0.5 THEN 1 ELSE 0 END AS INTEGER) AS yhat"
+
+
+def m_tree_scores(kind: str) -> str:
+    return _recursive(f"SELECT {_score_columns()} FROM p_{kind}", _tree_scores(kind))
+
+
+def _logistic(where: str) -> str:
+    """z_log: features in long form, coefficients and scores by the coefficient table."""
+    stats = ", ".join(f"AVG(CAST({q(c)} AS DOUBLE)) AS {q('m_' + c)}, CASE WHEN STDDEV_POP(CAST({q(c)} AS DOUBLE)) = 0 OR "
+                      f"STDDEV_POP(CAST({q(c)} AS DOUBLE)) IS NULL THEN 1.0 ELSE STDDEV_POP(CAST({q(c)} AS DOUBLE)) END AS {q('s_' + c)}"
+                      for c in MODEL_NUMBERS)
+    parts = [f"SELECT app_id, target, {lit('num__' + c)} AS feature, COALESCE((CAST({q(c)} AS DOUBLE) - {q('m_' + c)}) / {q('s_' + c)}, 0) AS v FROM sp, scaling WHERE {where}"
+             for c in MODEL_NUMBERS]
+    parts += [f"SELECT app_id, target, {lit('cat__' + c + '_')} || {c}, 1.0 FROM sp WHERE {where}" for c in MODEL_LEVELS]
+    parts += [f"SELECT app_id, target, 'intercept', 1.0 FROM sp WHERE {where}"]
+    return (f"scaling AS (SELECT {stats} FROM train),\ncoef AS (SELECT * FROM {_model_table('logistic')}),\n"
+            f"long AS ({' UNION ALL '.join(parts)}),\n"
+            "z_log AS (SELECT app_id, ANY_VALUE(target) AS y, SUM(v * coefficient) AS z FROM long JOIN coef ON long.feature = coef.feature GROUP BY app_id),\n"
+            "p_logistic AS (SELECT app_id, 'logistic' AS model, y, 1 / (1 + exp(-z)) AS p FROM z_log)")
+
+
+def m1_logistic_scores() -> str:
+    return _with_split(f"SELECT {_score_columns()} FROM p_logistic", _logistic("split = 'test'"))
+
+
+def m1_optimum() -> str:
+    return _with_split(
+        f"SELECT c.feature, {rnd('c.coefficient')} AS coefficient, ABS(g.g + CASE WHEN c.feature = 'intercept' THEN 0 ELSE c.coefficient END) / n.n < 1e-4 AS at_optimum\n"
+        "FROM coef c JOIN (SELECT l.feature, SUM(w.n / (w.k * w.n_c) * (p.p - l.target) * l.v) AS g FROM long l JOIN p_logistic p ON p.app_id = l.app_id "
+        "JOIN cw w ON w.target = l.target GROUP BY l.feature) g ON g.feature = c.feature, (SELECT CAST(COUNT(*) AS DOUBLE) AS n FROM train) n",
+        _logistic("split = 'train'") + ",\ncc AS (SELECT target, COUNT(*) AS n_c FROM train GROUP BY target),\n"
+        "cw AS (SELECT target, n_c, (SELECT CAST(SUM(n_c) AS DOUBLE) FROM cc) AS n, (SELECT COUNT(*) FROM cc) AS k FROM cc)")
+
+
+def f11_feature_names() -> str:
+    rows = [f"SELECT {i} AS a, 0 AS b, {lit('num__' + c)} AS feature" for i, c in enumerate(MODEL_NUMBERS)]
+    rows += [f"SELECT {100 + i}, code, {lit('cat__' + c + '_')} || lvl FROM k_{c}" for i, c in enumerate(MODEL_LEVELS)]
+    return _with_split("SELECT CAST(ROW_NUMBER() OVER (ORDER BY a, b) - 1 AS INTEGER) AS position, feature FROM names",
+                       f"{_level_codes()}, names AS ({' UNION ALL '.join(rows)})")
+
+
+def e1_top_coefficients() -> str:
+    return (f"SELECT feature, {rnd('coefficient')} AS coefficient, {rnd('ABS(coefficient)')} AS abs_coefficient FROM {_model_table('logistic')} "
+            "WHERE feature <> 'intercept' ORDER BY ABS(coefficient) DESC, feature LIMIT 20")
+
+
+def m6_model_leaderboard() -> str:
+    scored = " UNION ALL ".join(f"SELECT app_id, model, y, p, CASE WHEN p >= 0.5 THEN 1 ELSE 0 END AS yhat FROM p_{k}" for k in ("logistic", "gbt", "blind"))
+    rest = b10_leaderboard().split("g AS (", 1)[1]
+    head, tail = rest.rsplit("\nSELECT c.model", 1)
+    return _recursive("SELECT c.model" + tail, f"{_logistic(chr(39).join(['split = ', 'test', '']))},\n{_tree_scores('gbt')},\n{_tree_scores('blind')},\n"
+                      f"scored AS ({scored}),\ng AS (" + head)
+
+
+def m3_round_auc(kind: str = "gbt") -> str:
+    h = "substr(md5(CAST(app_id AS VARCHAR) || '-42-validation'), 1, 8)"
+    held = f"split = 'train' AND {h} < '1999999a'".replace("app_id", "sp.app_id")
+    return _recursive(
+        f"SELECT CAST(round AS INTEGER) AS round, {rnd('(SUM(CASE WHEN y = 1 THEN r END) - ANY_VALUE(P) * (ANY_VALUE(P) + 1) / 2.0) / (ANY_VALUE(P) * ANY_VALUE(N))')} AS roc_auc FROM placed GROUP BY round",
+        f"{_walk(kind, held)},\n"
+        f"m AS (SELECT app_id, tree AS round, target AS y, SUM(units) OVER (PARTITION BY app_id ORDER BY tree) AS s FROM leaf_{kind}),\n"
+        "placed AS (SELECT round, y, RANK() OVER (PARTITION BY round ORDER BY s) + (COUNT(*) OVER (PARTITION BY round, s) - 1) / 2.0 AS r, "
+        "CAST(SUM(y) OVER (PARTITION BY round) AS DOUBLE) AS P, CAST(SUM(1 - y) OVER (PARTITION BY round) AS DOUBLE) AS N FROM m)")
+
+
+def m3_newton_leaves(kind: str = "gbt") -> str:
+    return _recursive(
+        f"SELECT CAST(s.tree AS INTEGER) AS tree, CAST(s.node AS INTEGER) AS leaf, s.n, ROUND(s.g, 6) AS g, ROUND(s.h, 6) AS h, "
+        "ROUND(CASE WHEN s.h < 2 AND s.parent IS NOT NULL THEN -b.g / (b.h + 1) ELSE -s.g / (s.h + 1) END, 6) AS value "
+        "FROM sums s JOIN (SELECT tree, parent, SUM(g) AS g, SUM(h) AS h FROM sums GROUP BY tree, parent) b ON b.tree = s.tree AND b.parent IS NOT DISTINCT FROM s.parent",
+        f"{_walk(kind, chr(39).join(['split = ', 'train', '']))},\n"
+        "pw AS (SELECT SUM(CASE WHEN target = 0 THEN 1 ELSE 0 END) / CAST(SUM(target) AS DOUBLE) AS w FROM train),\n"
+        f"m AS (SELECT tree, node, target AS y, CASE WHEN target = 1 THEN pw.w ELSE 1.0 END AS w, "
+        f"1 / (1 + exp(-2 * ((SUM(units) OVER (PARTITION BY app_id ORDER BY tree) - units) / 1e9))) AS p FROM leaf_{kind}, pw),\n"
+        f"up AS (SELECT tree, UNNEST([left_child, right_child]) AS node, node AS parent FROM nodes_{kind} WHERE left_child >= 0),\n"
+        "sums AS (SELECT m.tree, m.node, ANY_VALUE(up.parent) AS parent, COUNT(*) AS n, SUM(w * (p - y)) AS g, SUM(w * p * (1 - p)) AS h "
+        "FROM m LEFT JOIN up ON up.tree = m.tree AND up.node = m.node GROUP BY m.tree, m.node)")
+
+
+def e_gains(kind: str, limit: int | None) -> str:
+    share = "CASE WHEN whole > 0 THEN decrease / whole ELSE 0 END" if kind == "forest" else "decrease"
+    return (f"WITH s AS (SELECT *, gain * mass AS decrease, SUM(gain * mass) OVER (PARTITION BY tree) AS whole FROM {_model_table(kind)} WHERE left_child >= 0),\n"
+            f"i AS (SELECT input, COUNT(*) AS splits, SUM(gain) AS total_gain, AVG(gain) AS average_gain, SUM(decrease) AS decrease, SUM({share}) AS share FROM s GROUP BY input),\n"
+            "o AS (SELECT CASE WHEN input LIKE '%\\_\\_num' ESCAPE '\\' THEN 'num__' ELSE 'cat__' END || regexp_replace(input, '__(num|ord|idx)$', '') AS feature, *, share / SUM(share) OVER () AS importance FROM i)\n"
+            f"SELECT feature, splits, {rnd('total_gain')} AS total_gain, {rnd('average_gain')} AS average_gain, ROUND(decrease, 6) AS decrease, {rnd('importance')} AS importance "
+            f"FROM o ORDER BY importance DESC, feature" + (f" LIMIT {limit}" if limit else ""))
+
+
+def fitted_models() -> dict[str, str]:
+    return {"m1_logistic_scores": m1_logistic_scores(), "m1_optimum": m1_optimum(), "m2_forest_scores": m_tree_scores("forest"),
+            "m3_gbt_scores": m_tree_scores("gbt"), "m5_blind_scores": m_tree_scores("blind"), "m6_model_leaderboard": m6_model_leaderboard(),
+            "m3_round_auc": m3_round_auc(), "m3_newton_leaves": m3_newton_leaves(), "f11_feature_names": f11_feature_names(),
+            "e1_top_coefficients": e1_top_coefficients(), "e2_forest_importance": e_gains("forest", 20), "e3_gbt_importance": e_gains("gbt", None)}
+
+
 # --------------------------------------------------------------------------- #
 # Audit of fitted models: what SQL can know of them
 # --------------------------------------------------------------------------- #
@@ -812,6 +960,7 @@ def all_sql() -> dict[str, str]:
         "f7_ordinal_codes": f7_ordinal_codes(),
         "f9_balanced_weights": f9_balanced_weights(),
         "f10_positive_weight": f10_positive_weight(),
+        **fitted_models(),
         "m4_validation_indicator": m4_validation_indicator(),
         "p1_decision_filter": p1_decision_filter(),
         "p2_binary_target": p2_binary_target(),
