@@ -40,6 +40,11 @@ MARKED = frozenset("""ad ads advert adverts advertisement advertising sponsor sp
     breadcrumbs footer header masthead toolbar pagination pager widget widgets login signup search contentinfo complementary
     alertdialog""".split())
 NAMES = re.compile(r"[a-z]+")
+#: A class, id or role with one of these tells a state ("has-sidebar"), not a part of the page.
+STATES = frozenset("has no not with without is".split())
+#: Marks that say nothing beside these: the head of an entry, a section on related work.
+OF_CONTENT = {"header": frozenset("entry post article content story".split()), "footer": frozenset("entry post article content story".split()),
+              "related": frozenset("work works research".split())}
 CONTAINERS = ("article", "main", "section", "div", "td")
 #: Containers deeper than this count as the one above, so paths stay short.
 DEEPEST = 64
@@ -47,6 +52,12 @@ DEEPEST = 64
 MOST, NEARLY_ALL = 0.5, 0.8
 
 
+def marked(name: str) -> bool:
+    """Whether a class, id or role names a part that is no article."""
+    parts = set(NAMES.findall(name))
+    return parts.isdisjoint(STATES) and any(parts.isdisjoint(OF_CONTENT.get(m, ())) for m in parts & MARKED)
+
+
 class Lines(HTMLParser):
     """Parser events -> lines (text, tags, containers that hold it)."""
 
@@ -88,7 +99,17 @@ class Lines(HTMLParser):
             return True
         if tag in ("html", "body", "article", "main"):
             return False
-        return any(v and not MARKED.isdisjoint(NAMES.findall(v.lower())) for k, v in attrs if k in ("class", "id", "role"))
+        return any(marked(name) for k, v in attrs if v and k in ("class", "id", "role") for name in v.lower().split())
+
+    def parse_marked_section(self, i, report=1):
+        return self.skipped(i)
+
+    def parse_html_declaration(self, i):
+        return self.skipped(i) if self.rawdata[i:i + 3] == "<![" else super().parse_html_declaration(i)
+
+    def skipped(self, i: int) -> int:
+        """Past the ``>`` of a marked section, whatever it holds; −1 if it is cut off."""
+        return self.rawdata.find(">", i) + 1 or -1
 
     def handle_starttag(self, tag, attrs):
         if tag in BLOCK:

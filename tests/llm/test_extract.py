@@ -53,3 +53,20 @@ def test_given_pages_equal_their_article_element(spark):
         inner = re.search(r"<article>(.*?)</article>", r.html, re.S)[1]
         blocks = [" ".join(h.unescape(re.sub(r"<[^>]+>", "", b)).split()) for b in re.split(r"</?(?:p|h1)\b[^>]*>", inner)]
         assert r.text == "\n".join(b for b in blocks if b)
+
+
+def test_any_markup_fragment_has_a_defined_text():
+    import random
+
+    rng = random.Random(9)
+    bits = ["<![", "<![foo[bar]]>", "<![CDATA[x]]>", "]]>", "<!x", "<!", "<!-", "<!--", "-->", "<?", "?>", "</", "<p", "<p>", ">", "a", " ", "&", "&#", "&#x110000;",
+            "&lt", "<!DOCTYPE", "<script>", "</script", "<div class=", "'", '"', "/>", "<1", "</ p>", "<a b=c", "\x00", "<![if IE]>", "<![endif]>", "<svg>", "<!ELEMENT [", "[", "]"]
+    for _ in range(4000):
+        assert isinstance(main_text("".join(rng.choice(bits) for _ in range(rng.randint(1, 14)))), str)
+    assert main_text(f"<![foo[bar]]><article><p>{LONG}</article>") == LONG
+
+
+@pytest.mark.parametrize("page", [f'<div class="content no-sidebar"><p>{LONG}</div>', f'<div id="page" class="has-sidebar"><article><p>{LONG}</article></div>',
+                                  f'<article><div class="entry-header"><h1>{LONG}</h1></div></article>', f'<article><section class="related-work"><p>{LONG}</section></article>'])
+def test_states_and_parts_of_the_article_are_no_marks(page):
+    assert main_text(f"<body>{page}<div class='sidebar-left'>x</div><section class='related-posts'>y</section></body>") == LONG
