@@ -291,6 +291,12 @@ def q_j5_label_codes(spark, sf_dir):
     return codes
 
 
+def q_j5_first_seen_codes(spark, sf_dir):
+    from equitally.operators.features import first_seen_codes
+    sp = _split(spark, sf_dir)
+    return first_seen_codes(sp.where("split = 'train'"), sp.where("split = 'test'"), "derived_race", "app_id")
+
+
 # --------------------------------------------------------------------------- #
 # Features (fitted on the train split, applied to every row)
 # --------------------------------------------------------------------------- #
@@ -568,6 +574,13 @@ def q_e4_closed_form(spark, sf_dir):
     return rounded(importance_from_scores(_closed_scores, cleaned_applications(spark, sf_dir), CLOSED_FORM_INPUTS))
 
 
+def q_e5_closed_form(spark, sf_dir):
+    """Exact Shapley values of the closed-form scorer, three rows as background."""
+    from equitally.operators.explain import exact_shapley
+    rows = cleaned_applications(spark, sf_dir)
+    return rounded(exact_shapley(_closed_scores, rows, smp.uniform_sample(rows, 3), CLOSED_FORM_INPUTS))
+
+
 def q_e6_top_lenders(spark, sf_dir):
     """E6 over more rows than its limit: the applicants with the highest mean score."""
     from equitally.operators.explain import top_n
@@ -676,6 +689,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "f4_uniform_sample": q_f4_uniform_sample,
         "j4_category_domain": q_j4_category_domain,
         "j5_label_codes": q_j5_label_codes,
+        "j5_first_seen_codes": q_j5_first_seen_codes,
         "f5_standard_scaling": q_f5_standard_scaling,
         "f6_one_hot": q_f6_one_hot,
         "f7_ordinal_codes": q_f7_ordinal_codes,
@@ -704,6 +718,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "c12_closed_form": q_c12_closed_form,
         "d5_closed_form": q_d5_closed_form,
         "e4_closed_form": q_e4_closed_form,
+        "e5_closed_form": q_e5_closed_form,
         "e6_top_lenders": q_e6_top_lenders,
         "e1_top_coefficients": q_e1_top_coefficients,
         "e2_forest_importance": _gains("forest", 20),

@@ -8,6 +8,8 @@ with ONE ``transform`` of the fitted pipeline, and aggregated by key.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -164,6 +166,7 @@ def sampled_shapley(trained: TrainedModel, df: DataFrame, sample_size: int | Non
     per (row, feature).  By construction the values of a row sum to
     f(x) − mean f(z) over its permutations (efficiency).  ``output='margin'``
     explains the raw score, for which a linear model's values are exact.
+    ``phi_error`` is the standard error of a value over its permutations.
     """
     features = trained.numeric + trained.categorical
     nf = len(features)
@@ -197,7 +200,45 @@ def sampled_shapley(trained: TrainedModel, df: DataFrame, sample_size: int | Non
                .withColumn("_delta", F.col("_v") - F.lag("_v").over(w))
                .where(F.col("_step") > 0))
     return (credits.groupBy(key, F.col("_credit").alias("feature"))
-            .agg((F.sum("_delta") / F.lit(float(permutations))).alias("phi")))
+            .agg((F.sum("_delta") / F.lit(float(permutations))).alias("phi"),
+                 (F.stddev_samp("_delta") / F.lit(math.sqrt(permutations))).alias("phi_error")))
+
+
+# Inputs of the exact form (2^k variants a row), and rows of its background.
+LATTICE_INPUTS, LATTICE_BACKGROUND = 12, 100
+
+
+def exact_shapley(scorer, rows: DataFrame, background: DataFrame, features: list[str], key: str = "app_id",
+                  label: str = TARGET) -> DataFrame:
+    """E5: exact Shapley values (key, feature, phi) over the whole coalition lattice.
+
+    For every subset S of at most ``LATTICE_INPUTS`` features, a row's value v(S)
+    is the mean score of its variants that take S from the row and the rest from
+    each row of ``background`` (at most ``LATTICE_BACKGROUND`` rows, checked).
+    ``scorer(rows, keep)`` gives (keep..., p) and scores all variants in one
+    pass; phi is the sum of v(S) with the weight that S has for the feature, so
+    one aggregation by key folds all differences of subsets.
+    """
+    k = len(features)
+    if not 1 <= k <= LATTICE_INPUTS:
+        raise ValueError(f"1 to {LATTICE_INPUTS} features")
+    base = background.select(*features).limit(LATTICE_BACKGROUND + 1)
+    zs = base.collect()
+    if not 1 <= len(zs) <= LATTICE_BACKGROUND:
+        raise ValueError(f"the background has 1 to {LATTICE_BACKGROUND} rows")
+    types = {f.name: f.dataType for f in base.schema.fields}
+    others = F.array(*[F.struct(*[F.lit(z[f]).cast(types[f]).alias(f"z{i}") for i, f in enumerate(features)]) for z in zs])
+    variants = rows.select(key, label, *features).withColumn("_set", F.explode(F.sequence(F.lit(0), F.lit(2 ** k - 1)))) \
+        .withColumn("_z", F.explode(others))
+    inside = [F.col("_set").bitwiseAND(1 << i) != 0 for i in range(k)]
+    scored = scorer(variants.select(key, label, "_set", *[F.when(inside[i], F.col(f)).otherwise(F.col(f"_z.z{i}")).alias(f)
+                                                          for i, f in enumerate(features)]), (key, "_set"))
+    size = F.bit_count(F.col("_set"))
+    weight = F.array(*[F.lit(math.factorial(s) * math.factorial(k - s - 1) / math.factorial(k)) for s in range(k)])
+    phis = [F.sum(F.col("p") * F.when(inside[i], F.get(weight, size - 1)).otherwise(-F.get(weight, size))) / F.lit(float(len(zs)))
+            for i in range(k)]
+    folded = scored.groupBy(key).agg(F.array(*[F.struct(F.lit(f).alias("feature"), phi.alias("phi")) for f, phi in zip(features, phis)]).alias("_phis"))
+    return folded.select(key, F.inline("_phis"))
 
 
 def shapley_summary(phi: DataFrame) -> DataFrame:

@@ -38,6 +38,19 @@ def factorize(train: DataFrame, test: DataFrame, column: str) -> DataFrame:
                       (F.dense_rank().over(Window.orderBy(column)) - 1).alias("code"))
 
 
+def first_seen_codes(train: DataFrame, test: DataFrame, column: str, position: str) -> DataFrame:
+    """J4 / J5 in first-seen order: (level, code, first_seen) over train, then test.
+
+    Codes follow the smallest ``position`` of a level, train before test, so they
+    are those of reading both tables in row order, whatever the partitions.  The
+    window runs over the distinct levels only; a level's rows meet in a ``min``.
+    """
+    seen = train.select(column, F.struct(F.lit(0).alias("part"), F.col(position).alias("row")).alias("at")).unionByName(
+        test.select(column, F.struct(F.lit(1).alias("part"), F.col(position).alias("row")).alias("at")))
+    first = seen.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("level")).agg(F.min("at").alias("at"))
+    return first.select("level", (F.row_number().over(Window.orderBy("at", "level")) - 1).alias("code"), F.col("at.row").alias("first_seen"))
+
+
 # --------------------------------------------------------------------------- #
 # standard scaling (population standard deviation)
 # --------------------------------------------------------------------------- #

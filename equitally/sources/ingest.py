@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import csv
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from equitally.functions.cleaning import col_of
+from equitally.session import write_table
 from equitally.sources.schema import raw_schema
 
 # Markup at the very start of a payload that is a web page, not data.
@@ -34,6 +36,89 @@ def read_raw_csv(spark: SparkSession, path: str | list[str], columns: list[str]
             .schema(raw_schema(columns)).csv(path))
 
 
+CORRUPT = "_corrupt_record"
+
+
+def load_csv(spark: SparkSession, path: str | list[str], columns: list[str] | None = None, max_bad_share: float = 0.0,
+             quarantine_path: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """S1 without silent damage: (rows, quarantine, counts per file).
+
+    A line with too few or too many fields, or with a quote that does not close,
+    goes to the quarantine with its text and file, and to no other table.  Every
+    line is parsed once: the scan writes one table that both sides are filters
+    of, and the counts read no more of it than a file name and a flag.  More
+    than ``max_bad_share`` of the lines in quarantine fails the load; then, and
+    before any other result, the quarantine is at ``quarantine_path`` if that is
+    given.
+    """
+    schema = raw_schema(columns).add(CORRUPT, "string")
+    lines = (spark.read.option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
+             .option("enforceSchema", False).option("nullValue", None).option("emptyValue", "").schema(schema).csv(path)
+             .withColumn("file_path", F.col("_metadata.file_path")))
+    written = write_table(lines.withColumn("_is_bad", F.col(CORRUPT).isNotNull()), "loaded")
+    per_file = written.groupBy("file_path").agg(F.count(F.lit(1)).alias("lines"), F.count_if("_is_bad").alias("quarantined"))
+    seen = per_file.agg(F.sum("lines").alias("n"), F.sum("quarantined").alias("bad")).first()
+    bad = written.where("_is_bad").select("file_path", F.col(CORRUPT).alias("line"))
+    if quarantine_path:
+        bad.write.mode("overwrite").parquet(quarantine_path)
+        bad = spark.read.parquet(quarantine_path)
+    if (seen["bad"] or 0) > max_bad_share * (seen["n"] or 0):
+        raise ValueError(f"{seen['bad']} of {seen['n']} lines are malformed; {max_bad_share:.4%} may be")
+    return written.where("not _is_bad").drop(CORRUPT, "_is_bad", "file_path"), bad, per_file
+
+
+LEDGER = "file_path string, length long, modified timestamp, lines long, content string, landed_at timestamp"
+
+
+def landed_files(spark: SparkSession, ledger_path: str) -> DataFrame:
+    """S3: the ledger of landed files, one row per landing; empty if there is none."""
+    try:
+        return spark.read.schema(LEDGER).parquet(ledger_path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], LEDGER)
+
+
+def land_new_files(spark: SparkSession, path: str | list[str], out_path: str, ledger_path: str,
+                   columns: list[str] | None = None) -> DataFrame:
+    """S3: land the CSV files under ``path`` that the ledger lacks; the new ledger rows.
+
+    The ledger is an append-only table of path, length, modification time and a
+    hash of the content.  Files are listed without being read; an anti join
+    leaves those that no ledger row describes, and only they are read.  A file
+    of known path whose content hash is unchanged is entered and not landed
+    again; a changed one replaces its own rows, which lie in a partition of
+    their own, and no others.  The rows are written before the ledger, so a run
+    that breaks off lands its files again.  A content hash is that of the bag
+    of lines: a file whose lines were only reordered counts as unchanged.
+    """
+    ledger = landed_files(spark, ledger_path)
+    listed = spark.read.format("binaryFile").load(path).select(
+        F.col("path").alias("file_path"), "length", F.col("modificationTime").alias("modified"))  # contents are not read
+    new = listed.join(ledger, ["file_path", "length", "modified"], "left_anti")
+    paths = [r["file_path"] for r in new.select("file_path").collect()]  # file names, not rows
+    if not paths:
+        return spark.createDataFrame([], LEDGER)
+    text = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("file_path"))
+    whole = text.groupBy("file_path").agg(
+        F.count(F.lit(1)).alias("lines"), F.concat_ws("-", F.hex(F.bit_xor(F.xxhash64("value"))),
+                                                      F.sum(F.xxhash64("value", F.lit(1)).cast("decimal(38,0)")).cast("string")).alias("content"))
+    same_file = F.regexp_replace(F.col("file_path"), "^file:/+", "file:/")
+    entries = new.withColumn("_f", same_file).join(whole.select(same_file.alias("_f"), "lines", "content"), "_f", "left").select(
+        "file_path", "length", "modified", F.coalesce("lines", F.lit(0)).alias("lines"), F.coalesce("content", F.lit("")).alias("content"),
+        F.current_timestamp().alias("landed_at"))
+    entries = write_table(entries, "ledger-entries")
+    last = ledger.groupBy("file_path").agg(F.max_by("content", "landed_at").alias("content"))
+    changed = [r["file_path"] for r in entries.join(last, ["file_path", "content"], "left_anti").select("file_path").collect()]
+    if changed:
+        rows = read_raw_csv(spark, changed, columns).withColumn(
+            "source_file", F.sha2(F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "file:/"), 256))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source_file").parquet(out_path)
+    entries.write.mode("append").parquet(ledger_path)
+    return entries
+
+
 def assign_row_key(df: DataFrame, key: str = "app_id") -> DataFrame:
     """Row identity for a raw extract without a source key: a 128-bit hash of
     the row's content and its occurrence number among identical rows.

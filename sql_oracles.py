@@ -616,6 +616,12 @@ def j5_label_codes() -> str:
                        "AS code FROM (SELECT DISTINCT derived_race FROM clean WHERE derived_race IS NOT NULL)")
 
 
+def j5_first_seen_codes() -> str:
+    return (f"WITH {_split_ctes()},\nf AS (SELECT c.derived_race AS level, MIN({{'part': CASE WHEN s.split = 'train' THEN 0 ELSE 1 END, 'row': c.app_id}}) AS spot "
+            "FROM clean c JOIN split s ON s.app_id = c.app_id WHERE c.derived_race IS NOT NULL GROUP BY c.derived_race)\n"
+            "SELECT level, CAST(ROW_NUMBER() OVER (ORDER BY spot, level) - 1 AS INTEGER) AS code, spot.row AS first_seen FROM f")
+
+
 # --------------------------------------------------------------------------- #
 # Features fitted on the train split
 # --------------------------------------------------------------------------- #
@@ -909,6 +915,18 @@ def e4_closed_form() -> str:
             f"CAST(0 AS DOUBLE) AS importance_std FROM a WHERE model <> 'base'")
 
 
+def e5_closed_form() -> str:
+    x = ", ".join(f"CASE WHEN s & {1 << i} <> 0 THEN c.{f} ELSE z.{f} END AS {f}" for i, f in enumerate(CLOSED_INPUTS))
+    k = len(CLOSED_INPUTS)
+    weight = f"factorial(%s)::DOUBLE * factorial({k - 1} - (%s)) / factorial({k})"
+    parts = [f"SELECT app_id, {lit(f)} AS feature, SUM(v * CASE WHEN s & {1 << i} <> 0 THEN {weight.replace('%s', 'CAST(bit_count(s) AS INTEGER) - 1')} "
+             f"ELSE -({weight.replace('%s', 'CAST(bit_count(s) AS INTEGER)')}) END) AS phi FROM v GROUP BY app_id" for i, f in enumerate(CLOSED_INPUTS)]
+    return (f"WITH {ctes_clean()},\nz AS (SELECT {', '.join(CLOSED_INPUTS)} FROM clean ORDER BY {HASH}, app_id LIMIT 3),\n"
+            f"h AS (SELECT c.app_id, s, {x} FROM clean c, z, UNNEST(range({2 ** k})) AS r(s)),\n"
+            f"v AS (SELECT app_id, s, AVG({CLOSED}) AS v FROM h GROUP BY app_id, s),\n"
+            f"a AS ({' UNION ALL '.join(parts)})\nSELECT app_id, feature, {rnd('phi')} AS phi FROM a")
+
+
 def e6_top_lenders() -> str:
     return (f"WITH raw AS ({application_sql(['lei', 'y_prob'])})\n"
             f"SELECT lei, {rnd('AVG(y_prob)')} AS mean_score FROM raw GROUP BY lei ORDER BY mean_score DESC, lei LIMIT 20")
@@ -961,6 +979,8 @@ def all_sql() -> dict[str, str]:
         "f9_balanced_weights": f9_balanced_weights(),
         "f10_positive_weight": f10_positive_weight(),
         **fitted_models(),
+        "e5_closed_form": e5_closed_form(),
+        "j5_first_seen_codes": j5_first_seen_codes(),
         "m4_validation_indicator": m4_validation_indicator(),
         "p1_decision_filter": p1_decision_filter(),
         "p2_binary_target": p2_binary_target(),
