@@ -27,7 +27,7 @@ from equitally.llm.common import utf8, write_table
 
 ORDER = 5
 QUANTILE = 0.98
-BLOCK_BYTES = 32_000_000
+BLOCK_BYTES = 16_000_000
 #: One in so many trusted documents is held out for the quantiles.
 FOLDS = 5
 #: Languages with fewer held-out documents take the quantile of all languages.
