@@ -20,6 +20,9 @@ from equitally.llm.packing import crc32_column, pack
 from equitally.llm.quality import classify
 from equitally.llm.simhash import near_duplicates
 
+#: Text in a block of the quality stage: half of what the operator takes alone,
+#: as Python workers of other stages are still there.  It changes no result.
+QUALITY_BLOCK = 16_000_000
 #: Keys of rows without a doc_id lie at and above this.
 NO_ID = 1 << 62
 
@@ -42,7 +45,7 @@ def without(docs: DataFrame, ids: DataFrame, keep: bool = False) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents and those without text go."""
-    judged = classify(identified(docs), read(spark, sf_dir, "labels"))
+    judged = classify(identified(docs), read(spark, sf_dir, "labels"), block_bytes=QUALITY_BLOCK)
     return without(docs, write_table(judged.where("not keep").select("doc_id"), "pipeline-rejected"))
 
 
