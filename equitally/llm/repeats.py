@@ -12,12 +12,14 @@ only keeps groups that can still hold two equal windows:
 2. The second digit is the whole context of the place, all bytes of all its
    windows.  Where it is equal, all these windows repeat; equal contexts
    collapse, so a group of copies is one row from here on.
-3. The last pass orders the windows of the different contexts of one first
-   digit by place and full depth; equal neighbours repeat.  A first digit with
-   very many contexts is spread window by window instead.
-
-Digits are ordered by 64-bit polynomial hashes; the last pass compares 128 bits
-inside an equal first digit.
+3. The last passes order the windows of the different contexts of one first
+   digit by their bytes, eight at a time; groups that are still together at
+   full depth repeat.  A first digit with very many contexts is spread window
+   by window instead.
+
+Polynomial hashes only bring together what may be equal: different texts with
+an equal hash are easily made.  Equality is settled by the bytes themselves, or
+by a 128-bit BLAKE2b digest where they are not in one place.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -42,41 +45,43 @@ SEGMENT = 1 << 19
 PLACE_BITS = 24
 #: Rows and bytes of one Arrow batch made here.
 OUT_ROWS, OUT_BYTES = 4_000, 8_000_000
-BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
+BASE = 0x9E3779B97F4A7C15
 MIX = np.uint64(0xBF58476D1CE4E5B9)
 KEY = ["id", "r"]
 NO_ID = -(1 << 63)
 
 
 @cache
-def _byte_values(which: int) -> np.ndarray:
-    return np.random.default_rng(97 + which).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+def _byte_values() -> np.ndarray:
+    return np.random.default_rng(97).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_powers: list[np.ndarray] = []
 
 
-def powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base ** i and its inverse modulo 2 ** 64 for i below ``n``."""
-    known = _powers.get(which)
-    if known is None or len(known[0]) < n:
-        size, base = max(n, SEGMENT + WINDOW), BASES[which]
+def powers(n: int) -> list[np.ndarray]:
+    """BASE ** i and its inverse modulo 2 ** 64 for i below ``n``."""
+    if not _powers or len(_powers[0]) < n:
         made = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            p = np.full(size, b, np.uint64)
+        for b in (BASE, pow(BASE, -1, 1 << 64)):
+            p = np.full(max(n, SEGMENT + WINDOW), b, np.uint64)
             p[0] = 1
             made.append(np.cumprod(p, dtype=np.uint64))
-        known = _powers[which] = tuple(made)
-    return known[0][:n], known[1][:n]
+        _powers[:] = made
+    return [p[:n] for p in _powers]
+
+
+def digest(stretch: bytes) -> bytes:
+    return blake2b(stretch, digest_size=16).digest()
 
 
 class Hashes:
     """Polynomial hashes of any stretch of a buffer."""
 
-    def __init__(self, data: np.ndarray, which: int = 0):
-        up, self.down = powers(which, len(data) + 1)
+    def __init__(self, data: np.ndarray):
+        up, self.down = powers(len(data) + 1)
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_byte_values(which)[data] * up[:-1], out=self.sums[1:])
+        np.cumsum(_byte_values()[data] * up[:-1], out=self.sums[1:])
 
     def all(self, length: int) -> np.ndarray:
         n = len(self.sums) - length
@@ -120,8 +125,9 @@ def segments(texts: list[bytes], window: int) -> Iterator[list[tuple[int, int, b
 
 def places(parts: list[tuple[int, int, bytes]], window: int, digit: int):
     """(part number, place, first window, last window, digit hash, context
-    hash) for every chosen place of a buffer; positions within the part."""
-    data = np.frombuffer(b"".join(p[2] for p in parts), np.uint8)
+    digest) for every chosen place of a buffer; positions within the part."""
+    held = b"".join(p[2] for p in parts)
+    data = np.frombuffer(held, np.uint8)
     sizes = np.array([len(p[2]) for p in parts])
     begin = np.cumsum(sizes) - sizes
     hashes = Hashes(data)
@@ -135,11 +141,11 @@ def places(parts: list[tuple[int, int, bytes]], window: int, digit: int):
     first = starts_of_runs(part, place)
     last = np.append(first[1:], len(part)) - 1
     lo, hi, at, own = start[first], start[last], place[first], part[first]
-    context = mixed(hashes.at(lo, hi + window) + (at - lo).astype(np.uint64) * MIX)
+    context = [digest(held[i:j]) for i, j in zip(lo.tolist(), (hi + window).tolist())]
     return own, at - begin[own], lo - begin[own], hi - begin[own], grams[at], context
 
 
-PLACE_SCHEMA = "id long, r long, a int, lo int, hi int, h long, c long"
+PLACE_SCHEMA = "id long, r long, a int, lo int, hi int, h long, c binary"
 
 
 def _place_batches(window: int, digit: int):
@@ -152,7 +158,7 @@ def _place_batches(window: int, digit: int):
                 base = np.array([p[1] for p in parts])[own]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids[text]), pa.array(rs[text]), *[pa.array((x + base).astype(np.int32)) for x in (a, lo, hi)],
-                     pa.array(h.view(np.int64)), pa.array(c.view(np.int64))], ["id", "r", "a", "lo", "hi", "h", "c"])
+                     pa.array(h.view(np.int64)), pa.array(c, pa.binary())], ["id", "r", "a", "lo", "hi", "h", "c"])
     return find
 
 
@@ -188,21 +194,52 @@ def _context_batches(window: int):
     return cut
 
 
-def window_keys(run: dict, window: int):
-    """Two 64-bit keys for every window of a run of contexts, the context
-    number and the window's position in its text."""
+def windows_of(run: dict, window: int):
+    """(bytes, start in them, context number, position in the text) of every
+    window of a run of contexts."""
     held = run["bytes"].combine_chunks() if isinstance(run["bytes"], pa.ChunkedArray) else run["bytes"]
-    data = np.frombuffer(b"".join(held.to_pylist()), np.uint8)
-    lo, hi, a, h = (run[k].to_numpy().astype(np.int64) for k in ("lo", "hi", "a", "h"))
+    data = b"".join(held.to_pylist())
+    lo, hi = (run[k].to_numpy().astype(np.int64) for k in ("lo", "hi"))
     count = hi - lo + 1
     sizes = count + window - 1
     begin = np.cumsum(sizes) - sizes
     own = np.repeat(np.arange(len(lo)), count)
     step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    start, position = begin[own] + step, lo[own] + step
-    group = mixed(h.view(np.uint64)[own] + (a[own] - position).astype(np.uint64) * MIX)
-    keys = [mixed(Hashes(data, w).at(start, start + window) ^ group) for w in (0, 1)]
-    return keys[0], keys[1], own, position
+    return data, begin[own] + step, own, lo[own] + step
+
+
+def grouped(order: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Members of groups of two and more; ``group`` is sorted."""
+    same = group[1:] == group[:-1]
+    kept = np.zeros(len(group), bool)
+    kept[1:] |= same
+    kept[:-1] |= same
+    return order[kept], group[kept]
+
+
+def repeated_windows(data: np.ndarray, start: np.ndarray, key: np.ndarray, window: int) -> np.ndarray:
+    """Whether each window equals another one byte by byte.
+
+    Windows of different ``key`` are known to differ.  The others are ordered
+    by passes over their bytes, most significant first; a window alone in its
+    group ends there, a digit that parts no group needs no sorting.
+    """
+    order = np.argsort(key, kind="stable")
+    order, group = grouped(order, key[order])
+    width = 8 if window >= 8 else 1
+    digits = np.ndarray(len(data) - width + 1, f">u{width}", data, strides=(1,))
+    for at in [*range(0, window - width, width), window - width]:
+        digit = digits[start[order] + at]
+        if not ((digit[1:] != digit[:-1]) & (group[1:] == group[:-1])).any():
+            continue
+        again = np.lexsort((digit, group))
+        order, group, digit = order[again], group[again], digit[again]
+        new = np.zeros(len(order), np.int64)
+        new[1:] = (group[1:] != group[:-1]) | (digit[1:] != digit[:-1])
+        order, group = grouped(order, np.cumsum(new))
+    repeated = np.zeros(len(start), bool)
+    repeated[order] = True
+    return repeated
 
 
 def _spans(run: dict, own: np.ndarray, position: np.ndarray, repeated: np.ndarray, window: int) -> pa.RecordBatch:
@@ -220,19 +257,12 @@ def _spans(run: dict, own: np.ndarray, position: np.ndarray, repeated: np.ndarra
 def _sort_batches(window: int):
     def sort(batches):
         for run in sorted_runs(batches, ["h"], 2000):
-            one, two, own, position = window_keys(run, window)
-            order = np.argsort(one, kind="stable")
-            same = one[order][1:] == one[order][:-1]
-            near = np.zeros(len(order), bool)
-            near[1:] |= same
-            near[:-1] |= same
-            order = order[near]
-            order = order[np.lexsort((two[order], one[order]))]
-            equal = (one[order][1:] == one[order][:-1]) & (two[order][1:] == two[order][:-1])
-            repeated = np.zeros(len(one), bool)
-            repeated[order[1:][equal]] = True
-            repeated[order[:-1][equal]] = True
-            yield _spans(run, own, position, repeated, window)
+            held, start, own, position = windows_of(run, window)
+            data = np.frombuffer(held, np.uint8)
+            a, h = run["a"].to_numpy().astype(np.int64), run["h"].to_numpy().view(np.uint64)
+            group = h[own] + (a[own] - position).astype(np.uint64) * MIX
+            key = mixed(Hashes(data).at(start, start + window) ^ mixed(group))
+            yield _spans(run, own, position, repeated_windows(data, start, key, window), window)
     return sort
 
 
@@ -240,14 +270,14 @@ def _window_batches(window: int):
     """Contexts -> one row per window, for first digits with very many contexts."""
     def windows(batches):
         for run in sorted_runs(batches, ["h"], 1000):
-            one, two, own, position = window_keys(run, window)
+            held, start, own, position = windows_of(run, window)
             known = run["known"].to_numpy(zero_copy_only=False)[own]
             ids, rs = run["id"].to_numpy()[own], run["r"].to_numpy()[own]
-            for at in range(0, len(one), 200_000):
-                s = slice(at, at + 200_000)
+            for at in range(0, len(start), 100_000):
+                s = slice(at, at + 100_000)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(one[s].view(np.int64)), pa.array(two[s].view(np.int64)), pa.array(ids[s]), pa.array(rs[s]),
-                     pa.array(position[s].astype(np.int32)), pa.array(known[s])], ["k1", "k2", "id", "r", "p", "known"])
+                    [pa.array([digest(held[i:i + window]) for i in start[s].tolist()], pa.binary()), pa.array(ids[s]), pa.array(rs[s]),
+                     pa.array(position[s].astype(np.int32)), pa.array(known[s])], ["k", "id", "r", "p", "known"])
     return windows
 
 
@@ -285,9 +315,9 @@ def repeated_spans(rows: DataFrame, packed: DataFrame, window: int, digit: int,
     sorted_ = cut.where("not hot").repartition("h").sortWithinPartitions("h") \
         .mapInArrow(_sort_batches(window), "id long, r long, s int, e int")
     every = write_table(cut.where("hot").mapInArrow(
-        _window_batches(window), "k1 long, k2 long, id long, r long, p int, known boolean"), "repeat-windows")
-    twice = every.groupBy("k1", "k2").agg(F.count("*").alias("n")).where("n > 1").select("k1", "k2")
-    spread = every.where("not known").join(twice, ["k1", "k2"], "left_semi") \
+        _window_batches(window), "k binary, id long, r long, p int, known boolean"), "repeat-windows")
+    twice = every.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k")
+    spread = every.where("not known").join(twice, "k", "left_semi") \
         .select("id", "r", F.col("p").alias("s"), (F.col("p") + window).alias("e"))
     return whole.unionByName(sorted_).unionByName(spread), texts
 
@@ -341,7 +371,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = keyed(docs, id_col, text_col)
     packed = rows.where(F.octet_length("text") >= window).mapInArrow(_pack_batches, "id long, r long, packed binary")
     spans, texts = repeated_spans(rows, packed, window, digit, contexts_in_task)
-    listed = spans.groupBy(*KEY).agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    # a set: copies of a row bring the same spans
+    listed = spans.groupBy(*KEY).agg(F.collect_set(F.struct("s", "e")).alias("spans"))
     removed = listed.join(texts, KEY).select("id", "r", "packed", "spans") \
         .mapInArrow(_remove_batches, "id long, r long, n_removed long, removed array<struct<s int, e int>>, kept_sha256 string, kept binary")
     return rows.select("id", "r", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("own")) \

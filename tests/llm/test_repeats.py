@@ -46,6 +46,39 @@ def test_production_window_on_long_repeats(make_docs, rng, awkward):
     assert got == Counter((b[0], b[1], b[3]) for b in brute([t for _, t in rows], 400))
 
 
+@pytest.mark.parametrize("in_task", [8000, 0])
+def test_texts_with_equal_polynomial_hashes_differ(make_docs, in_task):
+    """Two choices of characters by the parity of a position's one bits have
+    the same polynomial hash modulo 2 ** 64 for any base."""
+    def parts(x, y):
+        return "".join(chr(y if i.bit_count() % 2 else x) for i in range(256))
+    middle = "qwhjzbwbymrqt jqiwbgdm  dgkiylggvktngpau tcnzpgnhfnxrrrwcqradklfeszdjugxaslnyntr yzntwlxkjphl dtpjfp"
+    texts = [parts(73, 88) + middle + parts(33, 78), parts(88, 73) + middle + parts(78, 33)]
+    rows = list(enumerate(texts)) + [(2, "z" + texts[0][:500]), (3, texts[1][80:])]
+    for some in (rows[:2], rows):
+        got = {r.doc_id: (r.n_bytes, r.n_removed, len(r.removed), r.kept_sha256)
+               for r in remove_repeats(make_docs(some), contexts_in_task=in_task).collect()}
+        assert got == dict(enumerate(brute([t for _, t in some], 400)))
+
+
+def test_copies_of_a_row_bring_their_spans_once(make_docs, rng):
+    text = "".join(rng.choice("abcdefgh ") for _ in range(900))
+    got = remove_repeats(make_docs([(1, text)] * 50 + [(2, text[:600] + "!")]))
+    assert Counter((r.doc_id, r.n_removed, len(r.removed)) for r in got.collect()) == {(1, 900, 1): 50, (2, 600, 1): 1}
+
+
+def test_windows_are_ordered_by_bytes_when_all_keys_agree(rng):
+    import numpy as np
+
+    from equitally.llm.repeats import repeated_windows
+    for window in (3, 8, 21, 40):
+        data = np.array([rng.choice(b"ab") for _ in range(400)] + [97] * 60, np.uint8)
+        start = np.arange(len(data) - window + 1)
+        seen = Counter(data[i:i + window].tobytes() for i in start)
+        want = [seen[data[i:i + window].tobytes()] > 1 for i in start]
+        assert repeated_windows(data, start, np.zeros(len(start), np.uint64), window).tolist() == want
+
+
 def test_segments_of_very_long_texts(make_docs, rng, monkeypatch):
     import equitally.llm.repeats as R
     monkeypatch.setattr(R, "SEGMENT", 300)
