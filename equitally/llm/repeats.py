@@ -41,10 +41,10 @@ WINDOW = 400
 DIGIT = 100
 #: Contexts of one first digit that a task sorts in memory; more are spread.
 CONTEXTS_IN_TASK = 4_000
-SEGMENT = 1 << 19
+SEGMENT = 1 << 17
 PLACE_BITS = 24
 #: Rows and bytes of one Arrow batch made here.
-OUT_ROWS, OUT_BYTES = 4_000, 8_000_000
+OUT_ROWS, OUT_BYTES = 4_000, 2_000_000
 BASE = 0x9E3779B97F4A7C15
 MIX = np.uint64(0xBF58476D1CE4E5B9)
 KEY = ["id", "r"]
@@ -180,15 +180,16 @@ def _context_batches(window: int):
             ["id", "r", "h", "a", "lo", "hi", "known", "hot", "bytes"])
 
     def cut(batches):
-        open_, rows = zstandard.ZstdDecompressor().decompress, []
+        open_, rows, size = zstandard.ZstdDecompressor().decompress, [], 0
         for batch in batches:
             for row in rows_of(batch):
                 text = open_(row["packed"])
                 for s in row["spots"]:
                     rows.append((row["id"], row["r"], s, text[s["lo"]:s["hi"] + window]))
-                    if len(rows) >= OUT_ROWS:
+                    size += len(rows[-1][-1])
+                    if len(rows) >= OUT_ROWS or size >= OUT_BYTES:
                         yield out(rows)
-                        rows = []
+                        rows, size = [], 0
         if rows:
             yield out(rows)
     return cut
@@ -256,7 +257,7 @@ def _spans(run: dict, own: np.ndarray, position: np.ndarray, repeated: np.ndarra
 
 def _sort_batches(window: int):
     def sort(batches):
-        for run in sorted_runs(batches, ["h"], 2000):
+        for run in sorted_runs(batches, ["h"], 500):
             held, start, own, position = windows_of(run, window)
             data = np.frombuffer(held, np.uint8)
             a, h = run["a"].to_numpy().astype(np.int64), run["h"].to_numpy().view(np.uint64)
@@ -269,7 +270,7 @@ def _sort_batches(window: int):
 def _window_batches(window: int):
     """Contexts -> one row per window, for first digits with very many contexts."""
     def windows(batches):
-        for run in sorted_runs(batches, ["h"], 1000):
+        for run in sorted_runs(batches, ["h"], 500):
             held, start, own, position = windows_of(run, window)
             known = run["known"].to_numpy(zero_copy_only=False)[own]
             ids, rs = run["id"].to_numpy()[own], run["r"].to_numpy()[own]
