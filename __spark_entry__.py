@@ -450,6 +450,7 @@ def q_m7_function_scores(spark, sf_dir):
     import numpy as np
     from equitally.operators.models import score_with_function
     m, test = _fit(spark, sf_dir, "logistic")
+    _as_table(spark, sf_dir, "logistic")
     lr = m.classifier
     # an external scorer: the fitted coefficients applied in numpy per Arrow batch
     prepared = m.model.transform(test).select("app_id", "target", vector_to_array("features").alias("x"))
@@ -462,6 +463,28 @@ def q_m7_function_scores(spark, sf_dir):
     return rounded(score_with_function(prepared, predict, ["x"], "logistic_numpy", batch_rows=1000))
 
 
+def _load_logistic(folder):
+    """A scorer from a saved table (position, coefficient); the last row is the intercept."""
+    import numpy as np
+    import pyarrow.parquet as pq
+    table = pq.read_table(folder).sort_by("position")
+    *w, b = table["coefficient"].to_pylist()
+    return lambda x: 1.0 / (1.0 + np.exp(-(x @ np.array(w) + b)))
+
+
+def q_m7_saved_scores(spark, sf_dir):
+    """A scorer left in the shared folder and loaded once by every worker."""
+    from equitally.operators.models import score_with_saved
+    from equitally.session import write_table
+    m, test = _fit(spark, sf_dir, "logistic")
+    _as_table(spark, sf_dir, "logistic")
+    values = [*m.classifier.coefficients.toArray().tolist(), float(m.classifier.intercept)]
+    saved = write_table(spark.createDataFrame(list(enumerate(values)), "position int, coefficient double").coalesce(1), "scorer")
+    prepared = m.model.transform(test).select("app_id", "target", vector_to_array("features").alias("x"))
+    folder = os.path.dirname(saved.inputFiles()[0])
+    return rounded(score_with_saved(prepared, folder, _load_logistic, ["x"], "logistic_saved", width=len(values) - 1))
+
+
 def q_m_score_contracts(spark, sf_dir):
     """Every fitted model scores every test row: keys, labels and the two rules
     that hold whatever the model (its scores themselves have no SQL)."""
@@ -703,6 +726,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "m5_blind_scores": _scores("blind"),
         "m6_model_leaderboard": q_m6_model_leaderboard,
         "m7_function_scores": q_m7_function_scores,
+        "m7_saved_scores": q_m7_saved_scores,
         "m_score_contracts": q_m_score_contracts,
         "m3_rounds": q_m3_rounds,
         "m1_optimum": q_m1_optimum,

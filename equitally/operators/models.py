@@ -10,9 +10,10 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, dataclass, field, replace
 
+from pyspark import SparkFiles
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import predict_batch_udf, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -265,6 +266,43 @@ def score_with_function(df: DataFrame, predict, feature_cols: list[str], name: s
     return scored.withColumn("yhat", predict_at("p", threshold))
 
 
+def score_with_saved(df: DataFrame, path: str, load, feature_cols: list[str], name: str, threshold: float = THRESHOLD,
+                     keep=("app_id",), label: str = TARGET, batch_rows: int = 4096, width: int | None = None) -> DataFrame:
+    """M7: bounded-memory scoring with a saved model of any library.
+
+    ``path`` is a folder or file in a store that Spark reads; Spark brings it to
+    every executor once, and no task carries the model.  There ``load(local
+    path)`` runs once in a Python worker and returns ``predict(matrix) -> array
+    of probabilities``, which is called with ``batch_rows`` rows at most.  The
+    matrix holds ``feature_cols`` as doubles, or the one array column of
+    ``width`` numbers; a null number or array is NaN there.  No shuffle.
+
+    Two models need two names of their last path part (``write_table`` makes
+    such names).  Rows keep their ``label`` as ``y``, null if it is null.
+    """
+    if width is not None and len(feature_cols) != 1:
+        raise ValueError("width belongs to a single array column")
+    df.sparkSession.sparkContext.addFile(path, recursive=True)
+    last = path.rstrip("/").rsplit("/", 1)[-1]
+
+    def make():
+        predict = load(SparkFiles.get(last))
+
+        def on_batch(x):
+            return predict(x)
+        return on_batch
+
+    if width is None:
+        matrix = F.array(*[F.col(f"`{c}`").cast("double") for c in feature_cols])
+    else:
+        matrix = F.coalesce(F.col(f"`{feature_cols[0]}`").cast("array<double>"), F.array_repeat(F.lit(float("nan")), width))
+    udf = predict_batch_udf(make, return_type=T.DoubleType(), batch_size=batch_rows,
+                            input_tensor_shapes=[[width or len(feature_cols)]])
+    cols = [c for c in keep if c in df.columns]
+    return df.select(*cols, F.lit(name).alias("model"), F.col(label).cast("int").alias("y"), udf(matrix).alias("p")) \
+        .withColumn("yhat", predict_at("p", threshold))
+
+
 def save_model(trained: TrainedModel, path: str) -> None:
     """Persist the fitted pipeline (Spark ML format, any shared FS) with the
     model's name, inputs and boosting rounds."""

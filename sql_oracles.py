@@ -767,6 +767,10 @@ def m1_logistic_scores() -> str:
     return _with_split(f"SELECT {_score_columns()} FROM p_logistic", _logistic("split = 'test'"))
 
 
+def m7_logistic(name: str) -> str:
+    return _with_split(f"SELECT {_score_columns().replace('model', f'{lit(name)} AS model')} FROM p_logistic", _logistic("split = 'test'"))
+
+
 def m1_optimum() -> str:
     return _with_split(
         f"SELECT c.feature, {rnd('c.coefficient')} AS coefficient, ABS(g.g + CASE WHEN c.feature = 'intercept' THEN 0 ELSE c.coefficient END) / n.n < 1e-4 AS at_optimum\n"
@@ -831,7 +835,8 @@ def e_gains(kind: str, limit: int | None) -> str:
 
 
 def fitted_models() -> dict[str, str]:
-    return {"m1_logistic_scores": m1_logistic_scores(), "m1_optimum": m1_optimum(), "m2_forest_scores": m_tree_scores("forest"),
+    return {"m1_logistic_scores": m1_logistic_scores(), "m7_function_scores": m7_logistic("logistic_numpy"),
+            "m7_saved_scores": m7_logistic("logistic_saved"), "m1_optimum": m1_optimum(), "m2_forest_scores": m_tree_scores("forest"),
             "m3_gbt_scores": m_tree_scores("gbt"), "m5_blind_scores": m_tree_scores("blind"), "m6_model_leaderboard": m6_model_leaderboard(),
             "m3_round_auc": m3_round_auc(), "m3_newton_leaves": m3_newton_leaves(), "f11_feature_names": f11_feature_names(),
             "e1_top_coefficients": e1_top_coefficients(), "e2_forest_importance": e_gains("forest", 20), "e3_gbt_importance": e_gains("gbt", None)}

@@ -1,6 +1,9 @@
 """Fitted models: missing inputs, patience, audit of their own scores."""
 
+import os
+
 import pytest
+from pyspark.sql import functions as F
 
 from equitally.operators import models as mdl
 from equitally.operators.cells import LABEL_SOURCES
@@ -55,3 +58,44 @@ def test_audit_of_long_scores_equals_recomputed_rates(rows):
     got = {r["group_label"]: (r["n"], r["selection_rate"]) for r in report.group_metrics.where("attribute = 'Race' and n > 0").collect()}
     assert got == {k: (n, pytest.approx(a / n)) for k, (n, a) in want.items()}
     assert {r["model"] for r in report.group_metrics.collect()} == {"gbt"}
+
+
+def test_a_saved_scorer_is_loaded_once_in_a_worker(spark, tmp_path):
+    saved, marks = tmp_path / "scorer-of-this-test.txt", tmp_path / "marks"
+    saved.write_text("0.25")
+    marks.mkdir()
+
+    def load(path):
+        import numpy as np
+        step = float(open(path).read())
+        open(marks / f"load-{os.getpid()}", "a").write(".")
+
+        def predict(x):
+            assert len(x) <= 100
+            return np.nan_to_num(x[:, 0], nan=4.0) * step
+        return predict
+
+    df = spark.range(20_000).repartition(16).select(
+        F.col("id").alias("app_id"), F.when(F.col("id") % 7 > 0, F.col("id") % 3).cast("int").alias("a.b"),
+        (F.col("id") * 2.0).alias("other"), (F.col("id") % 2).alias("target"))
+    out = mdl.score_with_saved(df, str(saved), load, ["a.b", "other"], "saved", batch_rows=100)
+    got = {r.app_id: (r.y, r.p, r.yhat) for r in out.collect()}
+    assert got == {i: (i % 2, p, int(p >= 0.5)) for i in range(20_000) for p in [(i % 3 if i % 7 else 4) * 0.25]}
+    assert {f.read_text() for f in marks.iterdir()} == {"."} and len(list(marks.iterdir())) <= 16
+    assert mdl.score_with_saved(df.limit(0), str(saved), load, ["a.b", "other"], "saved").count() == 0
+    with pytest.raises(ValueError):
+        mdl.score_with_saved(df, str(saved), load, ["a.b", "other"], "saved", width=2)
+
+
+def test_a_saved_scorer_takes_null_numbers_and_arrays(spark, tmp_path):
+    saved = tmp_path / "scorer-of-arrays.txt"
+    saved.write_text("0.5")
+
+    def load(path):
+        import numpy as np
+        step = float(open(path).read())
+        return lambda x: np.nan_to_num(x, nan=0.25).sum(axis=1) * step
+
+    df = spark.createDataFrame([(1, [1.0, 0.5], 1), (2, None, 0), (3, [None, 1.5], None)], "app_id long, x array<double>, target int")
+    out = mdl.score_with_saved(df, str(saved), load, ["x"], "saved", width=2)
+    assert {r.app_id: (r.y, r.p) for r in out.collect()} == {1: (1, 0.75), 2: (0, 0.25), 3: (None, 0.875)}
