@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from equitally.llm.common import write_table
 
-RATIO = 0.1
+RATIO = 0.05
 MIN_PAGES = 5
-#: Splits of a hot host where the boilerplate table is too large to broadcast.
+#: Splits of a hot host where a table of hosts is too large to broadcast.
 SALTS = 32
 
 
@@ -45,8 +45,9 @@ def boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAG
     lines = keyed.select("host", "page", F.explode(F.array_distinct(F.transform(
         F.filter(F.split("text", "\n"), lambda l: F.trim(l) != ""), line_key))).alias("line"))
     seen = grouped(lines.distinct()).groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
-    t = totals.withColumnRenamed("host", "t_host")
-    return seen.join(t, F.col("host").eqNullSafe(F.col("t_host"))) \
+    t = totals.select(F.col("host").alias("t_host"), "pages", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("t_salt"))
+    salt = F.pmod("line", F.lit(SALTS)).cast("int")
+    return seen.join(t, F.col("host").eqNullSafe(F.col("t_host")) & (salt == F.col("t_salt"))) \
         .where(F.col("n") / F.col("pages") > ratio).groupBy("host").agg(F.collect_list("line").alias("bad"))
 
 

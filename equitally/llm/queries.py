@@ -21,7 +21,7 @@ seen AS (SELECT source, line, count(DISTINCT text) AS n FROM lines WHERE line <>
 hosts AS (SELECT source, count(DISTINCT text) AS pages FROM documents WHERE text IS NOT NULL GROUP BY source),
 boiler AS (
   SELECT s.source, list(s.line) AS bad FROM seen s JOIN hosts h ON s.source IS NOT DISTINCT FROM h.source
-  WHERE s.n::DOUBLE / h.pages > 0.1 GROUP BY s.source),
+  WHERE s.n::DOUBLE / h.pages > 0.05 GROUP BY s.source),
 kept AS (
   SELECT d.doc_id, string_split(d.text, chr(10)) AS every,
     list_filter(string_split(d.text, chr(10)), lambda x: NOT list_contains(coalesce(b.bad, CAST([] AS VARCHAR[])), trim(x))) AS rest

@@ -42,7 +42,7 @@ def test_equals_brute_force(spark, make_docs, rng, broadcast):
         got = Counter((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in drop_boilerplate(make_docs(rows)).collect())
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
-    assert got == Counter(brute(rows, 0.1, 5))
+    assert got == Counter(brute(rows, 0.05, 5))
     assert any(r[3] for r in got)
 
 
