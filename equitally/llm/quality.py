@@ -213,12 +213,14 @@ def log_probabilities(grams: DataFrame, counts: DataFrame, order: int, name: str
 
 
 def perplexities(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-                 quality_col: str = "quality", order: int = ORDER, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+                 quality_col: str = "quality", toxic_col: str = "toxic", order: int = ORDER, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document row: id, lang ('' if null), n_bytes (white space
     folded), log_p, trusted, held_out; a written table."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"),
                        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    marks = labels.select(F.col(id_col).cast("long").alias("id"), F.col(quality_col).cast("int").alias("quality"))
+    toxic = F.coalesce(F.col(toxic_col).cast("int"), F.lit(0)) if toxic_col in labels.columns else F.lit(0)
+    marks = labels.select(F.col(id_col).cast("long").alias("id"), F.when(toxic > 0, 0).otherwise(F.col(quality_col).cast("int")).alias("quality")) \
+        .groupBy("id").agg(F.min("quality").alias("quality"))  # labels of a repeated id are one row of its block
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     dealt = blocks(rows, marks, max(1, -(-size // block_bytes)))
     grams = write_table(dealt.groupBy("block").applyInArrow(_count(order), "block int, lang string, gram long, n long"), "quality-grams")
@@ -231,8 +233,8 @@ def perplexities(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, **settings) -> DataFrame:
     """One row per document row: doc_id, lang, n_bytes, perplexity, threshold, keep.
 
-    Trusted are documents that ``labels`` calls quality 1 and never 0.  Empty
-    and null texts have no perplexity and are rejected.  A language without
+    Trusted are documents that ``labels`` calls quality 1, never 0 and never
+    toxic (a missing or null toxic label is none).  Empty and null texts have no perplexity and are rejected.  A language without
     held-out trusted documents has no threshold and is kept; one with few of
     them takes the quantile over all languages.  A null language is one of its
     own; null ids and repeated rows are scored as they come; without labels

@@ -73,23 +73,36 @@ def test_log_probabilities_equal_brute_force(spark, make_docs, rng, awkward, blo
             assert abs(r.log_p - want) <= 1e-4 * max(1, abs(want)), r
 
 
+def kept_shares(docs, labels):
+    """(quality, toxic) -> share kept."""
+    marked = labels.select("doc_id", "quality", "toxic").join(classify(docs, labels), "doc_id")
+    return {(r.quality, r.toxic): r.k for r in marked.selectExpr("quality", "toxic", "cast(keep as int) k")
+            .groupBy("quality", "toxic").avg("k").toDF("quality", "toxic", "k").collect()}
+
+
+def test_trusted_is_never_toxic(spark, make_docs, rng):
+    from texts import prose
+    docs = make_docs([(i, prose(rng, 20)) for i in range(8)])
+    labels = spark.createDataFrame([(0, 1, 0), (1, 1, 1), (2, 1, None), (3, 1, 0), (3, 1, 1), (4, None, 1), (5, 1, 0), (5, 1, 0), (6, 0, 0)],
+                                   "doc_id long, quality int, toxic int")
+    got = perplexities(docs, labels, order=3).collect()
+    assert len(got) == 8 and {r.id for r in got if r.trusted} == {0, 2, 5}
+
+
 def test_junk_goes_and_clean_text_stays(spark):
     import os
     sf = "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(os.path.join(sf, f"{t}.parquet")) for t in ("documents", "labels"))
-    judged = classify(docs, labels).join(labels, "doc_id").groupBy("quality").agg({"*": "count", "perplexity": "avg"}).collect()
-    assert len(judged) == 2
-    kept = {r.quality: r.k for r in classify(docs, labels).join(labels, "doc_id").selectExpr("quality", "cast(keep as int) k")
-            .groupBy("quality").avg("k").toDF("quality", "k").collect()}
-    assert kept[1] > 0.97 and kept[0] < 0.25
+    kept = kept_shares(docs, labels)
+    assert kept[1, 0] > 0.97 and kept[0, 0] < 0.25
 
 
 def test_less_junk_passes_the_larger_table(spark):
     """At 0.995 14 % of the junk passed."""
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
-    marked = labels.select("doc_id", "quality").join(classify(docs, labels), "doc_id")
-    kept = {r.quality: r.k for r in marked.selectExpr("quality", "cast(keep as int) k").groupBy("quality").avg("k").toDF("quality", "k").collect()}
-    assert kept[1] > 0.97 and kept[0] < 0.08
+    kept = kept_shares(docs, labels)
+    assert kept[1, 0] > 0.97 and kept[0, 0] < 0.08
+    assert kept[1, 1] < 0.9  # clean-looking, but labelled toxic and so not trusted
 
 
 def test_without_labels_or_rows(spark, make_docs, awkward):
