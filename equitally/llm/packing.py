@@ -7,8 +7,10 @@ indexed by remaining capacity finds it in log(window) steps.
 
 Each Spark task packs its own rows in buffers of about ``buffer_tokens`` ids,
 so nothing is shuffled, memory is bounded whatever the table's size, and a
-task that is run again gives the same sequences.  A buffer leaves one window
-that is partly empty at most beside best-fit's own waste.
+task that is run again gives the same sequences.  A task's last buffer leaves
+windows that are partly empty, so small partitions are first merged (without a
+shuffle) until they hold about ``TASK_BYTES`` of text each: padding then hangs
+on the text's size and not on how the table happens to be split.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ from equitally.llm.tokens import default_path, encoder
 WINDOW = 2048
 END_ID = 1
 BUFFER_TOKENS = 6_000_000
+#: Text of a task: tables in smaller partitions are packed in fewer tasks.
+TASK_BYTES = 8_000_000
 #: A sequence id is the task's partition number above these bits and a count below.
 COUNT_BITS = 33
 
@@ -130,6 +134,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     ``tokenizer_path`` must name the file wherever a task runs.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    rows = rows.coalesce(max(1, size // TASK_BYTES))
     return rows.mapInArrow(_packer(tokenizer_path or default_path(), window, end_id, buffer_tokens), SCHEMA)
 
 

@@ -79,8 +79,9 @@ def test_capacity_tree_finds_the_smallest_that_fits():
     assert [tree.take(4), tree.take(4), tree.take(4), tree.take(1)] == [(7, 7), (10, 10), None, (3, 3)]
 
 
-def test_padding_is_little_on_prose(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+@pytest.mark.parametrize("split", [4, 211, 2000])
+def test_padding_is_little_on_prose(spark, split):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").repartition(split)
     lengths = [r.n for r in pack(docs).groupBy("sequence_id").agg({"length": "sum"}).toDF("s", "n").collect()]
     assert padding(np.array(lengths)) < 0.01 * sum(lengths)
 
