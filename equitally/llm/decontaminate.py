@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from equitally.llm.common import write_table
+
 EDIT_SHARE = 0.05
 #: Items are shipped to tasks in blocks of about this many characters; a
 #: larger benchmark means more passes over the documents, never fewer items.
@@ -149,7 +151,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     for b in range(blocks):
         own = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
         block = [(r["item_id"], t) for r in own.collect() if (t := normal(r["text"]))]
-        found.append(rows.mapInArrow(_matcher(block, share), "doc_id long, item_id long, distance long, start long, end long"))
+        hits = rows.mapInArrow(_matcher(block, share), "doc_id long, item_id long, distance long, start long, end long")
+        # of a larger benchmark the driver holds one block at a time
+        found.append(hits if blocks == 1 else write_table(hits, "benchmark-hits"))
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
