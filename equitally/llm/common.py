@@ -64,6 +64,17 @@ def rows_of(batch: pa.RecordBatch, at_once: int = 256) -> Iterator[dict]:
         yield from batch.slice(at, at_once).to_pylist()
 
 
+def smallest_hashes(df: DataFrame, hashed: str, rows: int) -> DataFrame:
+    """Rows of ``df`` that can be among its ``rows`` distinct smallest values of
+    ``hashed`` (a column of xxhash64 values): all of them where there are few,
+    else those under a bound that some one and a half times as many are under.
+    So a sort for a sample meets a bounded number of rows and not every row."""
+    n = df.agg(F.approx_count_distinct(hashed, 0.02)).first()[0]
+    if n <= 2 * rows:
+        return df
+    return df.where(F.col(hashed) <= int(1.5 * rows / n * 2.0 ** 64) - 2 ** 63)
+
+
 def spread(df: DataFrame, *columns) -> DataFrame:
     """Deal narrow rows with heavy work over the session's shuffle partitions."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -1,11 +1,12 @@
 """URL filter: longest-match rules, and boosted trees for the rest.
 
 Gradient-boosted trees judge a url from lexical features alone (lengths,
-depth, digit ratio, character entropy, parameter counts) and from how often
-labelled urls with the same host suffix are blocked.  They learn from the urls
-that a rule labels and judge those that no rule fits.  Suffix rates count every
-labelled url; only the fit is of a sample.  A suffix whose labelled urls all
-have one verdict tells the rule, not the url, and counts as unknown.
+depth, digit ratio, character entropy, parameter counts, hashed three-letter
+pieces of the first folder) and from how often labelled urls with the same host
+suffix, or the same first folder, are blocked.  They learn from the urls that a
+rule labels and judge those that no rule fits.  These rates count every
+labelled url; only the fit is of a sample.  A suffix or folder whose labelled
+urls all have one verdict tells the rule, not the url, and counts as unknown.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from equitally.llm.common import write_table
+from equitally.llm.common import smallest_hashes, write_table
 
 #: The given rules (host, path prefix, verdict).
 RULES = [
@@ -28,9 +29,11 @@ RULES = [
 ]
 #: Bound of the training sample: the distinct labelled urls of the smallest hashes.
 TRAIN_ROWS = 20_000
-#: A sampled url's suffix rates are of the hosts in the other folds.
+#: Hash buckets of the first folder's three-letter pieces.
+GRAMS = 16
+#: A sampled url's rates are of the hosts in the other folds.
 FOLDS = 5
-#: Rate of a suffix that no labelled url has, or only urls of one verdict.
+#: Rate of a suffix or folder that no labelled url has, or only urls of one verdict.
 UNKNOWN = -1.0
 TREES, DEPTH = 15, 4
 SMOOTHING = 20.0
@@ -82,6 +85,20 @@ def lexical_features(url: str = "url", host: str = "host", path: str = "path") -
     }
 
 
+def first_folder(path: str = "path") -> Column:
+    return F.translate(F.regexp_extract(F.col(path), "^/([^/]*)", 1), UPPER, LOWER)
+
+
+def folder_pieces(path: str = "path") -> Column:
+    """Hash buckets of the first folder's three-letter pieces, ends marked;
+    linear in its length."""
+    letters = F.split(F.concat(F.lit("^"), first_folder(path), F.lit("$")), "")
+    joined = lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))
+    pieces = F.zip_with(F.zip_with(letters, F.slice(letters, F.lit(2), F.size(letters)), joined),
+                        F.slice(letters, F.lit(3), F.size(letters)), joined)
+    return F.array_distinct(F.transform(pieces, lambda p: F.pmod(F.xxhash64(p), F.lit(GRAMS)).cast("int")))
+
+
 def suffix(host: str, labels: int) -> Column:
     return F.substring_index(F.col(host), ".", -labels)
 
@@ -90,22 +107,26 @@ def fold_of(host: str = "host") -> Column:
     return F.pmod(F.xxhash64(F.lit("fold"), F.col(host)), F.lit(FOLDS)).cast("int")
 
 
-def suffix_counts(labelled: DataFrame, labels: int) -> DataFrame:
-    """(suffix, bad, n, folds): labelled rows by host suffix, blocked and all,
-    and the same by fold of the host."""
-    by_fold = labelled.groupBy(suffix("host", labels).alias(f"suffix{labels}"), fold_of().alias("fold")) \
+def verdict_counts(labelled: DataFrame, part: Column, name: str, tag: str) -> DataFrame:
+    """(name, bad, n, folds; the last three with ``tag``): labelled rows by a
+    part of the url, blocked and all, and the same by fold of the host."""
+    by_fold = labelled.groupBy(part.alias(name), fold_of().alias("fold")) \
         .agg(F.sum("label").cast("long").alias("bad"), F.count("*").alias("n"))
-    return by_fold.groupBy(f"suffix{labels}").agg(
-        F.sum("bad").alias(f"bad{labels}"), F.sum("n").alias(f"n{labels}"),
-        F.map_from_entries(F.collect_list(F.struct("fold", F.struct("bad", "n")))).alias(f"folds{labels}"))  # FOLDS at most
+    return by_fold.groupBy(name).agg(
+        F.sum("bad").alias(f"bad{tag}"), F.sum("n").alias(f"n{tag}"),
+        F.map_from_entries(F.collect_list(F.struct("fold", F.struct("bad", "n")))).alias(f"folds{tag}"))  # FOLDS at most
 
 
-def suffix_rate(labels: int, share: float, out_of_fold: bool) -> Column:
+def suffix_counts(labelled: DataFrame, labels: int) -> DataFrame:
+    return verdict_counts(labelled, suffix("host", labels), f"suffix{labels}", str(labels))
+
+
+def verdict_rate(tag: str, share: float, out_of_fold: bool) -> Column:
     """Share of blocked urls, smoothed to the overall ``share``; out of fold it
     leaves out the host's own fold."""
-    every, rest = [F.col(f"{c}{labels}") for c in ("bad", "n")], [F.col(f"{c}{labels}") for c in ("bad", "n")]
+    every, rest = [F.col(f"{c}{tag}") for c in ("bad", "n")], [F.col(f"{c}{tag}") for c in ("bad", "n")]
     if out_of_fold:
-        own = F.col(f"folds{labels}")[fold_of()]
+        own = F.col(f"folds{tag}")[fold_of()]
         rest = [r - F.coalesce(own[c], F.lit(0)) for r, c in zip(rest, ("bad", "n"))]
     rate = (rest[0] + SMOOTHING * share) / (rest[1] + SMOOTHING)
     return F.when((every[0] > 0) & (every[0] < every[1]), rate).otherwise(UNKNOWN)
@@ -114,31 +135,42 @@ def suffix_rate(labels: int, share: float, out_of_fold: bool) -> Column:
 def train(labelled: DataFrame, rows: int = TRAIN_ROWS, trees: int = TREES, depth: int = DEPTH):
     """A judge: DataFrame with url, host, path -> the same with ``p_block``.
 
-    ``labelled`` has url, host, path and label (1 block, 0 allow).  Suffix rates
-    are of all its rows; the fit sees the ``rows`` distinct urls of the smallest
-    hashes, each without suffix rates, and once more with them if one is known,
-    so that an unknown suffix is no sign of a verdict.  Without two classes the
-    judge gives the one class it saw (allow, if none).
+    ``labelled`` has url, host, path and label (1 block, 0 allow).  Rates are of
+    all its rows; the fit sees the ``rows`` distinct urls of the smallest
+    hashes, each with and without its known suffix rates and with and without
+    its known folder rate (at most four times), so that an unknown rate is no
+    sign of a verdict.  Without two classes the judge gives the one class it saw
+    (allow, if none).
     """
     labelled = labelled.select("url", "host", "path", F.col("label").cast("double").alias("label"))
     seen = labelled.agg(F.avg("label")).first()[0]
     if seen in (None, 0.0, 1.0):
         return lambda df: df.withColumn("p_block", F.lit(seen or 0.0))
-    sample = write_table(labelled.distinct().orderBy(F.xxhash64("url"), "url").limit(rows), "url-sample")
-    stats = [write_table(suffix_counts(labelled, k), "url-suffix") for k in (1, 2)]
-    names = [*lexical_features(), "f_suffix1", "f_suffix2"]
+    hashed = labelled.withColumn("hash", F.xxhash64("url"))
+    sample = write_table(smallest_hashes(hashed, "hash", rows).distinct().orderBy("hash", "url").limit(rows).drop("hash"), "url-sample")
+    parts = {"suffix1": (suffix("host", 1), "1"), "suffix2": (suffix("host", 2), "2"), "folder": (first_folder(), "_folder")}
+    # a part with one verdict has no rate, so its row is not needed
+    stats = {name: write_table(verdict_counts(labelled, part, name, tag).where(f"bad{tag} > 0 and bad{tag} < n{tag}"), f"url-{name}")
+             for name, (part, tag) in parts.items()}
+    suffixes, folder = ["f_suffix1", "f_suffix2"], ["f_folder"]
+    names = [*lexical_features(), *(f"f_piece{k}" for k in range(GRAMS)), *suffixes, *folder]
 
     def features(df: DataFrame, out_of_fold: bool) -> DataFrame:
-        df = df.withColumns(lexical_features())
-        for k, s in zip((1, 2), stats):
-            df = df.withColumn(f"suffix{k}", suffix("host", k)).join(s, f"suffix{k}", "left") \
-                .withColumn(f"f_suffix{k}", suffix_rate(k, seen, out_of_fold))
+        df = df.withColumn("pieces", folder_pieces()).withColumns(
+            {f"f_piece{k}": F.array_contains("pieces", k).cast("double") for k in range(GRAMS)}).withColumns(lexical_features())
+        for name, (part, tag) in parts.items():
+            df = df.withColumn(name, part).join(stats[name], name, "left") \
+                .withColumn(f"f_{name}", verdict_rate(tag, seen, out_of_fold))
         return df
 
+    def without(df: DataFrame, rates: list[str]) -> DataFrame:
+        """Rows of ``df`` that know one of ``rates``, as if they did not."""
+        return df.where(" or ".join(f"{r} <> {UNKNOWN}" for r in rates)).withColumns({r: F.lit(UNKNOWN) for r in rates})
+
     assemble = VectorAssembler(inputCols=names, outputCol="features")
-    rated = features(sample, True).select(*names, "label")
-    unknown = rated.withColumns({n: F.lit(UNKNOWN) for n in ("f_suffix1", "f_suffix2")})
-    shown = unknown.unionByName(rated.where((F.col("f_suffix1") != UNKNOWN) | (F.col("f_suffix2") != UNKNOWN)))
+    rated = write_table(features(sample, True).select(*names, "label"), "url-rated")
+    shown = rated.unionByName(without(rated, suffixes))
+    shown = shown.unionByName(without(shown, folder))
     fitted = GBTClassifier(labelCol="label", featuresCol="features", maxIter=trees, maxDepth=depth, seed=42) \
         .fit(assemble.transform(shown).select("features", "label").coalesce(2))
 

@@ -52,6 +52,29 @@ def test_one_class_or_nothing_to_learn_from(spark, urls):
     assert [r.verdict for r in got] == [brute(u)[3] or "allow" for u in urls]
 
 
+def test_held_out_urls_of_the_given_pages(spark):
+    """Better by 10 points than the verdict that most labelled urls have."""
+    from pyspark.sql import functions as F
+    from equitally.llm.urls import rule_for, split_url, train
+    host, path = split_url(F.col("url"))
+    urls = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("url").distinct().withColumns({"host": host, "path": path})
+    rule, verdict = rule_for(F.col("host"), F.col("path"), RULES)
+    labelled = urls.withColumns({"rule": rule, "label": (verdict == "block").cast("int")}).where("rule is not null").cache()
+    held = "pmod(xxhash64('held out', url), 5) = 0"
+    judged = train(labelled.where(f"not {held}").drop("rule"))(labelled.where(held))
+    by_rule = judged.groupBy("rule", "label").agg(F.count("*").alias("n"), F.sum(((F.col("p_block") >= 0.5) == (F.col("label") == 1)).cast("int")).alias("right")).collect()
+    print(by_rule)
+    n, right, block = sum(r.n for r in by_rule), sum(r.right for r in by_rule), sum(r.n * r.label for r in by_rule)
+    assert right / n > max(block, n - block) / n + 0.1
+
+
+def test_folder_pieces_of_long_and_empty_paths(spark):
+    from equitally.llm.urls import GRAMS, folder_pieces
+    rows = [("",), ("/",), ("/EN/x",), ("/en/y",), ("/" + "q7" * 500_000,), (None,)]
+    got = [r.p for r in spark.createDataFrame(rows, "path string").select(folder_pieces().alias("p")).collect()]
+    assert got[2] == got[3] and got[5] is None and all(0 <= k < GRAMS for g in got[:5] for k in g)
+
+
 def labelled_of(spark, rows):
     from pyspark.sql import functions as F
     from equitally.llm.urls import split_url
