@@ -3,14 +3,17 @@
 The rules give the base spans of four kinds.  The field labels the tokens that
 could be part of such data (any token with a digit or an ``@``): neighbours are
 linked in a chain, and tokens that repeat or end in the same seven digits are
-linked however far apart, so evidence for one occurrence counts for the others.
-Tokens inside base spans are observed; loopy sum-product message passing gives
-the rest their marginals, and runs that are confident and well formed become
-further spans.  Base spans always stay.
-
-The field is trained on the rules' own labels: unary weights by softmax
-regression, chain and skip potentials from the pairs' pointwise information,
-all on a bounded sample of tokens (``TRAIN_TOKENS``).
+linked however far apart, each to the occurrence before it and to one hub (an
+observed occurrence, if there is one), so evidence for one occurrence reaches
+all others in two steps.  Tokens inside base spans are observed; loopy
+sum-product message passing gives the rest their marginals, and runs that are
+confident, whole and well formed become further spans.  Base spans always stay.
+
+Unary weights, chain and skip potentials are trained together, by the
+pseudo-likelihood of the rules' own labels (a token's label given its features
+and its neighbours' labels) on a bounded sample of tokens (``TRAIN_TOKENS``).
+Every token is shown twice, once with its features hidden: the rules' labels
+follow from features alone, so the links would learn nothing otherwise.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from equitally.llm.common import write_table
+from equitally.llm.common import smallest_hashes, write_table
 
 # Kinds in their order, and the rules' patterns.
 KINDS = ("email", "ip", "card", "phone")
@@ -37,9 +40,14 @@ SIGN = re.compile(r"[0-9@]")
 
 TRAIN_TOKENS = 60_000
 CONFIDENT = 0.9
-ROUNDS = 12
+#: Messages are passed until none changes by more; a loop that does not settle ends after ``ROUNDS``.
+TOLERANCE = 1e-3
+ROUNDS = 200
 DAMPING = 0.3
-OBSERVED = 30.0
+#: Steps and step size of training.
+STEPS, STEP = 300, 0.05
+#: Beyond what any number of messages adds up to.
+OBSERVED = 1e9
 STRONGEST = 4.0
 
 Span = tuple[int, int, int]  # kind, start, end
@@ -163,13 +171,16 @@ class Graph:
         for kind, s, e in reversed(base):
             self.label[np.searchsorted(ends, s, "right"):np.searchsorted(starts, e, "left")] = kind + 1
         self.chain = [(i, i + 1) for i in range(len(at) - 1)]
-        last: dict[str, int] = {}
-        self.skip = []
-        for i, w in enumerate(self.words):
-            key = link_key(w)
-            if key in last and last[key] < i - 1:
-                self.skip.append((last[key], i))
+        keys = [link_key(w) for w in self.words]
+        last, hub, linked = {}, {}, set()
+        for i, key in enumerate(keys):
+            if key in last:
+                linked.add((last[key], i))
             last[key] = i
+            if key not in hub or self.label[i] and not self.label[hub[key]]:
+                hub[key] = i
+        linked.update((min(i, hub[key]), max(i, hub[key])) for i, key in enumerate(keys))
+        self.skip = sorted((i, j) for i, j in linked if i < j - 1)  # the chain links neighbours
 
 
 def allowed(word: str) -> list[bool]:
@@ -207,9 +218,14 @@ class Field:
             for _ in range(ROUNDS):
                 belief = unary.copy()
                 np.add.at(belief, target, message)
-                out = np.logaddexp.reduce((belief[source] - message[back])[:, :, None] + psi, axis=1)
+                # what is observed stays so, whatever its neighbours say
+                told = np.where(graph.label[source, None] > 0, unary[source], belief[source] - message[back])
+                out = np.logaddexp.reduce(told[:, :, None] + psi, axis=1)
                 out -= out.max(1, keepdims=True)
-                message = DAMPING * message + (1 - DAMPING) * out
+                out = DAMPING * message + (1 - DAMPING) * out
+                change, message = np.abs(out - message).max(), out
+                if change < TOLERANCE:
+                    break
             np.add.at(unary, target, message)
         unary -= unary.max(1, keepdims=True)
         p = np.exp(unary)
@@ -229,8 +245,20 @@ def well_formed(kind: int, text: str) -> bool:
     return 7 <= len(number) <= 15 and not any(c.isalpha() for c in text)
 
 
+def cut_off(graph: Graph, first: int, last: int) -> bool:
+    """Whether a run of number tokens goes on, before or after, in a number that is not part of it."""
+    def goes_on(left: int, right: int) -> bool:
+        return 0 <= left and right < len(graph.words) and graph.order[left] + 1 == graph.order[right] \
+            and graph.words[left][-1] not in EDGE and graph.words[right][0] not in EDGE
+
+    def number(i: int) -> bool:
+        return not graph.label[i] and "@" not in graph.words[i] and not any(c.isalpha() for c in graph.words[i])
+
+    return goes_on(first - 1, first) and number(first - 1) or goes_on(last, last + 1) and number(last + 1)
+
+
 def further_spans(text: str, base: list[Span], field: Field | None) -> list[Span]:
-    """Confident, well-formed runs of equally labelled neighbours outside base spans."""
+    """Confident, whole and well-formed runs of equally labelled neighbours outside base spans."""
     if field is None:
         return []
     graph = Graph(text, base)
@@ -250,57 +278,78 @@ def further_spans(text: str, base: list[Span], field: Field | None) -> list[Span
             s += 1
         while s < e and text[e - 1] in EDGE + ".(":
             e -= 1
-        if s < e and well_formed(kind, text[s:e]):
+        if s < e and well_formed(kind, text[s:e]) and not (kind >= 2 and cut_off(graph, sure[at], sure[to])):
             found.append((kind, s, e))
         at = to + 1
     return found
 
 
-def train(docs: DataFrame, tokens: int = TRAIN_TOKENS) -> Field | None:
-    """Fit on the ``tokens`` candidate tokens of the texts with the smallest
-    hashes; None where the rules label nothing there."""
-    sample = write_table(docs.select(F.xxhash64("text").alias("h"), "text").mapInArrow(
-        _token_batches, "h long, i int, f array<int>, label int, next int, skip int").orderBy("h", "i").limit(tokens), "pii-sample")
-    rows = sample.toPandas()  # at most ``tokens`` short rows
-    if not len(rows) or not rows["label"].any():
-        return None
-    rows = rows.sort_values(["h", "i"])
-    x = np.zeros((len(rows), FEATURES))
+def fit(rows) -> Field:
+    """The field of most pseudo-likelihood for tokens (f, label, before, after, skips) of a data frame."""
+    n, labels = len(rows), len(KINDS) + 1
+
+    def one_hot(column: str) -> np.ndarray:
+        return np.eye(labels + 1)[rows[column].to_numpy()][:, :labels]  # -1: no neighbour, the dropped last column
+
+    x = np.zeros((n, FEATURES))
     for i, on in enumerate(rows["f"]):
         x[i, on] = 1
-    y = np.eye(len(KINDS) + 1)[rows["label"].to_numpy()]
-    weights, speed = np.zeros((FEATURES, y.shape[1])), np.zeros((FEATURES, y.shape[1]))
-    for _ in range(300):
-        z = x @ weights
+    near = [one_hot("before"), one_hot("after"), np.array(rows["skips"].tolist(), float), one_hot("label")]
+    hidden = np.zeros_like(x)
+    hidden[:, 0] = 1  # the feature that every token has
+    cases, times = np.unique(np.concatenate([np.hstack([x, *near]), np.hstack([hidden, *near])]), axis=0, return_counts=True)
+    x, before, after, skips, y = np.split(cases, np.cumsum([FEATURES, labels, labels, labels]), axis=1)
+    share = (times / times.sum())[:, None]
+    made = [np.zeros((FEATURES, labels)), np.zeros((labels, labels)), np.zeros((labels, labels))]
+    mean, square = [np.zeros_like(m) for m in made], [np.zeros_like(m) for m in made]
+    for step in range(1, STEPS + 1):
+        weights, chain, skip = made
+        z = x @ weights + before @ chain + after @ chain.T + skips @ skip
         p = np.exp(z - z.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
-        speed = 0.9 * speed - 0.5 * (x.T @ (p - y) / len(x) + 1e-4 * weights)
-        weights += speed
+        off = share * (p - y)
+        both = skips.T @ off
+        slopes = x.T @ off, before.T @ off + off.T @ after, (both + both.T) / 2
+        for k, slope in enumerate(slopes):
+            slope = slope + 1e-5 * made[k]
+            mean[k] = 0.9 * mean[k] + 0.1 * slope
+            square[k] = 0.99 * square[k] + 0.01 * slope ** 2
+            made[k] = made[k] - STEP * (mean[k] / (1 - 0.9 ** step)) / (np.sqrt(square[k] / (1 - 0.99 ** step)) + 1e-8)
+    return Field(made[0], *(np.clip(m, -STRONGEST, STRONGEST) for m in made[1:]))
+
+
+def train(docs: DataFrame, tokens: int = TRAIN_TOKENS) -> Field | None:
+    """Fit on the ``tokens`` candidate tokens of the distinct texts with the
+    smallest hashes; None where the rules label nothing there."""
+    texts = docs.where(F.col("text").rlike(SIGN.pattern)).select(F.xxhash64("text").alias("h"), "text")
+    few = smallest_hashes(texts, "h", tokens).dropDuplicates(["h"])  # a text has a token at least
+    sample = write_table(few.mapInArrow(
+        _token_batches, "h long, i int, f array<int>, label int, before int, after int, skips array<int>")
+        .orderBy("h", "i").limit(tokens), "pii-sample")
+    rows = sample.toPandas()  # at most ``tokens`` short rows
+    if not len(rows) or not rows["label"].any():
+        return None
+    return fit(rows)
 
-    def potential(column: str) -> np.ndarray:
-        pairs = rows[rows[column] >= 0]
-        n = np.full((y.shape[1], y.shape[1]), 0.5)
-        np.add.at(n, (pairs["label"].to_numpy(), pairs[column].to_numpy()), 1)
-        n /= n.sum()
-        return np.clip(np.log(n / (n.sum(1, keepdims=True) * n.sum(0, keepdims=True))), -STRONGEST, STRONGEST)
 
-    return Field(weights, potential("next"), potential("skip"))
+def _token_rows(h: int, text: str) -> Iterator[tuple]:
+    g = Graph(text, base_spans(text))
+    label = g.label.tolist()
+    skips = np.zeros((len(label), len(KINDS) + 1), int)
+    for i, j in g.skip:
+        skips[i, label[j]] += 1
+        skips[j, label[i]] += 1
+    beside = [-1, *label, -1]
+    for i, on in enumerate(g.on):
+        yield h, i, on, label[i], beside[i], beside[i + 2], skips[i].tolist()
 
 
 def _token_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = []
-        for h, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            if not SIGN.search(text):
-                continue
-            g = Graph(text, base_spans(text))
-            linked = dict(g.skip)
-            for i, on in enumerate(g.on):
-                rows.append((h, i, on, int(g.label[i]), int(g.label[i + 1]) if i + 1 < len(g.on) else -1,
-                             int(g.label[linked[i]]) if i in linked else -1))
-        cols = list(zip(*rows)) or [()] * 6
-        kinds = [pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.int32(), pa.int32(), pa.int32()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["h", "i", "f", "label", "next", "skip"])
+        rows = [r for h, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for r in _token_rows(h, text)]
+        cols = list(zip(*rows)) or [()] * 7
+        kinds = [pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int32())]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["h", "i", "f", "label", "before", "after", "skips"])
 
 
 def written(spans: list[Span]) -> str:

@@ -51,6 +51,44 @@ def test_field_finds_repeats_of_known_data_and_little_else(spark):
     assert further_spans("", [], field) == []
 
 
+@pytest.fixture(scope="module")
+def field(spark):
+    return train(spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("text"))
+
+
+def test_links_find_masked_repeats(field):
+    """Numbers that the rules find once and that come again in a form they miss."""
+    from equitally.llm.pii import Field
+    r = random.Random(11)
+    unlinked = Field(field.weights, field.chain, field.skip * 0)
+    found, total = {True: 0, False: 0}, 0
+    for _ in range(150):
+        area, number = r.randint(200, 999), f"{r.randint(200, 999)}-{r.randint(1000, 9999)}"
+        text = f"call +1 ({area}) {number} now. " + "word " * r.randint(3, 60)
+        wanted = []
+        for _ in range(r.randint(1, 30)):
+            text += "so "
+            wanted.append((3, len(text), len(text) + len(f"({area}) {number}")))
+            text += f"({area}) {number} please, room {r.randint(1, 30)} and then "
+        base = base_spans(text)
+        assert len(base) == 1
+        total += len(wanted)
+        for links, f in ((True, field), (False, unlinked)):
+            found[links] += len(set(wanted) & set(further_spans(text, base, f)))
+    print(found, total)
+    assert found[True] > 0.95 * total and found[True] > found[False] + 0.2 * total
+
+
+def test_half_a_number_is_not_added(field):
+    for text in ("call (458) 555-2333 today", "458 555-2333", "at 12 555-2333 34"):
+        assert all(text[s:e] == "(458) 555-2333" for _, s, e in further_spans(text, base_spans(text), field)), text
+
+
+def test_messages_reach_far_and_a_long_text_ends(field):
+    text = "+1 (458) 555-2333 " + " ".join(f"w (458) 555-2333 w {i}." for i in range(3000))
+    assert len(further_spans(text, base_spans(text), field)) == 3000
+
+
 def test_added_spans_are_well_formed():
     assert well_formed(2, "4111.1111.1111.1111") and not well_formed(2, "4111.1111.1111.1112")
     assert well_formed(1, "1.2.3.4") and not well_formed(1, "1.2.3.400")
