@@ -7,8 +7,15 @@ shuffle, and ``write().save()`` / ``PipelineModel.load()`` persist it.
 
 from __future__ import annotations
 
+import atexit
 import json
+import os
+import shutil
+import tempfile
+import uuid
 from dataclasses import asdict, dataclass, field, replace
+from pathlib import Path
+from urllib.parse import unquote, urlparse
 
 from pyspark import SparkFiles
 from pyspark.ml import Pipeline, PipelineModel
@@ -266,6 +273,27 @@ def score_with_function(df: DataFrame, predict, feature_cols: list[str], name: s
     return scored.withColumn("yhat", predict_at("p", threshold))
 
 
+def send_to_executors(spark: SparkSession, path: str) -> str:
+    """Bring a file or folder to every executor; gives its name for ``SparkFiles.get``.
+
+    Spark sends no folder of the driver's own file system to a cluster, so such
+    a folder goes as an archive, which Spark unpacks under a name of its own.
+    """
+    sc = spark.sparkContext
+    last = path.rstrip("/").rsplit("/", 1)[-1]
+    at = urlparse(path)
+    own = unquote(at.path).rstrip("/") if at.scheme == "file" else path.rstrip("/")
+    if at.scheme not in ("", "file") or not os.path.isdir(own):
+        sc.addFile(path, recursive=True)
+        return last
+    # the driver serves the archive as long as the session lives
+    packed = tempfile.mkdtemp(prefix="equitally-send-")
+    atexit.register(shutil.rmtree, packed, ignore_errors=True)
+    name = f"saved-{uuid.uuid4().hex}"
+    sc.addArchive(f"{Path(shutil.make_archive(os.path.join(packed, name), 'zip', own)).as_uri()}#{name}")
+    return name
+
+
 def score_with_saved(df: DataFrame, path: str, load, feature_cols: list[str], name: str, threshold: float = THRESHOLD,
                      keep=("app_id",), label: str = TARGET, batch_rows: int = 4096, width: int | None = None) -> DataFrame:
     """M7: bounded-memory scoring with a saved model of any library.
@@ -282,8 +310,7 @@ def score_with_saved(df: DataFrame, path: str, load, feature_cols: list[str], na
     """
     if width is not None and len(feature_cols) != 1:
         raise ValueError("width belongs to a single array column")
-    df.sparkSession.sparkContext.addFile(path, recursive=True)
-    last = path.rstrip("/").rsplit("/", 1)[-1]
+    last = send_to_executors(df.sparkSession, path)
 
     def make():
         predict = load(SparkFiles.get(last))

@@ -99,3 +99,36 @@ def test_a_saved_scorer_takes_null_numbers_and_arrays(spark, tmp_path):
     df = spark.createDataFrame([(1, [1.0, 0.5], 1), (2, None, 0), (3, [None, 1.5], None)], "app_id long, x array<double>, target int")
     out = mdl.score_with_saved(df, str(saved), load, ["x"], "saved", width=2)
     assert {r.app_id: (r.y, r.p) for r in out.collect()} == {1: (1, 0.75), 2: (0, 0.25), 3: (None, 0.875)}
+
+
+def test_a_saved_folder_reaches_executors_that_are_other_processes(tmp_path):
+    """Spark sends no local folder in a cluster; the scorer's folder is one."""
+    import subprocess
+    import sys
+
+    code = f"""
+import os
+from pyspark.sql import SparkSession
+from equitally.operators.models import score_with_saved
+root = {str(tmp_path)!r}
+spark = (SparkSession.builder.master("local-cluster[2,1,1200]").config("spark.ui.enabled", "false").config("spark.executor.memory", "700m")
+         .config("spark.driver.host", "127.0.0.1").config("spark.checkpoint.dir", root + "/kept").getOrCreate())
+os.makedirs(root + "/a scorer/inner")
+for name, value in (("one", 0.25), ("inner/two", 0.5)):
+    with open(root + "/a scorer/" + name, "w") as out:
+        out.write(str(value))
+
+def load(folder):
+    import numpy as np
+    total = sum(float(open(os.path.join(folder, name)).read()) for name in ("one", "inner/two"))
+    return lambda x: np.full(len(x), total)
+
+df = spark.range(40).selectExpr("id as app_id", "cast(id as double) as x", "1 as target").repartition(4)
+for path in (root + "/a scorer", "file://" + root + "/a%20scorer/"):
+    assert [r.p for r in score_with_saved(df, path, load, ["x"], "saved").collect()] == [0.75] * 40, path
+spark.stop()
+"""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300, cwd=tmp_path,
+                          env={**os.environ, "PYTHONPATH": root})
+    assert done.returncode == 0, done.stderr[-1500:]
