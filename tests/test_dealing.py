@@ -1,8 +1,10 @@
 """Tables in one row group: the rows of a pass lie evenly over the cores."""
 
 import pytest
+from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.sql import functions as F
 
+from equitally.operators import models as mdl
 from equitally.session import dealt, tasks_for
 from equitally.sources.fixtures import application_view
 
@@ -27,6 +29,13 @@ def tables(spark, tmp_path_factory):
     return str(d)
 
 
+@pytest.fixture(scope="module")
+def rows(spark):
+    return spark.range(50_000, numPartitions=1).selectExpr(
+        "id as app_id", "cast(id * 37 % 400 as double) as income", "array('White', 'Asian', 'Joint')[cast(id % 3 as int)] as derived_race",
+        "cast(id * 37 % 400 + id * 7919 % 150 > 275 as int) as target")
+
+
 def test_tasks_follow_rows_between_two_bounds(spark):
     cores = spark.sparkContext.defaultParallelism
     assert tasks_for(spark, 0) == tasks_for(spark, 20_000) == 1
@@ -39,3 +48,12 @@ def test_tasks_follow_rows_between_two_bounds(spark):
 def test_applications_of_one_row_group_are_many_tasks(spark, tables):
     view = application_view(spark, tables)
     assert even(view, 70_000, 4) and view.select("app_id").distinct().count() == 70_000
+
+
+@pytest.mark.parametrize("kind, of", [("gbt", GBTClassifier), ("forest", RandomForestClassifier)])
+def test_trees_are_fitted_on_even_tasks(rows, kind, of, monkeypatch):
+    seen, fit = [], of.fit
+    monkeypatch.setattr(of, "fit", lambda self, df, *a: seen.append((sizes(df), df.rdd.getNumPartitions())) or fit(self, df, *a))
+    train = mdl.train_gbt if kind == "gbt" else mdl.train_forest
+    train(rows, max_depth=2, **({"max_iter": 2, "early_stopping": False} if kind == "gbt" else {"num_trees": 2}))
+    assert seen[0][1] == 3 and sum(seen[0][0]) == 50_000 and seen[0][0][-1] < 25_000
