@@ -4,6 +4,7 @@ import pytest
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.sql import functions as F
 
+from equitally.operators import explain
 from equitally.operators import models as mdl
 from equitally.session import dealt, tasks_for
 from equitally.sources.fixtures import application_view
@@ -57,3 +58,11 @@ def test_trees_are_fitted_on_even_tasks(rows, kind, of, monkeypatch):
     train = mdl.train_gbt if kind == "gbt" else mdl.train_forest
     train(rows, max_depth=2, **({"max_iter": 2, "early_stopping": False} if kind == "gbt" else {"num_trees": 2}))
     assert seen[0][1] == 3 and sum(seen[0][0]) == 50_000 and seen[0][0][-1] < 25_000
+
+
+def test_shapley_shuffles_rows_and_not_their_hybrids(rows):
+    few = rows.limit(2_000)
+    phi = explain.sampled_shapley(mdl.train_gbt(few, max_iter=2, max_depth=2, early_stopping=False), few, background_size=5, permutations=8)
+    assert phi.count() == 2_000 * 2
+    plan = phi._jdf.queryExecution().executedPlan().toString()
+    assert "_step" not in "".join(line for line in plan.splitlines() if "Exchange hashpartitioning" in line), plan
