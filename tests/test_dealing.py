@@ -60,6 +60,13 @@ def test_trees_are_fitted_on_even_tasks(rows, kind, of, monkeypatch):
     assert seen[0][1] == 3 and sum(seen[0][0]) == 50_000 and seen[0][0][-1] < 25_000
 
 
+def test_few_rows_are_boosted_in_one_task(rows, monkeypatch):
+    seen, fit = [], GBTClassifier.fit
+    monkeypatch.setattr(GBTClassifier, "fit", lambda self, df, *a: seen.append(df.rdd.getNumPartitions()) or fit(self, df, *a))
+    mdl.train_gbt(rows.limit(900).repartition(2, "app_id"), max_iter=2, max_depth=2, early_stopping=False)
+    assert seen == [1]
+
+
 def test_shapley_shuffles_rows_and_not_their_hybrids(rows):
     few = rows.limit(2_000)
     phi = explain.sampled_shapley(mdl.train_gbt(few, max_iter=2, max_depth=2, early_stopping=False), few, background_size=5, permutations=8)
