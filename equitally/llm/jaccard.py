@@ -25,9 +25,11 @@ joins into one component are done with each other.  Only pairs of different
 components that share a list are then compared, and only those that two bounds
 leave open: tokens of a set's own are in no intersection, and the parity
 bitmaps of two sets differ in at most as many bits as the sets in shingles.
-Both bounds are exact; what they rule out does not link.  Every pair left is
-verified by the shingles of both texts themselves.  A hot member's partners are
-dealt over many tasks.
+Both bounds are exact; what they rule out does not link.  Near copies share
+hundreds of lists and would meet in each: every member names its ``NAMED`` least
+lists, and two that name one in common meet in the least of those alone.  Every
+pair left is verified by the shingles of both texts themselves.  A hot member's
+partners are dealt over many tasks.
 """
 
 from __future__ import annotations
@@ -56,6 +58,8 @@ LARGEST_LIGHT = 40
 # Copies remembered in a task, so that most post their shingles once.
 REMEMBERED = 200_000
 PAIRS_PER_PART = 2_000
+# Lists that a member names, for others to know where it meets them.
+NAMED = 16
 # 64-bit words of a set's parity bitmap: bit i tells whether an odd number of
 # its shingles have tokens equal to i, modulo the bitmap's size.
 WORDS = 8
@@ -197,6 +201,30 @@ def _first_pairs(lists: DataFrame, order: list[str], fits) -> DataFrame:
     return met.where(fits).select(F.least("first.rep", "rep").alias("a"), F.greatest("first.rep", "rep").alias("b")).distinct()
 
 
+def _list_number(token):
+    """32 bits of a token; tokens that agree in them have one list, which only adds pairs to rule out."""
+    return (token.bitwiseAND(0xFFFFFFFF) - F.lit(1 << 31)).cast("int")
+
+
+def _meetings(known: DataFrame, roots: DataFrame, below: int, percent: int) -> DataFrame:
+    """(a, b): sets of different components that share a list and may link, one
+    of them of size ``below`` or more.  A pair that names a list in common is one
+    row, from the least such list; others are a row for every list they share."""
+    numbers = F.array_sort(F.array_distinct(F.transform("listed", lambda t: _list_number(t["token"]))))
+    placed = known.where(F.col("size") >= math.ceil(percent * below / 100)) \
+        .join(roots, known["rep"] == roots["node"], "left") \
+        .withColumn("numbers", numbers) \
+        .select(F.explode("numbers").alias("list"), "rep", "size", "own", *BITMAP, F.coalesce("root", "rep").alias("root"),
+                F.slice("numbers", 1, NAMED).alias("named"))
+    mixed = placed.groupBy("list").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("list")
+    placed = write_table(placed.join(mixed, "list"), "jaccard-placed")
+    other = placed.select("list", *[F.col(c).alias(f"{c}_b") for c in placed.columns if c != "list"])
+    heavy = F.greatest(F.col("size"), F.col("size_b")) >= below
+    here = F.coalesce(F.array_min(F.array_intersect("named", "named_b")), F.col("list")) == F.col("list")
+    return placed.join(other, "list").where((F.col("root") < F.col("root_b")) & heavy & _open(percent) & here) \
+        .select(F.least("rep", "rep_b").alias("a"), F.greatest("rep", "rep_b").alias("b"))
+
+
 def _verifier(words_per_shingle: int, percent: int):
     def verify(batches):
         of, own = None, set()
@@ -275,21 +303,13 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_
     by_class = lists.select(F.xxhash64("token", level).alias("list"), "rep", "size", "own", *BITMAP)
     from_subsets = _first_pairs(subsets, ["size", "rep"], _linkable(F.col("size"), F.col("first.size"), percent))
     from_lists = _first_pairs(by_class, ["own", "size", "rep"], _open(percent, "first.{}"))
-    heavy = F.greatest(F.col("size"), F.col("size_b")) >= below
     first = write_table(from_subsets.unionByName(from_lists).distinct(), "jaccard-first")
     texts = sets.where("text is not null").select("row", "text")
     links = write_table(verified(first, texts, words_per_shingle, percent), "jaccard-links")
     roots = write_table(connected_components(links, "jaccard", links.count()), "jaccard-roots")
 
     # pairs that share a list and are not joined yet
-    placed = lists.join(roots, lists["rep"] == roots["node"], "left").select(
-        "token", "rep", "size", "own", *BITMAP, F.coalesce("root", "rep").alias("root"))
-    mixed = placed.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("token")
-    placed = write_table(placed.join(mixed, "token"), "jaccard-placed")
-    other = placed.select("token", *[F.col(c).alias(f"{c}_b") for c in placed.columns if c != "token"])
-    rest = placed.join(other, "token").where(
-        (F.col("root") < F.col("root_b")) & heavy & _open(percent)) \
-        .select(F.least("rep", "rep_b").alias("a"), F.greatest("rep", "rep_b").alias("b")).distinct()
+    rest = _meetings(known, roots, below, percent).distinct()
     rest = write_table(rest.join(first, ["a", "b"], "left_anti"), "jaccard-rest")
     more = write_table(verified(rest, texts, words_per_shingle, percent), "jaccard-more")
     if not more.isEmpty():

@@ -105,3 +105,39 @@ def test_boundary_takes_the_cheaper_side():
     row = lambda size, shared, sets, entries: {"size": size, "shared": shared, "sets": sets, "entries": entries}
     assert boundary([row(10, 10, 100, 10 ** 6)]) > 10
     assert boundary([row(30, 30, 100, 300)]) <= 30
+
+
+def test_near_copies_that_do_not_link_meet_once(make_docs, monkeypatch):
+    """Texts of a family share hundreds of lists; meeting in each made as many rows a pair."""
+    rng = random.Random(14)
+    base = ["w" + str(i) for i in range(1500)]
+    rows = []
+    for i in range(12):  # each half of the family misses other words, by two and two, so that own shingles are few
+        gone = set(random.Random(i // 2).sample(range(1500), 45))
+        words = [w for k, w in enumerate(base) if k not in gone]
+        words[rng.randrange(700)] = "x" + str(i)
+        rows.append((i, " ".join(words)))
+    made, real = [], jaccard._meetings
+
+    def meetings(*args):
+        made.append(real(*args).localCheckpoint())
+        return made[-1]
+
+    monkeypatch.setattr(jaccard, "_meetings", meetings)
+    results = []
+    for named in (jaccard.NAMED, 1, 0):  # with none named, a pair meets in every list it shares
+        monkeypatch.setattr(jaccard, "NAMED", named)
+        results.append(run(make_docs(rows).repartition(3)))
+    assert results == [sorted(brute(rows))] * 3
+    counts = [m.count() for m in made]
+    pairs = [m.distinct().count() for m in made]
+    assert pairs[0] == pairs[1] == pairs[2] > 0
+    assert counts[2] > 20 * pairs[2]
+    assert counts[0] <= 3 * pairs[0]
+
+
+def test_lists_that_agree_in_32_bits_lose_no_pair(make_docs, monkeypatch):
+    rng = random.Random(15)
+    rows = [r for f in range(4) for r in family(rng, 100 * f, 10, 160, 9)]
+    monkeypatch.setattr(jaccard, "_list_number", lambda t: t.bitwiseAND(15).cast("int"))
+    same(rows, make_docs, 3)
