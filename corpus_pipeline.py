@@ -20,9 +20,9 @@ from equitally.llm.packing import crc32_column, pack
 from equitally.llm.quality import classify
 from equitally.llm.simhash import near_duplicates
 
-#: Text in a block of the quality stage: half of what the operator takes alone,
-#: as Python workers of other stages are still there.  It changes no result.
-QUALITY_BLOCK = 16_000_000
+#: Text in a block of the quality stage: a quarter of what the operator takes
+#: alone, as Python workers of other stages are still there.  It changes no result.
+QUALITY_BLOCK = 8_000_000
 #: Keys of rows without a doc_id lie at and above this.
 NO_ID = 1 << 62
 

@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from equitally.llm.common import utf8, write_table
+from equitally.llm.common import TEXT_BATCHES, utf8, write_table
 
 ORDER = 5
 QUANTILE = 0.98
@@ -223,11 +223,11 @@ def perplexities(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
         .groupBy("id").agg(F.min("quality").alias("quality"))  # labels of a repeated id are one row of its block
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     dealt = blocks(rows, marks, max(1, -(-size // block_bytes)))
-    grams = write_table(dealt.groupBy("block").applyInArrow(_count(order), "block int, lang string, gram long, n long"), "quality-grams")
+    grams = write_table(dealt.groupBy("block").applyInArrow(_count(order), "block int, lang string, gram long, n long"), "quality-grams", settings=TEXT_BATCHES)
     counts = write_table(grams.groupBy("lang", "gram").agg(F.sum("n").alias("c")), "quality-types", grams.count())
     logp = write_table(log_probabilities(counts, counts.where("c > 0"), order, "quality"), "quality-logp", counts.count())
     given = write_table(grams.select("block", "lang", "gram").join(logp, ["lang", "gram"]).select("block", "lang", "gram", "logp"), "quality-given", grams.count())
-    return write_table(dealt.groupBy("block").cogroup(given.groupBy("block")).applyInArrow(_score(order), SCORE_SCHEMA), "quality-scores")
+    return write_table(dealt.groupBy("block").cogroup(given.groupBy("block")).applyInArrow(_score(order), SCORE_SCHEMA), "quality-scores", settings=TEXT_BATCHES)
 
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, **settings) -> DataFrame:
