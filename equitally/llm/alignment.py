@@ -41,6 +41,8 @@ DENSE = SLOTS // 16
 B_BITS = 20
 # Segments of text remembered in a worker, and their greatest length.
 REMEMBERED, LONGEST = 150_000, 64
+# Segments that are not remembered and go through the tokenizers in one text.
+JOINED = 2_000
 # Both tokenizers end a token here: before a single space or line feed between
 # characters that are no white space.
 SEGMENTS = re.compile(r"(?<=\S)(?=[ \n]\S)")
@@ -81,6 +83,8 @@ class Aligner:
             elif not self.b.is_control(i) and not self.b.is_unknown(i):
                 self.b_bytes[i] = piece.replace("▁", " ").encode()
         self.space = self.b.piece_to_id("▁")
+        self.a_size, self.b_size = (np.array([len(t) for t in side]) for side in (self.a_bytes, self.b_bytes))
+        # what ``_segment`` gives; () for None
         self.known: dict[str, tuple] = {}
 
     def _aligned(self, whole: bytes, a: list[int], b: list[int]) -> tuple | None:
@@ -113,26 +117,79 @@ class Aligner:
             b = b[1:]
         return self._aligned(piece.encode(), self.a.encode_ordinary(piece), b)
 
-    def __call__(self, raw: bytes) -> tuple | None:
-        """As ``_aligned`` for a space and the text; None without tokens."""
-        if not raw:
-            return None
-        try:
-            text = " " + raw.decode()
-        except UnicodeDecodeError:
-            return None
-        known, parts = self.known, []
-        for piece in SEGMENTS.split(text):
-            found = known.get(piece)
-            if found is None:
-                found = self._segment(piece)
-                if found is None:  # judge the text as a whole
-                    return self._aligned(text.encode(), self.a.encode_ordinary(text), self.b.encode(text[1:]))
-                if len(known) < REMEMBERED and len(piece) < LONGEST:
-                    known[piece] = found
-            parts.append(found)
-        links, groups, n_a, n_b, n = zip(*parts)
-        return b"".join(links), ";".join(groups), sum(n_a), sum(n_b), sum(n)
+    def _together(self, pieces: list[str]) -> list[tuple]:
+        """As ``_segment`` for segments that begin before a break, from one call
+        of each tokenizer over all of them; () for None.  Segments whose tokens
+        are not their bytes are parted from the others by sixteenths."""
+        if len(pieces) == 1:
+            return [self._segment(pieces[0]) or ()]
+        raw = [piece.encode() for piece in pieces]
+        text, whole = "a" + "".join(pieces), b" a" + b"".join(raw)
+        a, b = self.a.encode_ordinary(" " + text), self.b.encode(text)
+        ids_a, ids_b = np.array(a), np.array(b)
+        if b"".join([self.a_bytes[i] for i in a]) == whole == b"".join([self.b_bytes[i] for i in b]) and self.b_size[ids_b].all():
+            ends_a, ends_b = np.cumsum(self.a_size[ids_a]), np.cumsum(self.b_size[ids_b])
+            next_b = np.searchsorted(ends_b, ends_a)
+            at_a = np.flatnonzero(ends_b[next_b] == ends_a)
+            at_b, both = next_b[at_a], ends_a[at_a]
+            edges = np.cumsum([2, *map(len, raw)])
+            upto = np.searchsorted(both, edges)
+            if (both[upto] == edges).all():
+                links = (ids_a[at_a] << B_BITS | ids_b[at_b]).astype("<i8").tobytes()
+                i, j, upto = (at_a + 1).tolist(), (at_b + 1).tolist(), (upto + 1).tolist()
+                name_a, name_b = list(map(str, a)), list(map(str, b))
+                groups = [name_a[f] + "|" + name_b[g] if t - f == 1 == u - g else ",".join(name_a[f:t]) + "|" + ",".join(name_b[g:u])
+                          for f, t, g, u in zip(i, i[1:], j, j[1:])]
+                return [(links[8 * f:8 * t], ";".join(groups[f - 1:t - 1]), i[t - 1] - i[f - 1], j[t - 1] - j[f - 1], t - f)
+                        for f, t in zip(upto, upto[1:])]
+        step = -(-len(pieces) // 16)
+        return [found for at in range(0, len(pieces), step) for found in self._together(pieces[at:at + step])]
+
+    def _unknown(self, pieces: list[str]) -> dict[str, tuple]:
+        """Segments that are not remembered yet; many of them share a call."""
+        joint, out = [], {}
+        for piece in pieces:
+            # the first and the last of a text may touch other white space
+            if piece[0] in " \n" and len(piece) > 1 and not piece[1].isspace() and not piece[-1].isspace():
+                joint.append(piece)
+            else:
+                out[piece] = self._segment(piece) or ()
+        for at in range(0, len(joint), JOINED):
+            some = joint[at:at + JOINED]
+            out.update(zip(some, self._together(some)))
+        for piece, found in out.items():
+            if len(self.known) >= REMEMBERED:
+                break
+            if len(piece) < LONGEST:
+                self.known[piece] = found
+        return out
+
+    def __call__(self, raws: list[bytes]) -> list[tuple | None]:
+        """As ``_aligned`` for a space and each text; None without tokens."""
+        texts: list[str | None] = []
+        for raw in raws:
+            try:
+                texts.append(" " + raw.decode() if raw else None)
+            except UnicodeDecodeError:
+                texts.append(None)
+        split = [SEGMENTS.split(text) if text else [] for text in texts]
+        get, fresh = self.known.get, {}
+        held = [list(map(get, pieces)) for pieces in split]
+        missing = {p: None for pieces, parts in zip(split, held) if None in parts for p, found in zip(pieces, parts) if found is None}
+        if missing:
+            fresh = self._unknown(list(missing))
+        out = []
+        for text, pieces, parts in zip(texts, split, held):
+            if None in parts:
+                parts = [fresh[p] if found is None else found for p, found in zip(pieces, parts)]
+            if text is None:
+                out.append(None)
+            elif () in parts:  # judge the text as a whole
+                out.append(self._aligned(text.encode(), self.a.encode_ordinary(text), self.b.encode(text[1:])))
+            else:
+                links, groups, n_a, n_b, n = zip(*parts)
+                out.append((b"".join(links), ";".join(groups), sum(n_a), sum(n_b), sum(n)))
+        return out
 
 
 @cache
@@ -196,11 +253,10 @@ def _indexer(a_path: str, b_path: str):
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
                 docs = []
-                for doc_id, raw in zip(batch.column(0).to_pylist(), utf8(batch.column(1))):
+                for doc_id, found in zip(batch.column(0).to_pylist(), align(utf8(batch.column(1)))):
                     if slot == SLOTS or n_held >= BLOCK_LINKS:
                         yield from containers(block, np.concatenate(held) if held else np.zeros(0, np.int64))
                         block, slot, held, n_held = block + 1, 0, [], 0
-                    found = align(raw)
                     if found is None:
                         docs.append((block, slot, doc_id, 0, 0, 0, 0, ""))
                     else:

@@ -107,6 +107,30 @@ def test_small_blocks_and_dense_containers_change_nothing(make_docs, rng, models
     assert dict(total) == {w[0]: w[6] for w in want}
 
 
+def test_unknown_segments_share_calls_of_the_tokenizers(rng, models, monkeypatch):
+    """Among them some that B does not spell, and all white space that may
+    begin or end a text."""
+    texts = [prose(rng, 40) + f" {i}q{i}\n{i}z" for i in range(300)] + ODD + [t + "x" for t in ODD] + [None, "", "ﬁ a", "b\nﬁ"]
+    aligner = alignment.Aligner(*alignment.default_paths())
+    calls, encode = [], aligner.b.encode
+    monkeypatch.setattr(aligner, "b", type("B", (), {"encode": lambda _, text: calls.append(text) or encode(text)})())
+    monkeypatch.setattr(alignment, "REMEMBERED", 100)
+    raws = [(t or "").encode() for t in texts]
+    found = aligner(raws[:300])
+    assert len(calls) <= 4
+    found += aligner(raws[300:])
+    assert found + aligner(raws) == 2 * found
+    for text, got in zip(texts, found):
+        want = brute_tokens(models, text)
+        assert (got is None) == (want is None)
+        if got is not None:
+            ids_a, ends_a, ids_b, ends_b = want
+            links = [x << alignment.B_BITS | y for x, e in zip(ids_a, ends_a) for y, f in zip(ids_b, ends_b) if e == f]
+            assert got[0] == b"".join(x.to_bytes(8, "little") for x in links) and got[2:] == (len(ids_a), len(ids_b), len(links))
+            assert [tuple(side.split(",") for side in g.split("|")) for g in got[1].split(";")][0][0][0] == str(ids_a[0])
+            assert got[1].replace("|", ",").replace(";", ",").count(",") + 1 == len(ids_a) + len(ids_b)
+
+
 def test_empty_table(make_docs):
     documents, pairs = align(make_docs([]))
     assert documents.collect() == [] and pairs.collect() == []
