@@ -39,6 +39,34 @@ def test_trains_with_missing_numbers_and_ranks_well(rows, kind):
         assert m.rounds == 8 and m.classifier.getNumTrees == m.best_iteration + 1
 
 
+def test_registered_models_are_fitted_with_all_rounds(rows, monkeypatch):
+    """The queries boost as the trainers do by default: 600 rounds of 0.05, patience 30."""
+    from pyspark.ml.classification import GBTClassifier
+
+    from equitally.plans import prepare, train
+
+    monkeypatch.setattr(prepare, "train_test", lambda spark, sf_dir: (rows, rows))
+    monkeypatch.setattr(train, "_FITTED", {})
+    monkeypatch.setattr(mdl, "ROUND_STEPS", ())
+    asked, given = [], []
+
+    class Enough(Exception):
+        pass
+
+    def fit(self, df, *a):
+        asked.append((self.getMaxIter(), self.getStepSize(), self.getMaxDepth(), self.getSubsamplingRate()))
+        raise Enough
+
+    monkeypatch.setattr(GBTClassifier, "fit", fit)
+    for kind in ("gbt", "blind"):
+        with pytest.raises(Enough):
+            train.fitted_model(rows.sparkSession, "nowhere", kind)
+        monkeypatch.setitem(train.TRAINERS, kind, lambda t, **settings: given.append(settings))
+        train.fitted_model(rows.sparkSession, "nowhere", kind)
+    assert asked == [(600, 0.05, 6, 0.9)] * 2
+    assert given == [{}, {}] and mdl.PATIENCE == 30
+
+
 def test_patience():
     assert mdl.best_round([5, 4, 3, 4, 5, 2], 2) == (2, True)
     assert mdl.best_round([5, 4, 3, 4, 5, 2], 3) == (5, False)

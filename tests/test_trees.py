@@ -119,6 +119,17 @@ def test_second_order_leaves_equal_brute_force(rows, gbt, spark):
     assert merged
 
 
+def test_second_order_leaves_send_a_row_a_task_and_leaf(rows, gbt, spark, monkeypatch):
+    """Not one for every thousand rows: 600 trees have some 40,000 leaves."""
+    walk = Walk(node_table(spark, gbt.classifier, gbt.inputs))
+    assembled = gbt.model.transform(rows.coalesce(1).crossJoin(F.broadcast(spark.range(3)))).withColumn("w", F.lit(1.0))
+    sent, through = [], type(rows).mapInArrow
+    monkeypatch.setattr(type(rows), "mapInArrow", lambda self, *a: sent.append(out := through(self, *a)) or out)
+    newton_leaves(walk, assembled, "target", "w").collect()
+    n = sent[0].groupBy("at").count()
+    assert n.count() and n.where("count > 1").count() == 0 and sent[0].agg(F.sum("n")).first()[0] == 2_700 * len(walk.trees)
+
+
 @pytest.mark.parametrize("kind", ["gbt", "forest"])
 def test_gains(kind, rows, spark, request):
     from equitally.operators.explain import importance_table
