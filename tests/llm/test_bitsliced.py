@@ -2,8 +2,9 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from equitally.llm.bitsliced import BitSlicedIndex, top_k
+from equitally.llm.bitsliced import BitSlicedIndex, build_blocks, meetings, quantised, top_k
 
 
 @pytest.mark.parametrize("drop", [0, 3, 6])
@@ -86,3 +87,32 @@ def test_score_beyond_a_long_is_an_error(spark):
     rows = rows_of(spark, [(0, [1e12, 0.0]), (1, [1e12, 0.0])])
     with pytest.raises(Exception, match="does not fit in a long"):
         top_k(rows, rows.where("vec_id = 0")).collect()
+
+
+def test_blocks_of_rows_are_shipped_once_a_group_and_not_once_a_query_block(spark):
+    r = np.random.default_rng(6)
+    vectors = [(i, r.normal(0, .3, 8).tolist()) for i in range(400)]
+    df = rows_of(spark, vectors).select("vec_id", quantised(F.col("embedding")).alias("v"))
+    index, n_blocks = build_blocks(df, 100, "test-rows")
+    queries, n_queries = build_blocks(df, 4, "test-queries")
+    met = meetings(index, n_blocks, queries, n_queries, 20)
+    groups = max(5, -(-4 * spark.sparkContext.defaultParallelism // n_blocks))
+    assert (n_blocks, n_queries) == (4, 100) and met.where("q_block < 0").count() == index.count() * groups
+    pairs = met.where("q_block >= 0")
+    assert pairs.count() == pairs.select("block", "q_block").distinct().count() == queries.count() * n_blocks
+    assert pairs.join(met.where("q_block < 0"), ["block", "q_group"], "left_anti").join(index, "block", "left_semi").count() == 0
+    rows = rows_of(spark, vectors)
+    got = top_k(rows, rows.where("vec_id % 3 = 0"), per_block=100, queries_per_block=4).collect()
+    assert sorted(map(tuple, got)) == sorted(brute(vectors, range(0, 400, 3)))
+
+
+def test_an_index_of_a_block_is_made_in_little_memory():
+    """A bit at a time: all bits of all rows at once are 16 times the block."""
+    import tracemalloc
+
+    values = np.random.default_rng(7).integers(-500, 500, (8_192, 64))
+    tracemalloc.start()
+    index = BitSlicedIndex(values)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert index.bits == 10 and most < 6 * values.nbytes
