@@ -9,7 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from equitally.operators import models as mdl
-from equitally.operators.trees import Walk, auc_by_round, ensemble_sql, first_rounds, gain_table, newton_leaves, node_table, staged_margins
+from equitally.operators.trees import LeafMasks, Walk, auc_by_round, ensemble_sql, first_rounds, gain_table, newton_leaves, node_table, staged_margins
 
 
 @pytest.fixture(scope="module")
@@ -130,6 +130,47 @@ def test_second_order_leaves_send_a_row_a_task_and_leaf(rows, gbt, spark, monkey
     assert n.count() and n.where("count > 1").count() == 0 and sent[0].agg(F.sum("n")).first()[0] == 2_700 * len(walk.trees)
 
 
+def test_masks_reach_the_leaves_of_the_walk(rows, gbt, spark):
+    walk = Walk(node_table(spark, gbt.classifier, gbt.inputs))
+    got = vectors(gbt, unseen(rows, spark))
+    x = np.array([r["x"] for r in got])
+    assert LeafMasks.fits(walk) and walk.by_level.any() and not walk.by_level[~walk.leaf].all()
+    masks = LeafMasks(walk, len(gbt.inputs))
+    together = np.bitwise_and.reduce([masks.masks(i, x[:, i]) for i in range(x.shape[1])])
+    want = (walk.value * walk.weight)[walk.leaves(x)].sum(1)
+    assert np.allclose(masks.margins(together), want, atol=1e-12)
+    walk.leaf = np.ones(65 * len(walk.root), bool)
+    walk.root = np.arange(len(walk.root)) * 65
+    walk.by_level = walk.slot = np.zeros(len(walk.leaf), bool)
+    assert not LeafMasks.fits(walk)
+
+
+@pytest.mark.parametrize("output", ["probability", "margin"])
+def test_values_from_masks_equal_those_from_scored_hybrids(rows, gbt, spark, output, monkeypatch):
+    """Rows that come twice and rows without a key among them."""
+    from equitally.operators import explain
+
+    some = rows.where("app_id % 20 < 3").withColumn("app_id", F.when(F.col("app_id") % 50 > 0, F.col("app_id")))
+    some = some.unionByName(some.where("app_id % 7 = 0"))
+    through = []
+    transform = type(gbt.model).transform
+    monkeypatch.setattr(type(gbt.model), "transform", lambda self, df, *a: through.append(len(self.stages)) or transform(self, df, *a))
+
+    def values():
+        found = explain.sampled_shapley(gbt, some, background_size=9, permutations=4, output=output).collect()
+        return {(r["app_id"], r["feature"]): (r["phi"], r["phi_error"]) for r in found}, len(found)
+
+    got, n = values()
+    assert set(through) == {len(gbt.model.stages) - 1} and n == len(got) == 3 * some.where("app_id is not null").select("app_id").distinct().count()
+    monkeypatch.setattr(LeafMasks, "fits", staticmethod(lambda walk: False))
+    want, _ = values()
+    twice = {r["app_id"] for r in some.groupBy("app_id").count().where("count > 1").collect()}
+    assert set(got) == set(want) and twice - {None}
+    for k, (phi, error) in want.items():
+        assert math.isclose(got[k][0], phi, abs_tol=1e-9)
+        assert k[0] in twice or math.isclose(got[k][1], error, abs_tol=1e-9)
+
+
 @pytest.mark.parametrize("kind", ["gbt", "forest"])
 def test_gains(kind, rows, spark, request):
     from equitally.operators.explain import importance_table
